@@ -41,6 +41,25 @@ def pct2(num: Column, den: Column) -> Column:
     return F.round(pct(num, den), 2)
 
 
+def round_dec(x: Column, digits: int) -> Column:
+    """Round half-up on the decimal value (via DECIMAL(38,12)), identical in Spark and SQL engines.
+
+    Plain double rounding differs between engines at ties of weighted sums
+    (e.g. 77.475); going through a fixed-scale decimal makes the result exact.
+    """
+    return F.round(x.cast("decimal(38,12)"), digits).cast("double")
+
+
+def fmt1(x: Column) -> Column:
+    """One-decimal display text: the value rounded half-up to 1 dp, as text."""
+    return round_dec(x, 1).cast("string")
+
+
+def fmt_int(x: Column) -> Column:
+    """Integer with thousands separators (1,234)."""
+    return F.format_number(x.cast("long"), 0)
+
+
 def safe_pct_change(current: Column, previous: Column) -> Column:
     """NULL when previous < 1, else the change in percent rounded to 2 dp."""
     return F.when(previous < 1, F.lit(None).cast("double")).otherwise(

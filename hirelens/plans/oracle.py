@@ -152,3 +152,438 @@ def register(name: str, sql: str) -> None:
 
 for _dim in ("recruiter", "client", "role", "source", "technology"):
     register(f"kpis_by_{_dim}", group_kpis_sql(_dim))
+
+
+# ---------------------------------------------------------------- shared CTE bodies
+
+AS_OF = "DATE '2001-08-01'"
+TH = (365, 1000, 1800)
+FL_CTE = f", fl as ({flags_select()})"
+KPI_CTE = FL_CTE + f", c as (select {counts_cols()} from fl), k as (select {kpi_cols()} from c)"
+
+
+def _rows(src: str, items: list[tuple[str, ...]], cols: list[str]) -> str:
+    parts = []
+    for it in items:
+        parts.append("select " + ", ".join(f"{v} as {c}" for v, c in zip(it, cols)) + f" from {src}")
+    return "\nunion all\n".join(parts)
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+register("kpis_total", with_apps(KPI_CTE + " select * from k"))
+
+_SUMMARY = [("Total Applications", "total"), ("Screening Selected", "screening_selected"),
+            ("Interviews Completed", "interviews_completed"), ("Interview Selected", "interview_selected"),
+            ("Offers Accepted", "offers_accepted"), ("Candidates Joined", "joined"),
+            ("Screening Selection Rate (%)", "screening_rate"),
+            ("Interview Selection Rate (%)", "interview_selection_rate"),
+            ("Offer Acceptance Rate (%)", "offer_acceptance_rate"), ("Joining Rate (%)", "joining_rate"),
+            ("Average Salary (LPA)", "avg_salary"), ("Average Time to Hire (Days)", "avg_time_to_hire")]
+register("kpi_summary", with_apps(KPI_CTE + "\n" + _rows(
+    "k", [(str(i + 1), q(lbl), f"cast({c} as double)") for i, (lbl, c) in enumerate(_SUMMARY)],
+    ["metric_order", "metric", "value"])))
+
+_DIMS = ("recruiter", "client", "role", "source", "technology")
+register("kpis_all_dims", with_apps(FL_CTE + "\n" + "\nunion all\n".join(
+    f"select '{d}' as dimension, cast({d} as varchar) as value, {group_cols()} "
+    f"from (select {d}, {counts_cols()} from fl group by {d})" for d in _DIMS)))
+
+register("report_source", with_apps(FL_CTE + f""", c as (select source, {counts_cols()} from fl group by source)
+select * rename (joining_rate_pct as conversion_rate_pct) from (select source, {group_cols()} from c)"""))
+register("report_technology", group_kpis_sql("technology"))
+
+_STAGES = [("Applications", "total"), ("Screening Selected", "screening_selected"),
+           ("Interviews Completed", "interviews_completed"), ("Interview Selected", "interview_selected"),
+           ("Offers Accepted", "offers_accepted"), ("Joined", "joined")]
+register("funnel_stages", with_apps(KPI_CTE + "\n" + _rows(
+    "k", [(str(i + 1), q(s), f"cast({c} as bigint)") for i, (s, c) in enumerate(_STAGES)],
+    ["stage_order", "stage", "candidates"])))
+
+_CONV = [("Applications → Screening", "screening_selected", "total"),
+         ("Screening → Interviews", "interviews_completed", "screening_selected"),
+         ("Interviews → Selected", "interview_selected", "interviews_completed"),
+         ("Selected → Offers", "offers_accepted", "interview_selected"),
+         ("Offers → Joined", "joined", "offers_accepted")]
+_CONV_SQL = _rows("k", [(str(i + 1), q(lbl), pct(n, d), f"cast({d} as bigint)", f"cast({n} as bigint)")
+                        for i, (lbl, n, d) in enumerate(_CONV)],
+                  ["step", "conversion", "rate_pct", "from_count", "to_count"])
+register("funnel_conversion", with_apps(KPI_CTE + "\n" + _CONV_SQL))
+register("bottleneck", with_apps(KPI_CTE + f", fc as ({_CONV_SQL}) select * from fc order by rate_pct, step limit 1"))
+
+_OPS = [("Screening Selected", "screening_selected"), ("Interview Not Scheduled", "interview_not_scheduled"),
+        ("Interview No Show", "interview_no_show"), ("Interview Rejected", "interview_rejected"),
+        ("Interview Selected", "interview_selected"), ("Offer Accepted", "offers_accepted"), ("Joined", "joined")]
+register("kpi_stage_counts", with_apps(KPI_CTE + "\n" + _rows(
+    "k", [(str(i + 1), q(s), f"cast({c} as bigint)") for i, (s, c) in enumerate(_OPS)],
+    ["stage_order", "stage", "candidates"])))
+
+# ---------------------------------------------------------------- filters and views
+
+_FILTER_WHERE = "recruiter in ('1-URGENT', '2-HIGH') and client in ('BUILDING', 'MACHINERY')"
+_SEARCH8 = ("candidate_id", "candidate_name", "recruiter", "client", "role", "technology", "location", "source")
+
+
+def like_any(cols, text):
+    pat = q(f"%{text.strip().lower()}%")
+    return "(" + " or ".join(f"lower(cast({c} as varchar)) like {pat}" for c in cols) + ")"
+
+
+register("filter_in", with_apps(f"select * from applications where {_FILTER_WHERE}"))
+register("filter_all_selected", with_apps(
+    "select count(*) as row_count from applications where client in ('BUILDING')"))
+register("search_like", with_apps(f"select * from applications where {like_any(_SEARCH8, 'united')}"))
+register("query_filtered", with_apps(
+    f"select candidate_id, candidate_name, recruiter, client, location from applications "
+    f"where {_FILTER_WHERE} and {like_any(_SEARCH8, 'an')} order by candidate_id limit 250"))
+register("count_rows", with_apps(
+    f"select count(*) as row_count from applications where {_FILTER_WHERE} and "
+    f"{like_any(('candidate_name', 'location', 'source'), 'united')}"))
+register("distinct_values", with_apps(
+    "select value from (select regexp_replace(cast(v as varchar), '^\\s+|\\s+$', '', 'g') as value from "
+    "(select distinct location as v from applications where location is not null order by v limit 500)) "
+    "where value <> ''"))
+_REGEX = "tech [37]|^role 1[01]$"
+register("search_regex", with_apps(
+    "select * from applications where " + " or ".join(
+        f"regexp_matches(lower(coalesce(cast({c} as varchar), '')), {q(_REGEX)})"
+        for c in ("candidate_id", "candidate_name", "recruiter", "client", "role", "technology", "location"))))
+register("list_candidates", with_apps(
+    "select * from applications where (" + " or ".join(
+        f"{c} ilike '%Role 1%'" for c in ("candidate_id", "candidate_name", "role", "technology"))
+    + ") and recruiter = '1-URGENT' order by application_date desc, candidate_id asc limit 500"))
+register("candidate_lookup", with_apps("select * from applications where candidate_id = 'CAND0000001'"))
+_PROFILE = ("candidate_id", "candidate_name", "application_date", "recruiter", "client", "role", "technology",
+            "location", "source", "screening_status", "interview_status", "offer_status", "joining_status",
+            "salary_lpa")
+register("candidate_profile", with_apps(
+    ", one as (select * from applications where candidate_id = 'CAND0000001')\n" + _rows(
+        "one", [(str(i + 1), q(f), f"coalesce(cast({f} as varchar), '—')") for i, f in enumerate(_PROFILE)],
+        ["field_order", "field", "value"])))
+register("attention_queue", with_apps(
+    "select candidate_id, candidate_name, recruiter, client, role, technology, interview_status "
+    f"from applications where lower({norm('interview_status')}) in ('not scheduled', 'no show', 'pending', '') "
+    "order by candidate_id limit 200"))
+register("interview_ops", with_apps(
+    "select candidate_id, candidate_name, recruiter, client, role, interview_status, source "
+    "from applications order by candidate_id limit 300"))
+
+
+def stage_sql() -> str:
+    j = comb("joining_status", None)
+    o = comb("offer_status", None)
+    iv = comb("interview_status", "interview_result")
+    s = comb("screening_status", None)
+    passed = "('selected', 'screened', 'passed', 'screening selected')"
+    return f"""case when {j} in ('joined', 'joining confirmed') then 'Joined'
+      when {j} <> '' and {j} not in ('not joined', 'pending', 'not started') then 'Joining'
+      when {o} in ('accepted', 'offer accepted') then 'Offer Accepted'
+      when {o} in ('declined', 'rejected', 'offer declined') then 'Offer Declined'
+      when {o} <> '' then 'Offer'
+      when {iv} in ('selected', 'interview selected', 'passed', 'selected for offer') then 'Interview Selected'
+      when {iv} in ('rejected', 'declined') then 'Interview Rejected'
+      when {iv} in ('no show', 'no-show', 'noshow') then 'Interview — No Show'
+      when ({iv} in ('not scheduled', 'pending') or {iv} = '') and {s} in {passed} then 'Interview — Not Scheduled'
+      when {iv} <> '' then 'Interview'
+      when {s} in {passed} then 'Screening Selected'
+      when {s} <> '' then 'Screening'
+      else 'Applied' end"""
+
+
+def action_sql(stage: str = "current_stage") -> str:
+    return f"""case when {stage} = 'Interview — Not Scheduled' then 'Schedule interview'
+      when {stage} = 'Interview — No Show' then 'Follow up / reschedule'
+      when {stage} = 'Interview Selected' and {norm('offer_status')} = '' then 'Initiate offer process'
+      when {stage} = 'Interview Selected' then 'Complete offer workflow'
+      when {stage} = 'Offer Accepted' then 'Confirm joining date'
+      when {stage} = 'Offer' then 'Await offer decision'
+      else 'No immediate action' end"""
+
+
+STAGED = f", s0 as (select *, {stage_sql()} as current_stage from applications), " \
+         f"staged as (select *, {action_sql()} as next_action from s0)"
+
+register("stage_filter", with_apps(
+    STAGED + " select * from staged where coalesce(client, '') in ('BUILDING', 'HOUSEHOLD') "
+    "and current_stage in ('Joined', 'Offer Declined', 'Interview — No Show')"))
+register("candidate_queue", with_apps(
+    STAGED + " select candidate_id, candidate_name, recruiter, client, role, technology, location, "
+    "interview_status, offer_status, joining_status, current_stage, next_action from staged "
+    "order by candidate_id limit 500"))
+register("export_view", with_apps("select * from applications"))
+register("group_count", with_apps(
+    "select recruiter as group_key, count(*) as count from applications "
+    "where client in ('BUILDING', 'AUTOMOBILE') group by recruiter"))
+register("interview_mix", with_apps(
+    f"select case when {norm('interview_status')} = '' then 'Unknown' else {norm('interview_status')} end "
+    "as interview_status, count(*) as candidates from applications group by 1"))
+
+
+def low(c):
+    return f"lower(coalesce(cast({c} as varchar), ''))"
+
+
+register("status_only_counts", with_apps(f"""select count(*) as applications,
+  count_if({low('screening_status')} in ({lit_list(S.OPS_SCREENING)})) as screening_selected,
+  count_if({low('interview_status')} in ({lit_list(S.OPS_INTERVIEW)})) as interview_selected,
+  count_if({low('offer_status')} in ({lit_list(S.OPS_OFFER)})) as offers_accepted,
+  count_if({low('joining_status')} in ({lit_list(S.OPS_JOINING)})) as joined from applications"""))
+
+# ---------------------------------------------------------------- stages
+
+_PRIORITY = {"Joined": 7, "Joining": 6, "Offer Accepted": 5, "Offer Declined": 5, "Offer": 4,
+             "Interview Selected": 4, "Interview Rejected": 4, "Interview — No Show": 3,
+             "Interview — Not Scheduled": 3, "Interview": 3, "Screening Selected": 2, "Screening": 1,
+             "Applied": 0}
+_PRIO_SQL = "case current_stage " + " ".join(f"when {q(k)} then {v}" for k, v in _PRIORITY.items()) + " else 0 end"
+_TONE_SQL = ("case when current_stage = 'Joined' then 'good' "
+             "when contains(current_stage, 'Rejected') or contains(current_stage, 'Declined') then 'bad' "
+             "when contains(current_stage, 'No Show') or contains(current_stage, 'Not Scheduled') "
+             "or current_stage = 'Offer' then 'warn' else 'info' end")
+register("current_stage", with_apps(
+    STAGED + f" select candidate_id, current_stage, {_PRIO_SQL} as stage_priority, {_TONE_SQL} as stage_tone from staged"))
+register("next_action", with_apps(STAGED + " select candidate_id, current_stage, next_action from staged"))
+
+
+def rec(c):
+    return f"case when {norm(c)} <> '' then {norm(c)} else 'Not recorded' end"
+
+
+register("journey", with_apps("\n" + _rows("applications", [
+    ("candidate_id", "1", "'Applied'",
+     f"case when {norm('application_date')} <> '' then 'Recorded' else 'Not recorded' end"),
+    ("candidate_id", "2", "'Screening'", rec("screening_status")),
+    ("candidate_id", "3", "'Interview'", rec("interview_status")),
+    ("candidate_id", "4", "'Interview Selected'",
+     f"case when lower({norm('interview_status')}) in ('selected', 'interview selected', 'passed', "
+     "'selected for offer') then 'Selected' else '—' end"),
+    ("candidate_id", "5", "'Offer'", rec("offer_status")),
+    ("candidate_id", "6", "'Joined'", rec("joining_status")),
+], ["candidate_id", "step", "stage", "status"])))
+register("combined_status", with_apps(
+    f"select candidate_id, {comb('screening_status', None)} as screening_outcome, "
+    f"{comb('interview_status', 'interview_result')} as interview_outcome, "
+    f"{comb('offer_status', None)} as offer_outcome, {comb('joining_status', None)} as joining_outcome "
+    "from applications"))
+_ORDER = ("Applied", "Screening", "Screening Selected", "Interview — Not Scheduled", "Interview — No Show",
+          "Interview", "Interview Selected", "Offer", "Offer Accepted", "Joining", "Joined")
+register("stage_counts", with_apps(
+    STAGED + ", dim as (select * from (values " + ", ".join(f"({i + 1}, {q(s)})" for i, s in enumerate(_ORDER))
+    + ") t(stage_order, stage)), cnt as (select current_stage as stage, count(*) as n from staged group by 1) "
+    "select stage_order, dim.stage, cast(coalesce(n, 0) as bigint) as candidates from dim "
+    "left join cnt on dim.stage = cnt.stage"))
+register("ops_counters", with_apps(
+    STAGED + " select count(*) as candidates_in_view, count_if(next_action in ('Schedule interview', "
+    "'Follow up / reschedule', 'Initiate offer process', 'Confirm joining date')) as action_required, "
+    "count_if(current_stage = 'Joined') as joined, "
+    "count_if(current_stage in ('Interview Rejected', 'Offer Declined')) as rejected_declined from staged"))
+
+# ---------------------------------------------------------------- aging
+
+
+def bucket_sql(days="aging_days", th=TH):
+    return (f"case when {days} <= {th[0]} then 'HEALTHY' when {days} <= {th[1]} then 'WATCH' "
+            f"when {days} <= {th[2]} then 'AGING' else 'CRITICAL' end")
+
+
+AGED = (f", aged0 as (select *, cast(date_diff('day', application_date, {AS_OF}) as integer) as aging_days "
+        "from applications where application_date is not null), "
+        f"aged as (select *, {bucket_sql()} as aging_bucket from aged0)")
+register("aging_summary", with_apps(AGED + " select * from aged"))
+register("aging_buckets", with_apps(AGED + " select aging_bucket as bucket, count(*) as candidates from aged group by 1"))
+register("aging_risk", with_apps(
+    AGED + " select coalesce(round(greatest(0.0, 100.0 - avg(case aging_bucket when 'HEALTHY' then 0 "
+    "when 'WATCH' then 1 when 'AGING' then 2 when 'CRITICAL' then 3 else 0 end) * 25), 1), 100.0) "
+    "as aging_risk_score from aged"))
+register("group_aging", with_apps(
+    AGED + " select recruiter, count(*) as candidates, round(avg(aging_days), 1) as avg_aging_days, "
+    "count_if(aging_bucket = 'CRITICAL') as critical, count_if(aging_bucket = 'AGING') as aging "
+    "from aged where recruiter is not null group by recruiter"))
+
+# ---------------------------------------------------------------- trends
+
+
+def period_sql(freq: str, d: str = "application_date") -> str:
+    if freq == "D":
+        return f"strftime({d}, '%Y-%m-%d')"
+    if freq == "W":
+        return (f"strftime(date_trunc('week', {d}), '%Y-%m-%d') || '/' || "
+                f"strftime(date_trunc('week', {d}) + interval 6 day, '%Y-%m-%d')")
+    return f"strftime({d}, '%Y-%m')"
+
+
+def trend_body(freq: str) -> str:
+    ic = "(n_isel + n_irej + n_cso)"
+    return (FL_CTE + f""", tc as (select {period_sql(freq)} as period, {counts_cols()} from fl
+      where application_date is not null group by 1),
+    trend as (select period, cast(n_total as bigint) as applications, cast(n_scr as bigint) as screening_selected,
+      cast({ic} as bigint) as interviews_completed, cast(n_isel as bigint) as interview_selected,
+      {pct('n_isel', ic)} as interview_selection_pct, cast(n_oacc as bigint) as offers_accepted,
+      {pct('n_oacc', '(n_oacc + n_odec)')} as offer_acceptance_pct, cast(n_join as bigint) as joined,
+      {pct('n_join', 'n_oacc')} as joining_rate_pct, round(a_tth, 2) as avg_time_to_hire from tc)""")
+
+
+for _f, _n in (("M", "month"), ("W", "week"), ("D", "day")):
+    register(f"trends_{_n}", with_apps(trend_body(_f) + " select * from trend"))
+
+register("last_two_periods", with_apps(
+    """, p as (select date_trunc('month', application_date) as p, count(*) as n from applications
+         where application_date is not null group by 1),
+       r as (select p, dense_rank() over (order by p desc) as r, count(*) over () as np, sum(n) over () as nrows from p)
+    select a.*, case when r.r = 1 then 'current' else 'previous' end as period_role
+    from applications a join r on date_trunc('month', a.application_date) = r.p
+    where r.r <= 2 and r.np >= 2 and r.nrows >= 2"""))
+
+_CMP = [("Applications", "applications"), ("Screening Selected", "screening_selected"),
+        ("Interviews Completed", "interviews_completed"), ("Interview Selection %", "interview_selection_pct"),
+        ("Offers Accepted", "offers_accepted"), ("Offer Acceptance %", "offer_acceptance_pct"),
+        ("Joined", "joined"), ("Joining Rate %", "joining_rate_pct"), ("Avg Time to Hire", "avg_time_to_hire")]
+RANKED = ", ranked as (select *, row_number() over (order by period desc) as rn, count(*) over () as np from trend)"
+CMP_CTE = (trend_body("M") + RANKED + ", two as (select * from ranked where rn <= 2 and np >= 2), pairs as (\n"
+           + "\nunion all\n".join(
+               f"select {i + 1} as metric_order, {q(lbl)} as metric, "
+               f"cast(max(case when rn = 1 then {c} end) as double) as current, "
+               f"cast(max(case when rn = 2 then {c} end) as double) as previous from two having count(*) = 2"
+               for i, (lbl, c) in enumerate(_CMP)) + ")"
+           + """, cmp as (select metric_order, metric, current, previous, round(current - previous, 2) as absolute_change,
+      case when previous < 1 then null else round((current - previous) / previous * 100, 2) end as percent_change,
+      (previous > 0 or current > 0) as sufficient_data,
+      case when previous = 0 and current > 0 then 'No prior-period baseline' else '' end as note
+    from pairs where current is not null and previous is not null)""")
+register("period_comparison", with_apps(CMP_CTE + " select * from cmp"))
+
+FC_CTE = (trend_body("M") + RANKED + """, fa as (select count(*) as n, avg(case when rn <= 3 then joined end) as mean,
+      stddev_samp(case when rn <= 3 then joined end) as sd0, count_if(rn <= 3) as kk from ranked),
+    fb as (select *, case when kk > 1 then sd0 else mean * 0.1 end as sd from fa),
+    fc as (select 'joins' as metric,
+      case when n >= 3 then round(greatest(0.0, mean - sd), 1) else 0.0 end as estimate_low,
+      case when n >= 3 then round(mean + sd, 1) else 0.0 end as estimate_high,
+      case when n >= 3 then round(mean, 1) else 0.0 end as estimate_mid,
+      n >= 3 as sufficient_data,
+      case when n >= 3 then 'Based on recent monthly join average (ESTIMATE).'
+           else 'Insufficient historical data for reliable forecasting.' end as message,
+      cast(n as integer) as historical_periods from fb)""")
+register("forecast_joins", with_apps(FC_CTE + " select * from fc"))
+
+
+def gap_select(t: str, src: str) -> str:
+    ok = "(fc.sufficient_data and jr > 0)"
+    return f"""select cast({t} as bigint) as target_hires, 'next period' as period_label,
+      case when {ok} then estimate_low else 0.0 end as expected_low,
+      case when {ok} then estimate_high else 0.0 end as expected_high,
+      case when {ok} then estimate_mid else 0.0 end as expected_mid,
+      case when {ok} then round(greatest(0.0, {t} - estimate_high), 1) else cast({t} as double) end as gap_low,
+      case when {ok} then round(greatest(0.0, {t} - estimate_low), 1) else cast({t} as double) end as gap_high,
+      case when {ok} then round(greatest(0.0, {t} - estimate_high) / greatest(jr, 0.001), 0) else 0.0 end as pipeline_required_low,
+      case when {ok} then round(greatest(0.0, {t} - estimate_low) / greatest(jr, 0.001), 0) else 0.0 end as pipeline_required_high,
+      {ok} as sufficient_data,
+      case when {ok} then 'ESTIMATE based on recent join velocity and historical conversion.' else fc.message end as message,
+      'ESTIMATE' as label from {src}"""
+
+
+JR_CTE = (", c2 as (select " + counts_cols() + " from fl), "
+          "jr as (select case when n_total > 0 then n_join / n_total else 0.0 end as jr from c2)")
+register("target_gap", with_apps(FC_CTE + JR_CTE + " " + gap_select("500", "fc cross join jr")))
+
+# ---------------------------------------------------------------- scorecards
+
+
+def rdec(x: str, d: int) -> str:
+    return f"cast(round(cast({x} as decimal(38,12)), {d}) as double)"
+
+
+def fmt1(x: str) -> str:
+    return f"cast({rdec(x, 1)} as varchar)"
+
+
+def velocity(t: str) -> str:
+    return f"case when {t} is not null and {t} > 0 then greatest(0.2, least(1.0, 45.0 / {t})) else 1.0 end"
+
+
+_EFF_RAW = ("(least(screening_rate / 100, 1.0) * 0.2 "
+            "+ (case when interviews_completed > 0 then least(interview_selection_rate / 100, 1.0) else 0.5 end) * 0.25 "
+            "+ (case when offers_made > 0 then least(offer_acceptance_rate / 100, 1.0) else 0.5 end) * 0.2 "
+            "+ (case when offers_accepted > 0 then least(joining_rate / 100, 1.0) else 0.5 end) * 0.25 "
+            f"+ ({velocity('avg_time_to_hire')}) * 0.1) * 100")
+EFF = f"case when total = 0 then 0.0 else {rdec(_EFF_RAW, 1)} end"
+
+
+def group_from_metrics(dim: str) -> str:
+    return (f"{dim}, total as applications, screening_selected, interviews_completed as interviews, "
+            "interview_selected, offers_accepted as offers, joined, screening_rate as screening_rate_pct, "
+            "interview_selection_rate as interview_selection_pct, offer_acceptance_rate as offer_acceptance_pct, "
+            "joining_rate as joining_rate_pct, avg_salary as average_salary, avg_time_to_hire")
+
+
+def grouped_metrics(dim: str, aging: bool) -> str:
+    extra = (f", avg(date_diff('day', application_date, {AS_OF})) as x_aging") if aging else ""
+    ag = f", case when {dim} is null then null else x_aging end as avg_aging_days" if aging else ""
+    return (FL_CTE + f", gc as (select {dim}, {counts_cols()}{extra} from fl group by {dim}), "
+            f"gm as (select {dim}, {kpi_cols()}{', x_aging' if aging else ''} from gc), "
+            f"gme as (select *, {EFF} as efficiency_score from gm), "
+            f"cards as (select {group_from_metrics(dim)}, efficiency_score{ag} from gme)")
+
+
+register("recruiter_scorecards", with_apps(
+    grouped_metrics("recruiter", False).replace(", efficiency_score from gme)", ", efficiency_score from gme)")
+    + " select c.* , round(efficiency_score - (select median(efficiency_score) from cards), 1) as vs_team_median from cards c"))
+
+_RI = (grouped_metrics("recruiter", True)
+       + ", ri as (select c.*, round(efficiency_score - (select median(efficiency_score) from cards), 1) as vs_team_median, "
+       "case when applications > 0 then round(interviews / applications * 100, 2) end as interview_completion_rate from cards c)")
+register("recruiter_intelligence", with_apps(_RI + " select * from ri"))
+
+
+def no_eff(dim):
+    return grouped_metrics(dim, True).replace(", efficiency_score,", ",").replace(
+        ", efficiency_score from gme", " from gme")
+
+
+_CH = rdec(f"greatest(0.0, least(100.0, (least(joining_rate_pct / 100, 1.0) * 0.35 + "
+       f"least(offer_acceptance_pct / 100, 1.0) * 0.25 + least(interview_selection_pct / 100, 1.0) * 0.2 + "
+       f"({velocity('avg_time_to_hire')}) * 0.2 - coalesce(least(0.3, avg_aging_days / 100), 0.0)) * 100))", 1)
+register("client_intelligence", with_apps(no_eff("client") + f" select *, {_CH} as client_health_score from cards"))
+
+_DIFF = [("interview_selection_pct < 50", 25, "low interview selection"),
+         ("offer_acceptance_pct < 70", 20, "low offer acceptance"),
+         ("joining_rate_pct < 80", 20, "low joining rate"),
+         ("avg_time_to_hire > 40", 15, "long time-to-hire"),
+         ("avg_aging_days > 21", 20, "pipeline aging")]
+_PTS = " + ".join(f"(case when coalesce({c}, false) then {p} else 0 end)" for c, p, _ in _DIFF) \
+    + " + (case when applications < 5 then 10 else 0 end)"
+_WHY = "concat_ws('; ', " + ", ".join(f"case when coalesce({c}, false) then {q(w)} end" for c, _, w in _DIFF) + ")"
+register("role_intelligence", with_apps(
+    no_eff("role") + f", rd as (select *, cast(least(100, {_PTS}) as double) as hiring_difficulty_score, "
+    f"{_WHY} as _why from cards) select * exclude (_why), case when _why = '' then 'within normal range' "
+    "else _why end as difficulty_reasons from rd"))
+register("source_intelligence", with_apps(
+    grouped_metrics("source", False).replace(", efficiency_score from gme", " from gme")
+    + " select *, joining_rate_pct as application_to_join_pct, "
+    + rdec("joining_rate_pct * 0.5 + interview_selection_pct * 0.3 + offer_acceptance_pct * 0.2", 2)
+    + " as quality_score from cards"))
+
+
+def pick(src, key, col, highest=True):
+    d = "desc" if highest else "asc"
+    return f"(select cast({key} as varchar) from {src} order by {col} {d}, coalesce(cast({key} as varchar), '') {d} limit 1)"
+
+
+register("recruiter_highlights", with_apps(
+    _RI + f""", hl as (
+    select 'top_performer' as highlight, {pick('ri', 'recruiter', 'efficiency_score')} as entity,
+           'Efficiency ' || {fmt1('(select max(efficiency_score) from ri)')} as detail
+    union all select 'underperformer', {pick('ri', 'recruiter', 'efficiency_score', False)},
+           'Efficiency ' || {fmt1('(select min(efficiency_score) from ri)')}
+    union all select 'high_volume', {pick('ri', 'recruiter', 'applications')},
+           cast((select max(applications) from ri) as varchar) || ' applications'
+    union all select 'best_conversion', {pick('ri', 'recruiter', 'joining_rate_pct')},
+           'Join rate ' || {fmt1('(select max(joining_rate_pct) from ri)')} || '%')
+    select * from hl"""))
+register("best_source", with_apps(
+    grouped_metrics("source", False).replace(", efficiency_score from gme", " from gme")
+    + ", si as (select *, "
+    + rdec("joining_rate_pct * 0.5 + interview_selection_pct * 0.3 + offer_acceptance_pct * 0.2", 2)
+    + " as quality_score from cards) "
+    f"select {pick('si', 'source', 'quality_score')} as source, max(quality_score) as quality_score from si"))

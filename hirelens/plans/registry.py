@@ -1,13 +1,24 @@
-"""Named queries: each is ``(spark, sf_dir) -> DataFrame`` over the derived tables."""
+"""Named queries: each is ``(spark, sf_dir) -> DataFrame`` over the derived tables.
+
+Every query reads the whole derived ``applications`` table (or the raw /
+snapshot variants), so its work grows with the driver tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import aging as AG
+from ..operators import filters as FL
 from ..operators import kpis as K
+from ..operators import scorecards as SC
+from ..operators import stages as ST
+from ..operators import trends as TR
 from ..sources import fixtures as FX
+from . import params as P
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -20,16 +31,311 @@ def query(name: str):
     return deco
 
 
-def _apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FX.applications(spark, sf_dir)
 
 
+# ---------------------------------------------------------------- KPIs
+
 def _dim_query(dim: str) -> QueryFn:
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return K.group_kpis_by_key(_apps(spark, sf_dir), dim)
+        return K.group_kpis_by_key(apps(spark, sf_dir), dim)
     fn.__name__ = f"kpis_by_{dim}"
     return fn
 
 
 for _dim in K.DIMENSIONS:
     query(f"kpis_by_{_dim}")(_dim_query(_dim))
+
+
+@query("kpis_total")
+def kpis_total(spark, sf_dir):
+    return K.compute_kpis(apps(spark, sf_dir))
+
+
+@query("kpi_summary")
+def kpi_summary(spark, sf_dir):
+    return K.kpi_summary(K.compute_kpis(apps(spark, sf_dir)))
+
+
+@query("kpis_all_dims")
+def kpis_all_dims(spark, sf_dir):
+    return K.kpis_all_dimensions(apps(spark, sf_dir))
+
+
+@query("report_source")
+def report_source(spark, sf_dir):
+    return K.group_kpis_by_key(apps(spark, sf_dir), "source") \
+            .withColumnRenamed("joining_rate_pct", "conversion_rate_pct") \
+            .orderBy(F.col("conversion_rate_pct").desc())
+
+
+@query("report_technology")
+def report_technology(spark, sf_dir):
+    return K.group_kpis_by_key(apps(spark, sf_dir), "technology") \
+            .orderBy(F.col("average_salary").desc())
+
+
+@query("funnel_stages")
+def funnel_stages(spark, sf_dir):
+    return K.funnel_stages(K.compute_kpis(apps(spark, sf_dir)))
+
+
+@query("funnel_conversion")
+def funnel_conversion(spark, sf_dir):
+    return K.funnel_conversion(K.compute_kpis(apps(spark, sf_dir)))
+
+
+@query("kpi_stage_counts")
+def kpi_stage_counts(spark, sf_dir):
+    return K.kpi_stage_counts(K.compute_kpis(apps(spark, sf_dir)))
+
+
+@query("bottleneck")
+def bottleneck(spark, sf_dir):
+    return K.bottleneck(K.compute_kpis(apps(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- filters, search, views (F*, A5-A7, A14)
+
+@query("filter_in")
+def filter_in(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    return FL.filter_in(a, FL.resolve_filters(a, P.FILTERS))
+
+
+@query("filter_all_selected")
+def filter_all_selected(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    every = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    sel = {"recruiter": FL.selection_for_query(every, every),
+           "client": FL.selection_for_query(["BUILDING"], ["BUILDING", "MACHINERY"])}
+    return FL.count_rows(a, FL.resolve_filters(a, sel))
+
+
+@query("search_like")
+def search_like(spark, sf_dir):
+    return FL.search_like(apps(spark, sf_dir), P.SEARCH_TEXT)
+
+
+@query("query_filtered")
+def query_filtered(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    cols = [c for c in ("candidate_id", "candidate_name", "recruiter", "client", "role",
+                        "technology", "location", "source")]
+    return FL.query_filtered(a, FL.resolve_filters(a, P.FILTERS), P.QUERY_SEARCH, cols,
+                             P.QUERY_COLUMNS, P.QUERY_LIMIT, "candidate_id")
+
+
+@query("count_rows")
+def count_rows(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    return FL.count_rows(a, FL.resolve_filters(a, P.FILTERS), P.SEARCH_TEXT,
+                         ["candidate_name", "location", "source"])
+
+
+@query("distinct_values")
+def distinct_values(spark, sf_dir):
+    return FL.distinct_values(apps(spark, sf_dir), "location")
+
+
+@query("search_regex")
+def search_regex(spark, sf_dir):
+    return FL.search_regex(apps(spark, sf_dir), P.REGEX)
+
+
+@query("list_candidates")
+def list_candidates(spark, sf_dir):
+    return FL.list_candidates(apps(spark, sf_dir), P.LIST_SEARCH, P.LIST_RECRUITER,
+                              limit=500, order_col="application_date")
+
+
+@query("candidate_lookup")
+def candidate_lookup(spark, sf_dir):
+    return FL.candidate_lookup(apps(spark, sf_dir), P.LOOKUP_ID)
+
+
+@query("candidate_profile")
+def candidate_profile(spark, sf_dir):
+    return FL.candidate_profile(apps(spark, sf_dir), P.LOOKUP_ID)
+
+
+@query("attention_queue")
+def attention_queue(spark, sf_dir):
+    return FL.attention_queue(apps(spark, sf_dir))
+
+
+@query("interview_ops")
+def interview_ops(spark, sf_dir):
+    return FL.interview_ops(apps(spark, sf_dir))
+
+
+@query("stage_filter")
+def stage_filter(spark, sf_dir):
+    out = FL.stage_filter(apps(spark, sf_dir), P.STAGE_DIMS, P.STAGE_LIST)
+    return out.withColumnRenamed("_current_stage", "current_stage").withColumnRenamed("_action", "next_action")
+
+
+@query("candidate_queue")
+def candidate_queue(spark, sf_dir):
+    return FL.candidate_queue(apps(spark, sf_dir))
+
+
+@query("export_view")
+def export_view(spark, sf_dir):
+    return FL.export_view(ST.with_stage(apps(spark, sf_dir)))
+
+
+@query("group_count")
+def group_count(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    return FL.group_count(a, "recruiter", FL.resolve_filters(a, {"client": ["BUILDING", "AUTOMOBILE"]}))
+
+
+@query("interview_mix")
+def interview_mix(spark, sf_dir):
+    return FL.interview_mix(apps(spark, sf_dir))
+
+
+@query("status_only_counts")
+def status_only_counts(spark, sf_dir):
+    return FL.status_only_counts(apps(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- stages
+
+@query("current_stage")
+def current_stage(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    stage = ST.current_stage(a)
+    return a.select("candidate_id", stage.alias("current_stage")) \
+            .withColumn("stage_priority", ST.stage_priority(F.col("current_stage"))) \
+            .withColumn("stage_tone", ST.stage_tone(F.col("current_stage")))
+
+
+@query("next_action")
+def next_action(spark, sf_dir):
+    s = ST.with_stage(apps(spark, sf_dir))
+    return s.select("candidate_id", F.col("_current_stage").alias("current_stage"),
+                    F.col("_action").alias("next_action"))
+
+
+@query("journey")
+def journey(spark, sf_dir):
+    return ST.journey(apps(spark, sf_dir))
+
+
+@query("combined_status")
+def combined_status(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    o = K.stage_outcomes(a, K.resolve(a))
+    return a.select("candidate_id", o["screening"].alias("screening_outcome"),
+                    o["interview"].alias("interview_outcome"), o["offer"].alias("offer_outcome"),
+                    o["joining"].alias("joining_outcome"))
+
+
+@query("stage_counts")
+def stage_counts(spark, sf_dir):
+    return ST.stage_counts(apps(spark, sf_dir))
+
+
+@query("ops_counters")
+def ops_counters(spark, sf_dir):
+    return ST.ops_counters(apps(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- aging
+
+def _aged(spark, sf_dir):
+    return AG.aging_summary(apps(spark, sf_dir), "application_date", P.AS_OF, P.THRESHOLDS)
+
+
+@query("aging_summary")
+def aging_summary(spark, sf_dir):
+    return _aged(spark, sf_dir)
+
+
+@query("aging_buckets")
+def aging_buckets(spark, sf_dir):
+    return AG.aging_buckets(_aged(spark, sf_dir))
+
+
+@query("aging_risk")
+def aging_risk(spark, sf_dir):
+    return AG.aging_risk(_aged(spark, sf_dir))
+
+
+@query("group_aging")
+def group_aging(spark, sf_dir):
+    return AG.group_aging(apps(spark, sf_dir), "recruiter", "application_date", P.AS_OF, P.THRESHOLDS)
+
+
+# ---------------------------------------------------------------- time series
+
+def _trend(freq):
+    def fn(spark, sf_dir):
+        return TR.trends(apps(spark, sf_dir), "application_date", freq)
+    return fn
+
+
+query("trends_month")(_trend("M"))
+query("trends_week")(_trend("W"))
+query("trends_day")(_trend("D"))
+
+
+@query("last_two_periods")
+def last_two_periods(spark, sf_dir):
+    return TR.last_two_periods(apps(spark, sf_dir), "application_date", "M")
+
+
+@query("period_comparison")
+def period_comparison(spark, sf_dir):
+    return TR.period_comparison(apps(spark, sf_dir), "application_date")
+
+
+@query("forecast_joins")
+def forecast_joins(spark, sf_dir):
+    return TR.forecast_joins(apps(spark, sf_dir), "application_date")
+
+
+@query("target_gap")
+def target_gap(spark, sf_dir):
+    return TR.target_gap(apps(spark, sf_dir), P.TARGET_HIRES, "application_date")
+
+
+# ---------------------------------------------------------------- scorecards
+
+@query("recruiter_scorecards")
+def recruiter_scorecards(spark, sf_dir):
+    return SC.recruiter_scorecards(apps(spark, sf_dir))
+
+
+@query("recruiter_intelligence")
+def recruiter_intelligence(spark, sf_dir):
+    return SC.recruiter_intelligence(apps(spark, sf_dir), None, "application_date", P.AS_OF)
+
+
+@query("client_intelligence")
+def client_intelligence(spark, sf_dir):
+    return SC.client_intelligence(apps(spark, sf_dir), None, "application_date", P.AS_OF)
+
+
+@query("role_intelligence")
+def role_intelligence(spark, sf_dir):
+    return SC.role_intelligence(apps(spark, sf_dir), None, "application_date", P.AS_OF)
+
+
+@query("source_intelligence")
+def source_intelligence(spark, sf_dir):
+    return SC.source_intelligence(apps(spark, sf_dir))
+
+
+@query("recruiter_highlights")
+def recruiter_highlights(spark, sf_dir):
+    return SC.recruiter_highlights(
+        SC.recruiter_intelligence(apps(spark, sf_dir), None, "application_date", P.AS_OF))
+
+
+@query("best_source")
+def best_source(spark, sf_dir):
+    return SC.best_source(SC.source_intelligence(apps(spark, sf_dir)))
