@@ -55,6 +55,11 @@ def fmt1(x: Column) -> Column:
     return round_dec(x, 1).cast("string")
 
 
+def fmt0(x: Column) -> Column:
+    """Whole-number display text (rounded half-up), no separators."""
+    return round_dec(x, 0).cast("long").cast("string")
+
+
 def fmt_int(x: Column) -> Column:
     """Integer with thousands separators (1,234)."""
     return F.format_number(x.cast("long"), 0)

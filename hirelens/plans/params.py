@@ -17,3 +17,5 @@ STAGE_DIMS = {"client": ["BUILDING", "HOUSEHOLD"]}
 STAGE_LIST = ["Joined", "Offer Declined", "Interview — No Show"]
 TARGET_HIRES = 500
 STUCK_DAYS = (14, 1500, 2000, 2400)
+AUDIT_ID = "CAND0000013"
+SNAPSHOT_BEFORE = "1998-01-01"  # earlier snapshot = applications before this date

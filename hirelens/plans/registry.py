@@ -339,3 +339,205 @@ def recruiter_highlights(spark, sf_dir):
 @query("best_source")
 def best_source(spark, sf_dir):
     return SC.best_source(SC.source_intelligence(apps(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- ingest and data quality (N*, Q*, S1, S2, S8)
+
+from ..operators import audit as AU  # noqa: E402
+from ..operators import ingest as IN  # noqa: E402
+from ..operators import insights as INS  # noqa: E402
+from ..operators import quality as QA  # noqa: E402
+from ..operators import questions as QS  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+
+def raw(spark, sf_dir):
+    return FX.applications_raw(spark, sf_dir)
+
+
+def normalized(spark, sf_dir, materialize: bool = True) -> IN.Normalized:
+    """The normalised upload; by default written once to the shared checkpoint folder and
+    read back, as the ingest job does (quality checks then plan against a plain scan)."""
+    n = IN.normalize_all(raw(spark, sf_dir))
+    if materialize:
+        n.data = FS.parquet_roundtrip(n.data, scratch_path(spark, "normalized"))
+    return n
+
+
+@query("normalize_all")
+def normalize_all(spark, sf_dir):
+    return normalized(spark, sf_dir, materialize=False).data
+
+
+@query("drop_blank_rows")
+def drop_blank_rows(spark, sf_dir):
+    return IN.drop_blank_rows(raw(spark, sf_dir))
+
+
+@query("clean_currency")
+def clean_currency(spark, sf_dir):
+    r = raw(spark, sf_dir)
+    return r.select(F.col("`Candidate ID`").alias("candidate_id"), F.col("CTC").alias("raw_value"),
+                    IN.clean_currency(F.col("CTC")).alias("salary_lpa"))
+
+
+@query("normalize_dates")
+def normalize_dates(spark, sf_dir):
+    r = raw(spark, sf_dir)
+    return r.select(F.col("`Candidate ID`").alias("candidate_id"), F.col("`Applied On`").alias("raw_value"),
+                    IN.normalize_date_text(r, "Applied On").alias("application_date"))
+
+
+@query("blank_to_null")
+def blank_to_null(spark, sf_dir):
+    r = raw(spark, sf_dir)
+    from ..functions.text import blank_to_null as b2n
+    return r.select(F.col("`Candidate ID`").alias("candidate_id"), b2n(F.col("`TA Owner`")).alias("recruiter"))
+
+
+@query("clean_batch")
+def clean_batch(spark, sf_dir):
+    return IN.clean_batch(raw(spark, sf_dir))
+
+
+@query("duplicate_rows")
+def duplicate_rows(spark, sf_dir):
+    return QA.duplicate_rows(normalized(spark, sf_dir).data)
+
+
+@query("id_quality")
+def id_quality(spark, sf_dir):
+    return QA.id_quality(normalized(spark, sf_dir).data)
+
+
+@query("invalid_dates")
+def invalid_dates(spark, sf_dir):
+    return QA.invalid_dates(normalized(spark, sf_dir).data)
+
+
+@query("invalid_numeric")
+def invalid_numeric(spark, sf_dir):
+    return QA.invalid_numeric(normalized(spark, sf_dir).mapped_only)
+
+
+@query("missing_by_field")
+def missing_by_field(spark, sf_dir):
+    return QA.missing_by_field(normalized(spark, sf_dir).data)
+
+
+@query("missing_report")
+def missing_report(spark, sf_dir):
+    return QA.missing_report(normalized(spark, sf_dir).data)
+
+
+@query("health_score_data")
+def health_score_data(spark, sf_dir):
+    n = normalized(spark, sf_dir)
+    return QA.health_score(n.data, n.unmapped, n.low_confidence)
+
+
+@query("validation_report")
+def validation_report(spark, sf_dir):
+    n = normalized(spark, sf_dir)
+    return QA.validation_report(n.data, n.mapping, n.unmapped, n.low_confidence)
+
+
+@query("csv_flexible")
+def csv_flexible(spark, sf_dir):
+    path = scratch_path(spark, "raw-csv")
+    FS.write_csv(raw(spark, sf_dir), path, sep=";")
+    return FS.read_csv_flexible(spark, path)
+
+
+@query("parquet_roundtrip")
+def parquet_roundtrip(spark, sf_dir):
+    return FS.parquet_roundtrip(normalized(spark, sf_dir, materialize=False).data,
+                                scratch_path(spark, "normalized"))
+
+
+@query("fingerprint_files")
+def fingerprint_files(spark, sf_dir):
+    return FS.file_fingerprints(spark, f"{sf_dir.rstrip('/')}/*.parquet")
+
+
+@query("fingerprint_table")
+def fingerprint_table(spark, sf_dir):
+    return FS.table_fingerprint(apps(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- insights and executive view
+
+@query("insights")
+def insights(spark, sf_dir):
+    return INS.insights(apps(spark, sf_dir))
+
+
+@query("insight_cards")
+def insight_cards(spark, sf_dir):
+    return INS.insight_cards(INS.insights(apps(spark, sf_dir)))
+
+
+@query("executive_findings")
+def executive_findings(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    return INS.executive_findings(K.compute_kpis(a), TR.period_comparison(a, "application_date"))
+
+
+@query("health_score")
+def health_score(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    aged = AG.aging_summary(a, "application_date", P.AS_OF, P.THRESHOLDS)
+    return INS.health_score(K.compute_kpis(a), AG.aging_risk(aged), QA.health_score(a))
+
+
+# ---------------------------------------------------------------- questions
+
+def user_questions(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+
+
+@query("intent_tags")
+def intent_tags(spark, sf_dir):
+    return QS.tag_intents(user_questions(spark, sf_dir))
+
+
+@query("answers")
+def answers(spark, sf_dir):
+    return QS.answers(user_questions(spark, sf_dir), apps(spark, sf_dir), "application_date", P.AS_OF,
+                      P.THRESHOLDS)
+
+
+@query("stuck_over_n")
+def stuck_over_n(spark, sf_dir):
+    th = spark.createDataFrame([(n,) for n in P.STUCK_DAYS], "threshold bigint")
+    return QS.stuck_counts(apps(spark, sf_dir), th, "application_date", P.AS_OF)
+
+
+# ---------------------------------------------------------------- change capture
+
+@query("change_audit")
+def change_audit(spark, sf_dir):
+    return AU.change_audit(apps(spark, sf_dir), FX.applications_v2(spark, sf_dir))
+
+
+@query("audit_history")
+def audit_history(spark, sf_dir):
+    audit = AU.change_audit(apps(spark, sf_dir), FX.applications_v2(spark, sf_dir))
+    return AU.audit_history(audit, P.AUDIT_ID)
+
+
+def _earlier_snapshot(spark, sf_dir):
+    return apps(spark, sf_dir).filter(F.col("application_date") < F.lit(P.SNAPSHOT_BEFORE).cast("date"))
+
+
+@query("append_validated")
+def append_validated(spark, sf_dir):
+    return AU.append_validated(_earlier_snapshot(spark, sf_dir), normalized(spark, sf_dir).data)
+
+
+@query("import_if_new")
+def import_if_new(spark, sf_dir):
+    return AU.import_if_new(_earlier_snapshot(spark, sf_dir), normalized(spark, sf_dir).data)
