@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.dates import parse_date_col
-from ..functions.text import fmt_int, parse_number, pct
+from ..functions.text import fmt_int, parse_number, pct, round_dec
 
 
 def _q(name: str) -> Column:
@@ -120,7 +120,7 @@ def health_score(df: DataFrame, unmapped: list[str] | None = None,
     for c in [c for c in S.NUMERIC_FIELDS if c in df.columns]:
         penalty = penalty + F.least(F.lit(5.0), share(F.col(f"bad_num__{c}")) * 0.3)
     fixed = min(10, 2 * len(unmapped)) + min(5, len(low_confidence))
-    score = F.greatest(F.lit(0.0), F.round(F.lit(100.0) - penalty - F.lit(float(fixed)), 1))
+    score = F.greatest(F.lit(0.0), round_dec(F.lit(100.0) - penalty - F.lit(float(fixed)), 1))
     issues = [F.when(F.col("duplicate_rows") > 0, F.concat(fmt_int(F.col("duplicate_rows")), F.lit(" duplicate rows")))]
     for c in [c for c in S.DATE_FIELDS if c in df.columns]:
         issues.append(F.when(F.col(f"bad_date__{c}") > 0,

@@ -97,8 +97,8 @@ def stuck_counts(df: DataFrame, thresholds: DataFrame, date_col: str | None, as_
               .select(F.col("d").cast("bigint").alias("d"), "n", F.lit(1).alias("kind")))
     marks = thresholds.select(F.col("threshold").cast("bigint").alias("d"), F.lit(0).cast("long").alias("n"),
                               F.lit(0).alias("kind")).distinct()
-    # at equal day, the marker sorts before the histogram row so "> N" excludes day N itself
-    w = Window.orderBy(F.col("d").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # at equal day the marker (kind 0) sorts before the histogram row, so "> N" excludes day N
+    w = Window.orderBy(F.col("d").desc(), F.col("kind").asc()).rowsBetween(Window.unboundedPreceding, -1)
     both = hist.unionByName(marks).withColumn("_gt", F.coalesce(F.sum("n").over(w), F.lit(0)))
     return both.filter(F.col("kind") == 0).select(F.col("d").alias("threshold"),
                                                  F.col("_gt").cast("long").alias("stuck_count"))

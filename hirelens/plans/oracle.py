@@ -587,3 +587,208 @@ register("best_source", with_apps(
     + rdec("joining_rate_pct * 0.5 + interview_selection_pct * 0.3 + offer_acceptance_pct * 0.2", 2)
     + " as quality_score from cards) "
     f"select {pick('si', 'source', 'quality_score')} as source, max(quality_score) as quality_score from si"))
+
+
+# ---------------------------------------------------------------- ingest (normalised upload)
+
+NUM_RE = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+
+
+def edge(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def blank(x: str) -> str:
+    return f"(case when regexp_matches({x}, '^\\s*$') then null else {x} end)"
+
+
+def parse_num(x: str) -> str:
+    return f"(case when regexp_matches(cast({x} as varchar), '{NUM_RE}') then try_cast({edge(f'cast({x} as varchar)')} as double) end)"
+
+
+def currency(x: str) -> str:
+    s = f"regexp_replace(regexp_replace(coalesce(cast({x} as varchar), ''), 'lpa', '', 'gi'), '[^\\d.\\-]', '', 'g')"
+    return parse_num(s)
+
+
+def iso_date(x: str) -> str:
+    return f"try_strptime({edge(x)}, '%Y-%m-%d')"
+
+
+def date_text(x: str) -> str:
+    return f"coalesce(strftime({iso_date(x)}, '%Y-%m-%d'), {x})"
+
+
+_RAW_MAP = [("Candidate ID", "candidate_id"), ("Full Name", "candidate_name"), ("Applied On", "application_date"),
+            ("TA Owner", "recruiter"), ("Client Name", "client"), ("Job_Role", "role"), ("Tech", "technology"),
+            ("City", "location"), ("Channel", "source"), ("Screening Status", "screening_status"),
+            ("Interview Status", "interview_status"), ("Interview Result", "interview_result"),
+            ("Offer Status", "offer_status"), ("Joining Status", "joining_status"), ("CTC", "salary_lpa")]
+
+
+def _norm_col(raw_name: str, canon: str) -> str:
+    b = blank(f'"{raw_name}"')
+    if canon == "application_date":
+        return f"{date_text(b)} as {canon}"
+    if canon == "salary_lpa":
+        return f"{currency(b)} as {canon}"
+    return f"{b} as {canon}"
+
+
+NORM = (", norm as (select " + ", ".join(_norm_col(r, c) for r, c in _RAW_MAP)
+        + f", {blank(chr(34) + 'Notes' + chr(34))} as \"Notes\" from applications_raw)")
+NORM_COLS = [c for _, c in _RAW_MAP] + ['"Notes"']
+
+register("normalize_all", with_apps(NORM + " select * from norm", raw=True))
+register("parquet_roundtrip", with_apps(NORM + " select * from norm", raw=True))
+# CSV has no empty-string/NULL distinction: an empty field reads back as NULL (as pandas does)
+register("csv_flexible", with_apps(" select " + ", ".join(
+    f'nullif("{r}", \'\') as "{r}"' for r in [r for r, _ in _RAW_MAP] + ["Notes"]) + " from applications_raw",
+    raw=True))
+register("drop_blank_rows", with_apps(
+    " select * from applications_raw where coalesce(" + ", ".join(f'"{r}"' for r, _ in _RAW_MAP) + ', "Notes") is not null',
+    raw=True))
+register("clean_currency", with_apps(
+    f' select "Candidate ID" as candidate_id, "CTC" as raw_value, {currency(chr(34) + "CTC" + chr(34))} as salary_lpa '
+    "from applications_raw", raw=True))
+register("normalize_dates", with_apps(
+    f' select "Candidate ID" as candidate_id, "Applied On" as raw_value, '
+    f'{date_text(chr(34) + "Applied On" + chr(34))} as application_date from applications_raw', raw=True))
+register("blank_to_null", with_apps(
+    f' select "Candidate ID" as candidate_id, {blank(chr(34) + "TA Owner" + chr(34))} as recruiter from applications_raw',
+    raw=True))
+_BATCH = [(r, r.strip().lower().replace(" ", "_")) for r, _ in _RAW_MAP] + [("Notes", "notes")]
+register("clean_batch", with_apps(
+    " select " + ", ".join(f'{edge(chr(34) + r + chr(34))} as {n}' for r, n in _BATCH)
+    + " from (select distinct * from applications_raw)", raw=True))
+
+# ---------------------------------------------------------------- data quality
+
+register("duplicate_rows", with_apps(
+    NORM + " select cast((select count(*) from norm) - (select count(*) from (select distinct * from norm)) as bigint)"
+    " as duplicate_rows", raw=True))
+register("id_quality", with_apps(
+    NORM + " select cast(count_if(candidate_id is null) as bigint) as missing_ids, "
+    "cast(count(candidate_id) - count(distinct candidate_id) as bigint) as duplicate_ids from norm", raw=True))
+register("invalid_dates", with_apps(
+    NORM + f", b as (select cast(count(application_date) - count({iso_date('application_date')}) as bigint) as n from norm) "
+    "select 'application_date' as field, n as invalid from b where n > 0", raw=True))
+register("invalid_numeric", with_apps(
+    f' , b as (select cast(count("CTC") - count({parse_num(chr(34) + "CTC" + chr(34))}) as bigint) as n from applications_raw) '
+    "select 'salary_lpa' as field, n as invalid from b where n > 0", raw=True))
+register("missing_by_field", with_apps(
+    NORM + ", m as (select " + ", ".join(f"cast(count_if({c} is null) as bigint) as m{i}" for i, c in enumerate(NORM_COLS))
+    + " from norm) " + " union all ".join(
+        f"select {q(c.strip(chr(34)))} as field, m{i} as missing from m where m{i} > 0" for i, c in enumerate(NORM_COLS)),
+    raw=True))
+_REPORT_FIELDS = ["candidate_id", "candidate_name", "application_date", "recruiter", "client", "role", "technology",
+                  "location", "source", "screening_status", "interview_status", "interview_result", "offer_status",
+                  "joining_status", "salary_lpa"]
+register("missing_report", with_apps(
+    NORM + ", m as (select count(*) as r, " + ", ".join(f"count_if({c} is null) as m{i}" for i, c in enumerate(_REPORT_FIELDS))
+    + " from norm) " + " union all ".join(
+        f"select {q(c)} as field, cast(m{i} as bigint) as missing, {pct(f'm{i}', 'r')} as missing_pct from m"
+        for i, c in enumerate(_REPORT_FIELDS)), raw=True))
+
+STATS = (NORM + ", st as (select count(*) as row_count, count_if(candidate_id is null) as miss_cid, "
+         "count_if(interview_status is null) as miss_iv, count_if(offer_status is null) as miss_off, "
+         f"count(application_date) - count({iso_date('application_date')}) as bad_date, "
+         f"count(salary_lpa) - count({parse_num('salary_lpa')}) as bad_num, "
+         "count(candidate_id) - count(distinct candidate_id) as dup_ids, "
+         "(select count(*) from norm) - (select count(*) from (select distinct * from norm)) as dup_rows from norm)")
+
+
+def _share(x):
+    return f"{x} / greatest(row_count, 1) * 100"
+
+
+_PENALTY = (f"least(25.0, {_share('dup_rows')} * 0.5) + least(10.0, {_share('miss_cid')} * 0.3) + "
+            f"least(10.0, {_share('miss_iv')} * 0.3) + least(10.0, {_share('miss_off')} * 0.3) + "
+            f"least(8.0, {_share('bad_date')} * 0.4) + least(5.0, {_share('bad_num')} * 0.3)")
+register("health_score_data", with_apps(
+    STATS + f" select greatest(0.0, {rdec(f'100.0 - ({_PENALTY}) - 2.0', 1)}) as health_score, "
+    "cast(row_count as bigint) as row_count, cast(16 as bigint) as column_count, cast(dup_rows as bigint) as duplicate_rows, "
+    "list_filter([case when dup_rows > 0 then format('{:,}', dup_rows) || ' duplicate rows' end, "
+    "case when bad_date > 0 then cast(bad_date as varchar) || ' invalid Application Date' end, "
+    "'1 unmapped columns'], lambda x: x is not null) as issues from st", raw=True))
+register("validation_report", with_apps(
+    STATS + " select true as valid, cast([] as varchar[]) as errors, list_filter(["
+    "case when dup_rows > 0 then format('{:,}', dup_rows) || ' duplicate row(s) detected.' end, "
+    "'1 column(s) were not mapped automatically: Notes', "
+    "case when miss_cid > 0 then format('{:,}', miss_cid) || ' record(s) have a missing Candidate ID.' end, "
+    "case when dup_ids > 0 then format('{:,}', dup_ids) || ' duplicate Candidate ID value(s) detected.' end, "
+    "case when bad_date > 0 then format('{:,}', bad_date) || ' invalid application date value(s) detected.' end, "
+    "case when bad_num > 0 then format('{:,}', bad_num) || ' salary value(s) could not be interpreted as numbers.' end"
+    "], lambda x: x is not null) as warnings, cast(row_count as bigint) as rows, cast(16 as bigint) as columns, "
+    "[" + ", ".join(q(c) for c in _REPORT_FIELDS) + "] as recognized_fields, "
+    "[" + ", ".join(q(f"{r} -> {c}") for r, c in _RAW_MAP) + "] as mapping, "
+    "['Notes'] as unmapped_columns, cast([] as varchar[]) as low_confidence_columns, "
+    "cast(dup_rows as bigint) as duplicate_rows, cast(15 as bigint) as mapped_count, cast(1 as bigint) as unmapped_count "
+    "from st", raw=True))
+
+_APP_COLS = ["candidate_id", "candidate_name", "application_date", "recruiter", "client", "role", "technology",
+             "location", "source", "screening_status", "interview_status", "interview_result", "offer_status",
+             "joining_status", "salary_lpa", "time_to_hire_days"]
+register("fingerprint_table", with_apps(
+    " , h as (select sha256(concat_ws('|', " + ", ".join(f"coalesce(cast({c} as varchar), '')" for c in _APP_COLS)
+    + ")) as h from applications) select count(*) as row_count, "
+    "cast(sum(('0x' || substr(h, 1, 15))::hugeint) as decimal(38,0)) as content_sum from h"))
+
+# ---------------------------------------------------------------- change capture
+
+_AUDIT = ["candidate_name", "application_date", "recruiter", "client", "role", "technology", "location", "source",
+          "screening_status", "interview_status", "offer_status", "joining_status", "salary_lpa", "time_to_hire_days"]
+AUDIT_CTE = (", j as (select a.candidate_id, " + ", ".join(
+    f"coalesce(cast(a.{c} as varchar), '') as o{i}, coalesce(cast(b.{c} as varchar), '') as n{i}"
+    for i, c in enumerate(_AUDIT)) + " from applications a join applications_v2 b using (candidate_id)), audit as ("
+    + " union all ".join(f"select candidate_id, {i + 1} as field_order, 'UPDATE {c}' as action, o{i} as old_value, "
+                         f"n{i} as new_value, 'recruiter' as changed_by from j where o{i} <> n{i}"
+                         for i, c in enumerate(_AUDIT)) + ")")
+register("change_audit", with_apps(AUDIT_CTE + " select * from audit", v2=True))
+register("audit_history", with_apps(AUDIT_CTE + " select * from audit where candidate_id = 'CAND0000013'", v2=True))
+register("append_validated", with_apps(
+    NORM + f", ok as (select distinct * replace ({edge('candidate_id')} as candidate_id) from norm where "
+    + " and ".join(f"coalesce({edge(c)}, '') <> ''" for c in ("candidate_id", "candidate_name", "role"))
+    + ") select *, 'CREATE' as action, cast(null as varchar) as old_value, 'Candidate created' as new_value, "
+    "'recruiter' as changed_by from ok where candidate_id not in "
+    "(select candidate_id from applications where application_date < DATE '1998-01-01')", raw=True))
+register("import_if_new", with_apps(
+    NORM + ", inc as (select distinct " + ", ".join(_APP_COLS[:-1]) + ", cast(null as varchar) as time_to_hire_days "
+    "from norm) select * from inc where candidate_id not in "
+    "(select candidate_id from applications where application_date < DATE '1998-01-01')", raw=True))
+
+# ---------------------------------------------------------------- questions
+
+
+def tag_sql(src: str) -> str:
+    qx = f"lower({edge('question')})"
+    return f"""({src}), tq as (select *, {qx} as _q from qs),
+    ti as (select *, case when coalesce(_q, '') = '' then 'unknown'
+      when regexp_matches(_q, 'stuck|aging|days') and regexp_matches(_q, '\\d+') then 'aging_query'
+      when contains(_q, 'stuck') or contains(_q, 'aging') then 'aging_query'
+      when contains(_q, 'declin') and (contains(_q, 'hire') or contains(_q, 'join')) then 'declining_hires'
+      when contains(_q, 'bottleneck') or contains(_q, 'funnel') then 'bottleneck'
+      when contains(_q, 'recruiter') then 'recruiter_ranking'
+      when contains(_q, 'client') then 'client_ranking'
+      when contains(_q, 'source') then 'source_ranking'
+      when contains(_q, 'role') or contains(_q, 'hard to hire') then 'role_ranking'
+      when regexp_matches(_q, '\\d+\\s*hire') or contains(_q, 'target') then 'forecast_target'
+      else 'unknown' end as intent,
+      try_cast(nullif(regexp_extract(_q, '(\\d+)', 1), '') as bigint) as _n from tq),
+    tagged as (select * exclude (_q, _n),
+      case when intent = 'recruiter_ranking' then (case when contains(_q, 'underperform') or contains(_q, 'worst')
+             or contains(_q, 'low') then 'worst' else 'best' end)
+           when intent = 'client_ranking' then (case when contains(_q, 'worst') or contains(_q, 'hard') then 'worst' else 'best' end)
+           when intent = 'source_ranking' then (case when contains(_q, 'best') or contains(_q, 'quality') then 'best' else 'volume' end)
+           when intent = 'role_ranking' then 'hard' end as ranking,
+      case when intent = 'aging_query' then (case when regexp_matches(_q, 'stuck|aging|days') and regexp_matches(_q, '\\d+')
+           then _n else 14 end) end as aging_days,
+      case when intent = 'forecast_target' then coalesce(_n, 100) end as target_hires from ti)"""
+
+
+QS_SRC = "select conv_id, turn, text as question from conversations where role = 'user'"
+register("intent_tags", "with qs as " + tag_sql(QS_SRC) + " select * from tagged")
+register("stuck_over_n", with_apps(
+    AGED + ", t(threshold) as (values (14), (1500), (2000), (2400)) "
+    "select cast(threshold as bigint) as threshold, cast(count(aged.aging_days) as bigint) as stuck_count "
+    "from t left join aged on aged.aging_days > t.threshold group by threshold"))
