@@ -792,3 +792,159 @@ register("stuck_over_n", with_apps(
     AGED + ", t(threshold) as (values (14), (1500), (2000), (2400)) "
     "select cast(threshold as bigint) as threshold, cast(count(aged.aging_days) as bigint) as stuck_count "
     "from t left join aged on aged.aging_days > t.threshold group by threshold"))
+
+
+# ---------------------------------------------------------------- insights and executive view
+
+
+def fint(x: str) -> str:
+    return f"format('{{:,}}', cast({x} as bigint))"
+
+
+def top1(src: str, fields: str, order: str, key: str) -> str:
+    return f"(select {fields} from {src} order by {order}, coalesce(cast({key} as varchar), '') limit 1)"
+
+
+_REC_CARDS = grouped_metrics("recruiter", False)
+_SRC = ", sc as (select source, " + group_cols() + " from (select source, " + counts_cols() + " from fl group by source))"
+FACTS = (KPI_CTE + _REC_CARDS.replace(FL_CTE, "", 1) + _SRC + f""", fx as (select k.*,
+    (select count(*) from cards) as r_n, (select median(efficiency_score) from cards) as r_median,
+    {top1('cards', "struct_pack(entity := cast(recruiter as varchar), score := efficiency_score, joined := joined, apps := applications)", 'efficiency_score asc', 'recruiter').replace("'') limit", "'') asc limit")} as r_bottom,
+    {top1('cards', "struct_pack(entity := cast(recruiter as varchar), score := efficiency_score)", 'efficiency_score desc', 'recruiter').replace("'') limit", "'') desc limit")} as r_top,
+    (select count(*) from sc) as s_n,
+    {top1('sc', "struct_pack(entity := cast(source as varchar), rate := joining_rate_pct, joined := joined, apps := applications)", 'joining_rate_pct desc', 'source').replace("'') limit", "'') desc limit")} as s_best,
+    {top1('sc', "struct_pack(entity := cast(source as varchar), rate := joining_rate_pct, apps := applications)", 'applications desc', 'source').replace("'') limit", "'') desc limit")} as s_vol
+  from k)""")
+
+_NS = pct("interview_no_show", "(interviews_completed + interview_no_show)")
+
+
+def ins_row(no, title, itype, sev, metric, current, comparison="null", change="null", entity="null",
+            reason="", action="", evidence=(), cond="true"):
+    ev = "[" + ", ".join(evidence) + "]" if evidence else "cast([] as varchar[])"
+    return (f"select {no} as rule_no, {q(title)} as insight_type_title_placeholder" if False else
+            f"select {no} as rule_no, {q(title)} as title, {q(itype)} as insight_type, {sev} as severity, "
+            f"{q(metric)} as metric, cast({current} as varchar) as current_value, "
+            f"cast({comparison} as varchar) as comparison_value, cast({change} as double) as change, "
+            f"cast({entity} as varchar) as entity, {q(reason)} as reason, {q(action)} as recommended_action, "
+            f"cast({ev} as varchar[]) as evidence from fx where {cond}")
+
+
+_RULES = [
+    ins_row(1, "Interview scheduling backlog", "BOTTLENECK",
+            "case when interview_not_scheduled > 50 then 'HIGH' else 'MEDIUM' end", "interview_not_scheduled",
+            "interview_not_scheduled", reason="Candidates awaiting interview scheduling block funnel velocity.",
+            action="Assign scheduling owners and clear the interview queue within 48 hours.",
+            evidence=[f"{fint('interview_not_scheduled')} || ' candidates not scheduled'"],
+            cond="interview_not_scheduled > 0"),
+    ins_row(2, "Interview no-show risk", "RISK", f"case when {_NS.replace('round(', '(', 1).rsplit(', 2)', 1)[0]}) > 10 then 'HIGH' else 'MEDIUM' end",
+            "interview_no_show_rate", rdec(f"case when (interviews_completed + interview_no_show) = 0 then 0.0 else interview_no_show / (interviews_completed + interview_no_show) * 100 end", 1),
+            "10.0", "case when (interviews_completed + interview_no_show) = 0 then 0.0 else interview_no_show / (interviews_completed + interview_no_show) * 100 end - 10.0",
+            reason="No-shows waste recruiter and interviewer capacity.",
+            action="Enable reminder workflows and confirmation before interview slots.",
+            evidence=[f"{fint('interview_no_show')} || ' no-shows (' || " + fmt1("case when (interviews_completed + interview_no_show) = 0 then 0.0 else interview_no_show / (interviews_completed + interview_no_show) * 100 end") + " || '% of interview activity)'"],
+            cond="interview_no_show > 0"),
+    ins_row(3, "Offer-to-join gap", "RISK", "'HIGH'", "offer_join_gap", "offers_accepted - joined",
+            reason="Accepted offers not yet converted to joining.",
+            action="Track documentation, release letters, and onboarding readiness.",
+            evidence=[f"{fint('offers_accepted - joined')} || ' accepted offers pending join'"],
+            cond="offers_accepted > joined"),
+    ins_row(4, "Low interview selection rate", "DECLINE", "'MEDIUM'", "interview_selection_rate",
+            "interview_selection_rate", "50.0", "interview_selection_rate - 50.0",
+            reason="Screening quality or role calibration may be misaligned.",
+            action="Review screening criteria and interviewer feedback loops.",
+            evidence=["'Selection rate ' || " + fmt1("interview_selection_rate") + " || '%'",
+                      f"{fint('interview_selected')} || '/' || {fint('interviews_completed')} || ' interviews selected'"],
+            cond="interview_selection_rate < 50 and interviews_completed > 10"),
+    ins_row(5, "Recruiter underperformance signal", "BENCHMARK", "'MEDIUM'", "recruiter_efficiency_score",
+            "r_bottom.score", rdec("r_median", 1), "r_bottom.score - r_median", "r_bottom.entity",
+            reason="Efficiency score materially below team median.",
+            action="Review pipeline aging and conversion stages for this recruiter.",
+            evidence=["'Score ' || " + fmt1("r_bottom.score") + " || ' vs median ' || " + fmt1("r_median"),
+                      "'Joined ' || cast(r_bottom.joined as varchar) || '/' || cast(r_bottom.apps as varchar) || ' applications'"],
+            cond="r_n >= 2 and r_bottom.score < r_median - 15"),
+    ins_row(6, "Top recruiter efficiency", "OPPORTUNITY", "'LOW'", "recruiter_efficiency_score",
+            "r_top.score", rdec("r_median", 1), entity="r_top.entity",
+            reason="Strong normalized efficiency across funnel stages.",
+            action="Document best practices from this recruiter for team enablement.",
+            evidence=["'Efficiency score ' || " + fmt1("r_top.score")],
+            cond="r_n >= 2 and r_top.score >= r_median + 10"),
+    ins_row(7, "Highest-quality source", "OPPORTUNITY", "'LOW'", "source_join_rate", "s_best.rate",
+            entity="s_best.entity", reason="Best application-to-join conversion among sources.",
+            action="Increase investment in this channel if capacity allows.",
+            evidence=[fmt1("s_best.rate") + " || '% join rate'",
+                      "cast(s_best.joined as varchar) || '/' || cast(s_best.apps as varchar) || ' applications'"],
+            cond="s_n > 0 and s_best.rate > 0"),
+    ins_row(8, "High-volume low-conversion source", "RISK", "'MEDIUM'", "source_volume_vs_conversion",
+            "s_vol.apps", entity="s_vol.entity", reason="Large volume source with weak join conversion.",
+            action="Re-evaluate sourcing spend and screening for this channel.",
+            evidence=[f"{fint('s_vol.apps')} || ' applications'", "'Join rate ' || " + fmt1("s_vol.rate") + " || '%'"],
+            cond="s_n > 0 and s_vol.apps > total * 0.3 and s_vol.rate < 5"),
+    ins_row(9, "Strong offer conversion", "BENCHMARK", "'LOW'", "joining_rate", "joining_rate", "85.0",
+            reason="Healthy offer acceptance and onboarding execution.",
+            action="Maintain onboarding SLA and candidate communication.",
+            evidence=["'Joining rate ' || " + fmt1("joining_rate") + " || '%'"],
+            cond="joining_rate >= 85 and offers_accepted > 0"),
+]
+_SNAP = ins_row(10, "Pipeline snapshot", "BENCHMARK", "'LOW'", "applications", "total",
+                reason="Baseline funnel metrics for current filter scope.",
+                action="Apply filters or upload data to surface operational signals.",
+                evidence=[f"{fint('total')} || ' applications → ' || {fint('joined')} || ' joined'"],
+                cond="not exists (select 1 from fired)")
+INSIGHTS_CTE = (FACTS + ", fired as (" + " union all ".join(_RULES) + "), ins0 as (select * from fired union all "
+                + _SNAP + "), ins as (select *, case severity when 'CRITICAL' then 0 when 'HIGH' then 1 "
+                "when 'MEDIUM' then 2 when 'LOW' then 3 end as severity_rank from ins0)")
+register("insights", with_apps(INSIGHTS_CTE + " select * from ins"))
+register("insight_cards", with_apps(
+    INSIGHTS_CTE + """ select rule_no, severity_rank,
+      case insight_type when 'RISK' then 'risk' when 'BOTTLENECK' then 'action' when 'DECLINE' then 'risk'
+        when 'OPPORTUNITY' then 'highlight' when 'BENCHMARK' then 'info' when 'ANOMALY' then 'risk'
+        when 'FORECAST' then 'info' else 'info' end as tone,
+      insight_type as type, severity, title, metric, current_value as current,
+      coalesce(comparison_value, '—') as comparison, coalesce(""" + fmt1("change") + """ || '%', '—') as change,
+      coalesce(entity, '—') as entity, reason, recommended_action as action,
+      case when recommended_action <> '' then reason || ' ' || recommended_action else reason end as body,
+      array_to_string(evidence, '; ') as evidence from ins"""))
+
+register("executive_findings", with_apps(
+    CMP_CTE.replace(trend_body("M"), trend_body("M") + KPI_CTE.replace(FL_CTE, "", 1), 1)
+    + ", fc5 as (" + _CONV_SQL.replace("from k", "from k") + "), w as (select conversion, rate_pct from fc5 "
+    "order by rate_pct, step limit 1), jc as (select max(percent_change) as joined_change from cmp "
+    "where metric = 'Joined' and percent_change is not null), fx as (select * from k, jc, w) "
+    "select 1 as finding_no, 'DECLINE' as category, 'Hiring volume declining' as title, "
+    "'Joined candidates down ' || " + fmt1("joined_change") + " || '% vs prior period.' as detail, 'HIGH' as severity "
+    "from fx where joined_change < -10 union all "
+    "select 1, 'OPPORTUNITY', 'Hiring volume increasing', 'Joined candidates up ' || " + fmt1("joined_change")
+    + " || '% vs prior period.', 'LOW' from fx where joined_change > 10 union all "
+    "select 2, 'BOTTLENECK', 'Biggest funnel bottleneck', conversion || ' at ' || " + fmt1("rate_pct")
+    + " || '%.', 'HIGH' from fx union all "
+    "select 3, 'RISK', 'Offer acceptance below target', 'Offer acceptance at ' || " + fmt1("offer_acceptance_rate")
+    + " || '%.', 'MEDIUM' from fx where offer_acceptance_rate < 75 and offers_made > 5 union all "
+    "select 4, 'STRENGTH', 'Strong joining execution', 'Joining rate ' || " + fmt1("joining_rate")
+    + " || '%.', 'LOW' from fx where joining_rate >= 85"))
+
+_DQ = (", dqs as (select count(*) as row_count, count_if(candidate_id is null) as miss_cid, "
+       "count_if(interview_status is null) as miss_iv, count_if(offer_status is null) as miss_off, "
+       f"count(salary_lpa) - count({parse_num('salary_lpa')}) as bad_sal, "
+       f"count(time_to_hire_days) - count({parse_num('time_to_hire_days')}) as bad_tth, "
+       "(select count(*) from applications) - (select count(*) from (select distinct * from applications)) as dup_rows "
+       "from applications), dq as (select greatest(0.0, " + rdec(
+           "100.0 - (" + " + ".join([f"least(25.0, {_share('dup_rows')} * 0.5)", f"least(10.0, {_share('miss_cid')} * 0.3)",
+                                     f"least(10.0, {_share('miss_iv')} * 0.3)", f"least(10.0, {_share('miss_off')} * 0.3)",
+                                     f"least(8.0, 0 / greatest(row_count, 1) * 100 * 0.4)",
+                                     f"least(5.0, {_share('bad_sal')} * 0.3)", f"least(5.0, {_share('bad_tth')} * 0.3)"])
+           + ") - 0.0", 1) + ") as dq from dqs)")
+_AR = (", ar as (select coalesce(round(greatest(0.0, 100.0 - avg(case aging_bucket when 'HEALTHY' then 0 "
+       "when 'WATCH' then 1 when 'AGING' then 2 when 'CRITICAL' then 3 else 0 end) * 25), 1), 100.0) as aging from aged)")
+_FUNNEL = ("(least(screening_rate / 100, 1.0) * 0.25 + least(interview_selection_rate / 100, 1.0) * 0.25 + "
+           "least(offer_acceptance_rate / 100, 1.0) * 0.25 + least(joining_rate / 100, 1.0) * 0.25) * 100")
+_VEL = ("case when avg_time_to_hire is not null and avg_time_to_hire > 0 then "
+        "greatest(20.0, least(100.0, 45.0 / avg_time_to_hire * 100)) else 70.0 end")
+register("health_score", with_apps(
+    KPI_CTE + AGED + _AR + _DQ + " select "
+    + rdec(f"({_FUNNEL}) * 0.3 + ({_VEL}) * 0.15 + least(offer_acceptance_rate, 100.0) * 0.15 + "
+           "least(joining_rate, 100.0) * 0.2 + aging * 0.15 + dq * 0.1", 1) + " as score, "
+    + rdec(_FUNNEL, 1) + " as funnel_efficiency, " + rdec(_VEL, 1) + " as hiring_velocity, "
+    + rdec("least(offer_acceptance_rate, 100.0)", 1) + " as offer_acceptance, "
+    + rdec("least(joining_rate, 100.0)", 1) + " as joining, " + rdec("aging", 1) + " as aging, "
+    + rdec("dq", 1) + " as data_quality, 'Internal Recruitment Health Score' as label from k, ar, dq"))

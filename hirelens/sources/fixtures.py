@@ -33,9 +33,9 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = broadcast_if_bounded(read_table(spark, sf_dir, "nation").select(
-        "n_nationkey", "n_name", "n_regionkey"), 10_000)
+        "n_nationkey", "n_name", "n_regionkey"), 10_000, f"{sf_dir}/nation")
     region = broadcast_if_bounded(read_table(spark, sf_dir, "region").select(
-        "r_regionkey", "r_name"), 10_000)
+        "r_regionkey", "r_name"), 10_000, f"{sf_dir}/region")
 
     o = orders.select(
         "*",
