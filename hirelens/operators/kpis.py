@@ -70,37 +70,43 @@ def stage_outcomes(df: DataFrame, col: dict) -> dict[str, Column]:
     }
 
 
-def kpi_flags(df: DataFrame, col: dict) -> dict[str, Column]:
-    """Boolean per-row flags, one per counted KPI."""
+def with_kpi_flags(df: DataFrame, col: dict) -> DataFrame:
+    """Adds one boolean column per counted KPI plus numeric salary / time-to-hire.
+
+    The trimmed, lower-cased stage outcomes are computed once in their own
+    projection and the flags test membership on them, so each status column is
+    normalised once per row (not once per flag, nor once per grouping set).
+    """
     o = stage_outcomes(df, col)
-    iv, ivs = o["interview"], o["interview_status"]
+    staged = df.select("*", *[v.alias(f"_o_{k}") for k, v in o.items()],
+                       numeric_col(df, col.get("salary")).alias("_salary"),
+                       numeric_col(df, col.get("time_to_hire")).alias("_tth"))
+    iv, ivs = F.col("_o_interview"), F.col("_o_interview_status")
     flags = {
-        "screening_selected": o["screening"].isin(*S.SCREENING_SELECTED),
+        "screening_selected": F.col("_o_screening").isin(*S.SCREENING_SELECTED),
         "interview_selected": iv.isin(*S.INTERVIEW_SELECTED),
         "interview_rejected": iv.isin(*S.INTERVIEW_REJECTED),
         "interview_no_show": iv.isin(*S.INTERVIEW_NO_SHOW),
         "interview_not_scheduled": ivs.isin(*S.INTERVIEW_NOT_SCHEDULED),
         "completed_status_only": ivs.isin(*S.INTERVIEW_COMPLETED_STATUS)
         & ~iv.isin(*(S.INTERVIEW_SELECTED + S.INTERVIEW_REJECTED + S.INTERVIEW_NO_SHOW)),
-        "offers_accepted": o["offer"].isin(*S.OFFERS_ACCEPTED),
-        "offers_declined": o["offer"].isin(*S.OFFERS_DECLINED),
-        "joined": o["joining"].isin(*S.JOINED),
+        "offers_accepted": F.col("_o_offer").isin(*S.OFFERS_ACCEPTED),
+        "offers_declined": F.col("_o_offer").isin(*S.OFFERS_DECLINED),
+        "joined": F.col("_o_joining").isin(*S.JOINED),
     }
     idate = col.get("interview_date")
-    if idate:
-        flags["date_completed"] = parse_date_col(df, idate).isNotNull() & ~iv.isin(
-            *(S.INTERVIEW_NO_SHOW + ("not scheduled", "pending")))
-    else:
-        flags["date_completed"] = F.lit(False)
-    return flags
+    flags["date_completed"] = (parse_date_col(df, idate).isNotNull()
+                               & ~iv.isin(*(S.INTERVIEW_NO_SHOW + ("not scheduled", "pending")))
+                               if idate else F.lit(False))
+    flagged = staged.select("*", *[v.alias(f"_f_{k}") for k, v in flags.items()])
+    return flagged.drop(*[f"_o_{k}" for k in o])
 
 
-def kpi_aggs(df: DataFrame, col: dict) -> list[Column]:
-    flags = kpi_flags(df, col)
+def flag_aggs() -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("total")]
-    aggs += [F.count_if(flags[name]).alias(name) for name in COUNT_FIELDS if name != "total"]
-    aggs.append(F.avg(numeric_col(df, col.get("salary"))).alias("_avg_salary"))
-    aggs.append(F.avg(numeric_col(df, col.get("time_to_hire"))).alias("_avg_tth"))
+    aggs += [F.count_if(F.col(f"_f_{name}")).alias(name) for name in COUNT_FIELDS if name != "total"]
+    aggs.append(F.avg("_salary").alias("_avg_salary"))
+    aggs.append(F.avg("_tth").alias("_avg_tth"))
     return aggs
 
 
@@ -108,10 +114,11 @@ def kpi_counts(df: DataFrame, keys: list | None = None, col: dict | None = None,
                extra_aggs: list[Column] | None = None) -> DataFrame:
     """Raw counts (+ averages) per key; ``keys=[]`` gives one row for the whole frame."""
     col = resolve(df, col)
-    aggs = kpi_aggs(df, col) + list(extra_aggs or [])
+    flagged = with_kpi_flags(df, col)
+    aggs = flag_aggs() + list(extra_aggs or [])
     if keys:
-        return df.groupBy(*keys).agg(*aggs)
-    return df.agg(*aggs)
+        return flagged.groupBy(*keys).agg(*aggs)
+    return flagged.agg(*aggs)
 
 
 def _interviews_completed() -> Column:
@@ -210,8 +217,11 @@ def kpis_all_dimensions(df: DataFrame, col: dict | None = None,
     if not present:
         return empty_group_frame(df, "value").withColumn("dimension", F.lit(None).cast("string"))
     keys = [F.col(f"`{c}`") for c in present]
-    aggs = kpi_aggs(df, cm) + [F.grouping_id(*keys).alias("_gid")]
-    counts = df.groupingSets([[k] for k in keys], *keys).agg(*aggs)
+    aggs = flag_aggs() + [F.grouping_id(*keys).alias("_gid")]
+    flagged = with_kpi_flags(df, cm).select(*keys, *[F.col(c) for c in
+                                                    [f"_f_{n}" for n in COUNT_FIELDS if n != "total"]
+                                                    + ["_salary", "_tth"]])
+    counts = flagged.groupingSets([[k] for k in keys], *keys).agg(*aggs)
     n = len(present)
     # grouping_id bit i (from the left) is 1 when column i is aggregated away
     dim_name = reduce(

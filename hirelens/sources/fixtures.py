@@ -14,11 +14,17 @@ row-count bound is proven.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .tables import broadcast_if_bounded, read_table
 
+_MATERIALIZED: dict[tuple, str] = {}
+
 
 def _h(mult: int, cust_mult: int, mod: int | None) -> Column:
     base = F.col("o_orderkey") * F.lit(mult) + F.col("o_custkey") * F.lit(cust_mult)
@@ -27,7 +33,41 @@ def _h(mult: int, cust_mult: int, mod: int | None) -> Column:
     return base % mod % 100
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _source_signature(sf_dir: str) -> tuple:
+    """Identity of the input tables: path plus size/mtime of local files (remote paths: path only)."""
+    sig = [sf_dir]
+    for name in ("orders", "customer", "nation", "region"):
+        p = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        if os.path.exists(p):
+            st = os.stat(p)
+            sig.append((name, st.st_size, int(st.st_mtime)))
+    return tuple(sig)
+
+
+def applications(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The canonical application table, derived once per session and read back as parquet.
+
+    The derivation (a 4-way join) is written to the shared checkpoint folder the
+    first time and every later query scans that table — with column pruning and
+    filter pushdown — just as the ingest step writes the normalised upload once
+    and all analytics read it.  The written table also cuts the lineage: a lost
+    executor recomputes from parquet, not from the join.
+    """
+    if not materialize:
+        return derive_applications(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, _source_signature(sf_dir))
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        base = ensure_checkpoint_dir(spark)
+        digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
+        path = os.path.join(base, "tables", f"applications-{digest}")
+        derive_applications(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
+
+
+def derive_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order: orders ⋈ customer ⋈ nation ⋈ region with integer-arithmetic statuses."""
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
     customer = read_table(spark, sf_dir, "customer").select(
