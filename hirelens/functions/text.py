@@ -17,9 +17,18 @@ def col_or_blank(df_columns: list[str], name: str | None) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
+# the characters of the regex class \s: space, tab, newline, vertical tab, form feed, carriage return
+_WS_CHARS = " \t\n\x0b\f\r"
+
+
+def strip_ws(c: Column) -> Column:
+    """Strip surrounding whitespace (the \\s set, not only spaces) without a regex."""
+    return F.btrim(c.cast("string"), F.lit(_WS_CHARS))
+
+
 def norm(c: Column) -> Column:
     """null -> '' and strip surrounding whitespace (tabs/newlines too, unlike ``trim``)."""
-    return F.coalesce(F.regexp_replace(c.cast("string"), _EDGE_WS, ""), F.lit(""))
+    return F.coalesce(strip_ws(c), F.lit(""))
 
 
 def norm_lower(c: Column) -> Column:

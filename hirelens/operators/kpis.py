@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.dates import parse_date_col
-from ..functions.text import col_or_blank, combined_status, norm_lower, parse_number, pct2
+from ..functions.text import NUMERIC_PATTERN, col_or_blank, combined_status, norm_lower, parse_number, pct2
 
 COUNT_FIELDS = (
     "total", "screening_selected", "interview_selected", "interview_rejected",
@@ -70,6 +70,43 @@ def stage_outcomes(df: DataFrame, col: dict) -> dict[str, Column]:
     }
 
 
+# SQL text for the hot KPI path: one expression string is one JVM call, whereas
+# building the same tree from Column objects costs several calls per literal.
+_WS_SQL = "' \\t\\n\\u000B\\u000C\\r'"  # the regex class \s as a btrim character set
+_NUM_SQL = "'" + NUMERIC_PATTERN.replace("\\", "\\\\") + "'"
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_list(values) -> str:
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+
+
+def sql_norm(name: str | None) -> str:
+    """SQL twin of ``functions.text.norm`` for a column name (absent -> '')."""
+    if not name:
+        return "''"
+    return f"coalesce(btrim(cast({_ident(name)} as string), {_WS_SQL}), '')"
+
+
+def sql_combined(status: str | None, result: str | None) -> str:
+    r, st = sql_norm(result), sql_norm(status)
+    if not result:
+        return f"lower({st})"
+    return f"lower(CASE WHEN {r} <> '' THEN {r} ELSE {st} END)"
+
+
+def sql_numeric(df: DataFrame, name: str | None) -> str:
+    if not name or name not in df.columns:
+        return "CAST(NULL AS DOUBLE)"
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return f"CAST({_ident(name)} AS DOUBLE)"
+    s = f"cast({_ident(name)} as string)"
+    return f"CASE WHEN {s} RLIKE {_NUM_SQL} THEN try_cast(btrim({s}, {_WS_SQL}) AS DOUBLE) END"
+
+
 def with_kpi_flags(df: DataFrame, col: dict) -> DataFrame:
     """Adds one boolean column per counted KPI plus numeric salary / time-to-hire.
 
@@ -77,37 +114,47 @@ def with_kpi_flags(df: DataFrame, col: dict) -> DataFrame:
     projection and the flags test membership on them, so each status column is
     normalised once per row (not once per flag, nor once per grouping set).
     """
-    o = stage_outcomes(df, col)
-    staged = df.select("*", *[v.alias(f"_o_{k}") for k, v in o.items()],
-                       numeric_col(df, col.get("salary")).alias("_salary"),
-                       numeric_col(df, col.get("time_to_hire")).alias("_tth"))
-    iv, ivs = F.col("_o_interview"), F.col("_o_interview_status")
+    g = col.get
+    staged = df.selectExpr(
+        "*",
+        f"{sql_combined(g('screening'), g('screening_result'))} AS _o_screening",
+        f"{sql_combined(g('interview'), g('interview_result'))} AS _o_interview",
+        f"lower({sql_norm(g('interview'))}) AS _o_interview_status",
+        f"{sql_combined(g('offer'), g('offer_result'))} AS _o_offer",
+        f"{sql_combined(g('joining'), g('joining_result'))} AS _o_joining",
+        f"{sql_numeric(df, g('salary'))} AS _salary",
+        f"{sql_numeric(df, g('time_to_hire'))} AS _tth",
+    )
     flags = {
-        "screening_selected": F.col("_o_screening").isin(*S.SCREENING_SELECTED),
-        "interview_selected": iv.isin(*S.INTERVIEW_SELECTED),
-        "interview_rejected": iv.isin(*S.INTERVIEW_REJECTED),
-        "interview_no_show": iv.isin(*S.INTERVIEW_NO_SHOW),
-        "interview_not_scheduled": ivs.isin(*S.INTERVIEW_NOT_SCHEDULED),
-        "completed_status_only": ivs.isin(*S.INTERVIEW_COMPLETED_STATUS)
-        & ~iv.isin(*(S.INTERVIEW_SELECTED + S.INTERVIEW_REJECTED + S.INTERVIEW_NO_SHOW)),
-        "offers_accepted": F.col("_o_offer").isin(*S.OFFERS_ACCEPTED),
-        "offers_declined": F.col("_o_offer").isin(*S.OFFERS_DECLINED),
-        "joined": F.col("_o_joining").isin(*S.JOINED),
+        "screening_selected": f"_o_screening IN ({_sql_list(S.SCREENING_SELECTED)})",
+        "interview_selected": f"_o_interview IN ({_sql_list(S.INTERVIEW_SELECTED)})",
+        "interview_rejected": f"_o_interview IN ({_sql_list(S.INTERVIEW_REJECTED)})",
+        "interview_no_show": f"_o_interview IN ({_sql_list(S.INTERVIEW_NO_SHOW)})",
+        "interview_not_scheduled": f"_o_interview_status IN ({_sql_list(S.INTERVIEW_NOT_SCHEDULED)})",
+        "completed_status_only": (
+            f"_o_interview_status IN ({_sql_list(S.INTERVIEW_COMPLETED_STATUS)}) AND NOT _o_interview IN "
+            f"({_sql_list(S.INTERVIEW_SELECTED + S.INTERVIEW_REJECTED + S.INTERVIEW_NO_SHOW)})"),
+        "offers_accepted": f"_o_offer IN ({_sql_list(S.OFFERS_ACCEPTED)})",
+        "offers_declined": f"_o_offer IN ({_sql_list(S.OFFERS_DECLINED)})",
+        "joined": f"_o_joining IN ({_sql_list(S.JOINED)})",
     }
-    idate = col.get("interview_date")
-    flags["date_completed"] = (parse_date_col(df, idate).isNotNull()
-                               & ~iv.isin(*(S.INTERVIEW_NO_SHOW + ("not scheduled", "pending")))
-                               if idate else F.lit(False))
-    flagged = staged.select("*", *[v.alias(f"_f_{k}") for k, v in flags.items()])
-    return flagged.drop(*[f"_o_{k}" for k in o])
+    idate = g("interview_date")
+    keep = [_ident(c) for c in df.columns] + ["_salary", "_tth"]
+    exprs = [f"({e}) AS _f_{k}" for k, e in flags.items()]
+    flagged = staged.selectExpr(*keep, *exprs)
+    if idate:
+        iv_sql = sql_combined(g("interview"), g("interview_result"))
+        excluded = _sql_list(S.INTERVIEW_NO_SHOW + ("not scheduled", "pending"))
+        return flagged.withColumn("_f_date_completed",
+                                  parse_date_col(df, idate).isNotNull() & ~F.expr(f"{iv_sql} IN ({excluded})"))
+    return flagged.selectExpr("*", "false AS _f_date_completed")
 
 
 def flag_aggs() -> list[Column]:
-    aggs = [F.count(F.lit(1)).alias("total")]
-    aggs += [F.count_if(F.col(f"_f_{name}")).alias(name) for name in COUNT_FIELDS if name != "total"]
-    aggs.append(F.avg("_salary").alias("_avg_salary"))
-    aggs.append(F.avg("_tth").alias("_avg_tth"))
-    return aggs
+    exprs = ["count(1) AS total"]
+    exprs += [f"count_if(_f_{name}) AS {name}" for name in COUNT_FIELDS if name != "total"]
+    exprs += ["avg(_salary) AS _avg_salary", "avg(_tth) AS _avg_tth"]
+    return [F.expr(e) for e in exprs]
 
 
 def kpi_counts(df: DataFrame, keys: list | None = None, col: dict | None = None,
@@ -121,37 +168,33 @@ def kpi_counts(df: DataFrame, keys: list | None = None, col: dict | None = None,
     return flagged.agg(*aggs)
 
 
-def _interviews_completed() -> Column:
-    base = F.col("interview_selected") + F.col("interview_rejected") + F.col("completed_status_only")
-    return F.when(base == 0, F.col("date_completed")).otherwise(base)
+def _pct2_sql(num: str, den: str) -> str:
+    return f"CASE WHEN {den} = 0 THEN 0.0 ELSE round({num} / {den} * 100, 2) END"
 
 
 def kpi_metrics(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The 17 KPI fields from ``kpi_counts`` output (keys first)."""
     keys = list(keys or [])
-    c = counts.withColumn("interviews_completed", _interviews_completed()) \
-              .withColumn("offers_made", F.col("offers_accepted") + F.col("offers_declined"))
-    k = {n: F.col(n) for n in c.columns}
-    return c.select(
-        *[F.col(x) for x in keys],
-        k["total"].cast("long").alias("total"),
-        k["screening_selected"].cast("long").alias("screening_selected"),
-        k["interviews_completed"].cast("long").alias("interviews_completed"),
-        k["interview_selected"].cast("long").alias("interview_selected"),
-        k["interview_rejected"].cast("long").alias("interview_rejected"),
-        k["interview_no_show"].cast("long").alias("interview_no_show"),
-        k["interview_not_scheduled"].cast("long").alias("interview_not_scheduled"),
-        k["offers_accepted"].cast("long").alias("offers_accepted"),
-        k["offers_declined"].cast("long").alias("offers_declined"),
-        k["offers_made"].cast("long").alias("offers_made"),
-        k["joined"].cast("long").alias("joined"),
-        pct2(k["screening_selected"], k["total"]).alias("screening_rate"),
-        pct2(k["interview_selected"], k["interviews_completed"]).alias("interview_selection_rate"),
-        pct2(k["offers_accepted"], k["offers_made"]).alias("offer_acceptance_rate"),
-        pct2(k["joined"], k["offers_accepted"]).alias("joining_rate"),
-        F.round(k["_avg_salary"], 2).alias("avg_salary"),
-        F.round(k["_avg_tth"], 2).alias("avg_time_to_hire"),
-        *[F.col(x) for x in c.columns if x.startswith("x_")],
+    extra = [_ident(x) for x in counts.columns if x.startswith("x_")]
+    base = "(interview_selected + interview_rejected + completed_status_only)"
+    c = counts.selectExpr(
+        "*", f"CASE WHEN {base} = 0 THEN date_completed ELSE {base} END AS _ic",
+        "offers_accepted + offers_declined AS _om")
+    return c.selectExpr(
+        *[_ident(x) for x in keys],
+        "CAST(total AS BIGINT) AS total", "CAST(screening_selected AS BIGINT) AS screening_selected",
+        "CAST(_ic AS BIGINT) AS interviews_completed", "CAST(interview_selected AS BIGINT) AS interview_selected",
+        "CAST(interview_rejected AS BIGINT) AS interview_rejected",
+        "CAST(interview_no_show AS BIGINT) AS interview_no_show",
+        "CAST(interview_not_scheduled AS BIGINT) AS interview_not_scheduled",
+        "CAST(offers_accepted AS BIGINT) AS offers_accepted", "CAST(offers_declined AS BIGINT) AS offers_declined",
+        "CAST(_om AS BIGINT) AS offers_made", "CAST(joined AS BIGINT) AS joined",
+        f"{_pct2_sql('screening_selected', 'total')} AS screening_rate",
+        f"{_pct2_sql('interview_selected', '_ic')} AS interview_selection_rate",
+        f"{_pct2_sql('offers_accepted', '_om')} AS offer_acceptance_rate",
+        f"{_pct2_sql('joined', 'offers_accepted')} AS joining_rate",
+        "round(_avg_salary, 2) AS avg_salary", "round(_avg_tth, 2) AS avg_time_to_hire",
+        *extra,
     )
 
 
@@ -162,22 +205,14 @@ def compute_kpis(df: DataFrame, col: dict | None = None) -> DataFrame:
 
 def group_frame(metrics: DataFrame, key_cols: list[str]) -> DataFrame:
     """Rename KPI metrics to the per-group report layout."""
-    m = {n: F.col(n) for n in metrics.columns}
-    return metrics.select(
-        *[F.col(f"`{k}`") for k in key_cols],
-        m["total"].alias("applications"),
-        m["screening_selected"],
-        m["interviews_completed"].alias("interviews"),
-        m["interview_selected"],
-        m["offers_accepted"].alias("offers"),
-        m["joined"],
-        m["screening_rate"].alias("screening_rate_pct"),
-        m["interview_selection_rate"].alias("interview_selection_pct"),
-        m["offer_acceptance_rate"].alias("offer_acceptance_pct"),
-        m["joining_rate"].alias("joining_rate_pct"),
-        m["avg_salary"].alias("average_salary"),
-        m["avg_time_to_hire"],
-        *[F.col(x) for x in metrics.columns if x.startswith("x_")],
+    extra = [_ident(x) for x in metrics.columns if x.startswith("x_")]
+    return metrics.selectExpr(
+        *[_ident(k) for k in key_cols],
+        "total AS applications", "screening_selected", "interviews_completed AS interviews",
+        "interview_selected", "offers_accepted AS offers", "joined",
+        "screening_rate AS screening_rate_pct", "interview_selection_rate AS interview_selection_pct",
+        "offer_acceptance_rate AS offer_acceptance_pct", "joining_rate AS joining_rate_pct",
+        "avg_salary AS average_salary", "avg_time_to_hire", *extra,
     )
 
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import broadcast_if_bounded
 from ..functions.text import fmt0, fmt1, fmt_int, round_dec
 from .aging import AgingThresholds, aging_days_col
 from .kpis import compute_kpis, funnel_conversion, resolve
@@ -196,7 +195,8 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
     """A deterministic answer and recommended action for every question."""
     cm = resolve(df, col)
     tagged = tag_intents(questions, text_col)
-    facts = broadcast_if_bounded(_answer_facts(df, cm, date_col, as_of, th), 1000)
+    # at most one row per (intent, ranking) by construction: a fixed-size broadcast
+    facts = F.broadcast(_answer_facts(df, cm, date_col, as_of, th))
     thresholds = tagged.filter(F.col("intent") == "aging_query") \
                        .select(F.when(F.col("aging_days") == 0, 14).otherwise(F.col("aging_days"))
                                .alias("threshold")).filter(F.col("threshold").isNotNull()).distinct()
@@ -211,7 +211,8 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
     j = j.withColumn("_thr", F.when(F.col("intent") == "aging_query",
                                     F.when(F.col("aging_days") == 0, 14).otherwise(F.col("aging_days"))))
     if stuck is not None:
-        j = j.join(broadcast_if_bounded(stuck, 1_000_000), F.col("_thr") == F.col("threshold"), "left")
+        # one row per distinct threshold: AQE broadcasts it when its measured size is small
+        j = j.join(stuck, F.col("_thr") == F.col("threshold"), "left")
     else:
         j = j.withColumn("stuck_count", F.lit(None).cast("long"))
     j = j.crossJoin(one)
