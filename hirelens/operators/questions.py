@@ -119,6 +119,10 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
     def emit(frame: DataFrame, *rows: Column) -> None:
         parts.append(frame.select(F.inline(F.array(*rows))))
 
+    def shown(e: Column) -> Column:
+        # a missing group key prints as the reference's f-string does for a missing value
+        return F.coalesce(e, F.lit("nan"))
+
     def order_pick(key, col, highest):
         k = F.col(f"`{key}`").cast("string")
         return (F.max_by if highest else F.min_by)(F.struct(k.alias("e"), F.col(col).alias("v")),
@@ -129,7 +133,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                                            F.struct("rate_pct", "step")).alias("w"))
     emit(w, row("bottleneck", None, F.concat(
         F.lit("The biggest funnel bottleneck is "), F.col("w.conversion"), F.lit(" at "),
-        fmt1(F.col("w.rate_pct")), F.lit("."))))
+        fmt1(F.col("w.rate_pct")), F.lit("%."))))
 
     comp = period_comparison(df, date_col, cm).filter(F.col("metric") == "Joined") \
         .agg(F.max("percent_change").alias("pc"))
@@ -145,10 +149,10 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                    order_pick(rk, "efficiency_score", True).alias("hi"))
         emit(p,
              row("recruiter_ranking", "worst", F.concat(
-                 F.col("lo.e"), F.lit(" has the lowest efficiency score ("), fmt1(F.col("lo.v")), F.lit(").")),
+                 shown(F.col("lo.e")), F.lit(" has the lowest efficiency score ("), fmt1(F.col("lo.v")), F.lit(").")),
                  F.col("lo.e")),
              row("recruiter_ranking", "best", F.concat(
-                 F.col("hi.e"), F.lit(" leads with efficiency score "), fmt1(F.col("hi.v")), F.lit(".")),
+                 shown(F.col("hi.e")), F.lit(" leads with efficiency score "), fmt1(F.col("hi.v")), F.lit(".")),
                  F.col("hi.e")))
     if cm.get("client"):
         ci = client_intelligence(df, cm, date_col, as_of)
@@ -157,10 +161,10 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                    order_pick(ck, "client_health_score", True).alias("hi"))
         emit(p,
              row("client_ranking", "worst", F.concat(
-                 F.col("lo.e"), F.lit(" is the hardest client (health score "), fmt1(F.col("lo.v")), F.lit(").")),
+                 shown(F.col("lo.e")), F.lit(" is the hardest client (health score "), fmt1(F.col("lo.v")), F.lit(").")),
                  F.col("lo.e")),
              row("client_ranking", "best", F.concat(
-                 F.col("hi.e"), F.lit(" is the strongest client (health score "), fmt1(F.col("hi.v")), F.lit(").")),
+                 shown(F.col("hi.e")), F.lit(" is the strongest client (health score "), fmt1(F.col("hi.v")), F.lit(").")),
                  F.col("hi.e")))
     if cm.get("source"):
         si = source_intelligence(df, cm)
@@ -169,10 +173,10 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                    order_pick(sk, "quality_score", True).alias("q"))
         emit(p,
              row("source_ranking", "volume", F.concat(
-                 F.col("vol.e"), F.lit(" has highest volume ("), F.col("vol.v").cast("string"),
+                 shown(F.col("vol.e")), F.lit(" has highest volume ("), F.col("vol.v").cast("string"),
                  F.lit(" applications).")), F.col("vol.e")),
              row("source_ranking", "best", F.concat(
-                 F.col("q.e"), F.lit(" has the best quality score ("), fmt1(F.col("q.v")), F.lit(").")),
+                 shown(F.col("q.e")), F.lit(" has the best quality score ("), fmt1(F.col("q.v")), F.lit(").")),
                  F.col("q.e")))
     if cm.get("role"):
         ro = role_intelligence(df, cm, date_col, as_of)
@@ -181,7 +185,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                                      F.col("difficulty_reasons").alias("why")),
                             F.struct(F.col("hiring_difficulty_score"), F.coalesce(k, F.lit("")))).alias("hard"))
         emit(p, row("role_ranking", "hard", F.concat(
-            F.col("hard.e"), F.lit(" is hardest to hire (difficulty "), fmt1(F.col("hard.v")), F.lit("): "),
+            shown(F.col("hard.e")), F.lit(" is hardest to hire (difficulty "), fmt1(F.col("hard.v")), F.lit("): "),
             F.col("hard.why"), F.lit(".")), F.col("hard.e")))
     out = parts[0]
     for p in parts[1:]:
@@ -207,7 +211,10 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
         F.when(F.col("total") > 0, F.col("joined") / F.col("total")).otherwise(0.0).alias("_jr"))
     one = F.broadcast(fc.crossJoin(kp))  # 1 x 1 rows
 
-    j = tagged.join(facts, ["intent", "ranking"], "left")
+    facts = facts.withColumnRenamed("intent", "_f_intent").withColumnRenamed("ranking", "_f_ranking")
+    # null-safe on ranking: bottleneck / declining-hires answers have no ranking
+    j = tagged.join(facts, (F.col("intent") == F.col("_f_intent"))
+                    & F.col("ranking").eqNullSafe(F.col("_f_ranking")), "left").drop("_f_intent", "_f_ranking")
     j = j.withColumn("_thr", F.when(F.col("intent") == "aging_query",
                                     F.when(F.col("aging_days") == 0, 14).otherwise(F.col("aging_days"))))
     if stuck is not None:
