@@ -292,3 +292,13 @@ def test_read_csv_flexible_semicolon(spark):
     assert df.columns == ["Candidate ID", "Interview Status", "CTC"]
     rows = df.orderBy("Candidate ID").collect()
     assert rows[0]["Interview Status"] == " Completed " and rows[1]["Interview Status"] is None
+
+
+def test_report_job_writes_all_reports(spark, small_dir):
+    from hirelens.plans.reports import write_reports
+    out = tempfile.mkdtemp(prefix="hl-reports-")
+    paths = write_reports(R.apps(spark, small_dir), out)
+    names = sorted(os.path.basename(p) for p in paths)
+    assert "kpi_summary" in names and "source_analysis" in names and "technology_performance" in names
+    src = spark.read.option("header", True).csv(os.path.join(out, "source_performance"))
+    assert "conversion_rate_pct" in src.columns and src.count() == 5
