@@ -31,27 +31,56 @@ URGENT_ACTIONS = ("Schedule interview", "Follow up / reschedule", "Initiate offe
 # end of fixed values
 
 
+def _sql_list(values) -> str:
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+
+
+def current_stage_sql(df: DataFrame, col: dict | None = None) -> str:
+    """C1 as one SQL CASE (one JVM call to build): first matching rule wins."""
+    from .kpis import sql_combined
+
+    cm = resolve(df, col)
+    j = sql_combined(cm.get("joining"), cm.get("joining_result"))
+    off = sql_combined(cm.get("offer"), cm.get("offer_result"))
+    iv = sql_combined(cm.get("interview"), cm.get("interview_result"))
+    scr = sql_combined(cm.get("screening"), cm.get("screening_result"))
+    passed = _sql_list(STAGE_SCREEN_PASSED)
+    return (
+        f"CASE WHEN {j} IN ({_sql_list(STAGE_JOINED)}) THEN 'Joined' "
+        f"WHEN {j} <> '' AND NOT {j} IN ({_sql_list(STAGE_JOINING_OPEN)}) THEN 'Joining' "
+        f"WHEN {off} IN ({_sql_list(STAGE_OFFER_ACCEPTED)}) THEN 'Offer Accepted' "
+        f"WHEN {off} IN ({_sql_list(STAGE_OFFER_DECLINED)}) THEN 'Offer Declined' "
+        f"WHEN {off} <> '' THEN 'Offer' "
+        f"WHEN {iv} IN ({_sql_list(STAGE_INTERVIEW_SELECTED)}) THEN 'Interview Selected' "
+        f"WHEN {iv} IN ({_sql_list(STAGE_INTERVIEW_REJECTED)}) THEN 'Interview Rejected' "
+        f"WHEN {iv} IN ({_sql_list(STAGE_NO_SHOW)}) THEN 'Interview — No Show' "
+        f"WHEN ({iv} IN ({_sql_list(STAGE_UNSCHEDULED)}) OR {iv} = '') AND {scr} IN ({passed}) "
+        f"THEN 'Interview — Not Scheduled' "
+        f"WHEN {iv} <> '' THEN 'Interview' "
+        f"WHEN {scr} IN ({passed}) THEN 'Screening Selected' "
+        f"WHEN {scr} <> '' THEN 'Screening' ELSE 'Applied' END")
+
+
 def current_stage(df: DataFrame, col: dict | None = None) -> Column:
     """First matching rule wins (result beats status for each step)."""
+    return F.expr(current_stage_sql(df, col))
+
+
+def next_action_sql(df: DataFrame, stage: str, col: dict | None = None) -> str:
+    """C2 as one SQL CASE over a stage column."""
+    from .kpis import sql_norm
+
     cm = resolve(df, col)
-    o = stage_outcomes(df, cm)
-    j, off, iv, scr = o["joining"], o["offer"], o["interview"], o["screening"]
+    offer_blank = f"{sql_norm(cm.get('offer'))} = ''"
+    join_date_blank = f"{sql_norm(cm.get('joining_date'))} = ''"
     return (
-        F.when(j.isin(*STAGE_JOINED), "Joined")
-        .when((j != "") & ~j.isin(*STAGE_JOINING_OPEN), "Joining")
-        .when(off.isin(*STAGE_OFFER_ACCEPTED), "Offer Accepted")
-        .when(off.isin(*STAGE_OFFER_DECLINED), "Offer Declined")
-        .when(off != "", "Offer")
-        .when(iv.isin(*STAGE_INTERVIEW_SELECTED), "Interview Selected")
-        .when(iv.isin(*STAGE_INTERVIEW_REJECTED), "Interview Rejected")
-        .when(iv.isin(*STAGE_NO_SHOW), "Interview — No Show")
-        .when((iv.isin(*STAGE_UNSCHEDULED) | (iv == "")) & scr.isin(*STAGE_SCREEN_PASSED),
-              "Interview — Not Scheduled")
-        .when(iv != "", "Interview")
-        .when(scr.isin(*STAGE_SCREEN_PASSED), "Screening Selected")
-        .when(scr != "", "Screening")
-        .otherwise("Applied")
-    )
+        f"CASE WHEN {stage} = 'Interview — Not Scheduled' THEN 'Schedule interview' "
+        f"WHEN {stage} = 'Interview — No Show' THEN 'Follow up / reschedule' "
+        f"WHEN {stage} = 'Interview Selected' AND {offer_blank} THEN 'Initiate offer process' "
+        f"WHEN {stage} = 'Interview Selected' THEN 'Complete offer workflow' "
+        f"WHEN {stage} = 'Offer Accepted' AND {join_date_blank} THEN 'Confirm joining date' "
+        f"WHEN {stage} = 'Offer Accepted' THEN 'Track joining' "
+        f"WHEN {stage} = 'Offer' THEN 'Await offer decision' ELSE 'No immediate action' END")
 
 
 def next_action(df: DataFrame, stage: Column, col: dict | None = None) -> Column:
@@ -86,10 +115,9 @@ def stage_tone(stage: Column) -> Column:
 
 
 def with_stage(df: DataFrame, col: dict | None = None) -> DataFrame:
-    """Adds ``_current_stage`` and ``_action`` helper columns."""
-    stage = current_stage(df, col)
-    staged = df.withColumn("_current_stage", stage)
-    return staged.withColumn("_action", next_action(staged, F.col("_current_stage"), col))
+    """Adds ``_current_stage`` and ``_action`` helper columns (two projections, SQL CASEs)."""
+    staged = df.selectExpr("*", f"{current_stage_sql(df, col)} AS _current_stage")
+    return staged.selectExpr("*", f"{next_action_sql(df, '_current_stage', col)} AS _action")
 
 
 def stage_counts(df: DataFrame, col: dict | None = None) -> DataFrame:

@@ -357,12 +357,21 @@ def raw(spark, sf_dir):
     return FX.applications_raw(spark, sf_dir)
 
 
+_NORMALIZED: dict[tuple, str] = {}
+
+
 def normalized(spark, sf_dir, materialize: bool = True) -> IN.Normalized:
-    """The normalised upload; by default written once to the shared checkpoint folder and
-    read back, as the ingest job does (quality checks then plan against a plain scan)."""
+    """The normalised upload; by default written once per session to the shared checkpoint
+    folder and read back, as the ingest job does (quality checks then scan plain parquet)."""
     n = IN.normalize_all(raw(spark, sf_dir))
     if materialize:
-        n.data = FS.parquet_roundtrip(n.data, scratch_path(spark, "normalized"))
+        key = (spark.sparkContext.applicationId, FX._source_signature(sf_dir))
+        path = _NORMALIZED.get(key)
+        if path is None:
+            path = scratch_path(spark, "normalized")
+            n.data.write.mode("overwrite").parquet(path)
+            _NORMALIZED[key] = path
+        n.data = spark.read.parquet(path)
     return n
 
 
