@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fmt1, fmt_int, pct, round_dec
 from .kpis import compute_kpis, funnel_conversion, group_kpis_by_key, resolve
-from .scorecards import recruiter_scorecards
+from .scorecards import recruiter_scorecards, shared_metrics
 
 SEVERITY_RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 # FIXED VALUES: insight-type -> card tone
@@ -26,8 +26,9 @@ def facts(df: DataFrame, col: dict | None = None) -> DataFrame:
     """One row: KPIs + recruiter card picks/median + source picks."""
     cm = resolve(df, col)
     f = compute_kpis(df, cm)
+    pre = shared_metrics(df, cm, dims=("recruiter", "source"))  # one scan for both dimensions
     if cm.get("recruiter"):
-        cards = recruiter_scorecards(df, cm)
+        cards = recruiter_scorecards(df, cm, pre)
         rk = cm["recruiter"]
         k = F.col(f"`{rk}`").cast("string")
         rfacts = cards.agg(
@@ -45,7 +46,8 @@ def facts(df: DataFrame, col: dict | None = None) -> DataFrame:
             F.lit(None).cast("struct<entity:string,score:double,joined:bigint,apps:bigint>").alias("r_bottom"),
             F.lit(None).cast("struct<entity:string,score:double>").alias("r_top"))
     if cm.get("source"):
-        src = group_kpis_by_key(df, "source", cm)
+        from .kpis import group_frame, metrics_for
+        src = group_frame(metrics_for(pre, cm["source"]), [cm["source"]])
         sk = F.col(f"`{cm['source']}`").cast("string")
         sfacts = src.agg(
             F.count(F.lit(1)).alias("s_n"),

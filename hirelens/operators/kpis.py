@@ -244,18 +244,22 @@ def group_kpis_by_key(df: DataFrame, key: str, col: dict | None = None,
 DIMENSIONS = ("recruiter", "client", "role", "source", "technology")
 
 
-def kpis_all_dimensions(df: DataFrame, col: dict | None = None,
-                        dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """A3 for several dimensions in ONE scan via GROUPING SETS (Expand + one exchange)."""
+def dimension_metrics(df: DataFrame, col: dict | None = None, dims: tuple[str, ...] = DIMENSIONS,
+                      extra_aggs: list[Column] | None = None) -> DataFrame:
+    """KPI metrics for several dimensions in ONE scan via GROUPING SETS (Expand + one exchange).
+
+    Output: ``dimension`` (the column name), ``value`` (the key as text), the 17
+    KPI fields and any ``x_*`` extra aggregates.  Only booleans and the two
+    numeric columns are expanded — the stage outcomes are computed before Expand.
+    """
     cm = resolve(df, col)
     present = [cm[d] for d in dims if cm.get(d)]
     if not present:
-        return empty_group_frame(df, "value").withColumn("dimension", F.lit(None).cast("string"))
+        return None
     keys = [F.col(f"`{c}`") for c in present]
-    aggs = flag_aggs() + [F.grouping_id(*keys).alias("_gid")]
-    flagged = with_kpi_flags(df, cm).select(*keys, *[F.col(c) for c in
-                                                    [f"_f_{n}" for n in COUNT_FIELDS if n != "total"]
-                                                    + ["_salary", "_tth"]])
+    flagged = with_kpi_flags(df, cm)
+    extra = list(extra_aggs or [])
+    aggs = flag_aggs() + extra + [F.grouping_id(*keys).alias("_gid")]
     counts = flagged.groupingSets([[k] for k in keys], *keys).agg(*aggs)
     n = len(present)
     # grouping_id bit i (from the left) is 1 when column i is aggregated away
@@ -267,7 +271,22 @@ def kpis_all_dimensions(df: DataFrame, col: dict | None = None,
         range(1, n), F.when(F.col("_gid") == (2 ** n - 1) - 2 ** (n - 1), F.col(f"`{present[0]}`")))
     labelled = counts.select(dim_name.alias("dimension"), value.cast("string").alias("value"),
                              *[c for c in counts.columns if c not in present and c != "_gid"])
-    return group_frame(kpi_metrics(labelled, ["dimension", "value"]), ["dimension", "value"])
+    return kpi_metrics(labelled, ["dimension", "value"])
+
+
+def kpis_all_dimensions(df: DataFrame, col: dict | None = None,
+                        dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """A3 for several dimensions in ONE scan via GROUPING SETS."""
+    m = dimension_metrics(df, col, dims)
+    if m is None:
+        return empty_group_frame(df, "value").withColumn("dimension", F.lit(None).cast("string"))
+    return group_frame(m, ["dimension", "value"])
+
+
+def metrics_for(dim_metrics: DataFrame, group_col: str) -> DataFrame:
+    """One dimension's rows of ``dimension_metrics`` with the key under its own name."""
+    return dim_metrics.filter(F.col("dimension") == group_col).drop("dimension") \
+                      .withColumnRenamed("value", group_col)
 
 
 def kpi_summary(kpis: DataFrame) -> DataFrame:
@@ -308,12 +327,11 @@ CONVERSIONS = (
 
 def funnel_conversion(kpis: DataFrame) -> DataFrame:
     """Five step conversion rates (2 dp) with from/to counts."""
-    entries = [F.struct(F.lit(i + 1).alias("step"), F.lit(label).alias("conversion"),
-                        pct2(F.col(num), F.col(den)).alias("rate_pct"),
-                        F.col(den).cast("long").alias("from_count"),
-                        F.col(num).cast("long").alias("to_count"))
-               for i, (label, num, den) in enumerate(CONVERSIONS)]
-    return kpis.select(F.inline(F.array(*entries)))
+    structs = ", ".join(
+        f"named_struct('step', {i + 1}, 'conversion', '{label}', 'rate_pct', {_pct2_sql(num, den)}, "
+        f"'from_count', CAST({den} AS BIGINT), 'to_count', CAST({num} AS BIGINT))"
+        for i, (label, num, den) in enumerate(CONVERSIONS))
+    return kpis.selectExpr(f"inline(array({structs}))")
 
 
 def kpi_stage_counts(kpis: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions.text import fmt0, fmt1, fmt_int, round_dec
 from .aging import AgingThresholds, aging_days_col
 from .kpis import compute_kpis, funnel_conversion, resolve
 from .scorecards import (client_intelligence, recruiter_intelligence, role_intelligence,
-                         source_intelligence)
+                         shared_metrics, source_intelligence)
 from .trends import forecast_joins, period_comparison
 
 # FIXED VALUES: answer texts
@@ -129,6 +129,8 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                                                    F.struct(F.col(col), F.coalesce(k, F.lit(""))))
 
     kp = compute_kpis(df, cm)
+    # all four scorecards slice one grouping-sets aggregate (one scan, exchange reused)
+    pre = shared_metrics(df, cm, date_col, as_of)
     w = funnel_conversion(kp).agg(F.min_by(F.struct("conversion", "rate_pct"),
                                            F.struct("rate_pct", "step")).alias("w"))
     emit(w, row("bottleneck", None, F.concat(
@@ -143,7 +145,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
         F.lit("Current joined count is "), fmt_int(F.col("joined")), F.lit("."), prior)))
 
     if cm.get("recruiter"):
-        ri = recruiter_intelligence(df, cm, date_col, as_of)
+        ri = recruiter_intelligence(df, cm, date_col, as_of, pre)
         rk = cm["recruiter"]
         p = ri.agg(order_pick(rk, "efficiency_score", False).alias("lo"),
                    order_pick(rk, "efficiency_score", True).alias("hi"))
@@ -155,7 +157,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                  shown(F.col("hi.e")), F.lit(" leads with efficiency score "), fmt1(F.col("hi.v")), F.lit(".")),
                  F.col("hi.e")))
     if cm.get("client"):
-        ci = client_intelligence(df, cm, date_col, as_of)
+        ci = client_intelligence(df, cm, date_col, as_of, pre)
         ck = cm["client"]
         p = ci.agg(order_pick(ck, "client_health_score", False).alias("lo"),
                    order_pick(ck, "client_health_score", True).alias("hi"))
@@ -167,7 +169,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                  shown(F.col("hi.e")), F.lit(" is the strongest client (health score "), fmt1(F.col("hi.v")), F.lit(").")),
                  F.col("hi.e")))
     if cm.get("source"):
-        si = source_intelligence(df, cm)
+        si = source_intelligence(df, cm, pre)
         sk = cm["source"]
         p = si.agg(order_pick(sk, "applications", True).alias("vol"),
                    order_pick(sk, "quality_score", True).alias("q"))
@@ -179,7 +181,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                  shown(F.col("q.e")), F.lit(" has the best quality score ("), fmt1(F.col("q.v")), F.lit(").")),
                  F.col("q.e")))
     if cm.get("role"):
-        ro = role_intelligence(df, cm, date_col, as_of)
+        ro = role_intelligence(df, cm, date_col, as_of, pre)
         k = F.col(f"`{cm['role']}`").cast("string")
         p = ro.agg(F.max_by(F.struct(k.alias("e"), F.col("hiring_difficulty_score").alias("v"),
                                      F.col("difficulty_reasons").alias("why")),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fmt1, round_dec
 from .aging import aging_days_col
-from .kpis import group_frame, kpi_counts, kpi_metrics, resolve
+from .kpis import dimension_metrics, group_frame, kpi_counts, kpi_metrics, metrics_for, resolve
 
 
 def _cap1(rate: Column) -> Column:
@@ -36,8 +36,30 @@ def efficiency_score() -> Column:
     return F.when(F.col("total") == 0, F.lit(0.0)).otherwise(round_dec(score, 1))
 
 
+def aging_extra(df: DataFrame, aging_date_col: str | None, as_of: str | None) -> list[Column]:
+    if aging_date_col and aging_date_col in df.columns and as_of:
+        return [F.avg(aging_days_col(df, aging_date_col, as_of)).alias("x_avg_aging")]
+    return []
+
+
+def shared_metrics(df: DataFrame, col: dict | None = None, aging_date_col: str | None = None,
+                   as_of: str | None = None, dims=("recruiter", "client", "role", "source")) -> DataFrame | None:
+    """Metrics for all scorecard dimensions in one grouping-sets scan (pass as ``pre=``)."""
+    cm = resolve(df, col)
+    return dimension_metrics(df, cm, tuple(dims), aging_extra(df, aging_date_col, as_of))
+
+
 def _grouped(df: DataFrame, group_col: str, cm: dict, aging_date_col: str | None,
-             as_of: str | None) -> DataFrame:
+             as_of: str | None, pre: DataFrame | None = None) -> DataFrame:
+    if pre is not None:
+        m = metrics_for(pre, group_col)
+        if "x_avg_aging" in m.columns:
+            if aging_date_col and as_of:
+                m = m.withColumn("x_avg_aging", F.when(F.col(f"`{group_col}`").isNull(), F.lit(None).cast("double"))
+                                 .otherwise(F.col("x_avg_aging")))
+            else:
+                m = m.drop("x_avg_aging")
+        return m
     extra = []
     if aging_date_col and aging_date_col in df.columns and as_of:
         extra.append(F.avg(aging_days_col(df, aging_date_col, as_of)).alias("x_avg_aging"))
@@ -66,26 +88,26 @@ def _empty(df: DataFrame, name: str, extra: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], base + extra)
 
 
-def recruiter_scorecards(df: DataFrame, col: dict | None = None) -> DataFrame:
+def recruiter_scorecards(df: DataFrame, col: dict | None = None, pre: DataFrame | None = None) -> DataFrame:
     """Per-recruiter KPIs + efficiency score + delta to the team median."""
     cm = resolve(df, col)
     r = cm.get("recruiter")
     if not r:
         return _empty(df, "recruiter", ", efficiency_score double, vs_team_median double")
-    m = _grouped(df, r, cm, None, None).withColumn("x_efficiency", efficiency_score())
+    m = _grouped(df, r, cm, None, None, pre).withColumn("x_efficiency", efficiency_score())
     cards = group_frame(m, [r]).withColumnRenamed("x_efficiency", "efficiency_score")
     return _with_median_delta(cards)
 
 
 def recruiter_intelligence(df: DataFrame, col: dict | None = None, aging_date_col: str | None = None,
-                           as_of: str | None = None) -> DataFrame:
+                           as_of: str | None = None, pre: DataFrame | None = None) -> DataFrame:
     """R2: R1 + interview completion rate + mean aging days."""
     cm = resolve(df, col)
     r = cm.get("recruiter")
     if not r:
         return _empty(df, "recruiter", ", efficiency_score double, vs_team_median double, "
                                        "interview_completion_rate double")
-    m = _grouped(df, r, cm, aging_date_col, as_of).withColumn("x_efficiency", efficiency_score())
+    m = _grouped(df, r, cm, aging_date_col, as_of, pre).withColumn("x_efficiency", efficiency_score())
     cards = group_frame(m, [r]).withColumnRenamed("x_efficiency", "efficiency_score")
     cards = _with_median_delta(cards).withColumn(
         "interview_completion_rate",
@@ -107,13 +129,13 @@ def client_health_score(has_aging: bool) -> Column:
 
 
 def client_intelligence(df: DataFrame, col: dict | None = None, aging_date_col: str | None = None,
-                        as_of: str | None = None) -> DataFrame:
+                        as_of: str | None = None, pre: DataFrame | None = None) -> DataFrame:
     """Per-client KPIs + mean aging days + client health score."""
     cm = resolve(df, col)
     c = cm.get("client")
     if not c:
         return _empty(df, "client", ", client_health_score double")
-    cards = group_frame(_grouped(df, c, cm, aging_date_col, as_of), [c])
+    cards = group_frame(_grouped(df, c, cm, aging_date_col, as_of, pre), [c])
     has_aging = "x_avg_aging" in cards.columns
     if has_aging:
         cards = cards.withColumnRenamed("x_avg_aging", "avg_aging_days")
@@ -140,13 +162,13 @@ def _rule(colname: str, op: str, bound: float, present: set[str]) -> Column:
 
 
 def role_intelligence(df: DataFrame, col: dict | None = None, aging_date_col: str | None = None,
-                      as_of: str | None = None) -> DataFrame:
+                      as_of: str | None = None, pre: DataFrame | None = None) -> DataFrame:
     """Per-role KPIs + mean aging days + hiring difficulty score and reasons."""
     cm = resolve(df, col)
     r = cm.get("role")
     if not r:
         return _empty(df, "role", ", hiring_difficulty_score double, difficulty_reasons string")
-    cards = group_frame(_grouped(df, r, cm, aging_date_col, as_of), [r])
+    cards = group_frame(_grouped(df, r, cm, aging_date_col, as_of, pre), [r])
     if "x_avg_aging" in cards.columns:
         cards = cards.withColumnRenamed("x_avg_aging", "avg_aging_days")
     present = set(cards.columns)
@@ -158,13 +180,13 @@ def role_intelligence(df: DataFrame, col: dict | None = None, aging_date_col: st
                 .withColumn("difficulty_reasons", F.when(reasons == "", NORMAL_RANGE).otherwise(reasons))
 
 
-def source_intelligence(df: DataFrame, col: dict | None = None) -> DataFrame:
+def source_intelligence(df: DataFrame, col: dict | None = None, pre: DataFrame | None = None) -> DataFrame:
     """Per-source KPIs + quality score (join 0.5, interview selection 0.3, offer 0.2)."""
     cm = resolve(df, col)
     s = cm.get("source")
     if not s:
         return _empty(df, "source", ", application_to_join_pct double, quality_score double")
-    cards = group_frame(_grouped(df, s, cm, None, None), [s])
+    cards = group_frame(_grouped(df, s, cm, None, None, pre), [s])
     return cards.withColumn("application_to_join_pct", F.col("joining_rate_pct")) \
                 .withColumn("quality_score", round_dec(F.col("application_to_join_pct") * 0.5
                                                        + F.col("interview_selection_pct") * 0.3

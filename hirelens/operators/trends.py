@@ -91,22 +91,22 @@ def period_comparison(df: DataFrame, date_col: str | None, col: dict | None = No
               "percent_change double, sufficient_data boolean, note string")
     if not date_col or date_col not in df.columns:
         return df.sparkSession.createDataFrame([], schema)
-    r = _monthly_ranked(df, date_col, col).filter((F.col("_r") <= 2) & (F.col("_np") >= 2))
-    pair = r.agg(*[F.max(F.when(F.col("_r") == 1, F.col(c))).cast("double").alias(f"c_{c}") for _, c in COMPARE_METRICS],
-                 *[F.max(F.when(F.col("_r") == 2, F.col(c))).cast("double").alias(f"p_{c}") for _, c in COMPARE_METRICS],
-                 F.count(F.lit(1)).alias("_rows"))
-    entries = F.array(*[F.struct(F.lit(i + 1).alias("metric_order"), F.lit(label).alias("metric"),
-                                 F.col(f"c_{c}").alias("current"), F.col(f"p_{c}").alias("previous"))
-                        for i, (label, c) in enumerate(COMPARE_METRICS)])
-    rows = pair.filter(F.col("_rows") == 2).select(F.inline(entries)) \
-               .filter(F.col("current").isNotNull() & F.col("previous").isNotNull())
-    cur, prev = F.col("current"), F.col("previous")
-    return rows.select(
+    r = _monthly_ranked(df, date_col, col).filter("_r <= 2 AND _np >= 2")
+    # one aggregate row holding current (rank 1) and previous (rank 2) values, built as SQL text
+    pair = r.agg(*[F.expr(f"CAST(max(CASE WHEN _r = {k} THEN {c} END) AS DOUBLE) AS {p}_{c}")
+                   for _, c in COMPARE_METRICS for k, p in ((1, "c"), (2, "p"))],
+                 F.expr("count(1) AS _rows"))
+    structs = ", ".join(f"named_struct('metric_order', {i + 1}, 'metric', '{label}', 'current', c_{c}, "
+                        f"'previous', p_{c})" for i, (label, c) in enumerate(COMPARE_METRICS))
+    rows = pair.filter("_rows = 2").selectExpr(f"inline(array({structs}))") \
+               .filter("current IS NOT NULL AND previous IS NOT NULL")
+    return rows.selectExpr(
         "metric_order", "metric", "current", "previous",
-        F.round(cur - prev, 2).alias("absolute_change"),
-        safe_pct_change(cur, prev).alias("percent_change"),
-        ((prev > 0) | (cur > 0)).alias("sufficient_data"),
-        F.when((prev == 0) & (cur > 0), "No prior-period baseline").otherwise("").alias("note"),
+        "round(current - previous, 2) AS absolute_change",
+        "CASE WHEN previous < 1 THEN CAST(NULL AS DOUBLE) ELSE round((current - previous) / previous * 100, 2) END"
+        " AS percent_change",
+        "(previous > 0 OR current > 0) AS sufficient_data",
+        "CASE WHEN previous = 0 AND current > 0 THEN 'No prior-period baseline' ELSE '' END AS note",
     )
 
 
