@@ -326,10 +326,10 @@ def low(c):
 
 
 register("status_only_counts", with_apps(f"""select count(*) as applications,
-  count_if({low('screening_status')} in ({lit_list(S.OPS_SCREENING)})) as screening_selected,
-  count_if({low('interview_status')} in ({lit_list(S.OPS_INTERVIEW)})) as interview_selected,
-  count_if({low('offer_status')} in ({lit_list(S.OPS_OFFER)})) as offers_accepted,
-  count_if({low('joining_status')} in ({lit_list(S.OPS_JOINING)})) as joined from applications"""))
+  cast(count_if({low('screening_status')} in ({lit_list(S.OPS_SCREENING)})) as bigint) as screening_selected,
+  cast(count_if({low('interview_status')} in ({lit_list(S.OPS_INTERVIEW)})) as bigint) as interview_selected,
+  cast(count_if({low('offer_status')} in ({lit_list(S.OPS_OFFER)})) as bigint) as offers_accepted,
+  cast(count_if({low('joining_status')} in ({lit_list(S.OPS_JOINING)})) as bigint) as joined from applications"""))
 
 # ---------------------------------------------------------------- stages
 
@@ -375,10 +375,10 @@ register("stage_counts", with_apps(
     "select stage_order, dim.stage, cast(coalesce(n, 0) as bigint) as candidates from dim "
     "left join cnt on dim.stage = cnt.stage"))
 register("ops_counters", with_apps(
-    STAGED + " select count(*) as candidates_in_view, count_if(next_action in ('Schedule interview', "
-    "'Follow up / reschedule', 'Initiate offer process', 'Confirm joining date')) as action_required, "
-    "count_if(current_stage = 'Joined') as joined, "
-    "count_if(current_stage in ('Interview Rejected', 'Offer Declined')) as rejected_declined from staged"))
+    STAGED + " select count(*) as candidates_in_view, cast(count_if(next_action in ('Schedule interview', "
+    "'Follow up / reschedule', 'Initiate offer process', 'Confirm joining date')) as bigint) as action_required, "
+    "cast(count_if(current_stage = 'Joined') as bigint) as joined, "
+    "cast(count_if(current_stage in ('Interview Rejected', 'Offer Declined')) as bigint) as rejected_declined from staged"))
 
 # ---------------------------------------------------------------- aging
 
@@ -399,7 +399,7 @@ register("aging_risk", with_apps(
     "as aging_risk_score from aged"))
 register("group_aging", with_apps(
     AGED + " select recruiter, count(*) as candidates, round(avg(aging_days), 1) as avg_aging_days, "
-    "count_if(aging_bucket = 'CRITICAL') as critical, count_if(aging_bucket = 'AGING') as aging "
+    "cast(count_if(aging_bucket = 'CRITICAL') as bigint) as critical, cast(count_if(aging_bucket = 'AGING') as bigint) as aging "
     "from aged where recruiter is not null group by recruiter"))
 
 # ---------------------------------------------------------------- trends
