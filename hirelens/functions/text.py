@@ -99,3 +99,19 @@ def strip_underscore_columns(df: DataFrame) -> DataFrame:
 def display(c: Column) -> Column:
     """Display text: NULL -> em dash."""
     return F.coalesce(c.cast("string"), F.lit("—"))
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Combine single-row frames (disjoint columns) into one row without a join.
+
+    Each input is one aggregate row; they are stacked with ``unionByName`` and
+    collapsed by ``first(ignorenulls)`` per column — a two-row global aggregate
+    instead of a cartesian product.
+    """
+    names: list[str] = []
+    for f in frames:
+        names += [c for c in f.columns if c not in names]
+    stacked = frames[0]
+    for f in frames[1:]:
+        stacked = stacked.unionByName(f, allowMissingColumns=True)
+    return stacked.agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in names])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fmt1, fmt_int, pct, round_dec
+from ..functions.text import fmt1, fmt_int, one_row, pct, round_dec
 from .kpis import compute_kpis, funnel_conversion, group_kpis_by_key, resolve
 from .scorecards import recruiter_scorecards, shared_metrics
 
@@ -63,7 +63,7 @@ def facts(df: DataFrame, col: dict | None = None) -> DataFrame:
             F.lit(0).cast("long").alias("s_n"),
             F.lit(None).cast("struct<entity:string,rate:double,joined:bigint,apps:bigint>").alias("s_best"),
             F.lit(None).cast("struct<entity:string,rate:double,apps:bigint>").alias("s_vol"))
-    return f.crossJoin(rfacts).crossJoin(sfacts)  # 1 x 1 x 1 rows
+    return one_row(f, rfacts, sfacts)
 
 
 def _insight(rule_no: int, title: str, itype: str, severity: Column | str, metric: str,
@@ -196,7 +196,7 @@ def executive_findings(kpis: DataFrame, comparison: DataFrame) -> DataFrame:
                        .agg(F.max("percent_change").alias("joined_change"))
     weakest = funnel_conversion(kpis).agg(
         F.min_by(F.struct("conversion", "rate_pct"), F.struct("rate_pct", "step")).alias("w"))
-    fx = kpis.crossJoin(joined).crossJoin(weakest)  # 1 x 1 x 1 rows
+    fx = one_row(kpis, joined, weakest)
     c = F.col
     rows = [
         F.when(c("joined_change") < -10, F.struct(
@@ -239,15 +239,12 @@ def health_score(kpis: DataFrame, aging_risk: DataFrame | None, data_quality: Da
     def cap1(x):
         return F.least(x / 100, F.lit(1.0))
 
-    fx = kpis
-    if aging_risk is not None:
-        fx = fx.crossJoin(aging_risk.select(c("aging_risk_score").alias("_aging")))
-    else:
-        fx = fx.withColumn("_aging", F.lit(85.0))
-    if data_quality is not None:
-        fx = fx.crossJoin(data_quality.select(c("health_score").alias("_dq")))
-    else:
-        fx = fx.withColumn("_dq", F.lit(80.0))
+    parts = [kpis]
+    parts.append(aging_risk.select(c("aging_risk_score").alias("_aging")) if aging_risk is not None
+                 else kpis.sparkSession.range(1).select(F.lit(85.0).alias("_aging")))
+    parts.append(data_quality.select(c("health_score").alias("_dq")) if data_quality is not None
+                 else kpis.sparkSession.range(1).select(F.lit(80.0).alias("_dq")))
+    fx = one_row(*parts)
     funnel = (cap1(c("screening_rate")) * 0.25 + cap1(c("interview_selection_rate")) * 0.25
               + cap1(c("offer_acceptance_rate")) * 0.25 + cap1(c("joining_rate")) * 0.25) * 100
     tth = c("avg_time_to_hire")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.dates import parse_date_col
-from ..functions.text import fmt_int, parse_number, pct, round_dec
+from ..functions.text import fmt_int, one_row, parse_number, pct, round_dec
 
 
 def _q(name: str) -> Column:
@@ -97,7 +97,7 @@ def profile_stats(df: DataFrame) -> DataFrame:
             - F.countDistinct(_q("candidate_id").cast("string"))).alias("duplicate_ids")]
           if "candidate_id" in df.columns else []),
     )
-    return stats.crossJoin(duplicate_rows(df))  # 1 x 1 rows
+    return one_row(stats, duplicate_rows(df))
 
 
 def health_score(df: DataFrame, unmapped: list[str] | None = None,

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fmt0, fmt1, fmt_int, round_dec
+from ..functions.text import fmt0, fmt1, fmt_int, one_row, round_dec
 from .aging import AgingThresholds, aging_days_col
 from .kpis import compute_kpis, funnel_conversion, resolve
 from .scorecards import (client_intelligence, recruiter_intelligence, role_intelligence,
@@ -129,8 +129,10 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                                                    F.struct(F.col(col), F.coalesce(k, F.lit(""))))
 
     kp = compute_kpis(df, cm)
-    # all four scorecards slice one grouping-sets aggregate (one scan, exchange reused)
+    # all four scorecards slice one grouping-sets aggregate; its result (one row per
+    # dimension value) is checkpointed so the slices share one scan and later plans stay small
     pre = shared_metrics(df, cm, date_col, as_of)
+    pre = pre.checkpoint(eager=True) if pre is not None else None
     w = funnel_conversion(kp).agg(F.min_by(F.struct("conversion", "rate_pct"),
                                            F.struct("rate_pct", "step")).alias("w"))
     emit(w, row("bottleneck", None, F.concat(
@@ -141,7 +143,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
         .agg(F.max("percent_change").alias("pc"))
     prior = F.when(F.col("pc").isNotNull(), F.concat(
         F.lit(" Prior period comparison: "), fmt1(F.col("pc")), F.lit("% change."))).otherwise(F.lit(""))
-    emit(kp.crossJoin(comp), row("declining_hires", None, F.concat(  # 1 x 1 rows
+    emit(one_row(kp, comp), row("declining_hires", None, F.concat(
         F.lit("Current joined count is "), fmt_int(F.col("joined")), F.lit("."), prior)))
 
     if cm.get("recruiter"):
@@ -211,7 +213,8 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
     fc = forecast_joins(df, date_col, cm)
     kp = compute_kpis(df, cm).select(
         F.when(F.col("total") > 0, F.col("joined") / F.col("total")).otherwise(0.0).alias("_jr"))
-    one = F.broadcast(fc.crossJoin(kp))  # 1 x 1 rows
+    # forecast facts are one row, attached to forecast questions by an equi-join on the intent
+    one = F.broadcast(one_row(fc, kp).withColumn("_fc_intent", F.lit("forecast_target")).drop("metric"))
 
     facts = facts.withColumnRenamed("intent", "_f_intent").withColumnRenamed("ranking", "_f_ranking")
     # null-safe on ranking: bottleneck / declining-hires answers have no ranking
@@ -224,7 +227,7 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
         j = j.join(stuck, F.col("_thr") == F.col("threshold"), "left")
     else:
         j = j.withColumn("stuck_count", F.lit(None).cast("long"))
-    j = j.crossJoin(one)
+    j = j.join(one, F.col("intent") == F.col("_fc_intent"), "left").drop("_fc_intent")
     tgt = F.when(F.col("target_hires") == 0, 100).otherwise(F.col("target_hires"))
     ok = F.col("sufficient_data") & (F.col("_jr") > 0)
     g_low = F.greatest(F.lit(0.0), tgt - F.col("estimate_high"))

@@ -9,7 +9,7 @@ aggregate).  Team medians and top/bottom picks then work on the grouped frame
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fmt1, round_dec
@@ -74,10 +74,9 @@ def _grouped(df: DataFrame, group_col: str, cm: dict, aging_date_col: str | None
 
 
 def _with_median_delta(cards: DataFrame, score_col: str = "efficiency_score") -> DataFrame:
-    med = cards.agg(F.median(score_col).alias("_median"))
-    return cards.crossJoin(F.broadcast(med)) \
-                .withColumn("vs_team_median", F.round(F.col(score_col) - F.col("_median"), 1)) \
-                .drop("_median")
+    """Score minus the team median; the window spans the grouped frame (one row per group)."""
+    med = F.median(score_col).over(Window.partitionBy())
+    return cards.withColumn("vs_team_median", F.round(F.col(score_col) - med, 1))
 
 
 def _empty(df: DataFrame, name: str, extra: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_col, period_label
-from ..functions.text import safe_pct_change
+from ..functions.text import one_row, safe_pct_change
 from .kpis import kpi_counts, kpi_metrics, resolve
 
 TREND_COLUMNS = ("period", "applications", "screening_selected", "interviews_completed",
@@ -157,8 +157,7 @@ def target_gap(df: DataFrame, target_hires, date_col: str | None, col: dict | No
     k = (kpis if kpis is not None else compute_kpis(df, col)).select(
         F.when(F.col("total") > 0, F.col("joined") / F.col("total")).otherwise(0.0).alias("_jr"))
     t = target_hires if not isinstance(target_hires, int) else F.lit(target_hires)
-    both = fc.crossJoin(k)  # 1 x 1 rows
-    return gap_columns(both, t)
+    return gap_columns(one_row(fc, k), t)
 
 
 def gap_columns(both: DataFrame, t) -> DataFrame:
