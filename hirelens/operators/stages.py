@@ -123,16 +123,14 @@ def with_stage(df: DataFrame, col: dict | None = None) -> DataFrame:
 def stage_counts(df: DataFrame, col: dict | None = None) -> DataFrame:
     """Candidates per pipeline stage, zero-filled over the 11 ordered stages.
 
-    One partial/final aggregate on the stage; the 11-row stage dimension is a
-    literal array joined to it (broadcast, bounded by construction).
+    One global aggregate (a ``count_if`` per listed stage, partial then final)
+    expanded to 11 rows with ``inline`` — no stage table and no join.
     """
-    counts = with_stage(df, col).groupBy(F.col("_current_stage").alias("stage")) \
-                                .agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    dim = spark.createDataFrame([(i + 1, s) for i, s in enumerate(PIPELINE_ORDER)],
-                                "stage_order int, stage string")
-    return (F.broadcast(dim).join(counts, "stage", "left")
-            .select("stage_order", "stage", F.coalesce("n", F.lit(0)).cast("long").alias("candidates")))
+    staged = with_stage(df, col)
+    row = staged.agg(*[F.expr(f"count_if(_current_stage = '{s}') AS c{i}") for i, s in enumerate(PIPELINE_ORDER)])
+    structs = ", ".join(f"named_struct('stage_order', {i + 1}, 'stage', '{s}', 'candidates', CAST(c{i} AS BIGINT))"
+                        for i, s in enumerate(PIPELINE_ORDER))
+    return row.selectExpr(f"inline(array({structs}))")
 
 
 def ops_counters(df: DataFrame, col: dict | None = None) -> DataFrame:
