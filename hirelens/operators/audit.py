@@ -28,8 +28,11 @@ def change_audit(old: DataFrame, new: DataFrame, key: str = "candidate_id", chan
                  fields: tuple[str, ...] = S.AUDITABLE_FIELDS) -> DataFrame:
     """One ``UPDATE <field>`` row per changed auditable field of every candidate in both snapshots."""
     present = [f for f in fields if f in old.columns and f in new.columns]
-    o = old.select(_q(key).alias("_k"), *[_text(_q(f)).alias(f"o__{f}") for f in present])
-    n = new.select(_q(key).alias("_k"), *[_text(_q(f)).alias(f"n__{f}") for f in present])
+    # a snapshot holds one row per candidate (the row store's primary key): reduce each side
+    # to one row per id first, so a repeated id can never multiply the join; the min_by
+    # aggregate is partial (skew-safe) and leaves both sides hash-partitioned on the id
+    o = first_per_key(old.select(_q(key).alias("_k"), *[_text(_q(f)).alias(f"o__{f}") for f in present]), "_k")
+    n = first_per_key(new.select(_q(key).alias("_k"), *[_text(_q(f)).alias(f"n__{f}") for f in present]), "_k")
     j = o.join(n, "_k")
     pairs = F.array(*[F.struct(F.lit(i + 1).alias("field_order"), F.lit(f"UPDATE {f}").alias("action"),
                                F.col(f"o__{f}").alias("old_value"), F.col(f"n__{f}").alias("new_value"))

@@ -738,9 +738,13 @@ register("fingerprint_table", with_apps(
 
 _AUDIT = ["candidate_name", "application_date", "recruiter", "client", "role", "technology", "location", "source",
           "screening_status", "interview_status", "offer_status", "joining_status", "salary_lpa", "time_to_hire_days"]
+_TXT = ", ".join(f"coalesce(cast({c} as varchar), '') as t{i}" for i, c in enumerate(_AUDIT))
+_FIRST = ("(select * from (select candidate_id, " + _TXT + ", row_number() over (partition by candidate_id order by "
+          + ", ".join(f"t{i}" for i in range(len(_AUDIT))) + ") as rn from {src}) where rn = 1)")
 AUDIT_CTE = (", j as (select a.candidate_id, " + ", ".join(
-    f"coalesce(cast(a.{c} as varchar), '') as o{i}, coalesce(cast(b.{c} as varchar), '') as n{i}"
-    for i, c in enumerate(_AUDIT)) + " from applications a join applications_v2 b using (candidate_id)), audit as ("
+    f"a.t{i} as o{i}, b.t{i} as n{i}" for i in range(len(_AUDIT)))
+    + " from " + _FIRST.format(src="applications") + " a join " + _FIRST.format(src="applications_v2")
+    + " b using (candidate_id)), audit as ("
     + " union all ".join(f"select candidate_id, {i + 1} as field_order, 'UPDATE {c}' as action, o{i} as old_value, "
                          f"n{i} as new_value, 'recruiter' as changed_by from j where o{i} <> n{i}"
                          for i, c in enumerate(_AUDIT)) + ")")

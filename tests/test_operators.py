@@ -302,3 +302,10 @@ def test_report_job_writes_all_reports(spark, small_dir):
     assert "kpi_summary" in names and "source_analysis" in names and "technology_performance" in names
     src = spark.read.option("header", True).csv(os.path.join(out, "source_performance"))
     assert "conversion_rate_pct" in src.columns and src.count() == 5
+
+
+def test_change_audit_repeated_id_does_not_multiply(spark):
+    old = strings(spark, [("C1", "Ann", "Pending")] * 50, ["candidate_id", "candidate_name", "offer_status"])
+    new = strings(spark, [("C1", "Ann", "Accepted")] * 50, ["candidate_id", "candidate_name", "offer_status"])
+    rows = AU.change_audit(old, new).collect()
+    assert len(rows) == 1 and rows[0].new_value == "Accepted"
