@@ -952,3 +952,116 @@ register("health_score", with_apps(
     + rdec("least(offer_acceptance_rate, 100.0)", 1) + " as offer_acceptance, "
     + rdec("least(joining_rate, 100.0)", 1) + " as joining, " + rdec("aging", 1) + " as aging, "
     + rdec("dq", 1) + " as data_quality, 'Internal Recruitment Health Score' as label from k, ar, dq"))
+
+
+# ---------------------------------------------------------------- answers
+
+
+def _sub(fragment: str, select: str) -> str:
+    """A subquery with its own CTE scope built from a ', name as (...)' fragment."""
+    return f"(with _s as (select 1){fragment} {select})"
+
+
+def _nan(e: str) -> str:
+    return f"coalesce(cast({e} as varchar), 'nan')"
+
+
+def _pick_row(src: str, key: str, order_col: str, asc: bool) -> str:
+    d = "asc" if asc else "desc"
+    return f"from {src} order by {order_col} {d}, coalesce(cast({key} as varchar), '') {d} limit 1"
+
+
+_ANS_FACTS = " union all ".join([
+    "select * from " + _sub(KPI_CTE + f", fc5 as ({_CONV_SQL})",
+                             "select 'bottleneck' as intent, cast(null as varchar) as ranking, "
+                             "'The biggest funnel bottleneck is ' || conversion || ' at ' || " + fmt1("rate_pct")
+                             + " || '%.' as answer, cast(null as varchar) as entity from fc5 order by rate_pct, step limit 1"),
+    "select * from " + _sub(CMP_CTE.replace(trend_body("M"), trend_body("M") + KPI_CTE.replace(FL_CTE, "", 1), 1),
+                             "select 'declining_hires', cast(null as varchar), 'Current joined count is ' || "
+                             + fint("joined") + " || '.' || coalesce(' Prior period comparison: ' || "
+                             + fmt1("(select max(percent_change) from cmp where metric = 'Joined' and percent_change is not null)")
+                             + " || '% change.', ''), cast(null as varchar) from k"),
+    "select * from " + _sub(_RI, "select 'recruiter_ranking', 'worst', " + _nan("recruiter")
+                             + " || ' has the lowest efficiency score (' || " + fmt1("efficiency_score")
+                             + " || ').', cast(recruiter as varchar) " + _pick_row("ri", "recruiter", "efficiency_score", True)),
+    "select * from " + _sub(_RI, "select 'recruiter_ranking', 'best', " + _nan("recruiter")
+                             + " || ' leads with efficiency score ' || " + fmt1("efficiency_score")
+                             + " || '.', cast(recruiter as varchar) " + _pick_row("ri", "recruiter", "efficiency_score", False)),
+    "select * from " + _sub(no_eff("client") + f", ch as (select *, {_CH} as client_health_score from cards)",
+                             "select 'client_ranking', 'worst', " + _nan("client") + " || ' is the hardest client (health score ' || "
+                             + fmt1("client_health_score") + " || ').', cast(client as varchar) "
+                             + _pick_row("ch", "client", "client_health_score", True)),
+    "select * from " + _sub(no_eff("client") + f", ch as (select *, {_CH} as client_health_score from cards)",
+                             "select 'client_ranking', 'best', " + _nan("client") + " || ' is the strongest client (health score ' || "
+                             + fmt1("client_health_score") + " || ').', cast(client as varchar) "
+                             + _pick_row("ch", "client", "client_health_score", False)),
+    "select * from " + _sub(grouped_metrics("source", False).replace(", efficiency_score from gme", " from gme"),
+                             "select 'source_ranking', 'volume', " + _nan("source") + " || ' has highest volume (' || "
+                             "cast(applications as varchar) || ' applications).', cast(source as varchar) "
+                             + _pick_row("cards", "source", "applications", False)),
+    "select * from " + _sub(grouped_metrics("source", False).replace(", efficiency_score from gme", " from gme")
+                             + ", sq as (select *, " + rdec("joining_rate_pct * 0.5 + interview_selection_pct * 0.3 + "
+                                                           "offer_acceptance_pct * 0.2", 2) + " as quality_score from cards)",
+                             "select 'source_ranking', 'best', " + _nan("source") + " || ' has the best quality score (' || "
+                             + fmt1("quality_score") + " || ').', cast(source as varchar) "
+                             + _pick_row("sq", "source", "quality_score", False)),
+    "select * from " + _sub(no_eff("role") + f", rd as (select *, cast(least(100, {_PTS}) as double) as hd, "
+                             f"{_WHY} as _why from cards)",
+                             "select 'role_ranking', 'hard', " + _nan("role") + " || ' is hardest to hire (difficulty ' || "
+                             + fmt1("hd") + " || '): ' || case when _why = '' then 'within normal range' else _why end || '.', "
+                             "cast(role as varchar) " + _pick_row("rd", "role", "hd", False)),
+])
+
+_ANS_ACTIONS = {
+    "declining_hires": "Review funnel stages with largest conversion drops.",
+    "bottleneck": "Focus operational effort on the weakest conversion stage.",
+    "recruiter_ranking": "Review recruiter pipeline aging and stage conversion.",
+    "client_ranking": "Align client expectations and screening calibration.",
+    "source_ranking": "Balance volume and quality when allocating sourcing spend.",
+    "role_ranking": "Review role requirements, compensation, and pipeline aging.",
+    "aging_query": "Prioritize recruiter follow-up on aging candidates.",
+    "forecast_target": "Increase sourcing or improve conversion at bottleneck stage.",
+}
+_UNKNOWN = ("I could not interpret that question. Try: 'Which recruiter is underperforming?' "
+            "or 'Where is the biggest funnel bottleneck?'")
+_FCX = "(" + FC_CTE.replace(", fl as (", ", fl_unused as (", 0) + ")"
+_TGT = "(case when t.target_hires = 0 then 100 else t.target_hires end)"
+_OK = "(f.sufficient_data and f.jr > 0)"
+
+
+def _fmt0(x: str) -> str:
+    return f"cast(cast({rdec(x, 0)} as bigint) as varchar)"
+
+
+_FORECAST_TEXT = (
+    "case when " + _OK + " then 'ESTIMATE: expected joins ' || " + _fmt0("f.estimate_low") + " || '–' || "
+    + _fmt0("f.estimate_high") + " || ' vs target ' || cast(" + _TGT + " as varchar) || '. Gap ' || "
+    + _fmt0(rdec(f"greatest(0.0, {_TGT} - f.estimate_high)", 1)) + " || '–' || "
+    + _fmt0(rdec(f"greatest(0.0, {_TGT} - f.estimate_low)", 1)) + " || '. Additional pipeline ~' || "
+    + fint(rdec(f"greatest(0.0, {_TGT} - f.estimate_high) / greatest(f.jr, 0.001)", 0)) + " || '–' || "
+    + fint(rdec(f"greatest(0.0, {_TGT} - f.estimate_low) / greatest(f.jr, 0.001)", 0))
+    + " || ' applications.' else f.message end")
+
+register("answers", with_apps(
+    ", qs as (" + QS_SRC + ")" + tag_sql("select * from qs").replace("(select * from qs), tq", ", tq", 1)
+    .replace("(select * from qs)", "", 0)
+    + ", facts as (" + _ANS_FACTS + ")"
+    + AGED
+    + ", fcr as " + _sub(FC_CTE + JR_CTE, "select fc.*, jr.jr from fc, jr")
+    + """ select t.conv_id, t.turn, t.question, t.intent, t.ranking, t.aging_days, t.target_hires,
+      case when t.intent = 'aging_query' then
+             (case when (case when t.aging_days = 0 then 14 else t.aging_days end) is null
+                   then 'No date data for aging analysis.'
+                   else """ + fint("(select count(*) from aged where aging_days > (case when t.aging_days = 0 then 14 else t.aging_days end))")
+    + """ || ' candidates are aging beyond ' || cast(case when t.aging_days = 0 then 14 else t.aging_days end as varchar)
+                        || ' days.' end)
+           when t.intent = 'forecast_target' then """ + _FORECAST_TEXT + f"""
+           when t.intent = 'unknown' then {q(_UNKNOWN)}
+           else x.answer end as answer,
+      x.entity,
+      case when t.intent = 'aging_query' and (case when t.aging_days = 0 then 14 else t.aging_days end) is null then ''
+           when t.intent = 'forecast_target' and not {_OK} then ''
+           """ + " ".join(f"when t.intent = {q(k)} then {q(v)}" for k, v in _ANS_ACTIONS.items()) + """
+           else '' end as recommended_action
+    from tagged t left join facts x on t.intent = x.intent and t.ranking is not distinct from x.ranking
+    left join fcr f on t.intent = 'forecast_target'"""))
