@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.dates import parse_date_col
-from ..functions.text import NUMERIC_PATTERN, col_or_blank, combined_status, norm_lower, parse_number, pct2
+from ..functions.text import NUMERIC_PATTERN, col_or_blank, combined_status, norm_lower, parse_number
 
 COUNT_FIELDS = (
     "total", "screening_selected", "interview_selected", "interview_rejected",

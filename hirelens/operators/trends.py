@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_col, period_label
-from ..functions.text import one_row, safe_pct_change
+from ..functions.text import one_row
 from .kpis import kpi_counts, kpi_metrics, resolve
 
 TREND_COLUMNS = ("period", "applications", "screening_selected", "interviews_completed",

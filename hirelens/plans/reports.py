@@ -7,8 +7,6 @@ checkpoint folder so the per-report writes reuse it instead of rescanning.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
