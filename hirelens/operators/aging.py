@@ -62,8 +62,9 @@ def aging_risk_agg(aged_bucket: Column) -> Column:
 
 
 def aging_risk_from_avg(avg_weight: Column) -> Column:
-    return F.coalesce(F.round(F.greatest(F.lit(0.0), F.lit(100.0) - avg_weight * 25), 1),
-                      F.lit(100.0))
+    # no aged rows -> 100 (``greatest`` would skip the NULL and give 0)
+    return F.when(avg_weight.isNull(), F.lit(100.0)).otherwise(
+        F.round(F.greatest(F.lit(0.0), F.lit(100.0) - avg_weight * 25), 1))
 
 
 def aging_risk(aged: DataFrame) -> DataFrame:

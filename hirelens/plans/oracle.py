@@ -394,9 +394,9 @@ AGED = (f", aged0 as (select *, cast(date_diff('day', application_date, {AS_OF})
 register("aging_summary", with_apps(AGED + " select * from aged"))
 register("aging_buckets", with_apps(AGED + " select aging_bucket as bucket, count(*) as candidates from aged group by 1"))
 register("aging_risk", with_apps(
-    AGED + " select coalesce(round(greatest(0.0, 100.0 - avg(case aging_bucket when 'HEALTHY' then 0 "
-    "when 'WATCH' then 1 when 'AGING' then 2 when 'CRITICAL' then 3 else 0 end) * 25), 1), 100.0) "
-    "as aging_risk_score from aged"))
+    AGED + ", w as (select avg(case aging_bucket when 'HEALTHY' then 0 when 'WATCH' then 1 when 'AGING' then 2 "
+    "when 'CRITICAL' then 3 else 0 end) as w from aged) "
+    "select case when w is null then 100.0 else round(greatest(0.0, 100.0 - w * 25), 1) end as aging_risk_score from w"))
 register("group_aging", with_apps(
     AGED + " select recruiter, count(*) as candidates, round(avg(aging_days), 1) as avg_aging_days, "
     "cast(count_if(aging_bucket = 'CRITICAL') as bigint) as critical, cast(count_if(aging_bucket = 'AGING') as bigint) as aging "
@@ -938,8 +938,9 @@ _DQ = (", dqs as (select count(*) as row_count, count_if(candidate_id is null) a
                                      f"least(8.0, 0 / greatest(row_count, 1) * 100 * 0.4)",
                                      f"least(5.0, {_share('bad_sal')} * 0.3)", f"least(5.0, {_share('bad_tth')} * 0.3)"])
            + ") - 0.0", 1) + ") as dq from dqs)")
-_AR = (", ar as (select coalesce(round(greatest(0.0, 100.0 - avg(case aging_bucket when 'HEALTHY' then 0 "
-       "when 'WATCH' then 1 when 'AGING' then 2 when 'CRITICAL' then 3 else 0 end) * 25), 1), 100.0) as aging from aged)")
+_AR = (", arw as (select avg(case aging_bucket when 'HEALTHY' then 0 when 'WATCH' then 1 when 'AGING' then 2 "
+       "when 'CRITICAL' then 3 else 0 end) as w from aged), "
+       "ar as (select case when w is null then 100.0 else round(greatest(0.0, 100.0 - w * 25), 1) end as aging from arw)")
 _FUNNEL = ("(least(screening_rate / 100, 1.0) * 0.25 + least(interview_selection_rate / 100, 1.0) * 0.25 + "
            "least(offer_acceptance_rate / 100, 1.0) * 0.25 + least(joining_rate / 100, 1.0) * 0.25) * 100")
 _VEL = ("case when avg_time_to_hire is not null and avg_time_to_hire > 0 then "
