@@ -92,3 +92,11 @@ def audit_history(audit: DataFrame, candidate_id: str, key: str = "candidate_id"
                   order_col: str = "field_order") -> DataFrame:
     """The audit rows of one candidate, newest first."""
     return audit.filter(_q(key) == candidate_id).orderBy(_q(order_col).desc())
+
+
+def database_summary(candidates: DataFrame, audit: DataFrame) -> DataFrame:
+    """Row counts of the candidate table and the audit log, as one row."""
+    c = candidates.agg(F.count(F.lit(1)).alias("candidates"))
+    a = audit.agg(F.count(F.lit(1)).alias("audit_events"))
+    from ..functions.text import one_row
+    return one_row(c, a)

@@ -263,3 +263,25 @@ def health_score(kpis: DataFrame, aging_risk: DataFrame | None, data_quality: Da
         round_dec(c("_dq"), 1).alias("data_quality"),
         F.lit("Internal Recruitment Health Score").alias("label"),
     )
+
+
+def executive_package(df: DataFrame, date_col: str | None, as_of: str, th=None,
+                      data_quality: DataFrame | None = None, col: dict | None = None) -> dict[str, DataFrame]:
+    """Health score, period comparisons, findings and funnel rates sharing one KPI row.
+
+    The one-row KPI frame is checkpointed (reliable, shared folder) so the four
+    outputs reuse it instead of re-aggregating the table.
+    """
+    from .aging import AgingThresholds, aging_risk, aging_summary
+    from .trends import period_comparison
+
+    cm = resolve(df, col)
+    kp = compute_kpis(df, cm).checkpoint(eager=True)
+    aged = aging_summary(df, date_col, as_of, th or AgingThresholds()) if date_col else None
+    comps = period_comparison(df, date_col, cm)
+    return {
+        "health": health_score(kp, aging_risk(aged) if aged is not None else None, data_quality),
+        "comparisons": comps,
+        "findings": executive_findings(kp, comps),
+        "funnel_rates": funnel_conversion(kp),
+    }

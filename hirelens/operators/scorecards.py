@@ -230,3 +230,37 @@ def best_source(intel: DataFrame, key: str = "source") -> DataFrame:
     return intel.agg(_pick(intel, key, "quality_score", True).alias("source"),
                      F.max("quality_score").alias("quality_score"),
                      F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 0).drop("_n")
+
+
+def top_entities(df: DataFrame, col: dict | None = None) -> DataFrame:
+    """W10 (legacy dashboard picks): first recruiter of the report (key order, NULL last),
+    client with the highest joining rate, technology with the highest average salary.
+
+    All three come from one grouping-sets aggregate; each pick is a ``min_by``/``max_by``
+    over one row per group.
+    """
+    cm = resolve(df, col)
+    dims = tuple(d for d in ("recruiter", "client", "technology") if cm.get(d))
+    if not dims:
+        return df.sparkSession.createDataFrame(
+            [], "entity_type string, entity string, metric string, value double, joined bigint")
+    pre = dimension_metrics(df, cm, dims)
+    parts = []
+    for d in dims:
+        g = group_frame(metrics_for(pre, cm[d]), [cm[d]])
+        k = F.col(f"`{cm[d]}`").cast("string")
+        if d == "recruiter":
+            metric, pick = "joining_rate_pct", F.min_by(
+                F.struct(k.alias("e"), F.col("joining_rate_pct").alias("v"), F.col("joined").alias("j")),
+                F.struct(k.isNull(), F.coalesce(k, F.lit(""))))
+        else:
+            metric = "joining_rate_pct" if d == "client" else "average_salary"
+            pick = F.max_by(F.struct(k.alias("e"), F.col(metric).alias("v"), F.col("joined").alias("j")),
+                            F.struct(F.col(metric), F.coalesce(k, F.lit(""))))
+        parts.append(g.agg(pick.alias("p")).filter(F.col("p").isNotNull()).select(
+            F.lit(d).alias("entity_type"), F.col("p.e").alias("entity"), F.lit(metric).alias("metric"),
+            F.col("p.v").cast("double").alias("value"), F.col("p.j").cast("long").alias("joined")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -1066,3 +1066,23 @@ register("answers", with_apps(
            else '' end as recommended_action
     from tagged t left join facts x on t.intent = x.intent and t.ranking is not distinct from x.ranking
     left join fcr f on t.intent = 'forecast_target'"""))
+
+
+# ---------------------------------------------------------------- legacy picks, report read-back, summary
+
+_TOP_SRC = FL_CTE + "".join(
+    f", {d}_g as (select {d}, {group_cols()} from (select {d}, {counts_cols()} from fl group by {d}))"
+    for d in ("recruiter", "client", "technology"))
+register("top_entities", with_apps(
+    _TOP_SRC + " select * from (select 'recruiter' as entity_type, cast(recruiter as varchar) as entity, "
+    "'joining_rate_pct' as metric, cast(joining_rate_pct as double) as value, joined from recruiter_g "
+    "order by recruiter is null, coalesce(recruiter, '') limit 1) union all "
+    "select * from (select 'client', cast(client as varchar), 'joining_rate_pct', cast(joining_rate_pct as double), joined "
+    "from client_g order by joining_rate_pct desc, coalesce(client, '') desc limit 1) union all "
+    "select * from (select 'technology', cast(technology as varchar), 'average_salary', cast(average_salary as double), "
+    "joined from technology_g order by average_salary desc nulls last, coalesce(technology, '') desc limit 1)"))
+register("report_kpi_lookup", with_apps(KPI_CTE + "\n" + _rows(
+    "k", [(q(lbl), f"coalesce(cast({c} as double), 0.0)") for lbl, c in _SUMMARY], ["metric", "value"])))
+register("database_summary", with_apps(
+    AUDIT_CTE + " select (select count(*) from applications) as candidates, (select count(*) from audit) as audit_events",
+    v2=True))

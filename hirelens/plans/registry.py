@@ -550,3 +550,24 @@ def append_validated(spark, sf_dir):
 @query("import_if_new")
 def import_if_new(spark, sf_dir):
     return AU.import_if_new(_earlier_snapshot(spark, sf_dir), normalized(spark, sf_dir).data)
+
+
+# ---------------------------------------------------------------- legacy picks, report read-back, summary
+
+@query("top_entities")
+def top_entities(spark, sf_dir):
+    return SC.top_entities(apps(spark, sf_dir))
+
+
+@query("report_kpi_lookup")
+def report_kpi_lookup(spark, sf_dir):
+    path = scratch_path(spark, "kpi-summary")
+    FS.save_reports({"kpi_summary": K.kpi_summary(K.compute_kpis(apps(spark, sf_dir)))
+                     .select("metric", "value")}, path)
+    return FS.kpi_lookup(FS.read_report(spark, f"{path}/kpi_summary"))
+
+
+@query("database_summary")
+def database_summary(spark, sf_dir):
+    return AU.database_summary(apps(spark, sf_dir),
+                               AU.change_audit(apps(spark, sf_dir), FX.applications_v2(spark, sf_dir)))

@@ -93,3 +93,17 @@ def save_reports(reports: dict[str, DataFrame], out_dir: str) -> list[str]:
         frame.coalesce(1).write.mode("overwrite").option("header", True).csv(p)
         paths.append(p)
     return paths
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A written report read back as all-string columns."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+
+def kpi_lookup(report: DataFrame, default: float = 0.0) -> DataFrame:
+    """S6 ``get_kpi`` for every metric of a (metric, value) report: the value as a number,
+    or ``default`` when it is missing, NULL or not numeric."""
+    from ..functions.text import parse_number
+
+    return report.select(F.col("metric"), F.coalesce(parse_number(F.col("value")), F.lit(float(default)))
+                         .alias("value"))

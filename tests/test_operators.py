@@ -309,3 +309,28 @@ def test_change_audit_repeated_id_does_not_multiply(spark):
     new = strings(spark, [("C1", "Ann", "Accepted")] * 50, ["candidate_id", "candidate_name", "offer_status"])
     rows = AU.change_audit(old, new).collect()
     assert len(rows) == 1 and rows[0].new_value == "Accepted"
+
+
+def test_executive_package_parts(spark, small_dir):
+    from hirelens.operators import insights as INS
+    pkg = INS.executive_package(R.apps(spark, small_dir), "application_date", "2001-08-01")
+    assert set(pkg) == {"health", "comparisons", "findings", "funnel_rates"}
+    assert pkg["funnel_rates"].count() == 5 and pkg["health"].count() == 1
+    assert "BOTTLENECK" in {r.category for r in pkg["findings"].collect()}
+
+
+def test_filter_key_and_search_columns(spark, small_dir):
+    k1 = FL.build_filter_key({"recruiter": ["a"], "client": []})
+    k2 = FL.build_filter_key({"client": [], "recruiter": ["a"]})
+    assert k1 == k2 and len(k1) == 24
+    assert FL.search_columns(R.apps(spark, small_dir)) == [
+        "candidate_id", "candidate_name", "recruiter", "client", "role", "technology", "location", "source"]
+
+
+def test_rejections_and_mapping_table(spark):
+    df = strings(spark, [("C1", "Salary"), ("C2", "Salary"), ("C3", None), ("C4", "Location")],
+                 ["candidate_id", "rejection_reason"])
+    got = {r.rejection_reason: r["count"] for r in FL.rejections(df).collect()}
+    assert got == {"Salary": 2, "Location": 1}
+    mt = IN.mapping_table(spark, {"TA Owner": "recruiter", "CTC": "salary_lpa"}).collect()
+    assert [(r.uploaded_column, r.recognized_as) for r in mt] == [("TA Owner", "Recruiter"), ("CTC", "Salary")]
