@@ -26,7 +26,9 @@ def facts(df: DataFrame, col: dict | None = None) -> DataFrame:
     """One row: KPIs + recruiter card picks/median + source picks."""
     cm = resolve(df, col)
     f = compute_kpis(df, cm)
-    pre = shared_metrics(df, cm, dims=("recruiter", "source"))  # one scan for both dimensions
+    # one scan for both dimensions; the tiny result is checkpointed so both consumers share it
+    pre = shared_metrics(df, cm, dims=("recruiter", "source"))
+    pre = pre.checkpoint(eager=True) if pre is not None else None
     if cm.get("recruiter"):
         cards = recruiter_scorecards(df, cm, pre)
         rk = cm["recruiter"]

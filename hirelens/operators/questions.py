@@ -21,7 +21,7 @@ from .aging import AgingThresholds, aging_days_col
 from .kpis import compute_kpis, funnel_conversion, resolve
 from .scorecards import (client_intelligence, recruiter_intelligence, role_intelligence,
                          shared_metrics, source_intelligence)
-from .trends import forecast_joins, period_comparison
+from .trends import forecast_joins, period_comparison, trends
 
 # FIXED VALUES: answer texts
 UNKNOWN_ANSWER = ("I could not interpret that question. Try: 'Which recruiter is underperforming?' "
@@ -104,7 +104,8 @@ def stuck_counts(df: DataFrame, thresholds: DataFrame, date_col: str | None, as_
 
 
 def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
-                  th: AgingThresholds) -> DataFrame:
+                  th: AgingThresholds, kp: DataFrame | None = None,
+                  monthly: DataFrame | None = None) -> DataFrame:
     """One row per (intent, ranking) with the answer text and entity.
 
     Each part aggregates an already grouped frame (one row per group) to one row.
@@ -128,7 +129,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
         return (F.max_by if highest else F.min_by)(F.struct(k.alias("e"), F.col(col).alias("v")),
                                                    F.struct(F.col(col), F.coalesce(k, F.lit(""))))
 
-    kp = compute_kpis(df, cm)
+    kp = kp if kp is not None else compute_kpis(df, cm)
     # all four scorecards slice one grouping-sets aggregate; its result (one row per
     # dimension value) is checkpointed so the slices share one scan and later plans stay small
     pre = shared_metrics(df, cm, date_col, as_of)
@@ -139,7 +140,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
         F.lit("The biggest funnel bottleneck is "), F.col("w.conversion"), F.lit(" at "),
         fmt1(F.col("w.rate_pct")), F.lit("%."))))
 
-    comp = period_comparison(df, date_col, cm).filter(F.col("metric") == "Joined") \
+    comp = period_comparison(df, date_col, cm, monthly).filter(F.col("metric") == "Joined") \
         .agg(F.max("percent_change").alias("pc"))
     prior = F.when(F.col("pc").isNotNull(), F.concat(
         F.lit(" Prior period comparison: "), fmt1(F.col("pc")), F.lit("% change."))).otherwise(F.lit(""))
@@ -203,15 +204,20 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
     """A deterministic answer and recommended action for every question."""
     cm = resolve(df, col)
     tagged = tag_intents(questions, text_col)
+    # the one-row KPIs and the per-month trend rows feed several facts: compute each once
+    # (tiny results, reliable checkpoint in the shared folder) instead of once per consumer
+    kp_all = compute_kpis(df, cm).checkpoint(eager=True)
+    monthly = (trends(df, date_col, "M", cm).checkpoint(eager=True)
+               if date_col and date_col in df.columns else None)
     # at most one row per (intent, ranking) by construction: a fixed-size broadcast
-    facts = F.broadcast(_answer_facts(df, cm, date_col, as_of, th))
+    facts = F.broadcast(_answer_facts(df, cm, date_col, as_of, th, kp_all, monthly))
     thresholds = tagged.filter(F.col("intent") == "aging_query") \
                        .select(F.when(F.col("aging_days") == 0, 14).otherwise(F.col("aging_days"))
                                .alias("threshold")).filter(F.col("threshold").isNotNull()).distinct()
     has_dates = bool(date_col and date_col in df.columns)
     stuck = stuck_counts(df, thresholds, date_col, as_of) if has_dates else None
-    fc = forecast_joins(df, date_col, cm)
-    kp = compute_kpis(df, cm).select(
+    fc = forecast_joins(df, date_col, cm, monthly=monthly)
+    kp = kp_all.select(
         F.when(F.col("total") > 0, F.col("joined") / F.col("total")).otherwise(0.0).alias("_jr"))
     # forecast facts are one row, attached to forecast questions by an equi-join on the intent
     one = F.broadcast(one_row(fc, kp).withColumn("_fc_intent", F.lit("forecast_target")).drop("metric"))

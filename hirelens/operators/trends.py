@@ -69,8 +69,9 @@ def last_two_periods(df: DataFrame, date_col: str, freq: str = "M") -> DataFrame
     return dated.join(F.broadcast(picks), "_p").drop("_p")
 
 
-def _monthly_ranked(df: DataFrame, date_col: str, col: dict | None) -> DataFrame:
-    t = trends(df, date_col, "M", col)
+def _monthly_ranked(df: DataFrame, date_col: str, col: dict | None,
+                    monthly: DataFrame | None = None) -> DataFrame:
+    t = monthly if monthly is not None else trends(df, date_col, "M", col)
     w = Window.orderBy(F.col("period").desc())
     return t.withColumn("_r", F.row_number().over(w)) \
             .withColumn("_np", F.count(F.lit(1)).over(Window.partitionBy()))
@@ -85,13 +86,17 @@ COMPARE_METRICS = (
 )
 
 
-def period_comparison(df: DataFrame, date_col: str | None, col: dict | None = None) -> DataFrame:
-    """Latest vs previous present month for 8 metrics (+ time to hire when both exist)."""
+def period_comparison(df: DataFrame, date_col: str | None, col: dict | None = None,
+                      monthly: DataFrame | None = None) -> DataFrame:
+    """Latest vs previous present month for 8 metrics (+ time to hire when both exist).
+
+    ``monthly`` may pass an already computed ``trends(df, date_col, "M")`` frame.
+    """
     schema = ("metric_order int, metric string, current double, previous double, absolute_change double, "
               "percent_change double, sufficient_data boolean, note string")
     if not date_col or date_col not in df.columns:
         return df.sparkSession.createDataFrame([], schema)
-    r = _monthly_ranked(df, date_col, col).filter("_r <= 2 AND _np >= 2")
+    r = _monthly_ranked(df, date_col, col, monthly).filter("_r <= 2 AND _np >= 2")
     # one aggregate row holding current (rank 1) and previous (rank 2) values, built as SQL text
     pair = r.agg(*[F.expr(f"CAST(max(CASE WHEN _r = {k} THEN {c} END) AS DOUBLE) AS {p}_{c}")
                    for _, c in COMPARE_METRICS for k, p in ((1, "c"), (2, "p"))],
@@ -115,7 +120,7 @@ FORECAST_MESSAGE = "Based on recent monthly join average (ESTIMATE)."
 
 
 def forecast_joins(df: DataFrame, date_col: str | None, col: dict | None = None,
-                   min_periods: int = 3) -> DataFrame:
+                   min_periods: int = 3, monthly: DataFrame | None = None) -> DataFrame:
     """Mean +/- sample std of joins over the last 3 present months (1 dp)."""
     if not date_col or date_col not in df.columns:
         spark = df.sparkSession
@@ -123,7 +128,7 @@ def forecast_joins(df: DataFrame, date_col: str | None, col: dict | None = None,
             [("joins", 0.0, 0.0, 0.0, False, INSUFFICIENT_FORECAST, 0)],
             "metric string, estimate_low double, estimate_high double, estimate_mid double, "
             "sufficient_data boolean, message string, historical_periods int")
-    r = _monthly_ranked(df, date_col, col)
+    r = _monthly_ranked(df, date_col, col, monthly)
     recent = F.col("_r") <= 3
     agg = r.agg(F.count(F.lit(1)).alias("n"),
                 F.avg(F.when(recent, F.col("joined"))).alias("mean"),
