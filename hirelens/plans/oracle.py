@@ -1086,3 +1086,9 @@ register("report_kpi_lookup", with_apps(KPI_CTE + "\n" + _rows(
 register("database_summary", with_apps(
     AUDIT_CTE + " select (select count(*) from applications) as candidates, (select count(*) from audit) as audit_events",
     v2=True))
+register("fingerprint_rows", with_apps(
+    " select candidate_id, sha256(concat_ws('|', " + ", ".join(f"coalesce(cast({c} as varchar), '')" for c in _APP_COLS)
+    + ")) as row_sha256 from applications"))
+register("coerce_numeric", with_apps(
+    ' select "Candidate ID" as candidate_id, "Notes" as raw_value, ' + parse_num('"Notes"') + " as value "
+    "from applications_raw", raw=True))

@@ -571,3 +571,16 @@ def report_kpi_lookup(spark, sf_dir):
 def database_summary(spark, sf_dir):
     return AU.database_summary(apps(spark, sf_dir),
                                AU.change_audit(apps(spark, sf_dir), FX.applications_v2(spark, sf_dir)))
+
+
+@query("fingerprint_rows")
+def fingerprint_rows(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    return a.select("candidate_id", FS.row_fingerprint(a).alias("row_sha256"))
+
+
+@query("coerce_numeric")
+def coerce_numeric(spark, sf_dir):
+    r = raw(spark, sf_dir)
+    return r.select(F.col("`Candidate ID`").alias("candidate_id"), F.col("Notes").alias("raw_value"),
+                    IN.coerce_numeric(r, "Notes").alias("value"))
