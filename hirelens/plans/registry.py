@@ -366,11 +366,12 @@ def normalized(spark, sf_dir, materialize: bool = True) -> IN.Normalized:
     n = IN.normalize_all(raw(spark, sf_dir))
     if materialize:
         key = (spark.sparkContext.applicationId, FX._source_signature(sf_dir))
-        path = _NORMALIZED.get(key)
-        if path is None:
-            path = scratch_path(spark, "normalized")
-            n.data.write.mode("overwrite").parquet(path)
-            _NORMALIZED[key] = path
+        with FX.MATERIALIZE_LOCK:
+            path = _NORMALIZED.get(key)
+            if path is None:
+                path = scratch_path(spark, "normalized")
+                n.data.write.mode("overwrite").parquet(path)
+                _NORMALIZED[key] = path
         n.data = spark.read.parquet(path)
     return n
 

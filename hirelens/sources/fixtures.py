@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from ..session import ensure_checkpoint_dir
 from .tables import broadcast_if_bounded, read_table
 
 _MATERIALIZED: dict[tuple, str] = {}
+MATERIALIZE_LOCK = threading.RLock()  # one writer per derived table, also under threaded drivers
 
 
 def _h(mult: int, cust_mult: int, mod: int | None) -> Column:
@@ -56,13 +58,14 @@ def applications(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     if not materialize:
         return derive_applications(spark, sf_dir)
     key = (spark.sparkContext.applicationId, _source_signature(sf_dir))
-    path = _MATERIALIZED.get(key)
-    if path is None:
-        base = ensure_checkpoint_dir(spark)
-        digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-        path = os.path.join(base, "tables", f"applications-{digest}")
-        derive_applications(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _MATERIALIZED[key] = path
+    with MATERIALIZE_LOCK:
+        path = _MATERIALIZED.get(key)
+        if path is None:
+            base = ensure_checkpoint_dir(spark)
+            digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
+            path = os.path.join(base, "tables", f"applications-{digest}")
+            derive_applications(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
 
