@@ -209,21 +209,26 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
     kp_all = compute_kpis(df, cm).checkpoint(eager=True)
     monthly = (trends(df, date_col, "M", cm).checkpoint(eager=True)
                if date_col and date_col in df.columns else None)
-    # at most one row per (intent, ranking) by construction: a fixed-size broadcast
-    facts = F.broadcast(_answer_facts(df, cm, date_col, as_of, th, kp_all, monthly))
+    fc = forecast_joins(df, date_col, cm, monthly=monthly)
+    jr = kp_all.select(
+        F.when(F.col("total") > 0, F.col("joined") / F.col("total")).otherwise(0.0).alias("_jr"))
+    # the forecast is one more facts row (intent forecast_target), so every question reaches its
+    # facts through the same equi-join on (intent, ranking)
+    fc_row = one_row(fc, jr).select(
+        F.lit("forecast_target").alias("intent"), F.lit(None).cast("string").alias("ranking"),
+        F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("entity"),
+        "estimate_low", "estimate_high", "estimate_mid", "sufficient_data", "message", "_jr")
+    facts = _answer_facts(df, cm, date_col, as_of, th, kp_all, monthly) \
+        .unionByName(fc_row, allowMissingColumns=True)
     thresholds = tagged.filter(F.col("intent") == "aging_query") \
                        .select(F.when(F.col("aging_days") == 0, 14).otherwise(F.col("aging_days"))
                                .alias("threshold")).filter(F.col("threshold").isNotNull()).distinct()
     has_dates = bool(date_col and date_col in df.columns)
     stuck = stuck_counts(df, thresholds, date_col, as_of) if has_dates else None
-    fc = forecast_joins(df, date_col, cm, monthly=monthly)
-    kp = kp_all.select(
-        F.when(F.col("total") > 0, F.col("joined") / F.col("total")).otherwise(0.0).alias("_jr"))
-    # forecast facts are one row, attached to forecast questions by an equi-join on the intent
-    one = F.broadcast(one_row(fc, kp).withColumn("_fc_intent", F.lit("forecast_target")).drop("metric"))
 
-    facts = facts.withColumnRenamed("intent", "_f_intent").withColumnRenamed("ranking", "_f_ranking")
-    # null-safe on ranking: bottleneck / declining-hires answers have no ranking
+    # at most one row per (intent, ranking) by construction: a fixed-size broadcast
+    facts = F.broadcast(facts.withColumnRenamed("intent", "_f_intent").withColumnRenamed("ranking", "_f_ranking"))
+    # null-safe on ranking: bottleneck / declining-hires / forecast answers have no ranking
     j = tagged.join(facts, (F.col("intent") == F.col("_f_intent"))
                     & F.col("ranking").eqNullSafe(F.col("_f_ranking")), "left").drop("_f_intent", "_f_ranking")
     j = j.withColumn("_thr", F.when(F.col("intent") == "aging_query",
@@ -233,7 +238,6 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
         j = j.join(stuck, F.col("_thr") == F.col("threshold"), "left")
     else:
         j = j.withColumn("stuck_count", F.lit(None).cast("long"))
-    j = j.join(one, F.col("intent") == F.col("_fc_intent"), "left").drop("_fc_intent")
     tgt = F.when(F.col("target_hires") == 0, 100).otherwise(F.col("target_hires"))
     ok = F.col("sufficient_data") & (F.col("_jr") > 0)
     g_low = F.greatest(F.lit(0.0), tgt - F.col("estimate_high"))
