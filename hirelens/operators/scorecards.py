@@ -244,7 +244,8 @@ def top_entities(df: DataFrame, col: dict | None = None) -> DataFrame:
     if not dims:
         return df.sparkSession.createDataFrame(
             [], "entity_type string, entity string, metric string, value double, joined bigint")
-    pre = dimension_metrics(df, cm, dims)
+    # one grouping-sets scan; its tiny result is checkpointed so the three picks share it
+    pre = dimension_metrics(df, cm, dims).checkpoint(eager=True)
     parts = []
     for d in dims:
         g = group_frame(metrics_for(pre, cm[d]), [cm[d]])
