@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_small
 from ..functions.text import fmt1, fmt_int, one_row, pct, round_dec
 from .kpis import compute_kpis, funnel_conversion, resolve
 from .scorecards import recruiter_scorecards, shared_metrics
@@ -28,7 +29,7 @@ def facts(df: DataFrame, col: dict | None = None) -> DataFrame:
     f = compute_kpis(df, cm)
     # one scan for both dimensions; the tiny result is checkpointed so both consumers share it
     pre = shared_metrics(df, cm, dims=("recruiter", "source"))
-    pre = pre.checkpoint(eager=True) if pre is not None else None
+    pre = checkpoint_small(pre) if pre is not None else None
     if cm.get("recruiter"):
         cards = recruiter_scorecards(df, cm, pre)
         rk = cm["recruiter"]
@@ -278,7 +279,7 @@ def executive_package(df: DataFrame, date_col: str | None, as_of: str, th=None,
     from .trends import period_comparison
 
     cm = resolve(df, col)
-    kp = compute_kpis(df, cm).checkpoint(eager=True)
+    kp = checkpoint_small(compute_kpis(df, cm))
     aged = aging_summary(df, date_col, as_of, th or AgingThresholds()) if date_col else None
     comps = period_comparison(df, date_col, cm)
     return {

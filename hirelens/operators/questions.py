@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_small
 from ..functions.text import fmt0, fmt1, fmt_int, one_row, round_dec
 from .aging import AgingThresholds, aging_days_col
 from .kpis import compute_kpis, funnel_conversion, resolve
@@ -133,7 +134,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
     # all four scorecards slice one grouping-sets aggregate; its result (one row per
     # dimension value) is checkpointed so the slices share one scan and later plans stay small
     pre = shared_metrics(df, cm, date_col, as_of)
-    pre = pre.checkpoint(eager=True) if pre is not None else None
+    pre = checkpoint_small(pre) if pre is not None else None
     w = funnel_conversion(kp).agg(F.min_by(F.struct("conversion", "rate_pct"),
                                            F.struct("rate_pct", "step")).alias("w"))
     emit(w, row("bottleneck", None, F.concat(
@@ -206,8 +207,8 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
     tagged = tag_intents(questions, text_col)
     # the one-row KPIs and the per-month trend rows feed several facts: compute each once
     # (tiny results, reliable checkpoint in the shared folder) instead of once per consumer
-    kp_all = compute_kpis(df, cm).checkpoint(eager=True)
-    monthly = (trends(df, date_col, "M", cm).checkpoint(eager=True)
+    kp_all = checkpoint_small(compute_kpis(df, cm))
+    monthly = (checkpoint_small(trends(df, date_col, "M", cm))
                if date_col and date_col in df.columns else None)
     fc = forecast_joins(df, date_col, cm, monthly=monthly)
     jr = kp_all.select(

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_small
 from ..functions.text import fmt1, round_dec
 from .aging import aging_days_col
 from .kpis import dimension_metrics, group_frame, kpi_counts, kpi_metrics, metrics_for, resolve
@@ -245,7 +246,7 @@ def top_entities(df: DataFrame, col: dict | None = None) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "entity_type string, entity string, metric string, value double, joined bigint")
     # one grouping-sets scan; its tiny result is checkpointed so the three picks share it
-    pre = dimension_metrics(df, cm, dims).checkpoint(eager=True)
+    pre = checkpoint_small(dimension_metrics(df, cm, dims))
     parts = []
     for d in dims:
         g = group_frame(metrics_for(pre, cm[d]), [cm[d]])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_small
 from ..operators import filters as FL
 from ..operators import kpis as K
 
@@ -25,7 +26,7 @@ REPORT_FILES = {
 def build_reports(df: DataFrame) -> dict[str, DataFrame]:
     """Report name -> DataFrame (lazy except the checkpointed all-dimension aggregate)."""
     cm = K.resolve(df)
-    alld = K.kpis_all_dimensions(df, cm).checkpoint(eager=True)
+    alld = checkpoint_small(K.kpis_all_dimensions(df, cm))
     reports: dict[str, DataFrame] = {"kpi_summary": K.kpi_summary(K.compute_kpis(df, cm))}
     for key, names in REPORT_FILES.items():
         col = cm.get(key)

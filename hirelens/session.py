@@ -55,3 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def checkpoint_small(df):
+    """Reliable checkpoint of a small intermediate result into the shared checkpoint folder.
+
+    Cuts the lineage (a lost executor recomputes from the checkpoint files) and lets
+    several consumers share one computation; never ``localCheckpoint``.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
