@@ -101,6 +101,11 @@ def display(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("—"))
 
 
+def format_pct(x: Column) -> Column:
+    """C17: percentage display with two decimals, 'N/A' for NULL."""
+    return F.coalesce(F.concat(F.format_string("%.2f", round_dec(x, 2)), F.lit("%")), F.lit("N/A"))
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """Combine single-row frames (disjoint columns) into one row without a join.
 

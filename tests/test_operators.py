@@ -334,3 +334,12 @@ def test_rejections_and_mapping_table(spark):
     assert got == {"Salary": 2, "Location": 1}
     mt = IN.mapping_table(spark, {"TA Owner": "recruiter", "CTC": "salary_lpa"}).collect()
     assert [(r.uploaded_column, r.recognized_as) for r in mt] == [("TA Owner", "Recruiter"), ("CTC", "Salary")]
+
+
+def test_display_helpers(spark):
+    from hirelens.functions.text import display, fmt_int, format_pct
+    df = spark.createDataFrame([(65.05, 1234), (None, None)], "r double, n bigint")
+    got = df.select(format_pct(F.col("r")).alias("p"), display(F.col("r")).alias("d"),
+                    fmt_int(F.col("n")).alias("i")).collect()
+    assert (got[0].p, got[0].d, got[0].i) == ("65.05%", "65.05", "1,234")
+    assert (got[1].p, got[1].d) == ("N/A", "—")
