@@ -103,7 +103,9 @@ def display(c: Column) -> Column:
 
 def format_pct(x: Column) -> Column:
     """C17: percentage display with two decimals, 'N/A' for NULL."""
-    return F.coalesce(F.concat(F.format_string("%.2f", round_dec(x, 2)), F.lit("%")), F.lit("N/A"))
+    # format_string renders NULL as text, so NULL is handled before formatting
+    return F.when(x.isNull(), F.lit("N/A")).otherwise(
+        F.concat(F.format_string("%.2f", round_dec(x, 2)), F.lit("%")))
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
