@@ -343,3 +343,8 @@ def test_display_helpers(spark):
                     fmt_int(F.col("n")).alias("i")).collect()
     assert (got[0].p, got[0].d, got[0].i) == ("65.05%", "65.05", "1,234")
     assert (got[1].p, got[1].d) == ("N/A", "—")
+
+
+def test_hashed_duplicate_count_equals_exact(spark, small_dir):
+    n = R.normalized(spark, small_dir).data
+    assert QA.duplicate_rows(n, hashed=True).first()[0] == QA.duplicate_rows(n).first()[0] > 0
