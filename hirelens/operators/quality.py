@@ -23,11 +23,11 @@ def _q(name: str) -> Column:
 def duplicate_rows(df: DataFrame, hashed: bool = False) -> DataFrame:
     """Q2: rows beyond the first of each identical row (NULLs compare equal).
 
-    Exact by default: the grouping key is the whole row.  ``hashed=True`` groups
-    on a 128-bit row fingerprint (xxhash64 plus two differently seeded 32-bit murmur3
-    hashes) instead, so the
-    shuffle carries 16 bytes per distinct row rather than every column — for very
-    wide or very large tables where a tiny collision chance is acceptable.
+    Exact by default: the grouping key is the whole row.  ``hashed=True`` groups on
+    a 128-bit row fingerprint (xxhash64 plus two differently seeded 32-bit murmur3
+    hashes) instead, so the shuffle carries 16 bytes per distinct row rather than
+    every column — for very wide or very large tables where a tiny collision
+    chance is acceptable.
     """
     if hashed:
         cols = [_q(c) for c in df.columns]
