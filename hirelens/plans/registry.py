@@ -12,12 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aging as AG
+from ..operators import audit as AU
 from ..operators import filters as FL
+from ..operators import ingest as IN
+from ..operators import insights as INS
 from ..operators import kpis as K
+from ..operators import quality as QA
+from ..operators import questions as QS
 from ..operators import scorecards as SC
 from ..operators import stages as ST
 from ..operators import trends as TR
+from ..session import scratch_path
+from ..sources import files as FS
 from ..sources import fixtures as FX
+from ..sources.tables import read_table
 from . import params as P
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -343,14 +351,6 @@ def best_source(spark, sf_dir):
 
 # ---------------------------------------------------------------- ingest and data quality (N*, Q*, S1, S2, S8)
 
-from ..operators import audit as AU  # noqa: E402
-from ..operators import ingest as IN  # noqa: E402
-from ..operators import insights as INS  # noqa: E402
-from ..operators import quality as QA  # noqa: E402
-from ..operators import questions as QS  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import files as FS  # noqa: E402
-from ..sources.tables import read_table  # noqa: E402
 
 
 def raw(spark, sf_dir):
