@@ -62,12 +62,42 @@ def parquet_roundtrip(df: DataFrame, path: str) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, pattern: str, extra: str = "") -> DataFrame:
-    """SHA-256 over each file's bytes followed by ``name|size|extra`` (one row per file)."""
-    files = spark.read.format("binaryFile").load(pattern)
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    meta = F.concat(name, F.lit("|"), F.col("length").cast("string"), F.lit("|" + extra))
-    return files.select(name.alias("file_name"), F.col("length").alias("size_bytes"),
-                        F.sha2(F.concat(F.col("content"), meta.cast("binary")), 256).alias("fingerprint"))
+    """SHA-256 over each file's bytes followed by ``name|size|extra`` (one row per file).
+
+    The file listing comes from the ``binaryFile`` source without its ``content``
+    column (so no bytes are loaded); each file is then hashed inside a task by
+    streaming 8 MB chunks, so memory stays bounded whatever the file size and the
+    files are spread over tasks.  Per-file imperative hashing is the one thing the
+    built-in functions cannot express for large files.
+    """
+    listing = (spark.read.format("binaryFile").load(pattern).select("path", "length")
+               .repartition(F.col("path")))
+
+    def hash_files(batches):
+        import hashlib
+
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        for pdf in batches:
+            names, sizes, digests = [], [], []
+            for path, length in zip(pdf["path"], pdf["length"]):
+                fs, inner = pafs.FileSystem.from_uri(path)
+                h = hashlib.sha256()
+                with fs.open_input_stream(inner) as fh:
+                    while True:
+                        chunk = fh.read(8 << 20)
+                        if not chunk:
+                            break
+                        h.update(chunk)
+                name = path.rstrip("/").rsplit("/", 1)[-1]
+                h.update(f"{name}|{int(length)}|{extra}".encode("utf-8"))
+                names.append(name)
+                sizes.append(int(length))
+                digests.append(h.hexdigest())
+            yield pd.DataFrame({"file_name": names, "size_bytes": sizes, "fingerprint": digests})
+
+    return listing.mapInPandas(hash_files, "file_name string, size_bytes bigint, fingerprint string")
 
 
 def row_fingerprint(df: DataFrame, sep: str = "|") -> Column:
