@@ -27,14 +27,26 @@ def _velocity(tth: Column) -> Column:
                   F.greatest(F.lit(0.2), F.least(F.lit(1.0), F.lit(45.0) / tth))).otherwise(1.0)
 
 
+def _cap1_sql(rate: str) -> str:
+    return f"least({rate} / 100, 1.0)"
+
+
+def _velocity_sql(tth: str) -> str:
+    return f"CASE WHEN {tth} IS NOT NULL AND {tth} > 0 THEN greatest(0.2, least(1.0, 45.0 / {tth})) ELSE 1.0 END"
+
+
+def _round_dec_sql(x: str, digits: int) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+
+
 def efficiency_score() -> Column:
     """C13 over KPI metric columns: weighted stage rates (0.5 when a stage is empty) + velocity."""
-    screening = _cap1(F.col("screening_rate"))
-    iv = F.when(F.col("interviews_completed") > 0, _cap1(F.col("interview_selection_rate"))).otherwise(0.5)
-    off = F.when(F.col("offers_made") > 0, _cap1(F.col("offer_acceptance_rate"))).otherwise(0.5)
-    jn = F.when(F.col("offers_accepted") > 0, _cap1(F.col("joining_rate"))).otherwise(0.5)
-    score = (screening * 0.2 + iv * 0.25 + off * 0.2 + jn * 0.25 + _velocity(F.col("avg_time_to_hire")) * 0.1) * 100
-    return F.when(F.col("total") == 0, F.lit(0.0)).otherwise(round_dec(score, 1))
+    score = (f"({_cap1_sql('screening_rate')} * 0.2"
+             f" + (CASE WHEN interviews_completed > 0 THEN {_cap1_sql('interview_selection_rate')} ELSE 0.5 END) * 0.25"
+             f" + (CASE WHEN offers_made > 0 THEN {_cap1_sql('offer_acceptance_rate')} ELSE 0.5 END) * 0.2"
+             f" + (CASE WHEN offers_accepted > 0 THEN {_cap1_sql('joining_rate')} ELSE 0.5 END) * 0.25"
+             f" + ({_velocity_sql('avg_time_to_hire')}) * 0.1) * 100")
+    return F.expr(f"CASE WHEN total = 0 THEN 0.0 ELSE {_round_dec_sql(score, 1)} END")
 
 
 def aging_extra(df: DataFrame, aging_date_col: str | None, as_of: str | None) -> list[Column]:
@@ -119,13 +131,11 @@ def recruiter_intelligence(df: DataFrame, col: dict | None = None, aging_date_co
 
 def client_health_score(has_aging: bool) -> Column:
     """C14 over the per-group report columns."""
-    join = _cap1(F.col("joining_rate_pct"))
-    offer = _cap1(F.col("offer_acceptance_pct"))
-    iv = _cap1(F.col("interview_selection_pct"))
-    penalty = (F.coalesce(F.least(F.lit(0.3), F.col("avg_aging_days") / 100), F.lit(0.0))
-               if has_aging else F.lit(0.0))
-    score = (join * 0.35 + offer * 0.25 + iv * 0.2 + _velocity(F.col("avg_time_to_hire")) * 0.2 - penalty) * 100
-    return round_dec(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1)
+    penalty = "coalesce(least(0.3, avg_aging_days / 100), 0.0)" if has_aging else "0.0"
+    score = (f"({_cap1_sql('joining_rate_pct')} * 0.35 + {_cap1_sql('offer_acceptance_pct')} * 0.25"
+             f" + {_cap1_sql('interview_selection_pct')} * 0.2 + ({_velocity_sql('avg_time_to_hire')}) * 0.2"
+             f" - {penalty}) * 100")
+    return F.expr(_round_dec_sql(f"greatest(0.0, least(100.0, {score}))", 1))
 
 
 def client_intelligence(df: DataFrame, col: dict | None = None, aging_date_col: str | None = None,
@@ -154,11 +164,10 @@ LOW_VOLUME_POINTS = 10  # applications < 5; scored but not listed as a reason
 NORMAL_RANGE = "within normal range"
 
 
-def _rule(colname: str, op: str, bound: float, present: set[str]) -> Column:
+def _rule_sql(colname: str, op: str, bound: float, present: set[str]) -> str:
     if colname not in present:
-        return F.lit(False)
-    c = F.col(colname)
-    return F.coalesce(c < bound if op == "<" else c > bound, F.lit(False))
+        return "false"
+    return f"coalesce({colname} {op} {bound}, false)"
 
 
 def role_intelligence(df: DataFrame, col: dict | None = None, aging_date_col: str | None = None,
@@ -172,12 +181,13 @@ def role_intelligence(df: DataFrame, col: dict | None = None, aging_date_col: st
     if "x_avg_aging" in cards.columns:
         cards = cards.withColumnRenamed("x_avg_aging", "avg_aging_days")
     present = set(cards.columns)
-    hits = [(_rule(c, op, b, present), pts, why) for c, op, b, pts, why in DIFFICULTY_RULES]
-    points = sum((F.when(h, F.lit(pts)).otherwise(F.lit(0)) for h, pts, _ in hits), F.lit(0)) \
-        + F.when(F.col("applications") < 5, F.lit(LOW_VOLUME_POINTS)).otherwise(F.lit(0))
-    reasons = F.concat_ws("; ", *[F.when(h, F.lit(why)) for h, _, why in hits])
-    return cards.withColumn("hiring_difficulty_score", F.least(F.lit(100), points).cast("double")) \
-                .withColumn("difficulty_reasons", F.when(reasons == "", NORMAL_RANGE).otherwise(reasons))
+    hits = [(_rule_sql(c, op, b, present), pts, why) for c, op, b, pts, why in DIFFICULTY_RULES]
+    points = " + ".join(f"(CASE WHEN {h} THEN {pts} ELSE 0 END)" for h, pts, _ in hits) \
+        + f" + (CASE WHEN applications < 5 THEN {LOW_VOLUME_POINTS} ELSE 0 END)"
+    reasons = "concat_ws('; ', " + ", ".join(f"CASE WHEN {h} THEN '{why}' END" for h, _, why in hits) + ")"
+    return cards.selectExpr(
+        "*", f"CAST(least(100, {points}) AS DOUBLE) AS hiring_difficulty_score",
+        f"CASE WHEN {reasons} = '' THEN '{NORMAL_RANGE}' ELSE {reasons} END AS difficulty_reasons")
 
 
 def source_intelligence(df: DataFrame, col: dict | None = None, pre: DataFrame | None = None) -> DataFrame:
