@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens."""
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs, with_ids=False)
 
 
 STAGES = [("quality_rules", rules), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup),

@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SEPARATOR = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORD = f"[^{SEPARATOR}]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -120,6 +122,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates=
     blocks = own.where(F.length("t") > 0).select(F.md5("t").alias("key"), F.explode(F.split("t", "\n")).alias("block"))
     labels = (containment_matches(blocks, "key", "block", templates, threshold).groupBy("key")
               .agg(F.collect_set("label").alias("more"), F.max("score").alias("best")))
+    labels = written(labels, "license-labels")  # joined as a table, so that AQE can split a text with very many copies
     base = own.select("id", F.md5("t").alias("own_key"), F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"),
                       *[c.alias(n) for n, c in base_columns(F.col("t"), phrases).items()])
     joined = base.join(labels, base["own_key"] == labels["key"], "left")

@@ -142,8 +142,8 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, room: int,
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID,
-         window: int = WINDOW, shard_tokens: int = 1_000_000, partition_tokens: int = 8_000_000) -> DataFrame:
-    """Pieces of documents in windows: see PIECES; ``ids`` (little-endian 16-bit) holds the piece's tokens.
+         window: int = WINDOW, with_ids: bool = True, shard_tokens: int = 1_000_000, partition_tokens: int = 8_000_000) -> DataFrame:
+    """Pieces of documents in windows: see PIECES; ``ids`` (little-endian 16-bit) holds the piece's tokens, if asked for.
 
     A null or empty text is its end id alone; repeated rows are packed each; null ids stay null;
     ties in the lexical key are split by a hash; other columns are ignored; an empty table gives
@@ -156,6 +156,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer:
     mean_length = max(1.0, total / max(1, n_docs))
     stats = spark.sparkContext.broadcast((idf, mean_length))  # 65,536 numbers
 
+    schema = PIECES + ", ids binary" * with_ids
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -171,12 +173,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer:
                 while start < len(ids):
                     piece = ids[start:start + window - offset]
                     out.append((held_ids[k], start, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), len(ids),
-                                sequence, offset, piece.astype("<u2").tobytes()))
+                                sequence, offset, *([piece.tobytes()] if with_ids else [])))
                     start, offset = start + len(piece), offset + len(piece)
                     if offset == window:
                         sequence, offset = sequence + 1, 0
             held_ids, held_docs, held = [], [], 0
-            names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"]
+            names = [c.split()[0] for c in schema.split(", ")]
             return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
         for batch in batches:
@@ -193,4 +195,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer:
     spread = F.xxhash64("doc_id", "ids")
     return (tokens.withColumn("spread", spread).repartitionByRange(parts, "place", "spread")
             .sortWithinPartitions("place", "spread", "doc_id").drop("spread")
-            .select(F.col("doc_id").cast("string"), "ids").mapInPandas(run, PIECES + ", ids binary"))
+            .select(F.col("doc_id").cast("string"), "ids").mapInPandas(run, schema))

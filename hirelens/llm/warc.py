@@ -27,7 +27,7 @@ from ..session import scratch_path
 from .common import shuffle_partitions, written
 
 BINS = 16_384
-SHARD_BYTES = 64_000_000  # payload of a shard, about
+SHARDS, LEAST_SHARD, MOST_SHARD = 1024, 500_000, 256_000_000  # about so many shards, of payloads within these bytes
 ROLL_BYTES = 16_000_000  # compressed size at which a file is closed
 REVISIT_BYTES = 1000  # smaller payloads are always written
 DATE = "2024-01-01T00:00:00Z"
@@ -91,7 +91,7 @@ def parse(content: bytes) -> Iterator[dict]:
                "record_type": head["warc-type"], "refers_to": int(head["x-refers-to-page-id"]) if "x-refers-to-page-id" in head else None}
 
 
-def _sharded(pages: DataFrame, id_col: str, url: str, html: str, shard_bytes: int) -> DataFrame:
+def _sharded(pages: DataFrame, id_col: str, url: str, html: str, shard_bytes: int | None) -> DataFrame:
     """(shard, page_id, url, html, digest, response_id): shards of consecutive ids of about ``shard_bytes``."""
     spark = pages.sparkSession
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
@@ -104,6 +104,8 @@ def _sharded(pages: DataFrame, id_col: str, url: str, html: str, shard_bytes: in
     low, width = edge[0] or 0, ((edge[1] or 0) - (edge[0] or 0)) // BINS + 1
     span = F.expr(f"cast((cast(page_id as decimal(20,0)) - cast({low} as decimal(20,0))) div cast({width} as decimal(20,0)) as int)")
     sizes = own.where("page_id is not null").groupBy(span.alias("bin")).agg(F.sum(size).alias("b")).collect()  # BINS rows at most
+    total = sum(r["b"] for r in sizes) + (edge[2] or 0)
+    shard_bytes = shard_bytes or min(MOST_SHARD, max(LEAST_SHARD, total // SHARDS))
     rows, filled, shard = [], 0, 0
     for r in sorted(sizes, key=lambda r: r["bin"]):
         if filled >= shard_bytes:
@@ -117,7 +119,7 @@ def _sharded(pages: DataFrame, id_col: str, url: str, html: str, shard_bytes: in
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", html: str = "html",
-               shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+               shard_bytes: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write a record per row into ``folder`` (shared) and return the manifest, written to ``folder``/_manifest.
 
     Of rows with equal payloads of at least REVISIT_BYTES bytes, that with the largest id is the
