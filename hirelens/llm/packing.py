@@ -101,6 +101,16 @@ class Shard:
         self.row, self.weight = row[order], weight[order].astype(np.float32)
         self.first = np.searchsorted(term[order], np.arange(65_537))
         self.unused = np.ones(len(docs), bool)
+        self.listed = self.left = len(docs)
+
+    def use(self, doc: int) -> None:
+        """Take a document out; once half of the listed ones are, the postings are compacted."""
+        self.unused[doc] = False
+        self.left -= 1
+        if self.left < self.listed // 2:
+            stay = self.unused[self.row]
+            self.first = np.r_[0, np.cumsum(stay)][self.first]
+            self.row, self.weight, self.listed = self.row[stay], self.weight[stay], self.left
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents, highest BM25 score for the seed's terms first, ties by their place."""
@@ -117,32 +127,22 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, room: int,
     if not docs:
         return
     shard = Shard(docs, idf, mean_length)
-    seed, cursor = 0, 0
-    while cursor < len(docs):
-        shard.unused[seed] = False
-        yield seed
-        n = len(docs[seed])
-        room = room - n if n < room else window - (n - room) % window
-        best = shard.neighbours(seed)
+    best, seed = iter([0]), 0
+    while shard.left:
         for k in best:
-            # the neighbour that overflows the window is cut, and seeds the next one
-            shard.unused[k] = False
-            yield int(k)
+            shard.use(k)
+            yield k
             n = len(docs[k])
-            if n >= room:
-                room = window - (n - room) % window
-                best = shard.neighbours(int(k))
-                seed = int(best[0]) if len(best) else -1
+            if n >= room:  # cut: its rest opens the next window, for which it is the seed
+                room, seed = window - (n - room) % window, k
                 break
             room -= n
-        else:
-            return
-        if seed < 0:
-            return
+            seed = k
+        best = map(int, shard.neighbours(seed))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID,
-         window: int = WINDOW, with_ids: bool = True, shard_tokens: int = 1_000_000, partition_tokens: int = 8_000_000) -> DataFrame:
+         window: int = WINDOW, with_ids: bool = True, shard_tokens: int = 500_000, partition_tokens: int = 8_000_000) -> DataFrame:
     """Pieces of documents in windows: see PIECES; ``ids`` (little-endian 16-bit) holds the piece's tokens, if asked for.
 
     A null or empty text is its end id alone; repeated rows are packed each; null ids stay null;

@@ -13,7 +13,7 @@ import unicodedata
 
 import numpy as np
 
-CACHE_WORDS = 700_000  # the cache is emptied beyond this many words: bounded memory in a worker
+CACHE_WORDS = 1_000_000  # the cache is emptied beyond this many words: bounded memory in a worker
 
 _RANGE = [chr(c) for c in (*range(0xA1, 0x130), *range(0x131, 0x250))]
 _LETTERS = "a-z" + "".join(c for c in _RANGE if unicodedata.category(c)[0] == "L")
