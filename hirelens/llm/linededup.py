@@ -32,25 +32,38 @@ BITS = 3
 SIMILARITY = 0.9
 BROADCAST_ROWS = 200_000
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
-_TO_SPACE = {**{c: " " for c in range(0x21, 0x7F) if not chr(c).isalnum()}, **{ord(d): "0" for d in "123456789"}}
-_WORD_BITS: dict[str, bytes] = {}
+_PLAIN = bytes(c if c >= 128 or c <= 32 or chr(c).isalpha() else ord("0") if chr(c).isdigit() else 32 for c in range(256))
+_WORD_BITS: dict[bytes, bytes] = {}
+
+
+def plain_lines(text: str) -> list[list[bytes]]:
+    """The words of each line: lower case, ASCII punctuation as spaces, digits as 0."""
+    return [x.split() for x in text.lower().encode("utf-8", "replace").translate(_PLAIN).split(b"\n")]
 
 
 def normalise(line: str) -> str:
-    """Lower case, ASCII punctuation to spaces, digits to 0, single spaces."""
-    return " ".join(line.lower().translate(_TO_SPACE).split())
+    """A line's words with single spaces between."""
+    return b" ".join(plain_lines(line)[0]).decode()
 
 
-def simhash(words: list[str]) -> int:
-    """Signed 64-bit SimHash of a line's words."""
+def simhashes(lines: list[list[bytes]]) -> list[int]:
+    """Signed 64-bit SimHash of each line's words; no line may be without words."""
+    if not lines:
+        return []
     cache = _WORD_BITS
     if len(cache) > 300_000:
         cache.clear()
-    for w in words:
-        if w not in cache:
-            cache[w] = xxhash.xxh64_digest(w.encode("utf-8", "replace"), 7)
-    bits = np.unpackbits(np.frombuffer(b"".join([cache[w] for w in words]), np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).tobytes(), "big", signed=True)
+    words = [w for x in lines for w in x]
+    try:
+        digests = b"".join([cache[w] for w in words])
+    except KeyError:
+        for w in set(words).difference(cache):
+            cache[w] = xxhash.xxh64_digest(w, 7)
+        digests = b"".join([cache[w] for w in words])
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > sizes[:, None], axis=1).view(">i8").ravel().tolist()
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -96,14 +109,10 @@ def _with_lines(docs: DataFrame, text: str, min_words: int, fuzzy_words: int) ->
         for batch in batches:
             hashes, sims = [], []
             for t in batch.column(batch.schema.get_field_index("__text")).to_pylist():
-                h, s = [], []
-                for line in (t or "").split("\n"):
-                    norm = normalise(line)
-                    words = norm.split()
-                    h.append(xxhash.xxh128_digest(norm.encode("utf-8", "replace")) if len(words) >= min_words else None)
-                    s.append(simhash(words) if len(words) >= fuzzy_words else None)
-                hashes.append(h)
-                sims.append(s)
+                lines = plain_lines(t or "")
+                hashes.append([xxhash.xxh128_digest(b" ".join(x)) if len(x) >= min_words else None for x in lines])
+                found = iter(simhashes([x for x in lines if len(x) >= fuzzy_words]))
+                sims.append([next(found) if len(x) >= fuzzy_words else None for x in lines])
             keep = [k for k, name in enumerate(batch.schema.names) if name != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(k) for k in keep], pa.array(hashes, pa.list_(pa.binary())), pa.array(sims, pa.list_(pa.int64()))],
@@ -115,15 +124,36 @@ def _with_lines(docs: DataFrame, text: str, min_words: int, fuzzy_words: int) ->
     return written(rows.mapInArrow(run, schema), "lines-base")
 
 
+_PAIRS = list(combinations(range(len(_BLOCKS)), 2))
+
+
+def first_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For fingerprints equal in two blocks at least: the first of the pairs of blocks that agree."""
+    xor = (a ^ b).view(np.uint64)
+    equal = [xor >> np.uint64(s) & np.uint64((1 << w) - 1) == 0 for s, w in _BLOCKS]
+    table = np.full(len(xor), -1)
+    for k, (x, y) in reversed(list(enumerate(_PAIRS))):
+        table[equal[x] & equal[y]] = k
+    return table
+
+
+def _near(keys: np.ndarray, sim: np.ndarray, bits: int):
+    """Pairs within ``bits``, each in the first list only in which the two meet."""
+    def near(i, j):
+        good = popcount(sim[i] ^ sim[j]) <= bits
+        good[good] = first_table(sim[i[good]], sim[j[good]]) == keys[i[good]] >> 40
+        return good
+
+    return near
+
+
 def _candidates(sims: DataFrame, bits: int, most: int) -> DataFrame:
     """(key, sim): fingerprints that have a near one under that key, or belong to several lines."""
-    pairs = list(combinations(_BLOCKS, 2))
-
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sim, several = b["sim"].to_numpy(), b["n"].to_numpy() > 1
             u = sim.view(np.uint64)
-            for k, ((s1, w1), (s2, w2)) in enumerate(pairs):
+            for k, ((s1, w1), (s2, w2)) in enumerate((_BLOCKS[x], _BLOCKS[y]) for x, y in _PAIRS):
                 one, two = ((u >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in ((s1, w1), (s2, w2)))
                 key = (np.int64(k) << 40) | (one << np.uint64(13) | two).astype(np.int64)
                 yield pd.DataFrame({"key": key, "sim": sim, "several": several & (k == 0)})
@@ -134,7 +164,7 @@ def _candidates(sims: DataFrame, bits: int, most: int) -> DataFrame:
                 yield frame[["key", "sim"]]
                 continue
             keys, sim = frame["key"].to_numpy(), frame["sim"].to_numpy()
-            i, j = near_in_runs(keys, len(sim), lambda i, j: popcount(sim[i] ^ sim[j]) <= bits)
+            i, j = near_in_runs(keys, len(sim), _near(keys, sim, bits))
             active = frame["several"].to_numpy().copy()
             active[i] = active[j] = True
             yield frame[["key", "sim"]][active]
@@ -159,7 +189,7 @@ def _links(active: DataFrame, texts: DataFrame, bits: int, similarity: float, ti
         for frame, _ in key_runs(batches, "tile", 1 << 30):  # a tile holds two pieces of a list: about ``tile`` rows
             keys, sim = frame["tile"].to_numpy(), frame["sim"].to_numpy()
             h, norm, out = frame["h"].tolist(), frame["norm"].tolist(), []
-            i, j = near_in_runs(keys, len(h), lambda i, j: popcount(sim[i] ^ sim[j]) <= bits)
+            i, j = near_in_runs(keys, len(h), _near(frame["key"].to_numpy(), sim, bits))
             forest = Forest()
             for x, y in zip(i.tolist(), j.tolist()):
                 if forest.root(x) != forest.root(y) and similar(norm[x], norm[y], similarity):
@@ -219,5 +249,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     places = F.array_except(F.sequence(F.lit(0), F.size("__hash") - 1), "lines_removed")
     cleaned = F.when(F.size("lines_removed") == 0, F.col(text)) \
         .otherwise(F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n"))
-    joined = base.join(removed, "__row", "left").withColumn("lines_removed", F.coalesce("__gone", F.array().cast("array<int>")))
+    # texts are shuffled at any size: what would be broadcast here grows with the input
+    joined = base.join(removed.hint("shuffle_hash"), "__row", "left").withColumn("lines_removed", F.coalesce("__gone", F.array().cast("array<int>")))
     return joined.select(*own, F.when(F.col(text).isNotNull(), cleaned).alias(text), F.size("__hash").alias("lines"), "lines_removed")
