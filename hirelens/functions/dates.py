@@ -8,13 +8,19 @@ from pyspark.sql import types as T
 
 # Accepted text layouts, tried in order (ISO first).
 DATE_FORMATS = (
-    "yyyy-MM-dd",
+    "yyyy-M-d",
     "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd-MM-yyyy",
-    "dd MMM yyyy",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    "yyyy/M/d",
+    "M/d/yyyy",
+    "d-M-yyyy",
+    "d MMM yyyy",
+    "MMM d, yyyy",
+    "d MMMM yyyy",
+    "MMMM d, yyyy",
 )
 
 

@@ -49,10 +49,15 @@ def first_per_key(df: DataFrame, key: str, order_col: str | None = None) -> Data
     task as a whole (a ``row_number`` window would sort the entire group there).
     """
     others = [c for c in df.columns if c != key]
+    # ids are nearly always unique: a narrow count finds the repeated ones, and only their rows are compared
+    again = df.groupBy(_q(key).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again")
+    same = _q(key).eqNullSafe(F.col("_again"))
+    single = df.join(again, same, "left_anti")
+    df = df.join(again, same, "left_semi")
     order = ([_q(order_col)] if order_col else []) + [_q(c) for c in others]
     picked = df.groupBy(_q(key)).agg(
         F.min_by(F.struct(*[_q(c) for c in others]), F.struct(*order)).alias("_row"))
-    return picked.select(*[_q(key) if c == key else F.col("_row")[c].alias(c) for c in df.columns])
+    return single.unionByName(picked.select(*[_q(key) if c == key else F.col("_row")[c].alias(c) for c in df.columns]))
 
 
 def complete_columns(df: DataFrame, expected: list[str]) -> DataFrame:
@@ -65,8 +70,8 @@ def import_if_new(target: DataFrame, incoming: DataFrame, key: str = "candidate_
     """Rows appended by an insert-or-ignore load — columns completed, first row per key,
     keys already in ``target`` ignored (``left_anti``)."""
     expected = expected or list(target.columns)
-    inc = first_per_key(complete_columns(incoming, expected), key, order_col)
-    return inc.join(target.select(_q(key)), key, "left_anti")
+    new = complete_columns(incoming, expected).join(target.select(_q(key)), key, "left_anti")
+    return first_per_key(new, key, order_col).select(*[_q(c) for c in expected])
 
 
 def append_validated(target: DataFrame, incoming: DataFrame, key: str = "candidate_id",
@@ -81,7 +86,7 @@ def append_validated(target: DataFrame, incoming: DataFrame, key: str = "candida
         cond = F.coalesce(F.regexp_replace(_q(r).cast("string"), r"^\s+|\s+$", ""), F.lit("")) != ""
         ok = cond if ok is None else ok & cond
     valid = incoming.filter(ok).withColumn(key, F.regexp_replace(_q(key).cast("string"), r"^\s+|\s+$", ""))
-    fresh = first_per_key(valid, key, order_col).join(target.select(_q(key)), key, "left_anti")
+    fresh = first_per_key(valid.join(target.select(_q(key)), key, "left_anti").select(*valid.columns), key, order_col)
     return fresh.withColumn("action", F.lit("CREATE")) \
                 .withColumn("old_value", F.lit(None).cast("string")) \
                 .withColumn("new_value", F.lit("Candidate created")) \

@@ -9,7 +9,8 @@ from __future__ import annotations
 from .. import schema as S
 
 APPLICATIONS_SQL = """
-select concat('CAND', lpad(cast(o_orderkey as varchar), 7, '0')) as candidate_id,
+select concat('CAND', case when length(cast(o_orderkey as varchar)) < 7 then lpad(cast(o_orderkey as varchar), 7, '0')
+                       else cast(o_orderkey as varchar) end) as candidate_id,
  c_name as candidate_name, cast(o_orderdate as date) as application_date,
  case when o_orderkey % 97 = 0 then null else o_orderpriority end as recruiter,
  c_mktsegment as client, concat('Role ', cast(o_custkey % 12 as varchar)) as role,

@@ -35,6 +35,12 @@ def _h(mult: int, cust_mult: int, mod: int | None) -> Column:
     return base % mod % 100
 
 
+def _padded(key: Column) -> Column:
+    """The key as text, zero-padded to 7 digits; longer keys stay whole (``lpad`` alone would cut them)."""
+    text = key.cast("string")
+    return F.when(F.length(text) < 7, F.lpad(text, 7, "0")).otherwise(text)
+
+
 def _source_signature(sf_dir: str) -> tuple:
     """Identity of the input tables: path plus size/mtime of local files (remote paths: path only)."""
     sig = [sf_dir]
@@ -97,7 +103,7 @@ def derive_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = offer_stage & (h3 < 78)
     key = F.col("o_orderkey")
     return j.select(
-        F.concat(F.lit("CAND"), F.lpad(key.cast("string"), 7, "0")).alias("candidate_id"),
+        F.concat(F.lit("CAND"), _padded(key)).alias("candidate_id"),
         F.col("c_name").alias("candidate_name"),
         F.col("o_orderdate").cast("date").alias("application_date"),
         F.when(key % 97 == 0, F.lit(None).cast("string"))
