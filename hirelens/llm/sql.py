@@ -1 +1,61 @@
-ORACLE: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express: WARC records, license scans, exact top-k.
+
+The others are held against brute force, round trips or held-out accuracy in tests/llm:
+packing (tokenizer ids), SimHash and fuzzy lines (64-bit hashes, edit distance), mixing
+(sequential water-filling over hashed orders), the classifiers, and quality rules, whose
+line hashes come from Python.
+"""
+
+from __future__ import annotations
+
+from .licenses import PHRASES, TEMPLATES, THRESHOLD
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all({text}, '{_WORD}')"
+
+
+def _places(phrase: str) -> str:
+    test = " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split(), 1))
+    return f"list_filter(range(len(w)), lambda i: coalesce({test}, false))"
+
+
+_PHRASE_LISTS = ", ".join(f"{_places(p)} as p{k}" for k, p in enumerate(PHRASES))
+_ALL_PLACES = " || ".join(f"p{k}" for k in range(len(PHRASES)))
+_BASE = "list_filter([" + ", ".join(f"case when len(p{k}) > 0 then '{label}' end" for k, label in enumerate(PHRASES.values())) + "], lambda x: x is not null)"
+_TEMPLATE_ROWS = ", ".join("('{}', list_distinct({}))".format(label, _words("'" + text.lower().replace("'", "''") + "'")) for label, text in TEMPLATES)
+
+ORACLE = {
+    "op6_license_scan": f"""
+with t(label, tw) as (values {_TEMPLATE_ROWS}),
+d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as x from documents),
+w as (select r, doc_id, x, {_words('x')} as w from d),
+p as (select r, doc_id, len(w) as n, {_PHRASE_LISTS} from w),
+b as (select r, doc_id, n, {_ALL_PLACES} as places, {_BASE} as base from p),
+blocks as (select r, list_distinct({_words('block')}) as bw from (select r, unnest(string_split(x, chr(10))) as block from d)),
+m as (select r, label, len(list_intersect(bw, tw)) / len(tw) as s from blocks join t on len(list_intersect(bw, tw)) >= {THRESHOLD} * len(tw) - 1e-9),
+g as (select r, list(distinct label) as more, max(s) as best from m group by r)
+select doc_id, cast(n as bigint) as n_words, cast(len(places) as bigint) as n_base, list_min(places) as first_word,
+ list_max(places) as last_word, array_to_string(list_sort(base), ',') as base_labels,
+ array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ',') as labels,
+ case when len(places) > 0 then 1.0::double else coalesce(best, 0.0)::double end as score
+from b left join g using (r)""",
+    "op7_warc": """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
+w as (select d, max(page_id) as best from p where n >= 1000 group by d)
+select page_id, cast(n as bigint) as payload_bytes, p.d as payload_digest,
+ case when best is null or best = page_id then 'response' else 'revisit' end as record_type,
+ case when best <> page_id then best end as refers_to
+from p left join w on p.d = w.d and p.n >= 1000""",
+    "op10_exact_top_k": """
+with v as (select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as e from embeddings
+           where vec_id is not null and embedding is not null
+           and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum([a[1] * a[2] for a in list_zip(q.e, c.e)]) as bigint) as score
+      from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+}
