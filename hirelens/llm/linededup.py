@@ -14,7 +14,7 @@ already are not compared again, and only a spanning forest of the verified links
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,6 @@ SIMILARITY = 0.9
 BROADCAST_ROWS = 200_000
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
 _PLAIN = bytes(c if c >= 128 or c <= 32 or chr(c).isalpha() else ord("0") if chr(c).isdigit() else 32 for c in range(256))
-_WORD_BITS: dict[bytes, bytes] = {}
 
 
 def plain_lines(text: str) -> list[list[bytes]]:
@@ -50,19 +49,15 @@ def simhashes(lines: list[list[bytes]]) -> list[int]:
     """Signed 64-bit SimHash of each line's words; no line may be without words."""
     if not lines:
         return []
-    cache = _WORD_BITS
-    if len(cache) > 300_000:
-        cache.clear()
-    words = [w for x in lines for w in x]
-    try:
-        digests = b"".join([cache[w] for w in words])
-    except KeyError:
-        for w in set(words).difference(cache):
-            cache[w] = xxhash.xxh64_digest(w, 7)
-        digests = b"".join([cache[w] for w in words])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    digests = b"".join(map(xxhash.xxh64_digest, chain.from_iterable(lines), repeat(7)))
+    # one byte a bit, added eight bits at a time; runs of 255 words, so that no byte overflows
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8)).view(np.uint64).reshape(-1, 8)
     sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+    runs = (sizes + 254) // 255
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(np.cumsum(sizes) - sizes, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+    ones = np.add.reduceat(bits, starts, axis=0).view(np.uint8).reshape(-1, 64)
+    ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
     return np.packbits(2 * ones > sizes[:, None], axis=1).view(">i8").ravel().tolist()
 
 
@@ -201,6 +196,39 @@ def _links(active: DataFrame, texts: DataFrame, bits: int, similarity: float, ti
             .mapInPandas(verify, "a binary, b binary"))
 
 
+def _texts(base: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(h, sim, norm): the normalised text of each wanted line (h, sim, __row), each document split once."""
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, sims, norms = [], [], []
+            for t, hashes, want in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                sim_of = {w["h"]: w["sim"] for w in want}
+                for line, h in zip(t.split("\n"), hashes):
+                    if h in sim_of:
+                        hs.append(h)
+                        sims.append(sim_of.pop(h))
+                        norms.append(normalise(line))
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(sims, pa.int64()), pa.array(norms, pa.string())],
+                                             names=["h", "sim", "norm"])
+
+    few = wanted.count() <= BROADCAST_ROWS  # checked: then the texts need no shuffle; else Spark joins by sorting
+    by_row = wanted.groupBy("__row").agg(F.collect_list(F.struct("h", "sim")).alias("want"))
+    rows = base.select("__row", F.col(text).alias("t"), "__hash").join(F.broadcast(by_row) if few else by_row, "__row")
+    return written(rows.select("t", "__hash", "want").mapInArrow(pick, "h binary, sim long, norm string"), "lines-texts")
+
+
+@F.pandas_udf(T.StringType())
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Each text without the lines at the places ``gone``."""
+    def cut(t, places):
+        if t is None or not len(places):
+            return t
+        drop = set(places.tolist())
+        return "\n".join([x for k, x in enumerate(t.split("\n")) if k not in drop])
+
+    return pd.Series([cut(t, places) for t, places in zip(text, gone)], dtype=object)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
                 fuzzy_words: int = FUZZY_WORDS, bits: int = BITS, similarity: float = SIMILARITY, tile: int = 1024) -> DataFrame:
     """``docs`` with ``text`` without its repeated lines, and ``lines`` and ``lines_removed`` (array of places from 0).
@@ -224,15 +252,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     active = written(_candidates(sims, bits, 4 * tile).distinct(), "lines-active")
     wanted = written(fuzzy.join(active.select("sim").distinct(), "sim", "left_semi").select("h", "sim", F.col("row").alias("__row")),
                      "lines-wanted")
-    few = wanted.count() <= BROADCAST_ROWS  # checked: then the texts need no shuffle; else Spark joins by sorting
-    found = base.select("__row", F.col(text).alias("t"), "__hash").join(F.broadcast(wanted) if few else wanted, "__row")
-    line = F.element_at(F.split("t", "\n"), F.array_position("__hash", F.col("h")).cast("int"))
-
-    @F.pandas_udf("string")
-    def norm(x: pd.Series) -> pd.Series:
-        return x.map(normalise)
-
-    texts = written(found.select("h", "sim", norm(line).alias("norm")), "lines-texts")
+    texts = _texts(base, text, wanted)
     roots = components(_links(active, texts, bits, similarity, tile), "lines")
     grouped = roots.select(F.col("node").alias("h"), "root").join(distinct.select("h", "place"), "h")
     owners = grouped.groupBy("root").agg(F.min("place").alias("owner"))
@@ -245,10 +265,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     gone = F.when(F.col("mine"), F.array_remove("all", F.col("first"))).otherwise(F.col("all"))
     removed = written(of_group.groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list(gone))).alias("__gone")), "lines-removed")
     own = [F.col(c) for c in docs.columns if c != text]
-    parts = F.split(F.col(text), "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size("__hash") - 1), "lines_removed")
-    cleaned = F.when(F.size("lines_removed") == 0, F.col(text)) \
-        .otherwise(F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n"))
     # texts are shuffled at any size: what would be broadcast here grows with the input
-    joined = base.join(removed.hint("shuffle_hash"), "__row", "left").withColumn("lines_removed", F.coalesce("__gone", F.array().cast("array<int>")))
-    return joined.select(*own, F.when(F.col(text).isNotNull(), cleaned).alias(text), F.size("__hash").alias("lines"), "lines_removed")
+    counted = base.withColumn("__lines", F.size("__hash")).drop("__hash", "__sim")
+    joined = counted.join(removed.hint("shuffle_hash"), "__row", "left") \
+        .withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
+    return joined.select(*own, _without(text, "__gone").alias(text), F.col("__lines").alias("lines"), F.col("__gone").alias("lines_removed"))
