@@ -93,12 +93,12 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     # about as many slices as documents in a slice: either side of the cut stays small at any size
     slices_of = 1 << max(1, docs.count().bit_length() // 2)
 
-    def marked(df):
+    def marked(df, m=""):
         place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
                                    1, 12), 16, 10).cast("long")
-        return df.withColumns({"k_domain": domain, "k_lang": F.col(lang), "k_source": F.col(source),
+        return df.withColumns({f"{m}k_domain": domain, f"{m}k_lang": F.col(lang), f"{m}k_source": F.col(source),
                                "mix_tokens": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
-                               "_place": place}).withColumn("_slice", F.floor(F.col("_place") / (2**48 // slices_of)).cast("long"))
+                               f"{m}_place": place}).withColumn(f"{m}_slice", F.floor(F.col(f"{m}_place") / (2**48 // slices_of)).cast("long"))
 
     keys = ["k_domain", "k_lang", "k_source"]
     slices = written(marked(docs.select(id_col, text, lang, source)).groupBy(*keys, "_slice")
@@ -124,15 +124,18 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     plan = written(plan.alias("p").join(cut.alias("c"), same("p", "c"), "left")
                    .select(*[F.col(f"p.{k}").alias(f"p_{k}") for k in keys], "epochs", "rest",
                            F.coalesce("last", F.lit(-1)).alias("last"), F.coalesce("prior", F.lit(0)).alias("prior")), "mix-plan")
+    # beside the columns of ``docs`` all names of the plan have a prefix, so that none clash
+    m = "__mix_"
+    plan = plan.select(*[F.col(c).alias(m + c) for c in plan.columns])
     cond = F.lit(True)
     for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"p_{k}"))
-    rows = marked(docs).join(plan, cond)
-    inner = rows.where("_slice = last")
-    outer = rows.where("_slice != last or _slice is null").withColumn(
-        "mix_copies", F.col("epochs") + (F.col("_slice") < F.col("last")).cast("long"))
-    order = Window.partitionBy(*keys).orderBy("_place", id_col, text).rowsBetween(Window.unboundedPreceding, -1)
-    inner = inner.withColumn("_prior", F.col("prior") + F.coalesce(F.sum("mix_tokens").over(order), F.lit(0))) \
-        .withColumn("mix_copies", F.col("epochs") + (F.col("_prior") < F.col("rest")).cast("long")).drop("_prior")
-    gone = [*keys, "_place", "_slice", *[f"p_{k}" for k in keys], "epochs", "rest", "last", "prior"]
-    return outer.unionByName(inner).drop(*gone)
+        cond = cond & F.col(m + k).eqNullSafe(F.col(f"{m}p_{k}"))
+    rows = marked(docs, m).join(plan, cond)
+    slice_, last, epochs = F.col(f"{m}_slice"), F.col(f"{m}last"), F.col(f"{m}epochs")
+    inner = rows.where(slice_ == last)
+    outer = rows.where((slice_ != last) | slice_.isNull()).withColumn("mix_copies", epochs + (slice_ < last).cast("long"))
+    order = Window.partitionBy(*[m + k for k in keys]).orderBy(f"{m}_place", id_col, text).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col(f"{m}prior") + F.coalesce(F.sum("mix_tokens").over(order), F.lit(0))
+    inner = inner.withColumn(f"{m}before", before) \
+        .withColumn("mix_copies", epochs + (F.col(f"{m}before") < F.col(f"{m}rest")).cast("long")).drop(f"{m}before")
+    return outer.unionByName(inner).drop(*[c for c in rows.columns if c.startswith(m)])
