@@ -61,16 +61,16 @@ def aging_risk_agg(aged_bucket: Column) -> Column:
     return F.avg(bucket_weight(aged_bucket))
 
 
-def aging_risk_from_avg(avg_weight: Column) -> Column:
-    # no aged rows -> 100 (``greatest`` would skip the NULL and give 0)
-    return F.when(avg_weight.isNull(), F.lit(100.0)).otherwise(
+def aging_risk_from_avg(avg_weight: Column, empty: float = 100.0) -> Column:
+    # no aged rows -> ``empty`` (``greatest`` would skip the NULL and give 0)
+    return F.when(avg_weight.isNull(), F.lit(empty)).otherwise(
         F.round(F.greatest(F.lit(0.0), F.lit(100.0) - avg_weight * 25), 1))
 
 
-def aging_risk(aged: DataFrame) -> DataFrame:
-    """max(0, 100 - 25 * mean bucket weight), 1 dp; 100 for no rows."""
+def aging_risk(aged: DataFrame, empty: float = 100.0) -> DataFrame:
+    """max(0, 100 - 25 * mean bucket weight), 1 dp; ``empty`` for no rows."""
     return aged.agg(aging_risk_agg(F.col("aging_bucket")).alias("_w")) \
-               .select(aging_risk_from_avg(F.col("_w")).alias("aging_risk_score"))
+               .select(aging_risk_from_avg(F.col("_w"), empty).alias("aging_risk_score"))
 
 
 def group_aging(df: DataFrame, group_col: str | None, date_col: str | None, as_of: str,

@@ -23,6 +23,9 @@ TONE = {"RISK": "risk", "BOTTLENECK": "action", "DECLINE": "risk", "OPPORTUNITY"
         "BENCHMARK": "info", "ANOMALY": "risk", "FORECAST": "info"}
 
 
+NO_AGED_SCORE = 85.0  # the aging part of the health score where no row has a date
+
+
 def facts(df: DataFrame, col: dict | None = None) -> DataFrame:
     """One row: KPIs + recruiter card picks/median + source picks."""
     cm = resolve(df, col)
@@ -234,7 +237,8 @@ def executive_findings(kpis: DataFrame, comparison: DataFrame) -> DataFrame:
 def health_score(kpis: DataFrame, aging_risk: DataFrame | None, data_quality: DataFrame | None) -> DataFrame:
     """Weighted health score (weights sum to 1.05; not clamped) and its components.
 
-    ``aging_risk`` is a one-row frame with ``aging_risk_score`` (or None -> 85),
+    ``aging_risk`` is a one-row frame with ``aging_risk_score`` (or None -> 85; take it
+    with ``empty=NO_AGED_SCORE``, so that a table without dated rows counts 85 too),
     ``data_quality`` a one-row frame with ``health_score`` (or None -> 80).
     """
     c = F.col
@@ -244,7 +248,7 @@ def health_score(kpis: DataFrame, aging_risk: DataFrame | None, data_quality: Da
 
     parts = [kpis]
     parts.append(aging_risk.select(c("aging_risk_score").alias("_aging")) if aging_risk is not None
-                 else kpis.sparkSession.range(1).select(F.lit(85.0).alias("_aging")))
+                 else kpis.sparkSession.range(1).select(F.lit(NO_AGED_SCORE).alias("_aging")))
     parts.append(data_quality.select(c("health_score").alias("_dq")) if data_quality is not None
                  else kpis.sparkSession.range(1).select(F.lit(80.0).alias("_dq")))
     fx = one_row(*parts)
@@ -283,7 +287,7 @@ def executive_package(df: DataFrame, date_col: str | None, as_of: str, th=None,
     aged = aging_summary(df, date_col, as_of, th or AgingThresholds()) if date_col else None
     comps = period_comparison(df, date_col, cm)
     return {
-        "health": health_score(kp, aging_risk(aged) if aged is not None else None, data_quality),
+        "health": health_score(kp, aging_risk(aged, NO_AGED_SCORE) if aged is not None else None, data_quality),
         "comparisons": comps,
         "findings": executive_findings(kp, comps),
         "funnel_rates": funnel_conversion(kp),

@@ -235,13 +235,13 @@ def like_any(cols, text):
 register("filter_in", with_apps(f"select * from applications where {_FILTER_WHERE}"))
 register("filter_all_selected", with_apps(
     "select count(*) as row_count from applications where client in ('BUILDING')"))
-register("search_like", with_apps(f"select * from applications where {like_any(_SEARCH8, 'united')}"))
+register("search_like", with_apps(f"select * from applications where {like_any(_SEARCH8, 'nation_1')}"))
 register("query_filtered", with_apps(
     f"select candidate_id, candidate_name, recruiter, client, location from applications "
-    f"where {_FILTER_WHERE} and {like_any(_SEARCH8, 'an')} order by candidate_id limit 250"))
+    f"where {_FILTER_WHERE} and {like_any(_SEARCH8, 'role 11')} order by candidate_id limit 250"))
 register("count_rows", with_apps(
     f"select count(*) as row_count from applications where {_FILTER_WHERE} and "
-    f"{like_any(('candidate_name', 'location', 'source'), 'united')}"))
+    f"{like_any(('candidate_name', 'location', 'source'), 'nation_1')}"))
 register("distinct_values", with_apps(
     "select value from (select regexp_replace(cast(v as varchar), '^\\s+|\\s+$', '', 'g') as value from "
     "(select distinct location as v from applications where location is not null order by v limit 500)) "
@@ -642,9 +642,9 @@ NORM_COLS = [c for _, c in _RAW_MAP] + ['"Notes"']
 
 register("normalize_all", with_apps(NORM + " select * from norm", raw=True))
 register("parquet_roundtrip", with_apps(NORM + " select * from norm", raw=True))
-# CSV has no empty-string/NULL distinction: an empty field reads back as NULL (as pandas does)
+# empty fields and the word n/a read back as NULL
 register("csv_flexible", with_apps(" select " + ", ".join(
-    f'nullif("{r}", \'\') as "{r}"' for r in [r for r, _ in _RAW_MAP] + ["Notes"]) + " from applications_raw",
+    f'case when "{r}" not in (\'\', \'n/a\') then "{r}" end as "{r}"' for r in [r for r, _ in _RAW_MAP] + ["Notes"]) + " from applications_raw",
     raw=True))
 register("drop_blank_rows", with_apps(
     " select * from applications_raw where coalesce(" + ", ".join(f'"{r}"' for r, _ in _RAW_MAP) + ', "Notes") is not null',

@@ -5,8 +5,8 @@ from ..operators.aging import AgingThresholds
 AS_OF = "2001-08-01"  # every fixture row is older than this date
 THRESHOLDS = AgingThresholds(healthy_max=365, watch_max=1000, aging_max=1800)
 FILTERS = {"recruiter": ["1-URGENT", "2-HIGH"], "client": ["BUILDING", "MACHINERY"]}
-SEARCH_TEXT = "united"
-QUERY_SEARCH = "an"
+SEARCH_TEXT = "nation_1"
+QUERY_SEARCH = "role 11"
 QUERY_COLUMNS = ["candidate_id", "candidate_name", "recruiter", "client", "location", "nope"]
 QUERY_LIMIT = 250
 REGEX = r"tech [37]|^role 1[01]$"

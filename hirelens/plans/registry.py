@@ -499,7 +499,7 @@ def executive_findings(spark, sf_dir):
 def health_score(spark, sf_dir):
     a = apps(spark, sf_dir)
     aged = AG.aging_summary(a, "application_date", P.AS_OF, P.THRESHOLDS)
-    return INS.health_score(K.compute_kpis(a), AG.aging_risk(aged), QA.health_score(a))
+    return INS.health_score(K.compute_kpis(a), AG.aging_risk(aged, INS.NO_AGED_SCORE), QA.health_score(a))
 
 
 # ---------------------------------------------------------------- questions

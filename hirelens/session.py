@@ -38,7 +38,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; set a local one only when unset (tests)."""
+    """Return the cluster's shared checkpoint folder; set a local one only when unset in local mode (tests)."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
@@ -46,6 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return spark.sparkContext.getCheckpointDir() or conf_dir
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     local = tempfile.mkdtemp(prefix="hirelens-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local

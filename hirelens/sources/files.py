@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CANDIDATE_DELIMITERS = (",", ";", "\t", "|")
 
 
+# Cells that count as missing, besides empty ones.
+NA_WORDS = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+            "NaN", "None", "n/a", "nan", "null")
+
+
 def sniff_delimiter(lines: list[str]) -> str:
     """Pick the delimiter that splits the sample lines into the same (>1) number of fields.
 
-    Ties go to the delimiter with more fields, then to the list order; ',' by default.
+    Delimiters inside quotes do not count.  Ties go to the delimiter with more fields,
+    then to the list order; ',' by default.
     """
     best, best_n = ",", 0
-    sample = [ln for ln in lines if ln.strip()]
+    sample = [re.sub('"(?:[^"]|"")*"', "", ln) for ln in lines if ln.strip()]
     if not sample:
         return best
     for d in CANDIDATE_DELIMITERS:
@@ -28,25 +36,46 @@ def sniff_delimiter(lines: list[str]) -> str:
     return best
 
 
-def read_csv_flexible(spark: SparkSession, path: str) -> DataFrame:
+def header_names(cells: list[str | None]) -> list[str]:
+    """One name a column: a blank header is ``Unnamed: <place>``, the n-th repeat of one gets ``.n``."""
+    names: list[str] = []
+    for place, cell in enumerate(cells):
+        plain = cell or f"Unnamed: {place}"
+        name, n = plain, 0
+        while name in names:
+            n += 1
+            name = f"{plain}.{n}"
+        names.append(name)
+    return names
+
+
+def read_csv_flexible(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All-string CSV read with a sniffed delimiter (UTF-8; BOM stripped from the header).
 
-    Only the first 5 lines travel to the driver to choose the delimiter; the
-    scan itself is a normal parallel CSV read without schema inference.
+    Quoted cells may hold delimiters, doubled quotes and line breaks; empty cells and
+    ``NA_WORDS`` read as NULL.  Columns are taken by position, with ``header_names``.
+    Only the first 5 lines travel to the driver to choose the delimiter, and the header
+    row; the scan itself is a normal parallel CSV read without schema inference.  Line
+    breaks in cells mean that a file is read by one task: set ``multi_line=False`` for
+    very large files that hold none, and Spark splits them.
     """
     head = [r.value for r in spark.read.text(path).limit(5).collect()]
     if head:
-        head[0] = head[0].lstrip("﻿")
-    sep = sniff_delimiter(head)
-    df = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
-          .option("inferSchema", False).option("ignoreLeadingWhiteSpace", False)
-          .option("ignoreTrailingWhiteSpace", False).option("mode", "PERMISSIVE").csv(path))
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+        head[0] = head[0].lstrip("\ufeff")
+    options = {"sep": sniff_delimiter(head), "encoding": "UTF-8", "quote": '"', "escape": '"', "multiLine": multi_line,
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE"}
+    header = spark.read.options(**options).csv(path).first()
+    if header is None:
+        return spark.createDataFrame([], T.StructType([]))
+    names = header_names([(c or "").lstrip("\ufeff") for c in header])
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    cells = spark.read.options(**options, header=True).schema(schema).csv(path)
+    return cells.select(*[F.when(~F.col(f"c{i}").isin("", *NA_WORDS), F.col(f"c{i}")).alias(name) for i, name in enumerate(names)])
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
-    """Write with header, keeping surrounding whitespace in values."""
-    (df.write.mode("overwrite").option("header", True).option("sep", sep)
+    """Write with header, quotes doubled inside quoted cells, keeping surrounding whitespace in values."""
+    (df.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 

@@ -348,3 +348,31 @@ def test_display_helpers(spark):
 def test_hashed_duplicate_count_equals_exact(spark, small_dir):
     n = R.normalized(spark, small_dir).data
     assert QA.duplicate_rows(n, hashed=True).first()[0] == QA.duplicate_rows(n).first()[0] > 0
+
+
+def test_csv_quotes_newlines_missing_words_and_headers(spark, tmp_path):
+    from hirelens.operators import ingest as IN
+    from hirelens.sources import files as FS
+
+    path = tmp_path / "upload.csv"
+    path.write_text('\ufeffCandidate ID,Recruiter,,Recruiter,Client,client \n'
+                    '1,"He said ""hi"", ok",x,Ann,"two\nlines",c2\n'
+                    '2,NA,y,N/A,null,\n', encoding="utf-8")
+    df = FS.read_csv_flexible(spark, str(path))
+    assert df.columns == ["Candidate ID", "Recruiter", "Unnamed: 2", "Recruiter.1", "Client", "client "]
+    assert [tuple(r) for r in df.collect()] == [("1", 'He said "hi", ok', "x", "Ann", "two\nlines", "c2"),
+                                                ("2", None, "y", None, None, None)]
+    assert FS.sniff_delimiter(['a;"b,c,d"', '1;"2,3"']) == ";"
+    clean = IN.clean_headers(df)
+    assert clean.columns == ["Candidate ID", "Recruiter", "Recruiter.1", "Client"]
+    assert clean.collect()[0]["Client"] == "two\nlines"
+
+
+def test_health_score_without_dates_takes_the_default_aging_part(spark):
+    from hirelens.operators import aging as AG
+    from hirelens.operators import insights as INS
+
+    undated = spark.createDataFrame([("a", None), ("b", "soon")], "candidate_id string, application_date string")
+    aged = AG.aging_summary(undated, "application_date", "2024-01-01")
+    assert AG.aging_risk(aged, INS.NO_AGED_SCORE).first()[0] == 85.0
+    assert AG.aging_risk(aged).first()[0] == 100.0
