@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup),
           ("source_mixing", mix), ("retrieval_packing", pack)]
-ORACLE_SQL = None  # fuzzy lines, fingerprints and tokens are beyond SQL; tests/llm tests the operators, not yet the whole run
+ORACLE_SQL = None  # fuzzy lines, fingerprints and tokens are beyond SQL; tests/llm runs it against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
