@@ -14,7 +14,7 @@ already are not compared again, and only a spanning forest of the verified links
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations, repeat
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -32,33 +32,74 @@ BITS = 3
 SIMILARITY = 0.9
 BROADCAST_ROWS = 200_000
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
-_PLAIN = bytes(c if c >= 128 or c <= 32 or chr(c).isalpha() else ord("0") if chr(c).isdigit() else 32 for c in range(256))
+# a byte's normal form: letters and bytes of other scripts stay, digits are 0, punctuation and white space a space
+_PLAIN = bytes(c if c >= 128 or c == 10 or chr(c).isalpha() else ord("0") if chr(c).isdigit()
+               else c if c < 32 and c not in b"\t\v\f\r" else 32 for c in range(256))
+CHUNK = 1 << 18  # bytes hashed at a time
+GROUP = 1 << 20  # characters of texts normalised together
+# 64 random bits for each of 256 bytes at each of 64 places of a word (places repeat in longer words)
+_PLACED = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes((p, c)), 7) for p in range(64) for c in range(256)), np.uint64)
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)).view(np.uint64)  # the bits of a byte, one to a byte
+
+
+def _word_hashes(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hash of each word: the sum of what its bytes stand for at their places; words begin at ``first``."""
+    out = np.zeros(len(first), np.uint64)
+    for lo in range(0, len(letters), CHUNK):
+        hi = min(lo + CHUNK, len(letters))
+        a, b = np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi, "left")
+        at = np.maximum(first[a:b], lo)  # the first word may go on from the last chunk
+        place = np.arange(lo, hi) - np.repeat(first[a:b], np.diff(at, append=hi))
+        out[a:b] += np.add.reduceat(_PLACED[(place & 63) << 8 | letters[lo:hi]], at - lo)
+    return out
+
+
+def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For runs of ``sizes`` (over 0) hashes: the bits that are set in over half of them, as signed numbers."""
+    runs = (sizes + 254) // 255  # of at most 255 hashes, so that no byte of a sum overflows
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(np.cumsum(sizes) - sizes, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    ones = np.stack([np.add.reduceat(_SPREAD[octets[:, k]], starts) for k in range(8)], axis=1)
+    ones = np.add.reduceat(ones.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
 
 
-def plain_lines(text: str) -> list[list[bytes]]:
-    """The words of each line: lower case, ASCII punctuation as spaces, digits as 0."""
-    return [x.split() for x in text.lower().encode("utf-8", "replace").translate(_PLAIN).split(b"\n")]
+def line_prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Each line's normal form, number of words and SimHash of its words (0 without words).
+
+    Normal: lower case, ASCII punctuation as spaces, digits as 0, single spaces between words.
+    """
+    data = np.frombuffer(text.lower().encode("utf-8", "replace").translate(_PLAIN), np.uint8)
+    newline, kept = data == 10, data != 32
+    inside = kept & ~newline
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts, ends = edges[::2], edges[1::2]
+    bounds = np.concatenate([[0], np.searchsorted(starts, np.flatnonzero(newline)), [len(starts)]])
+    sizes = np.diff(bounds)
+    full = sizes > 0
+    later = np.ones(len(starts), bool)
+    later[bounds[:-1][full]] = False
+    kept[starts[later] - 1] = True  # one space before each word but a line's first
+    sims = np.zeros(len(sizes), np.int64)
+    if len(starts):
+        lengths = ends - starts
+        sims[full] = _majorities(_word_hashes(data[inside], np.cumsum(lengths) - lengths), sizes[full])
+    return data[kept].tobytes().split(b"\n"), sizes, sims
 
 
 def normalise(line: str) -> str:
     """A line's words with single spaces between."""
-    return b" ".join(plain_lines(line)[0]).decode()
+    return line_prints(line)[0][0].decode()
 
 
 def simhashes(lines: list[list[bytes]]) -> list[int]:
     """Signed 64-bit SimHash of each line's words; no line may be without words."""
-    if not lines:
-        return []
-    digests = b"".join(map(xxhash.xxh64_digest, chain.from_iterable(lines), repeat(7)))
-    # one byte a bit, added eight bits at a time; runs of 255 words, so that no byte overflows
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8)).view(np.uint64).reshape(-1, 8)
+    words = list(chain.from_iterable(lines))
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    letters = np.frombuffer(b"".join(words), np.uint8)
     sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    runs = (sizes + 254) // 255
-    first = np.cumsum(runs) - runs
-    starts = np.repeat(np.cumsum(sizes) - sizes, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
-    ones = np.add.reduceat(bits, starts, axis=0).view(np.uint8).reshape(-1, 64)
-    ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > sizes[:, None], axis=1).view(">i8").ravel().tolist()
+    return _majorities(_word_hashes(letters, np.cumsum(lengths) - lengths), sizes).tolist() if lines else []
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -100,14 +141,29 @@ def similar(a: str, b: str, least: float) -> bool:
 def _with_lines(docs: DataFrame, text: str, min_words: int, fuzzy_words: int) -> DataFrame:
     """``docs`` with __row and, for each line, __hash (null: never removed) and __sim (null: equal lines only)."""
 
+    def of_texts(texts: list[str]) -> Iterator[tuple[list, list]]:
+        """The two arrays of each text; texts go through together up to a size, as single short ones cost more."""
+        lines, words, sims = line_prints("\n".join(texts))
+        hashes = [xxhash.xxh128_digest(x) if n >= min_words else None for x, n in zip(lines, words.tolist())]
+        sims = [x if n >= fuzzy_words else None for x, n in zip(sims.tolist(), words.tolist())]
+        at = 0
+        for t in texts:
+            end = at + t.count("\n") + 1
+            yield hashes[at:end], sims[at:end]
+            at = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, sims = [], []
-            for t in batch.column(batch.schema.get_field_index("__text")).to_pylist():
-                lines = plain_lines(t or "")
-                hashes.append([xxhash.xxh128_digest(b" ".join(x)) if len(x) >= min_words else None for x in lines])
-                found = iter(simhashes([x for x in lines if len(x) >= fuzzy_words]))
-                sims.append([next(found) if len(x) >= fuzzy_words else None for x in lines])
+            found, group, size = [], [], 0
+            for t in batch.column(batch.schema.get_field_index("__text")):
+                t = t.as_py() or ""
+                if group and size + len(t) > GROUP:
+                    found += of_texts(group)
+                    group, size = [], 0
+                group.append(t)
+                size += len(t)
+            found += of_texts(group) if group else []
+            hashes, sims = [x for x, _ in found], [x for _, x in found]
             keep = [k for k, name in enumerate(batch.schema.names) if name != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(k) for k in keep], pa.array(hashes, pa.list_(pa.binary())), pa.array(sims, pa.list_(pa.int64()))],

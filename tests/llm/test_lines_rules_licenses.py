@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
+import xxhash
 
 from hirelens.llm import licenses, linededup, quality_rules
 
@@ -34,6 +35,34 @@ def test_edit_distance_equals_the_table():
         assert linededup.edit_distance(a, b) == levenshtein(a, b)
 
 
+def plain_normal(line):
+    """Words of a line by plain Python: lower case, digits as 0, other ASCII signs as spaces."""
+    def plain(c):
+        if c.isdigit() and c < "\x80":
+            return "0"
+        return c if c >= "\x80" or c < " " and c not in "\t\v\f\r" or c.isalpha() else " "
+
+    return [w.encode() for w in "".join(map(plain, line.lower())).split(" ") if w]
+
+
+def plain_simhash(words):
+    hashes = [sum(int.from_bytes(xxhash.xxh64_digest(bytes((p % 64, c)), 7), "little") for p, c in enumerate(w)) % 2**64 for w in words]
+    # bit 63 - 8 k - b of the fingerprint is bit 8 k + 7 - b of the hashes
+    return sum(1 << 63 - 8 * k - b for k in range(8) for b in range(8) if 2 * sum(h >> 8 * k + 7 - b & 1 for h in hashes) > len(hashes))
+
+
+def test_line_prints_equal_plain_python():
+    rng = random.Random(4)
+    texts = ["", "\n", "\n\n a  b\t\x00c \r\n", "  \n   ", "É — ß\x0b\x0cq 12%", "w " * 700, "x" * (linededup.CHUNK * 2 + 5) + " y"]
+    texts += ["".join(rng.choice("ab C9.\n\té") for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    for text in texts:
+        lines, sizes, sims = linededup.line_prints(text)
+        want = [plain_normal(x) for x in text.split("\n")]
+        assert lines == [b" ".join(x) for x in want] and sizes.tolist() == [len(x) for x in want]
+        assert [x % 2**64 for x in sims.tolist()] == [plain_simhash(x) for x in want]
+        assert linededup.simhashes([x for x in want if x]) == [s for s, x in zip(sims.tolist(), want) if x]
+
+
 def brute_dedup(rows, bits=linededup.BITS, similarity=linededup.SIMILARITY):
     """Texts without the lines that their group keeps elsewhere; rows in order of (id, row)."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
