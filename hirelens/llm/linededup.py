@@ -90,7 +90,7 @@ def line_prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 def normalise(line: str) -> str:
     """A line's words with single spaces between."""
-    return line_prints(line)[0][0].decode()
+    return b" ".join(line.lower().encode("utf-8", "replace").translate(_PLAIN).split()).decode()
 
 
 def simhashes(lines: list[list[bytes]]) -> list[int]:
@@ -131,11 +131,52 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+# words left out on each side where an alignment may go on, nearest first
+_SKIPS = sorted(((p, q) for p in range(5) for q in range(5) if p or q), key=lambda x: (max(x), x[0] != x[1]))
+
+
+def at_most(a: str, b: str, limit: int) -> int:
+    """An upper bound of the edit distance by a greedy alignment of words; over ``limit`` if none is found."""
+    x, y, i, j, cost = a.split(" "), b.split(" "), 0, 0, 0
+    while i < len(x) and j < len(y) and cost <= limit:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _SKIPS:
+            if x[i + p:i + p + 2] == y[j + q:j + q + 2]:
+                break
+        else:
+            return limit + 1
+        # a word counts with the space after it
+        cost += max(p + sum(map(len, x[i:i + p])), q + sum(map(len, y[j:j + q])))
+        i, j = i + p, j + q
+    return cost + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:])
+
+
+def at_least(a: str, b: str, limit: int, piece: int) -> int:
+    """A lower bound of the edit distance, if that is at most ``limit``; else the bound may pass ``limit``.
+
+    An edit changes one piece of ``a`` at most, and up to ``limit`` edits shift the others by no more.
+    """
+    missing = 0
+    for k in range(0, len(a) - piece + 1, piece):
+        if b.find(a[k:k + piece], max(0, k - limit), k + piece + limit) < 0:
+            missing += 1
+            if missing > limit:
+                break
+    return missing
+
+
 def similar(a: str, b: str, least: float) -> bool:
+    """Whether 1 - edit distance / longer length is at least ``least``; the distance is counted where its bounds leave it open."""
     longer = max(len(a), len(b))
-    if abs(len(a) - len(b)) > (1 - least) * longer + 1e-9:
+    limit = int((1 - least) * longer + 1e-9)
+    if abs(len(a) - len(b)) > limit:
         return False
-    return edit_distance(a, b) <= (1 - least) * longer + 1e-9
+    if at_most(a, b, limit) <= limit:
+        return True
+    piece = max(1, int(0.5 / max(1 - least, 1e-9)))
+    return at_least(a, b, limit, piece) <= limit and edit_distance(a, b) <= limit
 
 
 def _with_lines(docs: DataFrame, text: str, min_words: int, fuzzy_words: int) -> DataFrame:

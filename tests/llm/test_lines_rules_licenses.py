@@ -35,6 +35,30 @@ def test_edit_distance_equals_the_table():
         assert linededup.edit_distance(a, b) == levenshtein(a, b)
 
 
+def test_similar_equals_the_table():
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    seen = set()
+    for _ in range(600):
+        x = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
+        y = list(x)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randint(0, len(y))
+            y[at:at + rng.randint(0, 3)] = [rng.choice(vocabulary) for _ in range(rng.randint(0, 3))]
+        if rng.random() < 0.2:
+            rng.shuffle(y)
+        a, b = " ".join(x), " ".join(y)
+        distance, longer = levenshtein(a, b), max(len(a), len(b))
+        for least in (1.0, 0.95, 0.9, 0.7, 0.4):
+            limit = int((1 - least) * longer + 1e-9)
+            above = linededup.at_most(a, b, limit)
+            assert above > limit or above >= distance
+            assert distance > limit or linededup.at_least(a, b, limit, 3) <= distance
+            assert linededup.similar(a, b, least) == (distance <= (1 - least) * longer + 1e-9)
+            seen.add((least, distance <= limit))
+    assert len(seen) == 10
+
+
 def plain_normal(line):
     """Words of a line by plain Python: lower case, digits as 0, other ASCII signs as spaces."""
     def plain(c):
@@ -58,6 +82,7 @@ def test_line_prints_equal_plain_python():
     for text in texts:
         lines, sizes, sims = linededup.line_prints(text)
         want = [plain_normal(x) for x in text.split("\n")]
+        assert [linededup.normalise(x).encode() for x in text.split("\n")] == lines
         assert lines == [b" ".join(x) for x in want] and sizes.tolist() == [len(x) for x in want]
         assert [x % 2**64 for x in sims.tolist()] == [plain_simhash(x) for x in want]
         assert linededup.simhashes([x for x in want if x]) == [s for s, x in zip(sims.tolist(), want) if x]
