@@ -23,7 +23,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest as IN
 from ..operators import kpis as K
-from ..session import scratch_path
 
 
 def upload_schema(headers: list[str]) -> T.StructType:
@@ -46,17 +45,16 @@ def normalized_stream(raw: DataFrame, overrides: dict[str, str] | None = None) -
     return IN.normalize_all(raw, overrides)
 
 
-def write_normalized(stream: DataFrame, out_path: str, checkpoint: str | None = None,
+def write_normalized(stream: DataFrame, out_path: str, checkpoint: str,
                      available_now: bool = True) -> StreamingQuery:
-    """Append the canonical rows to parquet; the checkpoint lives in the shared folder."""
-    ckpt = checkpoint or scratch_path(stream.sparkSession, "ckpt-normalized")
+    """Append the canonical rows to parquet; a restart with the same ``checkpoint`` folder appends none again."""
     w = (stream.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", ckpt).outputMode("append"))
+         .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
-def kpis_by_stream(stream: DataFrame, key: str, table_name: str, checkpoint: str | None = None,
+def kpis_by_stream(stream: DataFrame, key: str, table_name: str, checkpoint: str,
                    available_now: bool = True) -> StreamingQuery:
     """A3 maintained incrementally per dimension value, published as an in-memory table.
 
@@ -64,8 +62,7 @@ def kpis_by_stream(stream: DataFrame, key: str, table_name: str, checkpoint: str
     holds one aggregation buffer per group.
     """
     grouped = K.group_kpis_by_key(stream, key)
-    ckpt = checkpoint or scratch_path(stream.sparkSession, f"ckpt-kpis-{key}")
     w = (grouped.writeStream.format("memory").queryName(table_name)
-         .option("checkpointLocation", ckpt).outputMode("complete"))
+         .option("checkpointLocation", checkpoint).outputMode("complete"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
