@@ -15,7 +15,7 @@ from hirelens.llm.params import MIX_WEIGHTS, domain
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without lines above the limit of their source."""
     return quality_rules.keep_good(docs)
 
 

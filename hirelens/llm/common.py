@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -37,6 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@F.pandas_udf(T.StringType())
+def without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Each text without the lines at the places ``gone``."""
+    def cut(t, places):
+        if t is None or not len(places):
+            return t
+        drop = set(places.tolist())
+        return "\n".join([x for k, x in enumerate(t.split("\n")) if k not in drop])
+
+    return pd.Series([cut(t, places) for t, places in zip(text, gone)], dtype=object)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Forest, components, key_runs, near_in_runs, popcount, shuffle_partitions, written
+from .common import Forest, components, key_runs, near_in_runs, popcount, shuffle_partitions, without_lines, written
 
 MIN_WORDS = 3  # shorter lines stay: headings, brackets and list marks repeat rightly
 FUZZY_WORDS = 8  # shorter lines are matched when equal only
@@ -314,18 +314,6 @@ def _texts(base: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return written(rows.select("t", "__hash", "want").mapInArrow(pick, "h binary, sim long, norm string"), "lines-texts")
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    """Each text without the lines at the places ``gone``."""
-    def cut(t, places):
-        if t is None or not len(places):
-            return t
-        drop = set(places.tolist())
-        return "\n".join([x for k, x in enumerate(t.split("\n")) if k not in drop])
-
-    return pd.Series([cut(t, places) for t, places in zip(text, gone)], dtype=object)
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
                 fuzzy_words: int = FUZZY_WORDS, bits: int = BITS, similarity: float = SIMILARITY, tile: int = 1024) -> DataFrame:
     """``docs`` with ``text`` without its repeated lines, and ``lines`` and ``lines_removed`` (array of places from 0).
@@ -366,4 +354,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     counted = base.withColumn("__lines", F.size("__hash")).drop("__hash", "__sim")
     joined = counted.join(removed.hint("shuffle_hash"), "__row", "left") \
         .withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
-    return joined.select(*own, _without(text, "__gone").alias(text), F.col("__lines").alias("lines"), F.col("__gone").alias("lines_removed"))
+    return joined.select(*own, without_lines(text, "__gone").alias(text), F.col("__lines").alias("lines"), F.col("__gone").alias("lines_removed"))

@@ -51,7 +51,8 @@ def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumn("lines_removed", F.array_join(F.transform("lines_removed", lambda i: i.cast("string")), ","))
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,35 @@ def test_quality_rules_edges(spark):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 1, 2, 7]  # the long text repeats itself
 
 
+def brute_common(rows, limit, share):
+    """(host, normalised line) in more distinct documents of the host than its limit; documents of equal lines are one."""
+    normal = lambda x: re.sub(r"\d", "0", " ".join(x.lower().split()))
+    sets = {(r[3], frozenset(filter(None, map(normal, (r[1] or "").split("\n"))))) for r in rows}
+    sets = {(h, s) for h, s in sets if s}
+    return {(h, x) for h, s in sets for x in s
+            if sum(x in t for g, t in sets if g == h) > max(limit, share * sum(g == h for g, _ in sets))}, normal
+
+
+def test_rules_remove_lines_above_the_limit(spark):
+    rng = random.Random(15)
+    body = lambda n: "\n".join(" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(30)) for _ in range(n))
+    rows = [(i, f"Menu  {i % 10} of all pages\n{body(2)}\n \n{body(1)}\nmenu 7 of all pages\n", "en", "h1", 5) for i in range(30)]
+    rows += [(100 + i, body(3), "en", "h1", 5) for i in range(5)]
+    rows += [(200 + i, "menu 7 of all pages\n" + body(3), "en", None, 5) for i in range(3)]  # few of another host
+    rows += [(300 + i, rows[0][1], "en", "h1", 5) for i in range(2)] + [(400, None, "en", "h1", None)]
+    common, normal = brute_common(rows, 20, 0.05)
+    assert common == {("h1", "menu 0 of all pages")}
+    kept = {r["doc_id"]: r for r in quality_rules.keep_good(doc_frame(spark, rows), line_limit=20, line_share=0.05).collect()}
+    judged = {r["doc_id"]: r for r in quality_rules.judge(doc_frame(spark, rows), line_limit=20, line_share=0.05).collect()}
+    assert sorted(kept) == [r[0] for r in rows if r[1]]
+    for i, text, _, host, n_chars in rows[:-1]:
+        lines = text.split("\n")
+        gone = [k for k, x in enumerate(lines) if (host, normal(x)) in common]
+        assert judged[i]["lines_removed"] == gone and len(gone) == (2 if host and "enu" in text else 0)
+        assert kept[i]["text"] == "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        assert kept[i]["n_chars"] == (len(kept[i]["text"]) if gone else n_chars)
+
+
 def brute_scan(text):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
