@@ -1,8 +1,8 @@
 """Quality rules: per-document word rules and cross-document line frequency.
 
 Lines are normalised and hashed, and each line counts the distinct documents of its host that
-hold it.  Copies and near copies are one text, not many: a document counts under the smallest
-of its line hashes (a one-value MinHash of its lines), which copies share.  Lines above the
+hold it.  Copies are one document, not many: a document counts under a hash of its whole set of
+lines, so documents that share some lines and differ in others count each.  Lines above the
 limit of their host are boilerplate and removed; a document that keeps too little is depleted
 and rejected, as is one that fails the word rules.
 """
@@ -65,8 +65,14 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
     return hashes, words
 
 
+def set_hash(hashes: list[int], words: list[int]) -> int | None:
+    """One hash of the different lines with a word, in any order and number; None if there are none."""
+    different = np.unique(np.array(hashes, np.int64)[np.array(words, np.int64) > 0])
+    return xxhash.xxh64_intdigest(different.tobytes()) - (1 << 63) if len(different) else None
+
+
 def document_lines(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
-    """Per row: id (as text), host, the base counts, the hash and words of each line, and the smallest hash."""
+    """Per row: id (as text), host, the base counts, the hash and words of each line, and a hash of its set of lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,12 +81,12 @@ def document_lines(docs: DataFrame, id_col: str, text: str, host: str) -> DataFr
             lines = [line_hashes(t) for t in batch["text"]]
             yield batch[["__row", "id", "host"]].reset_index(drop=True).assign(
                 **base, hashes=[x for x, _ in lines], words=[x for _, x in lines],
-                sketch=pd.array([min((h for h, n in zip(*x) if n), default=None) for x in lines], dtype="Int64"))
+                lineset=pd.array([set_hash(*x) for x in lines], dtype="Int64"))
 
     # ids go through Python as text: pandas would turn whole numbers beside nulls into floats
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("string").alias("id"),
                        F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    typed = "__row long, id string, host string, " + BASE + ", hashes array<long>, words array<long>, sketch long"
+    typed = "__row long, id string, host string, " + BASE + ", hashes array<long>, words array<long>, lineset long"
     return rows.mapInPandas(run, typed)
 
 
@@ -101,11 +107,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
 
 
 def _judged(rows, min_words, repeat_percent, line_limit, line_share, keep_percent) -> DataFrame:
-    lines = rows.select("__row", "host", "sketch", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "l")) \
-        .select("__row", "host", "sketch", "at", F.col("l.hashes").alias("line"), F.col("l.words").alias("words")).where("words > 0")
-    hosts = rows.where("sketch is not null").select("host", "sketch").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    lines = rows.select("__row", "host", "lineset", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "l")) \
+        .select("__row", "host", "lineset", "at", F.col("l.hashes").alias("line"), F.col("l.words").alias("words")).where("words > 0")
+    hosts = rows.where("lineset is not null").select("host", "lineset").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     limit = F.greatest(F.lit(float(line_limit)), F.col("docs") * F.lit(line_share))
-    common = (lines.select("host", "line", "sketch").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    common = (lines.select("host", "line", "lineset").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
               .where(F.col("n") > line_limit).withColumnRenamed("host", "h"))
     common = common.join(hosts, F.col("h").eqNullSafe(F.col("host"))).where(F.col("n") > limit) \
         .select("h", F.col("line").alias("l"))
@@ -114,7 +120,7 @@ def _judged(rows, min_words, repeat_percent, line_limit, line_share, keep_percen
                .groupBy("__row").agg(F.sum("words").alias("words_removed"), F.array_sort(F.collect_list("at")).alias("lines_removed")))
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - F.col("words_removed")) < keep_percent * F.col("n_words")
-    return (rows.drop("hashes", "words", "sketch").join(removed, "__row", "left").fillna(0, ["words_removed"])
+    return (rows.drop("hashes", "words", "lineset").join(removed, "__row", "left").fillna(0, ["words_removed"])
             .withColumn("lines_removed", F.coalesce("lines_removed", F.array().cast("array<int>")))
             .withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~depleted))
 

@@ -227,6 +227,21 @@ def test_rules_remove_lines_above_the_limit(spark):
         assert kept[i]["n_chars"] == (len(kept[i]["text"]) if gone else n_chars)
 
 
+def test_rules_count_documents_that_share_lines(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(12))
+    shared, parts = [line() for _ in range(10)], [line() for _ in range(14)]
+    rows = [(i, "\n".join([*shared, line()]), "en", "h1", 0) for i in range(40)]  # ten shared lines, one own
+    rows += [(100 + i, "\n".join(rng.sample(parts, 7)), "en", "h2", 0) for i in range(80)]  # shared lines in other selections
+    rows += [(200 + i, "\n".join(rng.sample(shared, 10)), "en", "h3", 0) for i in range(60)]  # the same lines in any order
+    common, normal = brute_common(rows, 20, 0.05)
+    assert {h for h, _ in common} == {"h1", "h2"} and len(common) == 24
+    for r in quality_rules.judge(doc_frame(spark, rows), line_limit=20, line_share=0.05).collect():
+        _, text, _, host, _ = next(x for x in rows if x[0] == r["doc_id"])
+        assert r["lines_removed"] == [k for k, x in enumerate(text.split("\n")) if (host, normal(x)) in common]
+        assert r["kept"] == (host == "h3")
+
+
 def brute_scan(text):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
