@@ -13,6 +13,7 @@ already are not compared again, and only a spanning forest of the verified links
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain, combinations
 
@@ -28,6 +29,7 @@ from .common import Forest, components, key_runs, near_in_runs, popcount, shuffl
 
 MIN_WORDS = 3  # shorter lines stay: headings, brackets and list marks repeat rightly
 FUZZY_WORDS = 8  # shorter lines are matched when equal only
+CHARS_A_WORD = 5  # characters of scripts written without spaces count as so many to a word
 BITS = 3
 SIMILARITY = 0.9
 BROADCAST_ROWS = 200_000
@@ -35,6 +37,10 @@ _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and wid
 # a byte's normal form: letters and bytes of other scripts stay, digits are 0, punctuation and white space a space
 _PLAIN = bytes(c if c >= 128 or c == 10 or chr(c).isalpha() else ord("0") if chr(c).isdigit()
                else c if c < 32 and c not in b"\t\v\f\r" else 32 for c in range(256))
+# Thai, Lao, Tibetan, Burmese, Khmer, kana, Bopomofo and Han; and the bytes their characters begin with
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+                       "\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+_LEADS = np.isin(np.arange(256), [0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0])
 CHUNK = 1 << 18  # bytes hashed at a time
 GROUP = 1 << 20  # characters of texts normalised together
 # 64 random bits for each of 256 bytes at each of 64 places of a word (places repeat in longer words)
@@ -69,6 +75,7 @@ def line_prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Each line's normal form, number of words and SimHash of its words (0 without words).
 
     Normal: lower case, ASCII punctuation as spaces, digits as 0, single spaces between words.
+    Words of scripts without spaces are estimated by their characters, and their features are trigrams.
     """
     data = np.frombuffer(text.lower().encode("utf-8", "replace").translate(_PLAIN), np.uint8)
     newline, kept = data == 10, data != 32
@@ -85,7 +92,22 @@ def line_prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     if len(starts):
         lengths = ends - starts
         sims[full] = _majorities(_word_hashes(data[inside], np.cumsum(lengths) - lengths), sizes[full])
-    return data[kept].tobytes().split(b"\n"), sizes, sims
+    lines = data[kept].tobytes().split(b"\n")
+    if _LEADS[data].any():
+        for k, x in enumerate(lines):
+            if sizes[k] and not x.isascii() and (unspaced := len(_UNSPACED.findall(x.decode()))):
+                found = features(x.decode())
+                sizes[k] = max(sizes[k], sum(not _UNSPACED.search(w) for w in x.decode().split(" ")) + unspaced // CHARS_A_WORD)
+                sims[k] = simhashes([found])[0]
+    return lines, sizes, sims
+
+
+def features(norm: str) -> list[bytes]:
+    """The words of a normal form; for a word with characters of a script without spaces its character trigrams."""
+    out = []
+    for w in norm.split(" "):
+        out += [w[k:k + 3] for k in range(max(1, len(w) - 2))] if _UNSPACED.search(w) else [w]
+    return [w.encode() for w in out]
 
 
 def normalise(line: str) -> str:

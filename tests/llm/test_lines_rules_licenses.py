@@ -146,6 +146,21 @@ def test_line_dedup_equals_brute_force(spark, tile):
     assert [got[r[0]] for r in rows] == brute_dedup(rows)
 
 
+def test_line_dedup_in_scripts_without_spaces(spark):
+    rng = random.Random(12)
+    text = lambda first, n: "".join(chr(first + rng.randrange(40)) for _ in range(n))
+    rows = []
+    for first in (0x4E00, 0x3042, 0x0E01, 0x20000):
+        line, at = text(first, 600), len(rows)
+        near = line[:300] + "x" + line[301:]
+        assert len(set(map(linededup.normalise, (line, near)))) == 2
+        short, heading = text(first, 15), text(first, 9)
+        rows += [(at, f"{line}\n{short}\n{heading}", "zh", "s", 0), (at + 1, f"{heading}\n{line}\n{short}", "zh", "s", 0),
+                 (at + 2, f"{near}\n{text(first, 600)}", "zh", "s", 0)]
+    got = {r["doc_id"]: r["lines_removed"] for r in linededup.dedup_lines(doc_frame(spark, rows)).collect()}
+    assert [got[k] for k in range(len(rows))] == [[], [1, 2], [0]] * 4
+
+
 def test_line_dedup_edges(spark):
     docs = edge_documents(spark)
     got = linededup.dedup_lines(docs)
