@@ -1,8 +1,10 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
 Equal normalised lines are one distinct line.  Distinct lines whose 64-bit SimHash differs in
-at most ``bits`` (3) agree in two of five blocks of it: fingerprints are posted under each of
-the ten pairs of blocks, and lines that meet a near fingerprint in a list are candidates.
+at most 3 bits agree in two of five blocks of it: fingerprints are posted under each of the ten
+pairs of blocks.  One replaced word flips more bits in a line of few words, so fingerprints are
+also posted under 12 pairs of minima over the line's pairs of neighbouring words (MinHash), which
+a similar line mostly shares.  Lines that meet one within ``bits`` in a list are candidates.
 Their texts are compared by edit similarity, 1 - distance / longer length.  Connected groups
 of lines keep one occurrence: that in the smallest document id, at its first place there.
 
@@ -30,7 +32,8 @@ from .common import Forest, components, key_runs, near_in_runs, popcount, shuffl
 MIN_WORDS = 3  # shorter lines stay: headings, brackets and list marks repeat rightly
 FUZZY_WORDS = 8  # shorter lines are matched when equal only
 CHARS_A_WORD = 5  # characters of scripts written without spaces count as so many to a word
-BITS = 3
+BITS = 20  # a replaced word flips about 9 bits in a line of 8 words; unrelated lines differ in 32, give or take 4
+BANDS = 12
 SIMILARITY = 0.9
 BROADCAST_ROWS = 200_000
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
@@ -71,12 +74,35 @@ def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
 
 
+_MULTIPLIERS = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes((p,)), 11) for p in range(2 * BANDS)), np.uint64) | np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def _bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For runs of ``sizes`` (over 0) word hashes: 12 numbers, each of two minima over the pairs of neighbouring words."""
+    first = np.cumsum(sizes) - sizes
+    before = np.roll(hashes, 1)
+    before[first] = 0
+    pairs = _mixed(_mixed(before) + hashes)
+    least = [np.minimum.reduceat(pairs * m, first) for m in _MULTIPLIERS]
+    return np.stack([_mixed(_mixed(a) + b) for a, b in zip(least[::2], least[1::2])], axis=1).astype(np.uint32)
+
+
 def line_prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Each line's normal form, number of words and SimHash of its words (0 without words).
 
     Normal: lower case, ASCII punctuation as spaces, digits as 0, single spaces between words.
     Words of scripts without spaces are estimated by their characters, and their features are trigrams.
     """
+    return _prints(text)[:3]
+
+
+def _prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """``line_prints`` and the bands of each line."""
     data = np.frombuffer(text.lower().encode("utf-8", "replace").translate(_PLAIN), np.uint8)
     newline, kept = data == 10, data != 32
     inside = kept & ~newline
@@ -88,10 +114,11 @@ def line_prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     later = np.ones(len(starts), bool)
     later[bounds[:-1][full]] = False
     kept[starts[later] - 1] = True  # one space before each word but a line's first
-    sims = np.zeros(len(sizes), np.int64)
+    sims, bands = np.zeros(len(sizes), np.int64), np.zeros((len(sizes), BANDS), np.uint32)
     if len(starts):
         lengths = ends - starts
-        sims[full] = _majorities(_word_hashes(data[inside], np.cumsum(lengths) - lengths), sizes[full])
+        hashes = _word_hashes(data[inside], np.cumsum(lengths) - lengths)
+        sims[full], bands[full] = _majorities(hashes, sizes[full]), _bands(hashes, sizes[full])
     lines = data[kept].tobytes().split(b"\n")
     if _LEADS[data].any():
         for k, x in enumerate(lines):
@@ -99,7 +126,10 @@ def line_prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
                 found = features(x.decode())
                 sizes[k] = max(sizes[k], sum(not _UNSPACED.search(w) for w in x.decode().split(" ")) + unspaced // CHARS_A_WORD)
                 sims[k] = simhashes([found])[0]
-    return lines, sizes, sims
+                lengths = np.array([len(f) for f in found])
+                hashes = _word_hashes(np.frombuffer(b"".join(found), np.uint8), np.cumsum(lengths) - lengths)
+                bands[k] = _bands(hashes, np.array([len(found)]))[0]
+    return lines, sizes, sims, bands
 
 
 def features(norm: str) -> list[bytes]:
@@ -202,17 +232,19 @@ def similar(a: str, b: str, least: float) -> bool:
 
 
 def _with_lines(docs: DataFrame, text: str, min_words: int, fuzzy_words: int) -> DataFrame:
-    """``docs`` with __row and, for each line, __hash (null: never removed) and __sim (null: equal lines only)."""
+    """``docs`` with __row and, for each line, __hash (null: never removed), __sim and __bands (null: equal lines only)."""
 
-    def of_texts(texts: list[str]) -> Iterator[tuple[list, list]]:
-        """The two arrays of each text; texts go through together up to a size, as single short ones cost more."""
-        lines, words, sims = line_prints("\n".join(texts))
+    def of_texts(texts: list[str]) -> Iterator[tuple[list, list, list]]:
+        """The three arrays of each text; texts go through together up to a size, as single short ones cost more."""
+        lines, words, sims, bands = _prints("\n".join(texts))
         hashes = [xxhash.xxh128_digest(x) if n >= min_words else None for x, n in zip(lines, words.tolist())]
         sims = [x if n >= fuzzy_words else None for x, n in zip(sims.tolist(), words.tolist())]
+        octets, wide = bands.tobytes(), 4 * BANDS
+        bands = [None if x is None else octets[wide * k:wide * k + wide] for k, x in enumerate(sims)]
         at = 0
         for t in texts:
             end = at + t.count("\n") + 1
-            yield hashes[at:end], sims[at:end]
+            yield hashes[at:end], sims[at:end], bands[at:end]
             at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,43 +258,30 @@ def _with_lines(docs: DataFrame, text: str, min_words: int, fuzzy_words: int) ->
                 group.append(t)
                 size += len(t)
             found += of_texts(group) if group else []
-            hashes, sims = [x for x, _ in found], [x for _, x in found]
+            hashes, sims, bands = ([x[k] for x in found] for k in range(3))
             keep = [k for k, name in enumerate(batch.schema.names) if name != "__text"]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in keep], pa.array(hashes, pa.list_(pa.binary())), pa.array(sims, pa.list_(pa.int64()))],
-                names=[*[batch.schema.names[k] for k in keep], "__hash", "__sim"])
+                [*[batch.column(k) for k in keep], pa.array(hashes, pa.list_(pa.binary())), pa.array(sims, pa.list_(pa.int64())),
+                 pa.array(bands, pa.list_(pa.binary()))],
+                names=[*[batch.schema.names[k] for k in keep], "__hash", "__sim", "__bands"])
 
     rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__text": F.col(text)})
     kept = [f for f in rows.schema.fields if f.name != "__text"]
-    schema = T.StructType([*kept, T.StructField("__hash", T.ArrayType(T.BinaryType())), T.StructField("__sim", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*kept, T.StructField("__hash", T.ArrayType(T.BinaryType())), T.StructField("__sim", T.ArrayType(T.LongType())),
+                           T.StructField("__bands", T.ArrayType(T.BinaryType()))])
     return written(rows.mapInArrow(run, schema), "lines-base")
 
 
 _PAIRS = list(combinations(range(len(_BLOCKS)), 2))
 
 
-def first_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For fingerprints equal in two blocks at least: the first of the pairs of blocks that agree."""
-    xor = (a ^ b).view(np.uint64)
-    equal = [xor >> np.uint64(s) & np.uint64((1 << w) - 1) == 0 for s, w in _BLOCKS]
-    table = np.full(len(xor), -1)
-    for k, (x, y) in reversed(list(enumerate(_PAIRS))):
-        table[equal[x] & equal[y]] = k
-    return table
-
-
-def _near(keys: np.ndarray, sim: np.ndarray, bits: int):
-    """Pairs within ``bits``, each in the first list only in which the two meet."""
-    def near(i, j):
-        good = popcount(sim[i] ^ sim[j]) <= bits
-        good[good] = first_table(sim[i[good]], sim[j[good]]) == keys[i[good]] >> 40
-        return good
-
-    return near
+def _near(sim: np.ndarray, bits: int):
+    """Pairs within ``bits``."""
+    return lambda i, j: popcount(sim[i] ^ sim[j]) <= bits
 
 
 def _candidates(sims: DataFrame, bits: int, most: int) -> DataFrame:
-    """(key, sim): fingerprints that have a near one under that key, or belong to several lines."""
+    """(key, sim): fingerprints that have a near one under a key, or belong to several lines; lists with equal members get one key."""
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sim, several = b["sim"].to_numpy(), b["n"].to_numpy() > 1
@@ -271,6 +290,10 @@ def _candidates(sims: DataFrame, bits: int, most: int) -> DataFrame:
                 one, two = ((u >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in ((s1, w1), (s2, w2)))
                 key = (np.int64(k) << 40) | (one << np.uint64(13) | two).astype(np.int64)
                 yield pd.DataFrame({"key": key, "sim": sim, "several": several & (k == 0)})
+            bands = np.frombuffer(b"".join(b["bands"]), np.uint32).reshape(-1, BANDS)
+            for k in range(BANDS):
+                key = np.int64(len(_PAIRS) + k) << 40 | bands[:, k].astype(np.int64)
+                yield pd.DataFrame({"key": key, "sim": sim, "several": False})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, whole in key_runs(batches, "key", most):
@@ -278,10 +301,14 @@ def _candidates(sims: DataFrame, bits: int, most: int) -> DataFrame:
                 yield frame[["key", "sim"]]
                 continue
             keys, sim = frame["key"].to_numpy(), frame["sim"].to_numpy()
-            i, j = near_in_runs(keys, len(sim), _near(keys, sim, bits))
+            i, j = near_in_runs(keys, len(sim), _near(sim, bits))
             active = frame["several"].to_numpy().copy()
             active[i] = active[j] = True
-            yield frame[["key", "sim"]][active]
+            keys, sim = keys[active], sim[active]
+            starts = np.flatnonzero(np.diff(keys, prepend=-1))
+            sizes = np.diff(starts, append=len(keys))
+            named = [xxhash.xxh64_intdigest(sim[a:a + n].tobytes()) - (1 << 63) for a, n in zip(starts.tolist(), sizes.tolist())]
+            yield pd.DataFrame({"key": np.repeat(np.array(named, np.int64), sizes), "sim": sim})
 
     return (sims.mapInPandas(post, "key long, sim long, several boolean").repartition(shuffle_partitions(sims.sparkSession), "key")
             .sortWithinPartitions("key", "sim").mapInPandas(meet, "key long, sim long"))
@@ -303,7 +330,7 @@ def _links(active: DataFrame, texts: DataFrame, bits: int, similarity: float, ti
         for frame, _ in key_runs(batches, "tile", 1 << 30):  # a tile holds two pieces of a list: about ``tile`` rows
             keys, sim = frame["tile"].to_numpy(), frame["sim"].to_numpy()
             h, norm, out = frame["h"].tolist(), frame["norm"].tolist(), []
-            i, j = near_in_runs(keys, len(h), _near(frame["key"].to_numpy(), sim, bits))
+            i, j = near_in_runs(keys, len(h), _near(sim, bits))
             forest = Forest()
             for x, y in zip(i.tolist(), j.tolist()):
                 if forest.root(x) != forest.root(y) and similar(norm[x], norm[y], similarity):
@@ -350,12 +377,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     # documents in the order of their ids, then rows: one number, so that the first place is a plain minimum
     place = (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
              + F.pmod(F.col("__row"), F.lit(10**18))).cast(whole)
-    lines = base.select("__row", place.alias("place"), F.posexplode(F.arrays_zip("__hash", "__sim")).alias("at", "l")) \
-        .select("__row", "place", "at", F.col("l.__hash").alias("h"), F.col("l.__sim").alias("sim")).where("h is not null")
-    distinct = written(lines.groupBy("h").agg(F.min("sim").alias("sim"), F.count("*").alias("n"), F.min("place").alias("place"),
+    lines = base.select("__row", place.alias("place"), F.posexplode(F.arrays_zip("__hash", "__sim", "__bands")).alias("at", "l")) \
+        .select("__row", "place", "at", F.col("l.__hash").alias("h"), F.col("l.__sim").alias("sim"), F.col("l.__bands").alias("bands")) \
+        .where("h is not null")
+    distinct = written(lines.groupBy("h").agg(F.min("sim").alias("sim"), F.first("bands").alias("bands"), F.count("*").alias("n"), F.min("place").alias("place"),
                                               F.min("__row").alias("row")), "lines-distinct")
     fuzzy = distinct.where("sim is not null")
-    sims = fuzzy.groupBy("sim").agg(F.count("*").alias("n"))
+    sims = fuzzy.groupBy("sim").agg(F.count("*").alias("n"), F.max("bands").alias("bands"))
     active = written(_candidates(sims, bits, 4 * tile).distinct(), "lines-active")
     wanted = written(fuzzy.join(active.select("sim").distinct(), "sim", "left_semi").select("h", "sim", F.col("row").alias("__row")),
                      "lines-wanted")
@@ -373,7 +401,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     removed = written(of_group.groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list(gone))).alias("__gone")), "lines-removed")
     own = [F.col(c) for c in docs.columns if c != text]
     # texts are shuffled at any size: what would be broadcast here grows with the input
-    counted = base.withColumn("__lines", F.size("__hash")).drop("__hash", "__sim")
+    counted = base.withColumn("__lines", F.size("__hash")).drop("__hash", "__sim", "__bands")
     joined = counted.join(removed.hint("shuffle_hash"), "__row", "left") \
         .withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
     return joined.select(*own, without_lines(text, "__gone").alias(text), F.col("__lines").alias("lines"), F.col("__gone").alias("lines_removed"))

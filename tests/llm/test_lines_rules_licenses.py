@@ -161,6 +161,27 @@ def test_line_dedup_in_scripts_without_spaces(spark):
     assert [got[k] for k in range(len(rows))] == [[], [1, 2], [0]] * 4
 
 
+def test_candidates_of_lines_with_a_replaced_word():
+    """Share of the pairs of edit similarity 0.9, one word replaced, that are candidates; no bit filter on the side of the truth."""
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    found, pairs = defaultdict(int), defaultdict(int)
+    while min(pairs[k] for k in (8, 15, 25, 40)) < 300:
+        x = [rng.choice(vocabulary) for _ in range(rng.randint(8, 80))]
+        kind = max(k for k in (8, 15, 25, 40) if k <= len(x))
+        y = list(x)
+        y[rng.randrange(len(y))] = rng.choice(vocabulary)
+        a, b = " ".join(x), " ".join(y)
+        if x == y or pairs[kind] >= 300 or not linededup.similar(a, b, 0.9):
+            continue
+        _, _, sims, bands = linededup._prints(a + "\n" + b)
+        near = bin(int(sims[0] ^ sims[1]) % 2**64).count("1") <= linededup.BITS
+        pairs[kind] += 1
+        found[kind] += near and bool((bands[0] == bands[1]).any())
+    print(dict(found))
+    assert all(found[k] >= 0.97 * 300 for k in pairs), dict(found)
+
+
 def test_line_dedup_edges(spark):
     docs = edge_documents(spark)
     got = linededup.dedup_lines(docs)
