@@ -4,7 +4,7 @@ Equal normalised lines are one distinct line.  Distinct lines whose 64-bit SimHa
 at most 3 bits agree in two of five blocks of it: fingerprints are posted under each of the ten
 pairs of blocks.  One replaced word flips more bits in a line of few words, so fingerprints are
 also posted under 12 pairs of minima over the line's pairs of neighbouring words (MinHash), which
-a similar line mostly shares.  Lines that meet one within ``bits`` in a list are candidates.
+a similar line mostly shares.  Lines that meet one within ``bits`` there are candidates.
 Their texts are compared by edit similarity, 1 - distance / longer length.  Connected groups
 of lines keep one occurrence: that in the smallest document id, at its first place there.
 
@@ -32,7 +32,8 @@ from .common import Forest, components, key_runs, near_in_runs, popcount, shuffl
 MIN_WORDS = 3  # shorter lines stay: headings, brackets and list marks repeat rightly
 FUZZY_WORDS = 8  # shorter lines are matched when equal only
 CHARS_A_WORD = 5  # characters of scripts written without spaces count as so many to a word
-BITS = 20  # a replaced word flips about 9 bits in a line of 8 words; unrelated lines differ in 32, give or take 4
+BLOCK_BITS = 3  # what five blocks find for certain, and all that counts under them
+BITS = 18  # a replaced word flips about 9 bits in a line of 8 words; unrelated lines differ in 32, give or take 4
 BANDS = 12
 SIMILARITY = 0.9
 BROADCAST_ROWS = 200_000
@@ -275,9 +276,9 @@ def _with_lines(docs: DataFrame, text: str, min_words: int, fuzzy_words: int) ->
 _PAIRS = list(combinations(range(len(_BLOCKS)), 2))
 
 
-def _near(sim: np.ndarray, bits: int):
-    """Pairs within ``bits``."""
-    return lambda i, j: popcount(sim[i] ^ sim[j]) <= bits
+def _near(sim: np.ndarray, bits: int | np.ndarray):
+    """Pairs within ``bits``, or within those of the first."""
+    return lambda i, j: popcount(sim[i] ^ sim[j]) <= (bits if np.isscalar(bits) else bits[i])
 
 
 def _candidates(sims: DataFrame, bits: int, most: int) -> DataFrame:
@@ -301,7 +302,7 @@ def _candidates(sims: DataFrame, bits: int, most: int) -> DataFrame:
                 yield frame[["key", "sim"]]
                 continue
             keys, sim = frame["key"].to_numpy(), frame["sim"].to_numpy()
-            i, j = near_in_runs(keys, len(sim), _near(sim, bits))
+            i, j = near_in_runs(keys, len(sim), _near(sim, np.where(keys >> 40 < len(_PAIRS), min(bits, BLOCK_BITS), bits)))
             active = frame["several"].to_numpy().copy()
             active[i] = active[j] = True
             keys, sim = keys[active], sim[active]
