@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, mixing, packing, quality_rules, ranking, simhash, topk, toxicity, warc
+from . import langid, licenses, linededup, mixing, packing, quality_rules, ranking, simhash, topk, toxicity, warc
 from .common import table
 from .params import MIX_WEIGHTS, domain
 from .sql import ORACLE  # noqa: F401
@@ -60,6 +60,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,4 +72,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_retrieval_packing, op2_simhash_near_dedup, op3_source_mixing, op4_fuzzy_line_dedup, op5_toxicity, op6_license_scan,
-    op7_warc, op8_quality_ranking, op9_quality_rules, op10_exact_top_k, pipeline)}
+    op7_warc, op8_quality_ranking, op9_quality_rules, op10_exact_top_k, op11_language_id, pipeline)}
