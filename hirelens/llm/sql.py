@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: WARC records, license scans, exact top-k.
+"""DuckDB SQL for the queries that SQL can express: WARC records, license scans, exact top-k, ranked search.
 
 The others are held against brute force, round trips or held-out accuracy in tests/llm:
 packing (tokenizer ids), SimHash and fuzzy lines (64-bit hashes, edit distance), mixing
@@ -11,6 +11,7 @@ from __future__ import annotations
 from .licenses import PHRASES, TEMPLATES, THRESHOLD
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -58,4 +59,15 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_sum([a[1] * a[2] for a in
       from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+    "op13_ranked_search": f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') as w from documents),
+size as (select count(*) as docs, sum(len(w)) as terms from d where len(w) > 0),
+tf as (select r, any_value(doc_id) as doc_id, any_value(len(w)) as n, term, count(*) as tf from (select r, doc_id, w, unnest(w) as term from d) group by r, term),
+weights as (select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * count(*) + 1))) as bigint) as weight from tf, size group by term, docs),
+i as (select item_id, unnest(regexp_extract_all(translate(coalesce(min(text), ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) as term from benchmark group by item_id),
+s as (select item_id, r, any_value(doc_id) as doc_id,
+       sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + cast((75 * n * docs) // terms as bigint))))) as score
+      from i join tf using (term) join weights using (term), size group by item_id, r),
+k as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from s where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from k where rank <= 10""",
 }
