@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fptree, langid, licenses, linededup, mixing, packing, quality_rules, ranking, simhash, topk, toxicity, warc
+from . import fptree, langid, licenses, linededup, mixing, packing, prefix_trie, quality_rules, ranking, simhash, topk, toxicity, warc
 from .common import table
 from .params import MIX_WEIGHTS, domain
 from .sql import ORACLE  # noqa: F401
@@ -64,6 +64,10 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fptree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,4 +80,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_retrieval_packing, op2_simhash_near_dedup, op3_source_mixing, op4_fuzzy_line_dedup, op5_toxicity, op6_license_scan,
-    op7_warc, op8_quality_ranking, op9_quality_rules, op10_exact_top_k, op11_language_id, op13_ranked_search, pipeline)}
+    op7_warc, op8_quality_ranking, op9_quality_rules, op10_exact_top_k, op11_language_id, op12_prefix_trie, op13_ranked_search, pipeline)}

@@ -1,4 +1,5 @@
-"""DuckDB SQL for the queries that SQL can express: WARC records, license scans, exact top-k, ranked search.
+"""DuckDB SQL for the queries that SQL can express: WARC records, license scans, exact top-k, the prefix
+trie, ranked search.
 
 The others are held against brute force, round trips or held-out accuracy in tests/llm:
 packing (tokenizer ids), SimHash and fuzzy lines (64-bit hashes, edit distance), mixing
@@ -29,6 +30,10 @@ _ALL_PLACES = " || ".join(f"p{k}" for k in range(len(PHRASES)))
 _BASE = "list_filter([" + ", ".join(f"case when len(p{k}) > 0 then '{label}' end" for k, label in enumerate(PHRASES.values())) + "], lambda x: x is not null)"
 _TEMPLATE_ROWS = ", ".join("('{}', list_distinct({}))".format(label, _words("'" + text.lower().replace("'", "''") + "'")) for label, text in TEMPLATES)
 
+# CRC-32 of the decimal c, a byte and a bit at a time
+_CRC = """xor(4294967295::bigint, list_reduce([4294967295::bigint] || [ord(z)::bigint for z in string_split(cast(c as varchar), '')],
+ (crc, z) -> list_reduce([xor(crc, z), 0, 0, 0, 0, 0, 0, 0, 0], (y, i) -> case when y & 1 = 1 then xor(y >> 1, 3988292384::bigint) else y >> 1 end)))"""
+
 ORACLE = {
     "op6_license_scan": f"""
 with t(label, tw) as (values {_TEMPLATE_ROWS}),
@@ -59,6 +64,24 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_sum([a[1] * a[2] for a in
       from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+    "op12_prefix_trie": f"""
+with t as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+d as (select c, turn, md5(octet_length(encode(role)) || ':' || role || text) as x, octet_length(encode(text)) as b from t),
+own as (select c, list(struct_pack(x := x, b := b) order by turn nulls first, x) as w from d group by c),
+h as (select c, w, {_CRC} % 9 as h from own),
+r as (select h.c, coalesce(base.w[1:h], []) || h.w[h + 1:len(h.w)] as w from h left join own base on base.c = h.c - h.c % 5),
+m as (select c, len(w) as n, u.d as depth, md5(array_to_string([z.x for z in w[1:u.d]], '')) as k,
+       case when u.d > 0 then md5(array_to_string([z.x for z in w[1:u.d - 1]], '')) end as up, case when u.d > 0 then w[u.d].b else 0 end as b
+      from r, unnest(range(len(w) + 1)) as u(d)),
+nodes as (select k, depth, min(c) as conv_id, any_value(up) as up, count(*) as n_convs, any_value(b) as b,
+           string_agg(cast(c as varchar), ',' order by c) filter (where n = depth) as ends from m group by k, depth),
+kids as (select up as k, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by up, depth),
+every as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids using (k, depth)),
+sub as (select m.k, m.depth, count(*) filter (where u.n_children = 0) as n_leaves, sum((u.n_convs - 1) * u.b) as saved_tokens
+        from every u join m on m.c = u.conv_id and m.depth <= u.depth group by m.k, m.depth)
+select v.conv_id, v.depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens,
+ sha256(coalesce(v.ends, '')) as ends_sha256
+from every v join sub using (k, depth) left join every p on p.k = v.up and p.depth = v.depth - 1""",
     "op13_ranked_search": f"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') as w from documents),
 size as (select count(*) as docs, sum(len(w)) as terms from d where len(w) > 0),
