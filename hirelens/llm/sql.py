@@ -32,7 +32,7 @@ _TEMPLATE_ROWS = ", ".join("('{}', list_distinct({}))".format(label, _words("'"
 
 # CRC-32 of the decimal c, a byte and a bit at a time
 _CRC = """xor(4294967295::bigint, list_reduce([4294967295::bigint] || [ord(z)::bigint for z in string_split(cast(c as varchar), '')],
- (crc, z) -> list_reduce([xor(crc, z), 0, 0, 0, 0, 0, 0, 0, 0], (y, i) -> case when y & 1 = 1 then xor(y >> 1, 3988292384::bigint) else y >> 1 end)))"""
+ lambda crc, z: list_reduce([xor(crc, z), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, i: case when y & 1 = 1 then xor(y >> 1, 3988292384::bigint) else y >> 1 end)))"""
 
 ORACLE = {
     "op6_license_scan": f"""
