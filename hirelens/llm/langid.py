@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_small
-from .common import importable
+from .common import importable, shuffle_partitions
 from .ranking import held_out
 
 LANG_ROWS = 4_000  # training documents of each language, at most about so many
@@ -30,6 +30,7 @@ SHARE = 0.02  # of a language's training documents hold an n-gram that the langu
 PROBES = 4  # rows of the table that an n-gram stands in
 LOG_ROWS = 18  # the table has 2**18 rows ...
 TABLE_BYTES = 64 << 20  # ... or fewer, if so many would take more than this for all languages
+BROADCAST_LANGS = 10_000
 CHUNK = 1 << 18  # characters looked up at a time
 
 
@@ -135,9 +136,17 @@ def training_rows(docs: DataFrame, lang: str, id_col: str, text: str, lang_rows:
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)) \
         .select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit(11)).alias("h"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("l"), "rows")
-    # ``sizes`` has a row a language; texts are hashed, so of many copies all or none are taken, and those count once
+    sizes = checkpoint_small(sizes)  # a row a language
+    # a hot language does not land in one task: sizes go to every task, or if they are many, under several keys a language
+    if sizes.count() <= BROADCAST_LANGS:
+        sizes, parts = F.broadcast(sizes.withColumn("part", F.lit(0))), 1
+    else:
+        parts = shuffle_partitions(docs.sparkSession)
+        sizes = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # texts are hashed, so of many copies all or none are taken, and those count once
     share = F.least(F.lit(1.0), F.lit(float(lang_rows)) / F.col("rows"))
-    picked = known.join(sizes, F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000)
+    same = (F.col("lang") == F.col("l")) & (F.pmod("h", F.lit(parts)).cast("int") == F.col("part"))
+    picked = known.join(sizes, same).where(F.pmod(F.shiftright("h", 16), F.lit(1_000_000)) < share * 1_000_000)
     return picked.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 

@@ -102,6 +102,14 @@ def test_many_languages(spark):
     assert all(r.lang_pred == f"l{r.doc_id % 70:02d}" for r in got)
 
 
+def test_more_languages_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, f"wort{'abcdefghij'[i % 10]} " * 5 + "xyz"[i % 3] * 4, "ab"[i % 2], "s", 0) for i in range(400)]
+    frame = doc_frame(spark, rows).select("lang", "doc_id", "text")
+    few = {tuple(r) for r in langid.training_rows(frame, "lang", "doc_id", "text", 4000).collect()}
+    monkeypatch.setattr(langid, "BROADCAST_LANGS", 1)
+    assert few == {tuple(r) for r in langid.training_rows(frame, "lang", "doc_id", "text", 4000).collect()} and len(few) > 20
+
+
 def test_edges(spark):
     frame = edge_documents(spark).selectExpr("*", "'x' as lang_pred", "0 as held_out", "'y' as __p")
     got = langid.identify(frame)
