@@ -21,8 +21,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand elsewhere; documents all of whose lines do are gone."""
-    clean = linededup.dedup_lines(docs)
-    emptied = (F.size("lines_removed") > 0) & (F.size("lines_removed") == F.col("lines"))
+    clean = linededup.dedup_lines(docs, counts="__lines", places="__removed")
+    emptied = (F.size("__removed") > 0) & (F.size("__removed") == F.col("__lines"))
     clean = clean.where(~emptied)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

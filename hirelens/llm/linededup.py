@@ -1,23 +1,26 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
-Equal normalised lines are one distinct line.  Distinct lines whose 64-bit SimHash differs in
-at most 3 bits agree in two of five blocks of it: fingerprints are posted under each of the ten
-pairs of blocks.  One replaced word flips more bits in a line of few words, so fingerprints are
-also posted under 12 pairs of minima over the line's pairs of neighbouring words (MinHash), which
-a similar line mostly shares.  Lines that meet one within ``bits`` there are candidates.
-Their texts are compared by edit similarity, 1 - distance / longer length.  Connected groups
-of lines keep one occurrence: that in the smallest document id, at its first place there.
-
-A list of candidates over ``tile`` lines is cut into pieces, and every two pieces meet in a
-task of their own, so no task holds a whole list; within a task pairs that are connected
-already are not compared again, and only a spanning forest of the verified links goes on.
+Equal normalised lines are one distinct line.  A line's words are cut into four runs of about
+the same number, and its fingerprint is the four 64-bit SimHashes of these runs: where up to three
+words of a line differ, one of the four blocks is the same (pigeonhole), so lines are joined on
+each block with its place and the line's number of words.  Shorter lines, in which fewer edits keep
+the similarity, have fewer and longer blocks.  A word more or less moves the blocks; such lines
+are also joined on six pairs of minima over their pairs of neighbouring words (MinHash).
+Pairs of lines that share a list and could be long enough for each other are compared by edit
+similarity, 1 - distance / longer length, each pair once.  Connected groups of lines keep one
+occurrence: that in the smallest document id, at its first place there.
+
+All pairs of a list are compared only if it is short.  The members of a long list are compared with
+one of them, its most frequent line; what that leaves in different groups is then compared
+with all members of other groups.  So a list of n similar lines costs about n comparisons, and no
+pair that could connect two groups is left out.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,17 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Forest, components, key_runs, near_in_runs, popcount, shuffle_partitions, without_lines, written
+from .common import components, key_runs, near_in_runs, shuffle_partitions, without_lines, written
 
 MIN_WORDS = 3  # shorter lines stay: headings, brackets and list marks repeat rightly
-FUZZY_WORDS = 8  # shorter lines are matched when equal only
 CHARS_A_WORD = 5  # characters of scripts written without spaces count as so many to a word
-BLOCK_BITS = 3  # what five blocks find for certain, and all that counts under them
-BITS = 18  # a replaced word flips about 9 bits in a line of 8 words; unrelated lines differ in 32, give or take 4
-BANDS = 12
+BLOCKS = 4
+BANDS = 6
 SIMILARITY = 0.9
+SHORT_LIST = 16  # all pairs of a list of at most so many lines are compared at once
+LENGTH_BITS = 24  # longer lines count as of one length before their comparison
 BROADCAST_ROWS = 200_000
-_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
 # a byte's normal form: letters and bytes of other scripts stay, digits are 0, punctuation and white space a space
 _PLAIN = bytes(c if c >= 128 or c == 10 or chr(c).isalpha() else ord("0") if chr(c).isdigit()
                else c if c < 32 and c not in b"\t\v\f\r" else 32 for c in range(256))
@@ -84,26 +86,76 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For runs of ``sizes`` (over 0) word hashes: 12 numbers, each of two minima over the pairs of neighbouring words."""
+    """For runs of ``sizes`` (over 0) word hashes: six numbers, each of two minima over the pairs of neighbouring words."""
     first = np.cumsum(sizes) - sizes
     before = np.roll(hashes, 1)
     before[first] = 0
     pairs = _mixed(_mixed(before) + hashes)
     least = [np.minimum.reduceat(pairs * m, first) for m in _MULTIPLIERS]
-    return np.stack([_mixed(_mixed(a) + b) for a, b in zip(least[::2], least[1::2])], axis=1).astype(np.uint32)
+    return np.stack([_mixed(_mixed(a) + b + np.uint64(k)) for k, (a, b) in enumerate(zip(least[::2], least[1::2]))], axis=1)
 
 
-def line_prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Each line's normal form, number of words and SimHash of its words (0 without words).
+def _blocks(hashes: np.ndarray, sizes: np.ndarray, edits: np.ndarray, lengths: np.ndarray, with_length: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the SimHashes of min(edits + 1, 4) runs of each line's words, with their place and the number of words.
 
-    Normal: lower case, ASCII punctuation as spaces, digits as 0, single spaces between words.
-    Words of scripts without spaces are estimated by their characters, and their features are trigrams.
+    With one edit in a short line the blocks are few words: the keys then have the line's length too,
+    and that plus one, so that lines meet whose lengths differ by one.
+    """
+    parts = np.minimum(edits + 1, BLOCKS)
+    of_line, keys = [], []
+    for n in range(2, BLOCKS + 1):
+        pick = parts == n
+        if not pick.any():
+            continue
+        lines, size = np.flatnonzero(pick), sizes[pick]
+        cuts = np.arange(n + 1)[None, :] * size[:, None] // n
+        runs = np.diff(cuts, axis=1).ravel()
+        full = runs > 0
+        sims = _majorities(hashes[np.repeat(pick, sizes)], runs[full]).view(np.uint64)
+        line = np.repeat(lines, n)[full]
+        place = np.tile(np.arange(n), len(lines))[full].astype(np.uint64)
+        shape = _mixed(np.uint64(8 * n) + place + (sizes[line].astype(np.uint64) << np.uint64(8)))
+        key = _mixed(_mixed(sims) + shape)
+        if with_length and n == 2:
+            for more in (0, 1):
+                of_line.append(line)
+                keys.append(_mixed(key + (lengths[line] + more).astype(np.uint64)))
+        else:
+            of_line.append(line)
+            keys.append(key)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(of_line), np.concatenate(keys)) if keys else (none, none.view(np.uint64))
+
+
+def line_keys(hashes: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key), by line: what lines of ``sizes`` words (over 0) and ``lengths`` characters are joined on.
+
+    A line in which no edit keeps the similarity has no keys.  A line that is short for its number
+    of edits also has the blocks of the next longer lines, which it may be similar to.
     """
-    return _prints(text)[:3]
+    edits = _edits(lengths, similarity)
+    more = _edits(lengths + edits + 1, similarity)
+    own = _blocks(hashes, sizes, edits, lengths, True)
+    longer = _blocks(hashes, sizes, np.where(np.minimum(more, BLOCKS - 1) > np.minimum(edits, BLOCKS - 1), more, 0), lengths, True)
+    bands = _bands(hashes, sizes)
+    banded = np.repeat(more > 0, BANDS)
+    line = np.concatenate([own[0], longer[0], np.repeat(np.arange(len(sizes)), BANDS)[banded]])
+    key = np.concatenate([own[1], longer[1], bands.ravel()[banded]])
+    order = np.argsort(line, kind="stable")
+    return line[order], key[order]
+
+
+def _edits(lengths: np.ndarray, similarity: float) -> np.ndarray:
+    """How many edits a line of these lengths may have."""
+    return ((1 - similarity) * lengths + 1e-9).astype(np.int64)
+
 
+def line_prints(text: str, similarity: float = SIMILARITY) -> tuple[list[bytes], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Each line's normal form, number of words, number of characters and keys.
 
-def _prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """``line_prints`` and the bands of each line."""
+    Normal: lower case, ASCII punctuation as spaces, digits as 0, single spaces between words.
+    Words of scripts without spaces are estimated by their characters, and their features are trigrams.
+    """
     data = np.frombuffer(text.lower().encode("utf-8", "replace").translate(_PLAIN), np.uint8)
     newline, kept = data == 10, data != 32
     inside = kept & ~newline
@@ -111,26 +163,32 @@ def _prints(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]
     starts, ends = edges[::2], edges[1::2]
     bounds = np.concatenate([[0], np.searchsorted(starts, np.flatnonzero(newline)), [len(starts)]])
     sizes = np.diff(bounds)
-    full = sizes > 0
+    full = np.flatnonzero(sizes)
     later = np.ones(len(starts), bool)
-    later[bounds[:-1][full]] = False
+    later[bounds[full]] = False
     kept[starts[later] - 1] = True  # one space before each word but a line's first
-    sims, bands = np.zeros(len(sizes), np.int64), np.zeros((len(sizes), BANDS), np.uint32)
+    plain = data[kept]
+    lines = plain.tobytes().split(b"\n")
+    chars = np.concatenate([[0], np.cumsum((plain & 0xC0) != 0x80)])
+    stops = np.append(np.flatnonzero(plain == 10), len(plain))
+    lengths = np.diff(chars[stops], prepend=0) - (np.arange(len(stops)) > 0)
+    keys = [np.zeros(0, np.uint64)] * len(sizes)
     if len(starts):
-        lengths = ends - starts
-        hashes = _word_hashes(data[inside], np.cumsum(lengths) - lengths)
-        sims[full], bands[full] = _majorities(hashes, sizes[full]), _bands(hashes, sizes[full])
-    lines = data[kept].tobytes().split(b"\n")
+        widths = ends - starts
+        hashes = _word_hashes(data[inside], np.cumsum(widths) - widths)
+        line, key = line_keys(hashes, sizes[full], lengths[full], similarity)
+        cuts = np.searchsorted(line, np.arange(len(full) + 1)).tolist()
+        for k, x in enumerate(full.tolist()):
+            keys[x] = key[cuts[k]:cuts[k + 1]]
     if _LEADS[data].any():
         for k, x in enumerate(lines):
             if sizes[k] and not x.isascii() and (unspaced := len(_UNSPACED.findall(x.decode()))):
                 found = features(x.decode())
                 sizes[k] = max(sizes[k], sum(not _UNSPACED.search(w) for w in x.decode().split(" ")) + unspaced // CHARS_A_WORD)
-                sims[k] = simhashes([found])[0]
-                lengths = np.array([len(f) for f in found])
-                hashes = _word_hashes(np.frombuffer(b"".join(found), np.uint8), np.cumsum(lengths) - lengths)
-                bands[k] = _bands(hashes, np.array([len(found)]))[0]
-    return lines, sizes, sims, bands
+                widths = np.array([len(f) for f in found])
+                hashes = _word_hashes(np.frombuffer(b"".join(found), np.uint8), np.cumsum(widths) - widths)
+                keys[k] = line_keys(hashes, np.array([len(found)]), lengths[k:k + 1], similarity)[1]
+    return lines, sizes, lengths, keys
 
 
 def features(norm: str) -> list[bytes]:
@@ -146,15 +204,6 @@ def normalise(line: str) -> str:
     return b" ".join(line.lower().encode("utf-8", "replace").translate(_PLAIN).split()).decode()
 
 
-def simhashes(lines: list[list[bytes]]) -> list[int]:
-    """Signed 64-bit SimHash of each line's words; no line may be without words."""
-    words = list(chain.from_iterable(lines))
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    letters = np.frombuffer(b"".join(words), np.uint8)
-    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    return _majorities(_word_hashes(letters, np.cumsum(lengths) - lengths), sizes).tolist() if lines else []
-
-
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance by bit vectors (one machine-word column update per character of ``b``)."""
     start = 0
@@ -232,20 +281,21 @@ def similar(a: str, b: str, least: float) -> bool:
     return at_least(a, b, limit, piece) <= limit and edit_distance(a, b) <= limit
 
 
-def _with_lines(docs: DataFrame, text: str, min_words: int, fuzzy_words: int) -> DataFrame:
-    """``docs`` with __row and, for each line, __hash (null: never removed), __sim and __bands (null: equal lines only)."""
+def _with_lines(docs: DataFrame, text: str, min_words: int, similarity: float) -> DataFrame:
+    """``docs`` with __row, __hash (of each line; null: never removed), and of the lines with a hash: __shape (number of keys and
+    length) and __keys, one after another."""
 
-    def of_texts(texts: list[str]) -> Iterator[tuple[list, list, list]]:
-        """The three arrays of each text; texts go through together up to a size, as single short ones cost more."""
-        lines, words, sims, bands = _prints("\n".join(texts))
-        hashes = [xxhash.xxh128_digest(x) if n >= min_words else None for x, n in zip(lines, words.tolist())]
-        sims = [x if n >= fuzzy_words else None for x, n in zip(sims.tolist(), words.tolist())]
-        octets, wide = bands.tobytes(), 4 * BANDS
-        bands = [None if x is None else octets[wide * k:wide * k + wide] for k, x in enumerate(sims)]
+    def of_texts(texts: list[str]) -> Iterator[tuple[list, bytes, bytes]]:
+        """The columns of each text; texts go through together up to a size, as single short ones cost more."""
+        lines, words, lengths, keys = line_prints("\n".join(texts), similarity)
+        fit = words >= min_words
+        hashes = [xxhash.xxh128_digest(x) if ok else None for x, ok in zip(lines, fit.tolist())]
+        shapes = np.stack([np.array([len(k) for k in keys]), np.minimum(lengths, (1 << LENGTH_BITS) - 1)], axis=1).astype(np.int32)
         at = 0
         for t in texts:
             end = at + t.count("\n") + 1
-            yield hashes[at:end], sims[at:end], bands[at:end]
+            own = fit[at:end]
+            yield hashes[at:end], shapes[at:end][own].tobytes(), b"".join([k.tobytes() for k, ok in zip(keys[at:end], own.tolist()) if ok])
             at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,137 +309,162 @@ def _with_lines(docs: DataFrame, text: str, min_words: int, fuzzy_words: int) ->
                 group.append(t)
                 size += len(t)
             found += of_texts(group) if group else []
-            hashes, sims, bands = ([x[k] for x in found] for k in range(3))
+            hashes, shapes, keys = ([x[k] for x in found] for k in range(3))
             keep = [k for k, name in enumerate(batch.schema.names) if name != "__text"]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in keep], pa.array(hashes, pa.list_(pa.binary())), pa.array(sims, pa.list_(pa.int64())),
-                 pa.array(bands, pa.list_(pa.binary()))],
-                names=[*[batch.schema.names[k] for k in keep], "__hash", "__sim", "__bands"])
+                [*[batch.column(k) for k in keep], pa.array(hashes, pa.list_(pa.binary())), pa.array(shapes, pa.binary()),
+                 pa.array(keys, pa.binary())],
+                names=[*[batch.schema.names[k] for k in keep], "__hash", "__shape", "__keys"])
 
     rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__text": F.col(text)})
     kept = [f for f in rows.schema.fields if f.name != "__text"]
-    schema = T.StructType([*kept, T.StructField("__hash", T.ArrayType(T.BinaryType())), T.StructField("__sim", T.ArrayType(T.LongType())),
-                           T.StructField("__bands", T.ArrayType(T.BinaryType()))])
+    schema = T.StructType([*kept, T.StructField("__hash", T.ArrayType(T.BinaryType())), T.StructField("__shape", T.BinaryType()),
+                           T.StructField("__keys", T.BinaryType())])
     return written(rows.mapInArrow(run, schema), "lines-base")
 
 
-_PAIRS = list(combinations(range(len(_BLOCKS)), 2))
+def _posted(base: DataFrame) -> DataFrame:
+    """(key, frequent, id, size): each line under its keys, equal lines of a batch once; a line's id is the half of its hash."""
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(0).flatten().drop_null().to_pylist()
+            ids = np.frombuffer(b"".join(hashes), ">i8")[::2].astype(np.int64)
+            shapes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, 2)
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            number, size = shapes[:, 0].astype(np.int64), shapes[:, 1]
+            _, first, count = np.unique(ids, return_index=True, return_counts=True)
+            starts = np.cumsum(number) - number
+            n = number[first]
+            at = np.repeat(starts[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[at]), pa.array(np.repeat(-np.minimum(count, 1 << 30), n).astype(np.int32)), pa.array(np.repeat(ids[first], n)),
+                 pa.array(np.repeat(size[first], n))], names=["key", "frequent", "id", "size"])
 
+    return base.select("__hash", "__shape", "__keys").mapInArrow(post, "key long, frequent int, id long, size int")
 
-def _near(sim: np.ndarray, bits: int | np.ndarray):
-    """Pairs within ``bits``, or within those of the first."""
-    return lambda i, j: popcount(sim[i] ^ sim[j]) <= (bits if np.isscalar(bits) else bits[i])
 
+def _candidates(base: DataFrame, similarity: float) -> DataFrame:
+    """(key, a, size_a, b, size_b): pairs a < b of a short list, or of a long one's first member and any other.
 
-def _candidates(sims: DataFrame, bits: int, most: int) -> DataFrame:
-    """(key, sim): fingerprints that have a near one under a key, or belong to several lines; lists with equal members get one key."""
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sim, several = b["sim"].to_numpy(), b["n"].to_numpy() > 1
-            u = sim.view(np.uint64)
-            for k, ((s1, w1), (s2, w2)) in enumerate((_BLOCKS[x], _BLOCKS[y]) for x, y in _PAIRS):
-                one, two = ((u >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in ((s1, w1), (s2, w2)))
-                key = (np.int64(k) << 40) | (one << np.uint64(13) | two).astype(np.int64)
-                yield pd.DataFrame({"key": key, "sim": sim, "several": several & (k == 0)})
-            bands = np.frombuffer(b"".join(b["bands"]), np.uint32).reshape(-1, BANDS)
-            for k in range(BANDS):
-                key = np.int64(len(_PAIRS) + k) << 40 | bands[:, k].astype(np.int64)
-                yield pd.DataFrame({"key": key, "sim": sim, "several": False})
+    Members of long lists also come as rows without b.
+    """
+    def close(size):
+        return lambda i, j: np.abs(size[i] - size[j]) <= _edits(np.maximum(size[i], size[j]).astype(np.int64), similarity)
+
+    def ordered(key, a, b):
+        return pd.DataFrame({"key": key, "a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), dtype="Int64"), "size": 0})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, whole in key_runs(batches, "key", most):
-            if not whole:
-                yield frame[["key", "sim"]]
+        hub_key, hub, hub_size = None, None, None
+        for frame, whole in key_runs(batches, "key", SHORT_LIST):
+            keys, ids, size = (frame[c].to_numpy() for c in ("key", "id", "size"))
+            if whole:
+                i, j = near_in_runs(keys, len(ids), close(size))
+                differ = ids[i] != ids[j]
+                i, j = i[differ], j[differ]
+                yield ordered(keys[i], ids[i], ids[j])
                 continue
-            keys, sim = frame["key"].to_numpy(), frame["sim"].to_numpy()
-            i, j = near_in_runs(keys, len(sim), _near(sim, np.where(keys >> 40 < len(_PAIRS), min(bits, BLOCK_BITS), bits)))
-            active = frame["several"].to_numpy().copy()
-            active[i] = active[j] = True
-            keys, sim = keys[active], sim[active]
-            starts = np.flatnonzero(np.diff(keys, prepend=-1))
-            sizes = np.diff(starts, append=len(keys))
-            named = [xxhash.xxh64_intdigest(sim[a:a + n].tobytes()) - (1 << 63) for a, n in zip(starts.tolist(), sizes.tolist())]
-            yield pd.DataFrame({"key": np.repeat(np.array(named, np.int64), sizes), "sim": sim})
-
-    return (sims.mapInPandas(post, "key long, sim long, several boolean").repartition(shuffle_partitions(sims.sparkSession), "key")
-            .sortWithinPartitions("key", "sim").mapInPandas(meet, "key long, sim long"))
-
-
-def _links(active: DataFrame, texts: DataFrame, bits: int, similarity: float, tile: int) -> DataFrame:
-    """Verified links (a, b) between distinct lines, spanning the components of each list."""
-    members = active.join(texts, "sim").select("key", "sim", "h", "norm")
-    sizes = written(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile), "lines-long-lists")
-    tiled = members.join(sizes, "key", "left").withColumn("pieces", F.coalesce(F.ceil(F.col("n") / (tile // 2)), F.lit(1)).cast("int")) \
-        .withColumn("piece", F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int"))
-    # piece i meets every piece j in the tile (smaller, larger)
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    tiled = tiled.withColumn("other", other).select(
-        F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")).alias("tile"), "key",
-        "sim", "h", "norm")
-
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                if keys[at] != hub_key:
+                    hub_key, hub, hub_size = keys[at], ids[at], size[at]
+                own, own_size = ids[at:end], size[at:end]
+                yield pd.DataFrame({"key": hub_key, "a": own, "b": pd.array([None] * len(own), dtype="Int64"), "size": own_size})
+                near = (own != hub) & (np.abs(own_size - hub_size) <= _edits(np.maximum(own_size, hub_size).astype(np.int64), similarity))
+                yield ordered(np.full(near.sum(), hub_key), own[near], np.full(near.sum(), hub))
+
+    posted = _posted(base)
+    return posted.repartition(shuffle_partitions(base.sparkSession), "key").sortWithinPartitions("key", "frequent", "id") \
+        .mapInPandas(meet, "key long, a long, b long, size int")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between lines, by their whole hashes, of the pairs (a, b) of ids whose texts are similar."""
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, _ in key_runs(batches, "tile", 1 << 30):  # a tile holds two pieces of a list: about ``tile`` rows
-            keys, sim = frame["tile"].to_numpy(), frame["sim"].to_numpy()
-            h, norm, out = frame["h"].tolist(), frame["norm"].tolist(), []
-            i, j = near_in_runs(keys, len(h), _near(sim, bits))
-            forest = Forest()
-            for x, y in zip(i.tolist(), j.tolist()):
-                if forest.root(x) != forest.root(y) and similar(norm[x], norm[y], similarity):
-                    forest.join(x, y)
-                    out.append((h[x], h[y]))
-            yield pd.DataFrame(out, columns=["a", "b"])
+        for x in batches:
+            good = [similar(p, q, similarity) for p, q in zip(x["p"], x["q"])]
+            yield x.loc[good, ["ha", "hb"]].rename(columns={"ha": "a", "hb": "b"})
 
-    return (tiled.repartition(shuffle_partitions(active.sparkSession), "tile").sortWithinPartitions("tile", "norm")
-            .mapInPandas(verify, "a binary, b binary"))
+    left = texts.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("norm").alias("p"))
+    right = texts.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("norm").alias("q"))
+    return pairs.join(left, "a").join(right, "b").select("ha", "hb", "p", "q").mapInPandas(verify, "a binary, b binary")
+
+
+def _across(lists: DataFrame, texts: DataFrame, roots: DataFrame, done: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of long lists' members that stand in different groups and were not compared.
+
+    Every member outside the largest group of its list meets all members of other groups.
+    """
+    named = texts.select("id", "h").join(roots.select(F.col("node").alias("h"), "root"), "h", "left") \
+        .select("id", F.coalesce("root", "h").alias("grp"))
+    members = written(lists.distinct().join(named, "id"), "lines-long-lists")
+    sizes = members.groupBy("key", "grp").agg(F.count("*").alias("n"))
+    several = written(sizes.groupBy("key").agg(F.max_by("grp", F.struct("n", "grp")).alias("main"), F.count("*").alias("groups")).where("groups > 1"),
+                      "lines-split-lists")
+    mixed = members.join(several, "key")
+    stray = mixed.where("grp != main").select("key", F.col("id").alias("x"), F.col("grp").alias("grp_x"), F.col("size").alias("size_x"))
+    met = stray.join(mixed.select("key", F.col("id").alias("y"), F.col("grp").alias("grp_y"), F.col("size").alias("size_y")), "key") \
+        .where("grp_x != grp_y").where(F.abs(F.col("size_x") - F.col("size_y"))
+                                       <= F.floor(F.greatest("size_x", "size_y") * F.lit(1 - similarity) + F.lit(1e-9)))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.join(done, ["a", "b"], "left_anti")
 
 
 def _texts(base: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(h, sim, norm): the normalised text of each wanted line (h, sim, __row), each document split once."""
+    """(id, h, norm): the normalised text of each wanted line (h, __row), each document split once."""
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, sims, norms = [], [], []
+            hs, norms = [], []
             for t, hashes, want in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                sim_of = {w["h"]: w["sim"] for w in want}
+                left = set(want)
                 for line, h in zip(t.split("\n"), hashes):
-                    if h in sim_of:
+                    if h in left:
+                        left.remove(h)
                         hs.append(h)
-                        sims.append(sim_of.pop(h))
                         norms.append(normalise(line))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(sims, pa.int64()), pa.array(norms, pa.string())],
-                                             names=["h", "sim", "norm"])
+            ids = np.frombuffer(b"".join(hs), ">i8")[::2].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs, pa.binary()), pa.array(norms, pa.string())], names=["id", "h", "norm"])
 
     few = wanted.count() <= BROADCAST_ROWS  # checked: then the texts need no shuffle; else Spark joins by sorting
-    by_row = wanted.groupBy("__row").agg(F.collect_list(F.struct("h", "sim")).alias("want"))
+    by_row = wanted.groupBy("__row").agg(F.collect_list("h").alias("want"))
     rows = base.select("__row", F.col(text).alias("t"), "__hash").join(F.broadcast(by_row) if few else by_row, "__row")
-    return written(rows.select("t", "__hash", "want").mapInArrow(pick, "h binary, sim long, norm string"), "lines-texts")
+    return written(rows.select("t", "__hash", "want").mapInArrow(pick, "id long, h binary, norm string"), "lines-texts")
+
+
+def _half(h: str):
+    """A line's id: the first 64 bits of its hash."""
+    return F.conv(F.hex(F.substring(h, 1, 8)), 16, -10).cast("long")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
-                fuzzy_words: int = FUZZY_WORDS, bits: int = BITS, similarity: float = SIMILARITY, tile: int = 1024) -> DataFrame:
-    """``docs`` with ``text`` without its repeated lines, and ``lines`` and ``lines_removed`` (array of places from 0).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
+                counts: str = "lines", places: str = "lines_removed") -> DataFrame:
+    """``docs`` with ``text`` without its repeated lines, and columns ``counts`` (number of lines) and ``places`` (those removed, from 0).
 
-    Ids are whole numbers; lines of a null id come after all others, repeated ids in row order.
-    Null texts stay null, and empty texts and lines without words stay as they are; repeated rows
-    lose all lines but in the first; other columns are kept; an empty table gives an empty result.
+    Ids are whole numbers; lines of a null id come after all others, repeated ids (ties) in row
+    order.  Null texts stay null, and empty texts and lines without words stay as they are; very
+    long texts and lines are compared whole; repeated rows lose all lines but in the first.  Other
+    columns are kept, but one named as ``counts`` or ``places`` is replaced; an empty table gives
+    an empty result.
     """
-    spark = docs.sparkSession
-    base = _with_lines(docs, text, min_words, fuzzy_words)
+    base = _with_lines(docs, text, min_words, similarity)
     whole = "decimal(38,0)"
     # documents in the order of their ids, then rows: one number, so that the first place is a plain minimum
     place = (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
              + F.pmod(F.col("__row"), F.lit(10**18))).cast(whole)
-    lines = base.select("__row", place.alias("place"), F.posexplode(F.arrays_zip("__hash", "__sim", "__bands")).alias("at", "l")) \
-        .select("__row", "place", "at", F.col("l.__hash").alias("h"), F.col("l.__sim").alias("sim"), F.col("l.__bands").alias("bands")) \
-        .where("h is not null")
-    distinct = written(lines.groupBy("h").agg(F.min("sim").alias("sim"), F.first("bands").alias("bands"), F.count("*").alias("n"), F.min("place").alias("place"),
-                                              F.min("__row").alias("row")), "lines-distinct")
-    fuzzy = distinct.where("sim is not null")
-    sims = fuzzy.groupBy("sim").agg(F.count("*").alias("n"), F.max("bands").alias("bands"))
-    active = written(_candidates(sims, bits, 4 * tile).distinct(), "lines-active")
-    wanted = written(fuzzy.join(active.select("sim").distinct(), "sim", "left_semi").select("h", "sim", F.col("row").alias("__row")),
-                     "lines-wanted")
+    lines = base.select("__row", place.alias("place"), F.posexplode("__hash").alias("at", "h")).where("h is not null")
+    distinct = written(lines.groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min("__row").alias("row")), "lines-distinct")
+    met = written(_candidates(base, similarity), "lines-candidates")
+    pairs = written(met.where("b is not null").select("a", "b").distinct(), "lines-pairs")
+    lists = met.where("b is null").select("key", F.col("a").alias("id"), "size")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(lists.select("id")).distinct()
+    wanted = written(distinct.withColumn("id", _half("h")).join(ids, "id", "left_semi").select("h", F.col("row").alias("__row")), "lines-wanted")
     texts = _texts(base, text, wanted)
-    roots = components(_links(active, texts, bits, similarity, tile), "lines")
+    links = written(_verified(pairs, texts, similarity), "lines-links")
+    roots = components(links, "lines")
+    if not lists.isEmpty():
+        across = written(_across(lists, texts, roots, pairs, similarity), "lines-across")
+        if not across.isEmpty():
+            roots = components(links.unionByName(_verified(across, texts, similarity)), "lines")
     grouped = roots.select(F.col("node").alias("h"), "root").join(distinct.select("h", "place"), "h")
     owners = grouped.groupBy("root").agg(F.min("place").alias("owner"))
     several = grouped.select("h", "root").join(owners, "root").select("h", F.col("root").alias("grp"), "owner")
@@ -400,9 +475,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
                 .agg(F.max(F.col("owner") == F.col("place")).alias("mine"), F.min("at").alias("first"), F.collect_list("at").alias("all")))
     gone = F.when(F.col("mine"), F.array_remove("all", F.col("first"))).otherwise(F.col("all"))
     removed = written(of_group.groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list(gone))).alias("__gone")), "lines-removed")
-    own = [F.col(c) for c in docs.columns if c != text]
+    own = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in (counts.lower(), places.lower())]
     # texts are shuffled at any size: what would be broadcast here grows with the input
-    counted = base.withColumn("__lines", F.size("__hash")).drop("__hash", "__sim", "__bands")
+    counted = base.withColumn("__lines", F.size("__hash")).drop("__hash", "__shape", "__keys")
     joined = counted.join(removed.hint("shuffle_hash"), "__row", "left") \
         .withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
-    return joined.select(*own, without_lines(text, "__gone").alias(text), F.col("__lines").alias("lines"), F.col("__gone").alias("lines_removed"))
+    return joined.select(*own, without_lines(text, "__gone").alias(text), F.col("__lines").alias(counts), F.col("__gone").alias(places))

@@ -26,9 +26,9 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = linededup.dedup_lines(table(spark, sf_dir, "documents"))
-    return clean.select("doc_id", F.col("lines").cast("long").alias("n_lines"), F.size("lines_removed").cast("long").alias("n_removed"),
-                        F.array_join(F.transform("lines_removed", lambda i: i.cast("string")), ",").alias("removed"),
+    clean = linededup.dedup_lines(table(spark, sf_dir, "documents"), counts="__lines", places="__removed")
+    return clean.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.size("__removed").cast("long").alias("n_removed"),
+                        F.array_join(F.transform("__removed", lambda i: i.cast("string")), ",").alias("removed"),
                         F.md5("text").alias("text_md5"))
 
 

@@ -69,26 +69,64 @@ def plain_normal(line):
     return [w.encode() for w in "".join(map(plain, line.lower())).split(" ") if w]
 
 
+def plain_hash(word):
+    return sum(int.from_bytes(xxhash.xxh64_digest(bytes((p % 64, c)), 7), "little") for p, c in enumerate(word)) % 2**64
+
+
 def plain_simhash(words):
-    hashes = [sum(int.from_bytes(xxhash.xxh64_digest(bytes((p % 64, c)), 7), "little") for p, c in enumerate(w)) % 2**64 for w in words]
+    """Bits that are set in over half of the words' hashes."""
+    hashes = [plain_hash(w) for w in words]
     # bit 63 - 8 k - b of the fingerprint is bit 8 k + 7 - b of the hashes
     return sum(1 << 63 - 8 * k - b for k in range(8) for b in range(8) if 2 * sum(h >> 8 * k + 7 - b & 1 for h in hashes) > len(hashes))
 
 
+def plain_keys(norm, words, similarity=linededup.SIMILARITY):
+    """What a line is joined on, as tuples: blocks of words with place and number, pairs of minima of word pairs."""
+    edits = int((1 - similarity) * len(norm) + 1e-9)
+    more = int((1 - similarity) * (len(norm) + edits + 1) + 1e-9)
+    keys = set()
+    for n in {min(e + 1, 4) for e in (edits, more) if e}:
+        for i in range(n):
+            run = words[i * len(words) // n:(i + 1) * len(words) // n]
+            if run:
+                lengths = (len(norm), len(norm) + 1) if n == 2 else (None,)
+                keys |= {(n, i, len(words), plain_simhash(run), x) for x in lengths}
+    return keys
+
+
+def plain_bands(words):
+    def mixed(x):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
+        return x ^ x >> 32
+
+    hashes = [plain_hash(w) for w in words]
+    pairs = [mixed((mixed(a) + b) % 2**64) for a, b in zip([0, *hashes], hashes)]
+    least = [min(p * int(m) % 2**64 for p in pairs) for m in linededup._MULTIPLIERS]
+    return set(enumerate(zip(least[::2], least[1::2])))
+
+
 def test_line_prints_equal_plain_python():
     rng = random.Random(4)
     texts = ["", "\n", "\n\n a  b\t\x00c \r\n", "  \n   ", "É — ß\x0b\x0cq 12%", "w " * 700, "x" * (linededup.CHUNK * 2 + 5) + " y"]
     texts += ["".join(rng.choice("ab C9.\n\té") for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    texts += ["\n".join(" ".join(rng.choice(("ab", "c", "dé", "efghij", "kl")) for _ in range(rng.randint(1, 12))) for _ in range(80))]
+    shared, unshared = 0, 0
     for text in texts:
-        lines, sizes, sims = linededup.line_prints(text)
+        lines, sizes, lengths, keys = linededup.line_prints(text)
         want = [plain_normal(x) for x in text.split("\n")]
         assert [linededup.normalise(x).encode() for x in text.split("\n")] == lines
         assert lines == [b" ".join(x) for x in want] and sizes.tolist() == [len(x) for x in want]
-        assert [x % 2**64 for x in sims.tolist()] == [plain_simhash(x) for x in want]
-        assert linededup.simhashes([x for x in want if x]) == [s for s, x in zip(sims.tolist(), want) if x]
+        assert lengths.tolist() == [len(x.decode()) for x in lines]
+        plain = [plain_keys(x.decode(), w) | (plain_bands(w) if plain_keys(x.decode(), w) else set()) for x, w in zip(lines, want)]
+        assert [len(set(k.tolist())) for k in keys] == [len(x) for x in plain]
+        for i in range(len(lines)):
+            for j in range(i):
+                assert len(set(keys[i].tolist()) & set(keys[j].tolist())) == len(plain[i] & plain[j])
+                shared, unshared = shared + bool(plain[i] & plain[j]), unshared + (not plain[i] & plain[j])
+    assert shared > 100 and unshared > 100
 
 
-def brute_dedup(rows, bits=linededup.BITS, similarity=linededup.SIMILARITY):
+def brute_dedup(rows, similarity=linededup.SIMILARITY):
     """Texts without the lines that their group keeps elsewhere; rows in order of (id, row)."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
     lines = sorted({n for r in rows for x in (r[1] or "").split("\n") if len((n := linededup.normalise(x)).split()) >= linededup.MIN_WORDS})
@@ -99,12 +137,11 @@ def brute_dedup(rows, bits=linededup.BITS, similarity=linededup.SIMILARITY):
             x = group[x]
         return x
 
-    long = [x for x in lines if len(x.split()) >= linededup.FUZZY_WORDS]
-    sims = dict(zip(long, linededup.simhashes([x.encode().split() for x in long])))
-    for k, a in enumerate(long):
-        for b in long[k + 1:]:
-            near = bin((sims[a] ^ sims[b]) % 2**64).count("1") <= bits
-            if near and levenshtein(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9:
+    keys = {x: plain_keys(x, x.encode().split()) for x in lines}
+    keys = {x: k | plain_bands(x.encode().split()) if k else k for x, k in keys.items()}
+    for k, a in enumerate(lines):
+        for b in lines[k + 1:]:
+            if keys[a] & keys[b] and levenshtein(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9):
                 group[find(b)] = find(a)
     seen, out = set(), {}
     for k in order:
@@ -139,13 +176,34 @@ def lines_corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("tile", [1024, 4])
-def test_line_dedup_equals_brute_force(spark, tile):
+@pytest.mark.parametrize("short_list", [linededup.SHORT_LIST, 2])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, short_list):
+    monkeypatch.setattr(linededup, "SHORT_LIST", short_list)
     rows = lines_corpus(11)
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(doc_frame(spark, rows), tile=tile).collect()}
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(doc_frame(spark, rows)).collect()}
     assert [got[r[0]] for r in rows] == brute_dedup(rows)
 
 
+def test_long_lists_connect_what_all_pairs_connect(spark, monkeypatch):
+    """Lists of many lines: similar to one line in the middle, in chains that the first member does not reach, and not similar at all."""
+    monkeypatch.setattr(linededup, "SHORT_LIST", 3)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    head = " ".join(word() for _ in range(6))  # the first block of all
+    lines = []
+    for _ in range(4):
+        chain = head.split() + [word() for _ in range(18)]
+        for _ in range(14):  # each two steps of the chain are similar, its ends are not
+            chain = list(chain)
+            chain[rng.randrange(6, 24)] = word()
+            lines.append(" ".join(chain))
+    lines += [head + " " + " ".join(word() for _ in range(18)) for _ in range(20)]
+    rows = [(i, x, "en", "s", 0) for i, x in enumerate(rng.sample(lines, len(lines)))] + [(900 + i, lines[0], "en", "s", 0) for i in range(5)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(doc_frame(spark, rows)).collect()}
+    assert [got[r[0]] for r in rows] == brute_dedup(rows)
+    assert 20 < sum(x != "" for x in got.values()) < 60
+
+
 def test_line_dedup_in_scripts_without_spaces(spark):
     rng = random.Random(12)
     text = lambda first, n: "".join(chr(first + rng.randrange(40)) for _ in range(n))
@@ -161,33 +219,59 @@ def test_line_dedup_in_scripts_without_spaces(spark):
     assert [got[k] for k in range(len(rows))] == [[], [1, 2], [0]] * 4
 
 
-def test_candidates_of_lines_with_a_replaced_word():
-    """Share of the pairs of edit similarity 0.9, one word replaced, that are candidates; no bit filter on the side of the truth."""
+def edited(rng, words, vocabulary, kind):
+    y = list(words)
+    if kind.endswith("typos") or kind == "one typo":
+        text = list(" ".join(y))
+        for _ in range(1 if kind == "one typo" else 3):
+            at = rng.choice([k for k, c in enumerate(text) if c != " "])
+            text[at:at + rng.randint(0, 1)] = rng.choice("abcdefghijklmnop")
+        return "".join(text)
+    if kind == "replaced":
+        y[rng.randrange(len(y))] = rng.choice(vocabulary)
+    elif kind == "inserted":
+        y.insert(rng.randint(0, len(y)), rng.choice(vocabulary))
+    else:
+        for _ in range(2 if kind == "two deleted" else 1):
+            del y[rng.randrange(len(y))]
+    return " ".join(y)
+
+
+@pytest.mark.parametrize("zipf", [False, True])
+def test_recall_of_similar_lines(zipf):
+    """Share of made pairs of edit similarity 0.9 that share a key, by kind of edit and words of the line."""
     rng = random.Random(18)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
-    found, pairs = defaultdict(int), defaultdict(int)
-    while min(pairs[k] for k in (8, 15, 25, 40)) < 300:
-        x = [rng.choice(vocabulary) for _ in range(rng.randint(8, 80))]
-        kind = max(k for k in (8, 15, 25, 40) if k <= len(x))
-        y = list(x)
-        y[rng.randrange(len(y))] = rng.choice(vocabulary)
-        a, b = " ".join(x), " ".join(y)
-        if x == y or pairs[kind] >= 300 or not linededup.similar(a, b, 0.9):
-            continue
-        _, _, sims, bands = linededup._prints(a + "\n" + b)
-        near = bin(int(sims[0] ^ sims[1]) % 2**64).count("1") <= linededup.BITS
-        pairs[kind] += 1
-        found[kind] += near and bool((bands[0] == bands[1]).any())
-    print(dict(found))
-    assert all(found[k] >= 0.97 * 300 for k in pairs), dict(found)
+    weights = [1 / (k + 1) if zipf else 1 for k in range(3000)]
+    kinds, sizes = ("one typo", "three typos", "replaced", "inserted", "deleted", "two deleted"), ((3, 7), (8, 14), (15, 29), (30, 80))
+    found = {}
+    for kind in kinds:
+        for low, high in sizes:
+            pairs = hits = tries = 0
+            while pairs < 150 and tries < 6000:
+                tries += 1
+                x = rng.choices(vocabulary, weights, k=rng.randint(low, high))
+                a, b = " ".join(x), edited(rng, x, vocabulary, kind)
+                if a == b or len(b.split()) < linededup.MIN_WORDS or not linededup.similar(a, b, 0.9):
+                    continue
+                _, _, _, keys = linededup.line_prints(a + "\n" + b)
+                pairs += 1
+                hits += bool(set(keys[0].tolist()) & set(keys[1].tolist()))
+            if pairs >= 30:
+                found[kind, low] = round(hits / pairs, 2)
+    print(found)
+    assert len(found) >= 19 and min(found.values()) >= 0.9, found
 
 
 def test_line_dedup_edges(spark):
     docs = edge_documents(spark)
     got = linededup.dedup_lines(docs)
-    assert [c for c in docs.columns if c not in got.columns] == []
-    rows = got.select("doc_id", "text", "lines_removed").collect()
-    assert len(rows) == docs.count()
+    assert sorted(got.columns) == sorted([*docs.columns, "lines_removed"])  # the documents' own ``lines`` is replaced
+    rows = got.select("doc_id", "text", "lines", "lines_removed").collect()
+    assert len(rows) == docs.count() and all(isinstance(r["lines"], int) for r in rows)
+    kept = linededup.dedup_lines(docs, counts="__lines", places="__removed")
+    assert {r["lines"] for r in kept.select("lines").collect()} == {"x"}
+    assert sorted(kept.columns) == sorted([*docs.columns, "__lines", "__removed"])
     first = [r for r in rows if r["text"] and r["text"].startswith("The same line")]
     assert len(first) == 1 and first[0]["doc_id"] == 1
     assert sum(r["text"] is None for r in rows) == 2
