@@ -5,7 +5,8 @@ the same number, and its fingerprint is the four 64-bit SimHashes of these runs:
 words of a line differ, one of the four blocks is the same (pigeonhole), so lines are joined on
 each block with its place and the line's number of words.  Shorter lines, in which fewer edits keep
 the similarity, have fewer and longer blocks.  A word more or less moves the blocks; such lines
-are also joined on six pairs of minima over their pairs of neighbouring words (MinHash).
+are also joined on the two least hashes of their pairs of neighbouring words, in six orders (MinHash),
+and if short on the halves of their words.
 Pairs of lines that share a list and could be long enough for each other are compared by edit
 similarity, 1 - distance / longer length, each pair once.  Connected groups of lines keep one
 occurrence: that in the smallest document id, at its first place there.
@@ -37,6 +38,7 @@ CHARS_A_WORD = 5  # characters of scripts written without spaces count as so man
 BLOCKS = 4
 BANDS = 6
 SIMILARITY = 0.9
+SHORT_WORDS = 14
 SHORT_LIST = 16  # all pairs of a list of at most so many lines are compared at once
 LENGTH_BITS = 24  # longer lines count as of one length before their comparison
 BROADCAST_ROWS = 200_000
@@ -77,7 +79,8 @@ def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
 
 
-_MULTIPLIERS = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes((p,)), 11) for p in range(2 * BANDS)), np.uint64) | np.uint64(1)
+_MULTIPLIERS = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes((p,)), 11) for p in range(BANDS)), np.uint64) | np.uint64(1)
+_LARGEST = np.uint64(2**64 - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -86,13 +89,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For runs of ``sizes`` (over 0) word hashes: six numbers, each of two minima over the pairs of neighbouring words."""
+    """For runs of ``sizes`` (over 0) word hashes: six numbers, each of the two least different hashes of pairs of neighbouring words.
+
+    Two, so that lines do not meet for one frequent pair of words alone.
+    """
     first = np.cumsum(sizes) - sizes
     before = np.roll(hashes, 1)
     before[first] = 0
     pairs = _mixed(_mixed(before) + hashes)
-    least = [np.minimum.reduceat(pairs * m, first) for m in _MULTIPLIERS]
-    return np.stack([_mixed(_mixed(a) + b + np.uint64(k)) for k, (a, b) in enumerate(zip(least[::2], least[1::2]))], axis=1)
+    out = []
+    for m in _MULTIPLIERS:
+        value = pairs * m
+        least = np.minimum.reduceat(value, first)
+        value[value == np.repeat(least, sizes)] = _LARGEST
+        out.append(_mixed(_mixed(least) + np.minimum.reduceat(value, first)))
+    return np.stack(out, axis=1)
 
 
 def _blocks(hashes: np.ndarray, sizes: np.ndarray, edits: np.ndarray, lengths: np.ndarray, with_length: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +138,24 @@ def _blocks(hashes: np.ndarray, sizes: np.ndarray, edits: np.ndarray, lengths: n
     return (np.concatenate(of_line), np.concatenate(keys)) if keys else (none, none.view(np.uint64))
 
 
+def _halves(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the first and the last half of the words of short lines, as of lines of so many words and of one word fewer.
+
+    Where a line has one word more than another, both halves of the shorter one cannot be changed.
+    """
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(hashes), dtype=np.uint64)])
+    first = np.cumsum(sizes) - sizes
+    of_line, keys = [], []
+    for fewer in (0, 1):
+        line = np.flatnonzero((sizes <= SHORT_WORDS) & (sizes > 1 + fewer))
+        words = sizes[line] - fewer
+        half, start, end = (words + 1) // 2, first[line], first[line] + sizes[line]
+        for side, own in ((1, total[start + half] - total[start]), (2, total[end] - total[end - half])):
+            of_line.append(line)
+            keys.append(_mixed(_mixed(own) + (words * 4 + side).astype(np.uint64)))
+    return np.concatenate(of_line), np.concatenate(keys)
+
+
 def line_keys(hashes: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(line, key), by line: what lines of ``sizes`` words (over 0) and ``lengths`` characters are joined on.
 
@@ -137,10 +166,12 @@ def line_keys(hashes: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, simila
     more = _edits(lengths + edits + 1, similarity)
     own = _blocks(hashes, sizes, edits, lengths, True)
     longer = _blocks(hashes, sizes, np.where(np.minimum(more, BLOCKS - 1) > np.minimum(edits, BLOCKS - 1), more, 0), lengths, True)
+    line, key = _halves(hashes, sizes)
+    halved = more[line] > 0
     bands = _bands(hashes, sizes)
     banded = np.repeat(more > 0, BANDS)
-    line = np.concatenate([own[0], longer[0], np.repeat(np.arange(len(sizes)), BANDS)[banded]])
-    key = np.concatenate([own[1], longer[1], bands.ravel()[banded]])
+    line = np.concatenate([own[0], longer[0], line[halved], np.repeat(np.arange(len(sizes)), BANDS)[banded]])
+    key = np.concatenate([own[1], longer[1], key[halved], bands.ravel()[banded]])
     order = np.argsort(line, kind="stable")
     return line[order], key[order]
 
@@ -378,16 +409,32 @@ def _candidates(base: DataFrame, similarity: float) -> DataFrame:
         .mapInPandas(meet, "key long, a long, b long, size int")
 
 
+def _letters(norm: str) -> bytes:
+    """How often characters of 32 classes stand in a line, up to 65535 each."""
+    points = np.frombuffer(norm.encode() if norm.isascii() else norm.encode("utf-32-le"), np.uint8 if norm.isascii() else np.uint32)
+    return np.minimum(np.bincount(points & 31, minlength=32), 65535).astype(np.uint16).tobytes()
+
+
+def _letters_allow(a: pd.Series, b: pd.Series, limit: np.ndarray) -> np.ndarray:
+    """Whether so few edits could make one line's characters the other's: an edit adds one to a class at most, and takes one."""
+    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, 32).astype(np.int32) for s in (a, b))
+    more = x - y
+    return (np.maximum(more, 0).sum(axis=1) <= limit) & (np.maximum(-more, 0).sum(axis=1) <= limit)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between lines, by their whole hashes, of the pairs (a, b) of ids whose texts are similar."""
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
+            x = x[_letters_allow(x["la"], x["lb"], _edits(x["longer"].to_numpy(np.int64), similarity))]
             good = [similar(p, q, similarity) for p, q in zip(x["p"], x["q"])]
             yield x.loc[good, ["ha", "hb"]].rename(columns={"ha": "a", "hb": "b"})
 
-    left = texts.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("norm").alias("p"))
-    right = texts.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("norm").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("ha", "hb", "p", "q").mapInPandas(verify, "a binary, b binary")
+    left = texts.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("norm").alias("p"), F.col("letters").alias("la"))
+    right = texts.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("norm").alias("q"), F.col("letters").alias("lb"))
+    return pairs.join(left, "a").join(right, "b") \
+        .select("ha", "hb", "p", "q", "la", "lb", F.greatest(F.length("p"), F.length("q")).cast("long").alias("longer")) \
+        .mapInPandas(verify, "a binary, b binary")
 
 
 def _across(lists: DataFrame, texts: DataFrame, roots: DataFrame, done: DataFrame, similarity: float) -> DataFrame:
@@ -411,7 +458,7 @@ def _across(lists: DataFrame, texts: DataFrame, roots: DataFrame, done: DataFram
 
 
 def _texts(base: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(id, h, norm): the normalised text of each wanted line (h, __row), each document split once."""
+    """(id, h, norm, letters): the normalised text of each wanted line (h, __row), each document split once."""
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hs, norms = [], []
@@ -423,12 +470,13 @@ def _texts(base: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                         hs.append(h)
                         norms.append(normalise(line))
             ids = np.frombuffer(b"".join(hs), ">i8")[::2].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs, pa.binary()), pa.array(norms, pa.string())], names=["id", "h", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs, pa.binary()), pa.array(norms, pa.string()),
+                                              pa.array(map(_letters, norms), pa.binary())], names=["id", "h", "norm", "letters"])
 
     few = wanted.count() <= BROADCAST_ROWS  # checked: then the texts need no shuffle; else Spark joins by sorting
     by_row = wanted.groupBy("__row").agg(F.collect_list("h").alias("want"))
     rows = base.select("__row", F.col(text).alias("t"), "__hash").join(F.broadcast(by_row) if few else by_row, "__row")
-    return written(rows.select("t", "__hash", "want").mapInArrow(pick, "id long, h binary, norm string"), "lines-texts")
+    return written(rows.select("t", "__hash", "want").mapInArrow(pick, "id long, h binary, norm string, letters binary"), "lines-texts")
 
 
 def _half(h: str):
