@@ -9,7 +9,7 @@ is skew-free), then each row is unpivoted into (field, old, new) with a single
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -99,6 +99,43 @@ def audit_history(audit: DataFrame, candidate_id: str, key: str = "candidate_id"
     return audit.filter(_q(key) == candidate_id).orderBy(_q(order_col).desc())
 
 
+def change_history(snapshots: DataFrame, key: str = "candidate_id", number: str = "snapshot_no", taken_at: str = "taken_at",
+                   changed_by: str = "recruiter", fields: tuple[str, ...] = S.AUDITABLE_FIELDS) -> DataFrame:
+    """X1 over any number of snapshots in one table: an event for every field that differs from the id's snapshot before.
+
+    An id that a later snapshot has first is created in it.  Each snapshot is read once: rows of
+    one id and snapshot are reduced to the first (``min_by``, a partial aggregate, so a repeated id
+    is never sorted whole), and an id's versions, one a snapshot, stand side by side by ``lag``.
+    """
+    present = [f for f in fields if f in snapshots.columns]
+    rows = snapshots.where(_q(key).isNotNull()).select(_q(key).alias("_k"), _q(number).alias("_no"), _q(taken_at).alias("_at"), F.struct(
+        *[_text(_q(f)).alias(f) for f in present]).alias("_v"))
+    first = rows.groupBy("_k", "_no").agg(F.min("_at").alias("_at"), F.min("_v").alias("_v"))
+    earliest = Window.partitionBy("_k").orderBy("_no")
+    chain = first.withColumn("_old", F.lag("_v").over(earliest))
+    opening = snapshots.agg(F.min(number)).first()[0]
+    updates = F.array(*[F.struct(F.lit(i + 1).alias("field_order"), F.lit(f"UPDATE {f}").alias("action"), F.col(f"_old.`{f}`").alias("old_value"),
+                                 F.col(f"_v.`{f}`").alias("new_value")) for i, f in enumerate(present)])
+    created = F.array(F.struct(F.lit(0).alias("field_order"), F.lit("CREATE").alias("action"), F.lit(None).cast("string").alias("old_value"),
+                               F.lit("Candidate created").alias("new_value")))
+    events = F.when(F.col("_old").isNotNull(), F.filter(updates, lambda x: x["old_value"] != x["new_value"])) \
+        .when(F.col("_no") > F.lit(opening), created).otherwise(F.filter(updates, lambda x: F.lit(False)))
+    return chain.select(F.col("_k").alias(key), F.col("_no").alias("snapshot_no"), F.col("_at").alias("changed_at"), F.inline(events)) \
+        .withColumn("changed_by", F.lit(changed_by))
+
+
+def append_history(events: DataFrame, path: str) -> DataFrame:
+    """The audit log at ``path`` after its snapshots' events were written; a rerun replaces them and so adds none again."""
+    (events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_no").parquet(path))
+    return events.sparkSession.read.schema(events.schema).parquet(path).select(*events.columns)
+
+
+def newest_first(history: DataFrame, ids: list[str], key: str = "candidate_id") -> DataFrame:
+    """The audit rows of some candidates, newest first by time, with their place."""
+    order = Window.partitionBy(key).orderBy(F.desc("changed_at"), F.desc("snapshot_no"), F.desc("field_order"))
+    return history.where(_q(key).isin(ids)).withColumn("place", F.row_number().over(order))
+
+
 def database_summary(candidates: DataFrame, audit: DataFrame) -> DataFrame:
     """Row counts of the candidate table and the audit log, as one row."""
     c = candidates.agg(F.count(F.lit(1)).alias("candidates"))

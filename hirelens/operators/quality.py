@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.dates import parse_date_col
 from ..functions.text import fmt_int, one_row, parse_number, pct, round_dec
+from .ingest import RAW, without_raw
 
 
 def _q(name: str) -> Column:
@@ -51,9 +52,17 @@ def _invalid_date(df: DataFrame, name: str) -> Column:
 
 
 def _invalid_number(df: DataFrame, name: str) -> Column:
+    """Values that were there before the number was parsed and are not after; without them those that do not parse."""
+    if RAW + name in df.columns:
+        return F.count(_q(RAW + name)) - F.count(_q(name))
     return F.count(_q(name)) - F.count(parse_number(_q(name)))
 
 
+def _own(df: DataFrame) -> list[str]:
+    """The columns of the upload itself."""
+    return [c for c in df.columns if not c.startswith(RAW)]
+
+
 def invalid_dates(df: DataFrame) -> DataFrame:
     """Q4: per date field, non-null values that do not parse (fields with >0 only)."""
     fields = [c for c in S.DATE_FIELDS if c in df.columns]
@@ -61,7 +70,10 @@ def invalid_dates(df: DataFrame) -> DataFrame:
 
 
 def invalid_numeric(df: DataFrame) -> DataFrame:
-    """Q5: per numeric field, non-null values that are not plain numbers (fields with >0 only)."""
+    """Q5: per numeric field, non-null values that do not become a number (fields with >0 only).
+
+    Counted on ``Normalized.with_raw``, where a salary counts by its cleaned value; else on plain numbers.
+    """
     fields = [c for c in S.NUMERIC_FIELDS if c in df.columns]
     return _field_counts(df, {c: _invalid_number(df, c) for c in fields}, "invalid")
 
@@ -96,29 +108,67 @@ def missing_report(df: DataFrame, col: dict | None = None) -> DataFrame:
     return row.select(F.inline(arr))
 
 
+def _repeats(df: DataFrame, id_col: str = "candidate_id") -> DataFrame:
+    """Duplicate rows and duplicate ids as one row: identical rows are counted, then the ids over these counts.
+
+    Both counts are plain sums over partial aggregates of one scan; no id has a row of counters.
+    """
+    names = df.columns
+    rows = df.groupBy(*[_q(c) for c in names]).agg(F.count(F.lit(1)).alias("_n"))
+    if id_col not in names:
+        return rows.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    ids = rows.groupBy(_q(id_col).cast("string").alias("_id")).agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") - 1).alias("_again"))
+    return ids.agg(F.coalesce(F.sum("_again"), F.lit(0)).cast("long").alias("duplicate_rows"),
+                   F.coalesce(F.sum(F.when(F.col("_id").isNotNull(), F.col("_all") - 1)), F.lit(0)).cast("long").alias("duplicate_ids"))
+
+
 def profile_stats(df: DataFrame) -> DataFrame:
-    """One-row statistics used by the health score and validation."""
-    dates = [c for c in S.DATE_FIELDS if c in df.columns]
-    nums = [c for c in S.NUMERIC_FIELDS if c in df.columns]
+    """One-row statistics used by the health score, validation and profile: one scan, and one for the duplicates."""
+    own = _own(df)
+    dates = [c for c in S.DATE_FIELDS if c in own]
+    nums = [c for c in S.NUMERIC_FIELDS if c in own]
     stats = df.agg(
         F.count(F.lit(1)).alias("row_count"),
-        *[F.count_if(_q(c).isNull()).alias(f"miss__{c}") for c in df.columns],
+        *[F.count_if(_q(c).isNull()).alias(f"miss__{c}") for c in own],
         *[_invalid_date(df, c).alias(f"bad_date__{c}") for c in dates],
         *[_invalid_number(df, c).alias(f"bad_num__{c}") for c in nums],
-        *([F.count_if(_q("candidate_id").isNull()).alias("missing_ids"),
-           (F.count(_q("candidate_id").cast("string"))
-            - F.countDistinct(_q("candidate_id").cast("string"))).alias("duplicate_ids")]
-          if "candidate_id" in df.columns else []),
+        *([F.count_if(_q("candidate_id").isNull()).alias("missing_ids")] if "candidate_id" in own else []),
     )
-    return one_row(stats, duplicate_rows(df))
+    return one_row(stats, _repeats(without_raw(df)))
+
+
+def profile(df: DataFrame, mapping: dict[str, str], unmapped: list[str] | None = None, low_confidence: list[str] | None = None) -> DataFrame:
+    """Q8 in full: health score, counts, missing and invalid values by field (maps), unmapped columns, issues and notes."""
+    st = profile_stats(df)
+    score = _health(st, df, unmapped, low_confidence)
+    report = _report(st, df, mapping, unmapped, low_confidence)
+
+    def by_field(prefix: str, fields: list[str]) -> Column:
+        counts = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{prefix}__{c}").cast("long").alias("n")) for c in fields]) \
+            .cast("array<struct<field:string,n:bigint>>")
+        return F.map_from_entries(F.filter(counts, lambda x: x.n > 0))
+
+    own = _own(df)
+    return st.select(
+        *[score[c].alias(c) for c in ("health_score", "row_count", "column_count", "duplicate_rows")],
+        by_field("miss", own).alias("missing_by_field"),
+        by_field("bad_date", [c for c in S.DATE_FIELDS if c in own]).alias("invalid_dates"),
+        by_field("bad_num", [c for c in S.NUMERIC_FIELDS if c in own]).alias("invalid_numeric"),
+        report["unmapped_columns"].alias("unmapped_columns"), score["issues"].alias("issues"),
+        report["warnings"].alias("normalization_notes"))
 
 
 def health_score(df: DataFrame, unmapped: list[str] | None = None,
                  low_confidence: list[str] | None = None) -> DataFrame:
     """Q8: 100 minus capped penalties for duplicates, missing key fields, invalid values,
     unmapped and fuzzy-mapped columns; floored at 0, 1 dp."""
-    unmapped, low_confidence = list(unmapped or []), list(low_confidence or [])
     st = profile_stats(df)
+    return st.select(*[c.alias(n) for n, c in _health(st, df, unmapped, low_confidence).items()])
+
+
+def _health(st: DataFrame, df: DataFrame, unmapped: list[str] | None, low_confidence: list[str] | None) -> dict[str, Column]:
+    """The columns of ``health_score`` over the one-row statistics ``st`` of ``df``."""
+    unmapped, low_confidence = list(unmapped or []), list(low_confidence or [])
     rows = F.greatest(F.col("row_count"), F.lit(1))
 
     def share(c):
@@ -140,22 +190,28 @@ def health_score(df: DataFrame, unmapped: list[str] | None = None,
                              F.concat(F.col(f"bad_date__{c}").cast("string"), F.lit(f" invalid {S.DISPLAY_NAMES[c]}"))))
     if unmapped:
         issues.append(F.lit(f"{len(unmapped)} unmapped columns"))
-    return st.select(
-        score.alias("health_score"),
-        F.col("row_count").cast("long").alias("row_count"),
-        F.lit(len(df.columns)).cast("long").alias("column_count"),
-        F.col("duplicate_rows"),
-        F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("issues"),
-    )
+    return {
+        "health_score": score,
+        "row_count": F.col("row_count").cast("long"),
+        "column_count": F.lit(len(_own(df))).cast("long"),
+        "duplicate_rows": F.col("duplicate_rows"),
+        "issues": F.filter(F.array(*issues).cast("array<string>"), lambda x: x.isNotNull()),
+    }
 
 
 def validation_report(df: DataFrame, mapping: dict[str, str], unmapped: list[str] | None = None,
                       low_confidence: list[str] | None = None) -> DataFrame:
     """Q1 (+Q9, Q10): errors, warnings and counts for a normalised upload, as one row."""
+    st = profile_stats(df)
+    return st.select(*[c.alias(n) for n, c in _report(st, df, mapping, unmapped, low_confidence).items()])
+
+
+def _report(st: DataFrame, df: DataFrame, mapping: dict[str, str], unmapped: list[str] | None,
+            low_confidence: list[str] | None) -> dict[str, Column]:
+    """The columns of ``validation_report`` over the one-row statistics ``st`` of ``df``."""
     unmapped, low_confidence = list(unmapped or []), list(low_confidence or [])
     recognized = [c for c in S.CANONICAL_FIELDS if c in df.columns]
     status_fields = [c for c in S.STATUS_FIELDS if c in df.columns]
-    st = profile_stats(df)
     errors = [F.when(F.col("row_count") < 1, F.lit("The dataset contains no candidate records."))]
     if not recognized:
         errors.append(F.lit("No recognizable recruitment columns were found. Use fields such as Candidate ID, "
@@ -185,17 +241,17 @@ def validation_report(df: DataFrame, mapping: dict[str, str], unmapped: list[str
         warns.append(F.when(F.col("bad_num__salary_lpa") > 0, F.concat(
             fmt_int(F.col("bad_num__salary_lpa")), F.lit(" salary value(s) could not be interpreted as numbers."))))
     err = F.filter(F.array(*errors), lambda x: x.isNotNull())
-    return st.select(
-        (F.size(err) == 0).alias("valid"),
-        err.alias("errors"),
-        F.filter(F.array(*warns), lambda x: x.isNotNull()).alias("warnings"),
-        F.col("row_count").cast("long").alias("rows"),
-        F.lit(len(df.columns)).cast("long").alias("columns"),
-        F.array(*[F.lit(c) for c in recognized]).cast("array<string>").alias("recognized_fields"),
-        F.array(*[F.lit(f"{o} -> {c}") for o, c in mapping.items()]).cast("array<string>").alias("mapping"),
-        F.array(*[F.lit(c) for c in unmapped]).cast("array<string>").alias("unmapped_columns"),
-        F.array(*[F.lit(c) for c in low_confidence]).cast("array<string>").alias("low_confidence_columns"),
-        F.col("duplicate_rows"),
-        F.lit(len(mapping)).cast("long").alias("mapped_count"),
-        F.lit(len(unmapped)).cast("long").alias("unmapped_count"),
-    )
+    return {
+        "valid": (F.size(err) == 0),
+        "errors": err,
+        "warnings": F.filter(F.array(*warns), lambda x: x.isNotNull()),
+        "rows": F.col("row_count").cast("long"),
+        "columns": F.lit(len(_own(df))).cast("long"),
+        "recognized_fields": F.array(*[F.lit(c) for c in recognized]).cast("array<string>"),
+        "mapping": F.array(*[F.lit(f"{o} -> {c}") for o, c in mapping.items()]).cast("array<string>"),
+        "unmapped_columns": F.array(*[F.lit(c) for c in unmapped]).cast("array<string>"),
+        "low_confidence_columns": F.array(*[F.lit(c) for c in low_confidence]).cast("array<string>"),
+        "duplicate_rows": F.col("duplicate_rows"),
+        "mapped_count": F.lit(len(mapping)).cast("long"),
+        "unmapped_count": F.lit(len(unmapped)).cast("long"),
+    }

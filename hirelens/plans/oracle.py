@@ -7,6 +7,8 @@ Each statement derives the application views from the driver tables itself
 from __future__ import annotations
 
 from .. import schema as S
+from ..sources import fixtures as FX
+from . import params as P
 
 APPLICATIONS_SQL = """
 select concat('CAND', case when length(cast(o_orderkey as varchar)) < 7 then lpad(cast(o_orderkey as varchar), 7, '0')
@@ -675,7 +677,7 @@ register("invalid_dates", with_apps(
     NORM + f", b as (select cast(count(application_date) - count({iso_date('application_date')}) as bigint) as n from norm) "
     "select 'application_date' as field, n as invalid from b where n > 0", raw=True))
 register("invalid_numeric", with_apps(
-    f' , b as (select cast(count("CTC") - count({parse_num(chr(34) + "CTC" + chr(34))}) as bigint) as n from applications_raw) '
+    f' , b as (select cast(count({blank(chr(34) + "CTC" + chr(34))}) - count({currency(chr(34) + "CTC" + chr(34))}) as bigint) as n from applications_raw) '
     "select 'salary_lpa' as field, n as invalid from b where n > 0", raw=True))
 register("missing_by_field", with_apps(
     NORM + ", m as (select " + ", ".join(f"cast(count_if({c} is null) as bigint) as m{i}" for i, c in enumerate(NORM_COLS))
@@ -694,7 +696,7 @@ register("missing_report", with_apps(
 STATS = (NORM + ", st as (select count(*) as row_count, count_if(candidate_id is null) as miss_cid, "
          "count_if(interview_status is null) as miss_iv, count_if(offer_status is null) as miss_off, "
          f"count(application_date) - count({iso_date('application_date')}) as bad_date, "
-         f"count(salary_lpa) - count({parse_num('salary_lpa')}) as bad_num, "
+         f"(select count({blank(chr(34) + 'CTC' + chr(34))}) - count({currency(chr(34) + 'CTC' + chr(34))}) from applications_raw) as bad_num, "
          "count(candidate_id) - count(distinct candidate_id) as dup_ids, "
          "(select count(*) from norm) - (select count(*) from (select distinct * from norm)) as dup_rows from norm)")
 
@@ -1093,3 +1095,141 @@ register("fingerprint_rows", with_apps(
 register("coerce_numeric", with_apps(
     ' select "Candidate ID" as candidate_id, "Notes" as raw_value, ' + parse_num('"Notes"') + " as value "
     "from applications_raw", raw=True))
+
+# ---------------------------------------------------------------- uploads in other layouts, catalogues of uploads
+
+_TIME = r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?: ?[AaPp][Mm])? ?(?:Z|UTC|[+-]\d{2}:?\d{2})?)?"
+_DAY_LAYOUTS = [("iso", r"\d{4}-\d{1,2}-\d{1,2}", "%Y-%m-%d"), ("year_slash", r"\d{4}/\d{1,2}/\d{1,2}", "%Y/%m/%d"),
+                ("compact", r"\d{8}", "%Y%m%d"), ("month_first", r"\d{1,2}/\d{1,2}/\d{4}", "%m/%d/%Y"),
+                ("day_first", r"\d{1,2}/\d{1,2}/\d{4}", "%d/%m/%Y")]
+_DATED = [("Applied On", "application_date"), ("Interview Date", "interview_date"), ("Offer Date", "offer_date"), ("Start Date", "joining_date")]
+
+
+def _dated_text(days: str, fmt: str, after: str = "") -> str:
+    return (f"case when k % 251 = 0 then 'not-a-date' when k % 53 = 0 then '   ' "
+            f"else strftime(application_date + cast({days} as integer), '{fmt}') || '{after}' end")
+
+
+DATED_SQL = f"""
+, dated_k as (select candidate_id as "Candidate ID",
+ case when k % 97 = 0 then strftime(application_date, '%Y-%m-%d') else {_dated_text('0', '%d/%m/%Y')} end as "Applied On",
+ {_dated_text('k % 20', '%-m/%-d/%Y')} as "Interview Date",
+ {_dated_text('k % 40', '%Y%m%d')} || case when k % 7 = 0 then '  ' else '' end as "Offer Date",
+ {_dated_text('k % 60', '%Y-%m-%d', 'T23:30:00-05:00')} as "Start Date",
+ case when k % 31 = 0 then 'n/a' when k % 11 = 0 then '12,5%' else concat(k % 101, case when k % 3 = 0 then '' else '%' end) end as "Match",
+ case when k % 4 = 0 then concat('Reason ', k % 9) end as "Reason for Rejection", k
+ from (select *, cast(substr(candidate_id, 5) as bigint) as k from applications) a)"""
+
+
+def _day(name: str, shape: str, fmt: str) -> str:
+    return f"try_strptime(nullif(regexp_extract(\"{name}\", '^\\s*({shape}){_TIME}\\s*$', 1), ''), '{fmt}')"
+
+
+# the layout that most values of a column fit, the earlier of equal ones, found by counting
+_VOTES = DATED_SQL + ", votes as (" + " union all ".join(
+    f"select '{field}' as field, '{layout}' as layout, {k} as place, count({_day(name, shape, fmt)}) as fitting from dated_k"
+    for name, field in _DATED for k, (layout, shape, fmt) in enumerate(_DAY_LAYOUTS)) + \
+    "), chosen as (select field, arg_max(layout, fitting * 100 - place) as layout, max(fitting) as fitting from votes group by field)"
+
+
+def _chosen_day(name: str, field: str) -> str:
+    cases = " ".join(f"when '{layout}' then {_day(name, shape, fmt)}" for layout, shape, fmt in _DAY_LAYOUTS)
+    return f"cast(case (select layout from chosen where field = '{field}') {cases} end as date)"
+
+
+register("normalize_date_columns", with_apps(_VOTES + ' select "Candidate ID" as candidate_id, ' + ", ".join(
+    f"coalesce(strftime({_chosen_day(name, field)}, '%Y-%m-%d'), \"{name}\") as {field}" for name, field in _DATED) + " from dated_k"))
+register("date_layouts", with_apps(_VOTES + " select field, layout, fitting from chosen"))
+register("time_to_hire", with_apps(
+    _VOTES + f""" select "Candidate ID" as candidate_id, cast({_chosen_day('Start Date', 'joining_date')}
+ - {_chosen_day('Applied On', 'application_date')} as double) as time_to_hire_days from dated_k"""))
+register("clean_percent", with_apps(
+    DATED_SQL + ", every as (select \"Candidate ID\" as candidate_id, \"Match\" as raw_value from dated_k"
+    " union all select null, null from dated_k where k % 401 = 0)"
+    f" select candidate_id, raw_value, {parse_num(chr(39).join(['replace(raw_value, ', '%', ', ', '', ')']))} as value from every"))
+register("rejections", with_apps(
+    DATED_SQL + ' select "Reason for Rejection" as rejection_reason, count(*) as count from dated_k'
+    ' where "Reason for Rejection" is not null group by 1'))
+register("drop_blank_lines", with_apps(DATED_SQL + ' select "Candidate ID" as candidate_id, "Match" from dated_k'))
+
+_ALIASES = [a for names in S.CANONICAL_ALIASES.values() for a in names]
+_FIELDS = list(S.CANONICAL_ALIASES)
+_PLAIN_NAME = "array_to_string(regexp_extract_all(lower({}), '[a-z0-9]+'), '_')"
+_ALIAS_ROWS = ", ".join(f"({k}, {q(a)}, {q(f)})" for k, (f, a) in enumerate((f, a) for f, names in S.CANONICAL_ALIASES.items() for a in names))
+CATALOGUE_SQL = f"""with recursive catalogue as (
+ select c_custkey as upload_id, cast(j as bigint) as position,
+  case (c_custkey + j * 3) % 6 when 1 then upper(replace(a, '_', ' ')) when 2 then a || ' x2' when 3 then 'My-' || a
+   when 4 then concat('Zz ', j) else a end as header,
+  case when (c_custkey * 3 + j) % 13 = 0 then [{lit_list(_FIELDS)}][(c_custkey + j) % {len(_FIELDS)} + 1] end as override
+ from (select c_custkey, j, [{lit_list(_ALIASES)}][(c_custkey * 31 + j * 17 + c_nationkey * 7) % {len(_ALIASES)} + 1] as a
+       from customer, range(10) as r(j)) x)"""
+MAPPED_SQL = CATALOGUE_SQL + f""",
+aliases as (select place, {_PLAIN_NAME.format('a')} as alias, field from (values {_ALIAS_ROWS}) as t(place, a, field)),
+lookup as (select alias, arg_max(field, place) as field from aliases group by alias),
+own as (select upload_id, header, min(position) as position, arg_min(override, position) as o from catalogue group by upload_id, header),
+named as (select own.upload_id, own.header, own.position, c.override, {_PLAIN_NAME.format('own.header')} as normalized
+          from own join catalogue c on c.upload_id = own.upload_id and c.position = own.position),
+wishes as (select named.*, coalesce(override, field) as wish from named left join lookup on alias = normalized),
+claims as (select upload_id, position, wish, row_number() over (partition by upload_id, wish order by position) = 1 and wish is not null as ok from wishes),
+used as (select upload_id, list(wish) filter (where ok) as taken from claims group by upload_id),
+inside as (select w.upload_id, w.position, list(distinct a.field) as fields from wishes w
+           join aliases a on length(a.alias) >= 5 and contains(w.normalized, a.alias) group by w.upload_id, w.position),
+left_over as (select c.upload_id, c.position, coalesce(i.fields, []) as fields, row_number() over (partition by c.upload_id order by c.position) as step
+              from claims c left join inside i on i.upload_id = c.upload_id and i.position = c.position where not c.ok),
+fold as (
+ select upload_id, cast(0 as bigint) as step, coalesce(taken, []) as taken, cast(null as bigint) as position, cast(null as varchar) as pick from used
+ union all
+ select x.upload_id, x.step, case when len(free) = 1 then list_append(x.taken, free[1]) else x.taken end, x.position, case when len(free) = 1 then free[1] end
+ from (select l.upload_id, l.step, f.taken, l.position, list_filter(l.fields, lambda z: not list_contains(f.taken, z)) as free
+       from fold f join left_over l on l.upload_id = f.upload_id and l.step = f.step + 1) x),
+mapped as (select w.upload_id, w.position, w.header, w.normalized, case when c.ok then w.wish else f.pick end as field,
+            case when c.ok then case when w.override is not null then 'override' else 'alias' end when f.pick is not null then 'fuzzy' end as how
+           from wishes w join claims c using (upload_id, position) left join fold f on f.upload_id = w.upload_id and f.position = w.position)"""
+register("header_normalize", CATALOGUE_SQL + f" select upload_id, position, header, {_PLAIN_NAME.format('header')} as normalized from catalogue")
+register("column_mapping", MAPPED_SQL + " select * from mapped")
+register("mapping_table", MAPPED_SQL + " select upload_id, position, header as uploaded_column, case field " + " ".join(
+    f"when {q(f)} then {q(S.DISPLAY_NAMES[f])}" for f in _FIELDS) + " end as recognized_as from mapped where field is not null")
+
+_PROFILE_MISSING = ", ".join(f"case when m{i} > 0 then concat({q(c.strip(chr(34)))}, '=', m{i}) end" for i, c in enumerate(NORM_COLS))
+_HEALTH_SQL, _VALID_SQL = ORACLE["health_score_data"], ORACLE["validation_report"]
+register("data_profile", with_apps(
+    STATS + ", m as (select " + ", ".join(f"count_if({c} is null) as m{i}" for i, c in enumerate(NORM_COLS)) + " from norm), "
+    "h as (select" + _HEALTH_SQL[_HEALTH_SQL.index(" greatest(0.0"):] + "), v as (select" + _VALID_SQL[_VALID_SQL.index(" true as valid"):] + ") "
+    f"select health_score, row_count, column_count, h.duplicate_rows, list_sort(list_filter([{_PROFILE_MISSING}], lambda x: x is not null)) as missing_by_field, "
+    "list_filter([case when bad_date > 0 then concat('application_date=', bad_date) end], lambda x: x is not null) as invalid_dates, "
+    "list_filter([case when bad_num > 0 then concat('salary_lpa=', bad_num) end], lambda x: x is not null) as invalid_numeric, "
+    "v.unmapped_columns, h.issues, v.warnings as normalization_notes "
+    "from (select health_score, row_count, column_count, duplicate_rows, issues from h) h, (select unmapped_columns, warnings from v) v, m, "
+    "(select bad_date, bad_num from st) b", raw=True))
+
+# ---------------------------------------------------------------- statuses of every kind, questions of every rule
+
+_MIXED_SQL = "select * exclude (k, r) replace (" + ", ".join(f"{e} as {c}" for c, e in FX.MIXED.items()) + (
+    ") from (select *, cast(substr(candidate_id, 5) as bigint) as k, cast(substr(role, 6) as int) as r from (" + APPLICATIONS_SQL + ") a) a")
+for _name in ("current_stage", "next_action", "stage_counts", "ops_counters", "stage_filter", "candidate_queue", "role_intelligence", "kpis_total",
+              "journey"):
+    register(f"{_name}_mixed", ORACLE[_name].replace(f"applications as ({APPLICATIONS_SQL})", f"applications as ({_MIXED_SQL})"))
+_FORMED_SRC = f"select conv_id, turn, {FX.FORMED_QUESTION} as question from conversations where role = 'user'"
+for _name in ("intent_tags", "answers"):
+    register(f"{_name}_formed", ORACLE[_name].replace(QS_SRC, _FORMED_SRC))
+
+# ---------------------------------------------------------------- history over several snapshots
+
+HISTORY_CTE = (
+    ", snap_k as (select *, cast(substr(candidate_id, 5) as bigint) as k from applications), "
+    "snap_v as (select * exclude (k, v) replace (" + ", ".join(f"{e} as {c}" for c, e in FX.SNAPSHOT.items()) + "), v, k "
+    f"from snap_k, range(1, 4) as g(v) where {FX.SNAPSHOT_ROWS}), "
+    "snap_all as (select * from snap_v union all select * from snap_v where k % 199 = 0), "
+    "versions as (select distinct candidate_id, v, " + _TXT + " from snap_all), "
+    "chains as (select *, row_number() over w as nth, " + ", ".join(f"lag(t{i}) over w as o{i}" for i in range(len(_AUDIT)))
+    + " from versions window w as (partition by candidate_id order by v)), events as ("
+    + " union all ".join([
+        f"select candidate_id, v, {i + 1} as field_order, 'UPDATE {c}' as action, o{i} as old_value, t{i} as new_value from chains "
+        f"where nth > 1 and o{i} <> t{i}" for i, c in enumerate(_AUDIT)] + [
+        "select candidate_id, v, 0, 'CREATE', null, 'Candidate created' from chains where nth = 1 and v > 1"])
+    + "), history as (select candidate_id, cast(v as integer) as snapshot_no, cast(date '2001-08-01' + cast((v - 1) * 7 as integer) as date) as changed_at, "
+    "field_order, action, old_value, new_value, 'recruiter' as changed_by from events)")
+register("change_history", with_apps(HISTORY_CTE + " select * from history"))
+register("audit_timeline", with_apps(
+    HISTORY_CTE + " select *, cast(row_number() over (partition by candidate_id order by changed_at desc, snapshot_no desc, field_order desc) as integer) "
+    f"as place from history where candidate_id in ({lit_list(P.TIMELINE_IDS)})"))

@@ -19,3 +19,4 @@ TARGET_HIRES = 500
 STUCK_DAYS = (14, 1500, 2000, 2400)
 AUDIT_ID = "CAND0000013"
 SNAPSHOT_BEFORE = "1998-01-01"  # earlier snapshot = applications before this date
+TIMELINE_IDS = ["CAND0000247", "CAND0000029", "CAND0000199", "CAND0000323"]

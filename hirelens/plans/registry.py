@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import infer_layouts
 from ..operators import aging as AG
 from ..operators import audit as AU
 from ..operators import filters as FL
@@ -370,9 +371,10 @@ def normalized(spark, sf_dir, materialize: bool = True) -> IN.Normalized:
             path = _NORMALIZED.get(key)
             if path is None:
                 path = scratch_path(spark, "normalized")
-                n.data.write.mode("overwrite").parquet(path)
+                n.with_raw.write.mode("overwrite").parquet(path)
                 _NORMALIZED[key] = path
-        n.data = spark.read.parquet(path)
+        n.with_raw = spark.read.parquet(path)
+        n.data = IN.without_raw(n.with_raw)
     return n
 
 
@@ -429,7 +431,7 @@ def invalid_dates(spark, sf_dir):
 
 @query("invalid_numeric")
 def invalid_numeric(spark, sf_dir):
-    return QA.invalid_numeric(normalized(spark, sf_dir).mapped_only)
+    return QA.invalid_numeric(normalized(spark, sf_dir).with_raw)
 
 
 @query("missing_by_field")
@@ -445,13 +447,13 @@ def missing_report(spark, sf_dir):
 @query("health_score_data")
 def health_score_data(spark, sf_dir):
     n = normalized(spark, sf_dir)
-    return QA.health_score(n.data, n.unmapped, n.low_confidence)
+    return QA.health_score(n.with_raw, n.unmapped, n.low_confidence)
 
 
 @query("validation_report")
 def validation_report(spark, sf_dir):
     n = normalized(spark, sf_dir)
-    return QA.validation_report(n.data, n.mapping, n.unmapped, n.low_confidence)
+    return QA.validation_report(n.with_raw, n.mapping, n.unmapped, n.low_confidence)
 
 
 @query("csv_flexible")
@@ -585,3 +587,162 @@ def coerce_numeric(spark, sf_dir):
     r = raw(spark, sf_dir)
     return r.select(F.col("`Candidate ID`").alias("candidate_id"), F.col("Notes").alias("raw_value"),
                     IN.coerce_numeric(r, "Notes").alias("value"))
+
+
+# ---------------------------------------------------------------- uploads in other layouts, catalogues of uploads
+
+def dated(spark, sf_dir):
+    """The upload of other date layouts under its canonical names, and the layout of each date column."""
+    rows = IN.drop_blank_rows(FX.dated_upload(spark, sf_dir))
+    mapping, _, _ = IN.map_columns(list(rows.columns))
+    rows = IN.rename_mapped(rows, mapping)
+    return rows, infer_layouts(rows, ["application_date", "interview_date", "offer_date", "joining_date"])
+
+
+@query("normalize_date_columns")
+def normalize_date_columns(spark, sf_dir):
+    rows, layouts = dated(spark, sf_dir)
+    return rows.select("candidate_id", *[IN.normalize_date_text(rows, c, layouts).alias(c) for c in layouts])
+
+
+@query("date_layouts")
+def date_layouts(spark, sf_dir):
+    rows, layouts = dated(spark, sf_dir)
+    fit = [F.struct(F.lit(c).alias("field"), F.lit(x.name if x else None).cast("string").alias("layout"),
+                    F.count(IN.parsed_date(rows, c, layouts)).alias("fitting")) for c, x in layouts.items()]
+    return rows.agg(F.array(*fit).alias("fits")).select(F.inline("fits"))
+
+
+@query("time_to_hire")
+def time_to_hire(spark, sf_dir):
+    rows, layouts = dated(spark, sf_dir)
+    return rows.select("candidate_id", IN.time_to_hire(IN.parsed_date(rows, "application_date", layouts), IN.parsed_date(
+        rows, "joining_date", layouts)).alias("time_to_hire_days"))
+
+
+@query("clean_percent")
+def clean_percent(spark, sf_dir):
+    rows = FX.dated_upload(spark, sf_dir)
+    return rows.select(F.col("`Candidate ID`").alias("candidate_id"), F.col("Match").alias("raw_value"),
+                       IN.clean_percent(F.col("Match")).alias("value"))
+
+
+@query("rejections")
+def rejections(spark, sf_dir):
+    rows = IN.drop_blank_rows(FX.dated_upload(spark, sf_dir))
+    return FL.rejections(IN.rename_mapped(rows, IN.map_columns(list(rows.columns))[0]))
+
+
+@query("drop_blank_lines")
+def drop_blank_lines(spark, sf_dir):
+    return IN.drop_blank_rows(FX.dated_upload(spark, sf_dir)).select(F.col("`Candidate ID`").alias("candidate_id"), "Match")
+
+
+@query("header_normalize")
+def header_normalize(spark, sf_dir):
+    headers = FX.upload_catalogue(spark, sf_dir)
+    return headers.select("upload_id", "position", "header", IN.header_normalize_col(F.col("header")).alias("normalized"))
+
+
+@query("column_mapping")
+def column_mapping(spark, sf_dir):
+    return IN.map_catalogue(FX.upload_catalogue(spark, sf_dir))
+
+
+@query("mapping_table")
+def mapping_table(spark, sf_dir):
+    return IN.catalogue_table(IN.map_catalogue(FX.upload_catalogue(spark, sf_dir)))
+
+
+@query("data_profile")
+def data_profile(spark, sf_dir):
+    n = normalized(spark, sf_dir)
+    found = QA.profile(n.with_raw, n.mapping, n.unmapped, n.low_confidence)
+
+    def listed(c):
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))).alias(c)
+
+    maps = ("missing_by_field", "invalid_dates", "invalid_numeric")
+    return found.select(*[listed(c) if c in maps else F.col(c) for c in found.columns])
+
+
+# ---------------------------------------------------------------- statuses of every kind, questions of every rule
+
+def mixed(spark, sf_dir):
+    return FX.mixed_applications(spark, sf_dir)
+
+
+@query("current_stage_mixed")
+def current_stage_mixed(spark, sf_dir):
+    a = mixed(spark, sf_dir)
+    return a.select("candidate_id", ST.current_stage(a).alias("current_stage")) \
+            .withColumn("stage_priority", ST.stage_priority(F.col("current_stage"))) \
+            .withColumn("stage_tone", ST.stage_tone(F.col("current_stage")))
+
+
+@query("next_action_mixed")
+def next_action_mixed(spark, sf_dir):
+    s = ST.with_stage(mixed(spark, sf_dir))
+    return s.select("candidate_id", F.col("_current_stage").alias("current_stage"), F.col("_action").alias("next_action"))
+
+
+@query("stage_counts_mixed")
+def stage_counts_mixed(spark, sf_dir):
+    return ST.stage_counts(mixed(spark, sf_dir))
+
+
+@query("ops_counters_mixed")
+def ops_counters_mixed(spark, sf_dir):
+    return ST.ops_counters(mixed(spark, sf_dir))
+
+
+@query("stage_filter_mixed")
+def stage_filter_mixed(spark, sf_dir):
+    out = FL.stage_filter(mixed(spark, sf_dir), P.STAGE_DIMS, P.STAGE_LIST)
+    return out.withColumnRenamed("_current_stage", "current_stage").withColumnRenamed("_action", "next_action")
+
+
+@query("candidate_queue_mixed")
+def candidate_queue_mixed(spark, sf_dir):
+    return FL.candidate_queue(mixed(spark, sf_dir))
+
+
+@query("role_intelligence_mixed")
+def role_intelligence_mixed(spark, sf_dir):
+    return SC.role_intelligence(mixed(spark, sf_dir), None, "application_date", P.AS_OF)
+
+
+@query("kpis_total_mixed")
+def kpis_total_mixed(spark, sf_dir):
+    return K.compute_kpis(mixed(spark, sf_dir))
+
+
+@query("journey_mixed")
+def journey_mixed(spark, sf_dir):
+    return ST.journey(mixed(spark, sf_dir))
+
+
+@query("intent_tags_formed")
+def intent_tags_formed(spark, sf_dir):
+    return QS.tag_intents(FX.formed_questions(spark, sf_dir))
+
+
+@query("answers_formed")
+def answers_formed(spark, sf_dir):
+    return QS.answers(FX.formed_questions(spark, sf_dir), apps(spark, sf_dir), "application_date", P.AS_OF, P.THRESHOLDS)
+
+
+# ---------------------------------------------------------------- history over several snapshots
+
+@query("change_history")
+def change_history(spark, sf_dir):
+    return AU.change_history(FX.snapshots(spark, sf_dir)).withColumn("changed_at", F.col("changed_at").cast("date"))
+
+
+@query("audit_timeline")
+def audit_timeline(spark, sf_dir):
+    path = scratch_path(spark, "audit-log")
+    events = AU.change_history(FX.snapshots(spark, sf_dir))
+    AU.append_history(events, path)
+    log = AU.append_history(events.where("snapshot_no = 3"), path)  # the last batch again
+    return AU.newest_first(log, P.TIMELINE_IDS).withColumn("changed_at", F.col("changed_at").cast("date"))

@@ -17,10 +17,12 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..session import ensure_checkpoint_dir
 from .tables import broadcast_if_bounded, read_table
 
@@ -63,14 +65,19 @@ def applications(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     """
     if not materialize:
         return derive_applications(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, _source_signature(sf_dir))
+    return _written_once(spark, sf_dir, "applications", lambda: derive_applications(spark, sf_dir))
+
+
+def _written_once(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table from the shared checkpoint folder, written there by the first that asks for it."""
+    key = (spark.sparkContext.applicationId, name, _source_signature(sf_dir))
     with MATERIALIZE_LOCK:
         path = _MATERIALIZED.get(key)
         if path is None:
             base = ensure_checkpoint_dir(spark)
             digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-            path = os.path.join(base, "tables", f"applications-{digest}")
-            derive_applications(spark, sf_dir).write.mode("overwrite").parquet(path)
+            path = os.path.join(base, "tables", f"{name}-{digest}")
+            derive().write.mode("overwrite").parquet(path)
             _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
@@ -175,3 +182,106 @@ def applications_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
             for c in a.columns
         ]
     )
+
+
+def dated_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upload whose date columns are written each in another layout, with blanks, junk and some days in a second layout.
+
+    Rows without an application are few blank ones, as an empty line of a sheet reads.
+    """
+    a = applications(spark, sf_dir).withColumn("_k", _key_num())
+    k = F.col("_k")
+
+    def written_as(days: Column, pattern: str, after: str = "") -> Column:
+        text = F.concat(F.date_format(F.date_add("application_date", days.cast("int")), pattern), F.lit(after))
+        return F.when(k % 251 == 0, "not-a-date").when(k % 53 == 0, "   ").otherwise(text)
+
+    rows = a.select(
+        F.col("candidate_id").alias("Candidate ID"),
+        F.when(k % 97 == 0, F.date_format("application_date", "yyyy-MM-dd"))
+         .otherwise(written_as(F.lit(0), "dd/MM/yyyy")).alias("Applied On"),
+        written_as(k % 20, "M/d/yyyy").alias("Interview Date"),
+        F.concat(written_as(k % 40, "yyyyMMdd"), F.when(k % 7 == 0, "  ").otherwise("")).alias("Offer Date"),
+        written_as(k % 60, "yyyy-MM-dd", "T23:30:00-05:00").alias("Start Date"),
+        F.when(k % 31 == 0, "n/a").when(k % 11 == 0, "12,5%").otherwise(F.concat((k % 101).cast("string"), F.when(k % 3 == 0, "").otherwise("%")))
+         .alias("Match"),
+        F.when(k % 4 == 0, F.concat(F.lit("Reason "), (k % 9).cast("string"))).alias("Reason for Rejection"),
+        k.alias("_k"))
+    blank = rows.where("_k % 401 = 0").select(*[F.lit(None).cast("string").alias(c) for c in rows.columns if c != "_k"])
+    return rows.drop("_k").unionByName(blank)
+
+
+CATALOGUE_HEADERS = 10  # headers of an upload of the catalogue
+
+
+def upload_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(upload_id, position, header, override): the headers of one upload per customer, with collisions, decorations and wishes."""
+    aliases = [a for names in S.CANONICAL_ALIASES.values() for a in names]
+    fields = list(S.CANONICAL_ALIASES)
+    c, j = F.col("c_custkey"), F.col("position")
+    rows = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.explode(
+        F.sequence(F.lit(0), F.lit(CATALOGUE_HEADERS - 1))).alias("position"))
+    alias = F.element_at(F.array(*map(F.lit, aliases)), ((c * 31 + j * 17 + F.col("c_nationkey") * 7) % len(aliases) + 1).cast("int"))
+    kind = (c + j * 3) % 6
+    header = (F.when(kind == 1, F.upper(F.replace(alias, F.lit("_"), F.lit(" ")))).when(kind == 2, F.concat(alias, F.lit(" x2")))
+              .when(kind == 3, F.concat(F.lit("My-"), alias)).when(kind == 4, F.concat(F.lit("Zz "), j.cast("string"))).otherwise(alias))
+    wish = F.when((c * 3 + j) % 13 == 0, F.element_at(F.array(*map(F.lit, fields)), ((c + j) % len(fields) + 1).cast("int")))
+    return rows.select(c.alias("upload_id"), j.cast("long").alias("position"), header.alias("header"), wish.alias("override"))
+
+
+# Statuses and dates of ``mixed_applications`` from the number k of a candidate and r of a role; valid in Spark and in DuckDB.
+MIXED = {
+    "application_date": "case when k % 61 = 0 then null else cast(date '2001-08-01' - cast((k * 7919) % 500 as int) as date) end",
+    "screening_status": "case k % 5 when 0 then 'Rejected' when 1 then 'Pending' when 2 then '' when 3 then 'Shortlisted' else 'Selected' end",
+    "interview_status": "case k % 7 when 0 then 'Scheduled' when 1 then 'Not Scheduled' when 2 then ' No Show ' when 3 then '' "
+                        "when 4 then 'Panel' else 'Completed' end",
+    "interview_result": "case k % 11 when 0 then 'rejected' when 1 then 'Recommended' when 2 then 'Selected' when 3 then 'No Show' "
+                        "when 4 then case when r > 5 then 'Selected' else '' end else '' end",
+    "offer_status": "case when k % 13 < r - 6 then 'Declined' else case k % 17 when 0 then 'Accepted' when 1 then 'Offer Accepted' "
+                    "when 2 then 'Withdrawn' when 3 then 'Extended' when 4 then 'Not Applicable' else '' end end",
+    "joining_status": "case k % 19 when 0 then 'Joined' when 1 then 'Started' when 2 then 'Candidate Dropped' when 3 then 'Pending' "
+                      "when 4 then 'Not Applicable' else '' end",
+}
+
+
+def mixed_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``applications`` with statuses of every kind in every combination, some undated rows and recent dates."""
+    def derive() -> DataFrame:
+        a = applications(spark, sf_dir).withColumn("k", _key_num()).withColumn("r", F.expr("cast(substr(role, 6) as int)"))
+        return a.select(*[F.expr(MIXED[c]).alias(c) if c in MIXED else F.col(c) for c in a.columns if c not in ("k", "r")])
+
+    return _written_once(spark, sf_dir, "mixed", derive)
+
+
+# Questions of ``formed_questions`` from conv_id and turn, so that every rule of tagging is met; valid in Spark and in DuckDB.
+FORMED_QUESTION = """case (conv_id * 5 + turn) % 17
+ when 0 then 'Which recruiter is underperforming?' when 1 then 'Who is the best recruiter?' when 2 then 'Which client is hardest?'
+ when 3 then 'Best client?' when 4 then 'Which source has the best quality?' when 5 then 'Which source brings most candidates?'
+ when 6 then ' Which ROLE is hard to hire? ' when 7 then 'Where is the biggest funnel bottleneck?' when 8 then 'Why are hires declining?'
+ when 9 then 'How many candidates are stuck?' when 10 then concat('candidates stuck more than ', cast(conv_id * 37 % 2500 as varchar(20)), ' days')
+ when 11 then 'aging over 0 days' when 12 then concat('Can we make ', cast(conv_id * 13 % 900 as varchar(20)), ' hires next quarter?')
+ when 13 then 'What is our target?' when 14 then 'hello random question xyz' when 15 then '   ' else text end"""
+
+
+def formed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for every user turn of ``conversations``."""
+    turns = read_table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select("conv_id", "turn", F.expr(FORMED_QUESTION).alias("question"))
+
+
+# Fields that differ between the three snapshots of ``snapshots``, from k and the snapshot's number v; valid in Spark and in DuckDB.
+SNAPSHOT = {
+    "recruiter": "case when v >= 2 and k % 17 = 0 then null else recruiter end",
+    "offer_status": "case when v = 2 and k % 13 = 0 then 'Withdrawn' else offer_status end",
+    "joining_status": "case when v = 3 and k % 19 = 0 then 'Joined' else joining_status end",
+    "salary_lpa": "case when v = 3 and k % 23 = 0 then salary_lpa + 1 else salary_lpa end",
+}
+SNAPSHOT_ROWS = "case v when 1 then k % 29 <> 0 when 2 then k % 29 <> 0 or k % 2 = 0 else true end"
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three snapshots of the applications, a week apart, with snapshot_no and taken_at; some rows come later, some are repeated."""
+    a = applications(spark, sf_dir).withColumn("k", _key_num()).withColumn("v", F.explode(F.sequence(F.lit(1), F.lit(3)))).where(SNAPSHOT_ROWS)
+    rows = a.select(*[F.expr(SNAPSHOT[c]).alias(c) if c in SNAPSHOT else F.col(c) for c in a.columns if c not in ("k", "v")],
+                    F.col("v").alias("snapshot_no"), F.expr("date_add(date'2001-08-01', (v - 1) * 7)").cast("timestamp").alias("taken_at"), "k")
+    return rows.unionByName(rows.where("k % 199 = 0")).drop("k")
