@@ -5,7 +5,8 @@ the same number, and its fingerprint is the four 64-bit SimHashes of these runs:
 words of a line differ, one of the four blocks is the same (pigeonhole), so lines are joined on
 each block with its place and the line's number of words.  Shorter lines, in which fewer edits keep
 the similarity, have fewer and longer blocks.  A word more or less moves the blocks; such lines
-are also joined on the two least hashes of their pairs of neighbouring words, in six orders (MinHash),
+are also joined on the two least hashes of their pairs of neighbouring words, three in long lines, in
+six orders (MinHash),
 and if short on the halves of their words.
 Pairs of lines that share a list and could be long enough for each other are compared by edit
 similarity, 1 - distance / longer length, each pair once.  Connected groups of lines keep one
@@ -39,6 +40,7 @@ BLOCKS = 4
 BANDS = 6
 SIMILARITY = 0.9
 SHORT_WORDS = 14
+LONG_WORDS = 20
 SHORT_LIST = 16  # all pairs of a list of at most so many lines are compared at once
 LENGTH_BITS = 24  # longer lines count as of one length before their comparison
 BROADCAST_ROWS = 200_000
@@ -88,22 +90,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def _bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For runs of ``sizes`` (over 0) word hashes: six numbers, each of the two least different hashes of pairs of neighbouring words.
+def _bands(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): six numbers of the two least different hashes of pairs of neighbouring words, or of the three least in a long line.
 
-    Two, so that lines do not meet for one frequent pair of words alone.
+    More than one, so that lines do not meet for a frequent pair of words.  Lines of a length between have both.
     """
     first = np.cumsum(sizes) - sizes
     before = np.roll(hashes, 1)
     before[first] = 0
     pairs = _mixed(_mixed(before) + hashes)
-    out = []
+    few, many = np.flatnonzero(sizes < LONG_WORDS + 3), np.flatnonzero(sizes >= LONG_WORDS)
+    keys = []
     for m in _MULTIPLIERS:
-        value = pairs * m
-        least = np.minimum.reduceat(value, first)
-        value[value == np.repeat(least, sizes)] = _LARGEST
-        out.append(_mixed(_mixed(least) + np.minimum.reduceat(value, first)))
-    return np.stack(out, axis=1)
+        value, least = pairs * m, []
+        for _ in range(3):
+            least.append(np.minimum.reduceat(value, first))
+            value[value == np.repeat(least[-1], sizes)] = _LARGEST
+        two = _mixed(_mixed(least[0]) + least[1])
+        keys += [two[few], _mixed(two + least[2])[many]]
+    return np.concatenate([few, many] * len(_MULTIPLIERS)), np.concatenate(keys)
 
 
 def _blocks(hashes: np.ndarray, sizes: np.ndarray, edits: np.ndarray, lengths: np.ndarray, with_length: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +171,10 @@ def line_keys(hashes: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, simila
     more = _edits(lengths + edits + 1, similarity)
     own = _blocks(hashes, sizes, edits, lengths, True)
     longer = _blocks(hashes, sizes, np.where(np.minimum(more, BLOCKS - 1) > np.minimum(edits, BLOCKS - 1), more, 0), lengths, True)
-    line, key = _halves(hashes, sizes)
-    halved = more[line] > 0
-    bands = _bands(hashes, sizes)
-    banded = np.repeat(more > 0, BANDS)
-    line = np.concatenate([own[0], longer[0], line[halved], np.repeat(np.arange(len(sizes)), BANDS)[banded]])
-    key = np.concatenate([own[1], longer[1], key[halved], bands.ravel()[banded]])
+    line, key = (np.concatenate(x) for x in zip(_halves(hashes, sizes), _bands(hashes, sizes)))
+    wanted = more[line] > 0
+    line = np.concatenate([own[0], longer[0], line[wanted]])
+    key = np.concatenate([own[1], longer[1], key[wanted]])
     order = np.argsort(line, kind="stable")
     return line[order], key[order]
 
@@ -409,15 +412,15 @@ def _candidates(base: DataFrame, similarity: float) -> DataFrame:
         .mapInPandas(meet, "key long, a long, b long, size int")
 
 
-def _letters(norm: str) -> bytes:
+def _letters(norm: str) -> np.ndarray:
     """How often characters of 32 classes stand in a line, up to 65535 each."""
     points = np.frombuffer(norm.encode() if norm.isascii() else norm.encode("utf-32-le"), np.uint8 if norm.isascii() else np.uint32)
-    return np.minimum(np.bincount(points & 31, minlength=32), 65535).astype(np.uint16).tobytes()
+    return np.minimum(np.bincount(points & 31, minlength=32), 65535).astype(np.int32)
 
 
 def _letters_allow(a: pd.Series, b: pd.Series, limit: np.ndarray) -> np.ndarray:
     """Whether so few edits could make one line's characters the other's: an edit adds one to a class at most, and takes one."""
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, 32).astype(np.int32) for s in (a, b))
+    x, y = (np.concatenate([np.zeros(0, np.int32), *s]).reshape(-1, 32) for s in (a, b))
     more = x - y
     return (np.maximum(more, 0).sum(axis=1) <= limit) & (np.maximum(-more, 0).sum(axis=1) <= limit)
 
@@ -440,20 +443,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def _across(lists: DataFrame, texts: DataFrame, roots: DataFrame, done: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of long lists' members that stand in different groups and were not compared.
 
-    Every member outside the largest group of its list meets all members of other groups.
+    Every member outside the largest group of its list meets all members of other groups, and those
+    pairs go on whose lengths and characters would allow similarity.
     """
-    named = texts.select("id", "h").join(roots.select(F.col("node").alias("h"), "root"), "h", "left") \
-        .select("id", F.coalesce("root", "h").alias("grp"))
+    named = texts.select("id", "h", "letters").join(roots.select(F.col("node").alias("h"), "root"), "h", "left") \
+        .select("id", F.coalesce("root", "h").alias("grp"), "letters")
     members = written(lists.distinct().join(named, "id"), "lines-long-lists")
     sizes = members.groupBy("key", "grp").agg(F.count("*").alias("n"))
     several = written(sizes.groupBy("key").agg(F.max_by("grp", F.struct("n", "grp")).alias("main"), F.count("*").alias("groups")).where("groups > 1"),
                       "lines-split-lists")
     mixed = members.join(several, "key")
-    stray = mixed.where("grp != main").select("key", F.col("id").alias("x"), F.col("grp").alias("grp_x"), F.col("size").alias("size_x"))
-    met = stray.join(mixed.select("key", F.col("id").alias("y"), F.col("grp").alias("grp_y"), F.col("size").alias("size_y")), "key") \
-        .where("grp_x != grp_y").where(F.abs(F.col("size_x") - F.col("size_y"))
-                                       <= F.floor(F.greatest("size_x", "size_y") * F.lit(1 - similarity) + F.lit(1e-9)))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    stray, other = ([F.col(c).alias(f"{c}_{side}") for c in ("id", "grp", "size", "letters")] for side in "xy")
+    limit = F.floor(F.greatest("size_x", "size_y") * F.lit(1 - similarity) + F.lit(1e-9))
+
+    def surplus(one, two):
+        return F.aggregate(F.zip_with(one, two, lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda t, d: t + d)
+
+    x, y = mixed.where("grp != main").select("key", *stray), mixed.select(F.col("key").alias("key_y"), *other)
+    met = x.join(y, (F.col("key") == F.col("key_y")) & (F.col("grp_x") != F.col("grp_y")) & (F.abs(F.col("size_x") - F.col("size_y")) <= limit)
+                 & (surplus("letters_x", "letters_y") <= limit) & (surplus("letters_y", "letters_x") <= limit))
+    pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
@@ -471,12 +480,12 @@ def _texts(base: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                         norms.append(normalise(line))
             ids = np.frombuffer(b"".join(hs), ">i8")[::2].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs, pa.binary()), pa.array(norms, pa.string()),
-                                              pa.array(map(_letters, norms), pa.binary())], names=["id", "h", "norm", "letters"])
+                                              pa.array([_letters(x) for x in norms], pa.list_(pa.int32()))], names=["id", "h", "norm", "letters"])
 
     few = wanted.count() <= BROADCAST_ROWS  # checked: then the texts need no shuffle; else Spark joins by sorting
     by_row = wanted.groupBy("__row").agg(F.collect_list("h").alias("want"))
     rows = base.select("__row", F.col(text).alias("t"), "__hash").join(F.broadcast(by_row) if few else by_row, "__row")
-    return written(rows.select("t", "__hash", "want").mapInArrow(pick, "id long, h binary, norm string, letters binary"), "lines-texts")
+    return written(rows.select("t", "__hash", "want").mapInArrow(pick, "id long, h binary, norm string, letters array<int>"), "lines-texts")
 
 
 def _half(h: str):

@@ -108,8 +108,8 @@ def plain_bands(words):
 
     hashes = [plain_hash(w) for w in words]
     pairs = [mixed((mixed(a) + b) % 2**64) for a, b in zip([0, *hashes], hashes)]
-    least = [sorted({p * int(m) % 2**64 for p in pairs})[:2] for m in linededup._MULTIPLIERS]
-    return {(k, *x) for k, x in enumerate(least)}
+    least = [sorted({p * int(m) % 2**64 for p in pairs}) for m in linededup._MULTIPLIERS]
+    return {(k, n, *x[:n]) for k, x in enumerate(least) for n, fits in ((2, len(words) < 23), (3, len(words) >= 20)) if fits}
 
 
 def test_line_prints_equal_plain_python():
