@@ -40,6 +40,24 @@ ACTIONS = {
 NO_DATA = {"recruiter_ranking": "No recruiter data available.", "client_ranking": "No client data available.",
            "source_ranking": "No source data available.", "role_ranking": "No role data available."}
 NO_AGING = "No date data for aging analysis."
+EVIDENCE = "array<struct<metric:string,value:double,text:string,comparison:double,change:double,entity:string,detail:string>>"
+METRICS = "map<string,double>"
+
+
+def _evidence(metric: str, value: Column | None = None, text: Column | None = None, comparison: Column | None = None,
+              change: Column | None = None, entity: Column | None = None, detail: Column | None = None) -> Column:
+    """One piece of evidence: a number in ``value`` or a word in ``text``."""
+    def of(x: Column | None, kind: str) -> Column:
+        return (F.lit(None) if x is None else x).cast(kind)
+
+    return F.struct(F.lit(metric).alias("metric"), of(value, "double").alias("value"), of(text, "string").alias("text"),
+                    of(comparison, "double").alias("comparison"), of(change, "double").alias("change"),
+                    of(entity, "string").alias("entity"), of(detail, "string").alias("detail"))
+
+
+def _metrics(**values: Column) -> Column:
+    pairs = [x for name, v in values.items() for x in (F.lit(name), v.cast("double"))]
+    return F.create_map(*pairs).cast(METRICS)
 
 
 def _first_int(q: Column) -> Column:
@@ -113,10 +131,13 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
     """
     parts: list[DataFrame] = []
 
-    def row(intent, ranking, answer, entity=None):
+    def row(intent, ranking, answer, evidence, entity=None, metrics=None):
         return F.struct(F.lit(intent).alias("intent"), F.lit(ranking).cast("string").alias("ranking"),
                         answer.alias("answer"),
-                        (entity if entity is not None else F.lit(None)).cast("string").alias("entity"))
+                        (entity if entity is not None else F.lit(None)).cast("string").alias("entity"),
+                        F.array_compact(F.array(evidence)).cast(EVIDENCE).alias("evidence"),
+                        (metrics if metrics is not None else F.create_map()).cast(METRICS).alias("metrics"),
+                        (F.array(shown(entity)) if entity is not None else F.array()).cast("array<string>").alias("entities"))
 
     def emit(frame: DataFrame, *rows: Column) -> None:
         parts.append(frame.select(F.inline(F.array(*rows))))
@@ -139,14 +160,17 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                                            F.struct("rate_pct", "step")).alias("w"))
     emit(w, row("bottleneck", None, F.concat(
         F.lit("The biggest funnel bottleneck is "), F.col("w.conversion"), F.lit(" at "),
-        fmt1(F.col("w.rate_pct")), F.lit("%."))))
+        fmt1(F.col("w.rate_pct")), F.lit("%.")),
+        _evidence("bottleneck", text=F.col("w.conversion"), detail=F.concat(fmt1(F.col("w.rate_pct")), F.lit("%")))))
 
     comp = period_comparison(df, date_col, cm, monthly).filter(F.col("metric") == "Joined") \
-        .agg(F.max("percent_change").alias("pc"))
+        .agg(F.max("percent_change").alias("pc"), F.max("current").alias("now"), F.max("previous").alias("before"))
     prior = F.when(F.col("pc").isNotNull(), F.concat(
         F.lit(" Prior period comparison: "), fmt1(F.col("pc")), F.lit("% change."))).otherwise(F.lit(""))
     emit(one_row(kp, comp), row("declining_hires", None, F.concat(
-        F.lit("Current joined count is "), fmt_int(F.col("joined")), F.lit("."), prior)))
+        F.lit("Current joined count is "), fmt_int(F.col("joined")), F.lit("."), prior),
+        F.when(F.col("now").isNotNull(), _evidence("Joined (current)", F.col("now"), comparison=F.col("before"), change=F.col("pc"))),
+        metrics=_metrics(joined=F.col("joined"))))
 
     if cm.get("recruiter"):
         ri = recruiter_intelligence(df, cm, date_col, as_of, pre)
@@ -156,9 +180,11 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
         emit(p,
              row("recruiter_ranking", "worst", F.concat(
                  shown(F.col("lo.e")), F.lit(" has the lowest efficiency score ("), fmt1(F.col("lo.v")), F.lit(").")),
+                 _evidence("recruiter", text=shown(F.col("lo.e")), detail=F.concat(F.lit("score "), fmt1(F.col("lo.v")))),
                  F.col("lo.e")),
              row("recruiter_ranking", "best", F.concat(
                  shown(F.col("hi.e")), F.lit(" leads with efficiency score "), fmt1(F.col("hi.v")), F.lit(".")),
+                 _evidence("recruiter", text=shown(F.col("hi.e")), detail=F.concat(F.lit("score "), fmt1(F.col("hi.v")))),
                  F.col("hi.e")))
     if cm.get("client"):
         ci = client_intelligence(df, cm, date_col, as_of, pre)
@@ -168,10 +194,10 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
         emit(p,
              row("client_ranking", "worst", F.concat(
                  shown(F.col("lo.e")), F.lit(" is the hardest client (health score "), fmt1(F.col("lo.v")), F.lit(").")),
-                 F.col("lo.e")),
+                 _evidence("client_health", F.col("lo.v"), entity=shown(F.col("lo.e"))), F.col("lo.e")),
              row("client_ranking", "best", F.concat(
                  shown(F.col("hi.e")), F.lit(" is the strongest client (health score "), fmt1(F.col("hi.v")), F.lit(").")),
-                 F.col("hi.e")))
+                 _evidence("client_health", F.col("hi.v"), entity=shown(F.col("hi.e"))), F.col("hi.e")))
     if cm.get("source"):
         si = source_intelligence(df, cm, pre)
         sk = cm["source"]
@@ -180,10 +206,10 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
         emit(p,
              row("source_ranking", "volume", F.concat(
                  shown(F.col("vol.e")), F.lit(" has highest volume ("), F.col("vol.v").cast("string"),
-                 F.lit(" applications).")), F.col("vol.e")),
+                 F.lit(" applications).")), _evidence("source", text=shown(F.col("vol.e"))), F.col("vol.e")),
              row("source_ranking", "best", F.concat(
                  shown(F.col("q.e")), F.lit(" has the best quality score ("), fmt1(F.col("q.v")), F.lit(").")),
-                 F.col("q.e")))
+                 _evidence("source", text=shown(F.col("q.e"))), F.col("q.e")))
     if cm.get("role"):
         ro = role_intelligence(df, cm, date_col, as_of, pre)
         k = F.col(f"`{cm['role']}`").cast("string")
@@ -192,7 +218,7 @@ def _answer_facts(df: DataFrame, cm: dict, date_col: str | None, as_of: str,
                             F.struct(F.col("hiring_difficulty_score"), F.coalesce(k, F.lit("")))).alias("hard"))
         emit(p, row("role_ranking", "hard", F.concat(
             shown(F.col("hard.e")), F.lit(" is hardest to hire (difficulty "), fmt1(F.col("hard.v")), F.lit("): "),
-            F.col("hard.why"), F.lit(".")), F.col("hard.e")))
+            F.col("hard.why"), F.lit(".")), _evidence("difficulty", F.col("hard.v"), entity=shown(F.col("hard.e"))), F.col("hard.e")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -203,6 +229,19 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
             th: AgingThresholds = AgingThresholds(), col: dict | None = None,
             text_col: str = "question") -> DataFrame:
     """A deterministic answer and recommended action for every question."""
+    return full_answers(questions, df, date_col, as_of, th, col, text_col) \
+        .drop("evidence", "metrics", "entities", "answer_source")
+
+
+def full_answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: str,
+                 th: AgingThresholds = AgingThresholds(), col: dict | None = None,
+                 text_col: str = "question") -> DataFrame:
+    """R12 with what each answer rests on: ``evidence`` (array of structs), ``metrics`` (map), ``entities``, ``answer_source``.
+
+    Ranking, bottleneck and trend answers take theirs from their facts row; aging and
+    forecast answers build theirs from the question's own threshold or target.  A question
+    without an answer has empty arrays and an empty map, never NULL.
+    """
     cm = resolve(df, col)
     tagged = tag_intents(questions, text_col)
     # the one-row KPIs and the per-month trend rows feed several facts: compute each once
@@ -268,6 +307,30 @@ def answers(questions: DataFrame, df: DataFrame, date_col: str | None, as_of: st
         .when((intent == "forecast_target") & ~ok, F.lit("")) \
         .when(intent.isin(*NO_DATA) & F.col("answer").isNull(), F.lit("")) \
         .otherwise(F.coalesce(action_map[intent], F.lit("")))
+    aged = (intent == "aging_query") & F.lit(has_dates) & F.col("stuck_count").isNotNull()
+    forecast = (intent == "forecast_target") & ok
+    evidence = (F.when(aged, F.array(_evidence("stuck_candidates", F.col("stuck_count"))))
+                .when(forecast, F.array(_evidence("expected_joins_mid", F.col("estimate_mid")),
+                                        _evidence("gap_high", round_dec(g_high, 1))))
+                .otherwise(F.col("evidence")))
+    metrics = (F.when(aged, _metrics(threshold_days=F.col("_thr"), stuck_count=F.col("stuck_count")))
+               .when(forecast, _metrics(target=tgt, expected_mid=F.col("estimate_mid")))
+               .otherwise(F.col("metrics")))
     keep = [c for c in questions.columns]
     return j.select(*[F.col(f"`{c}`") for c in keep], "intent", "ranking", "aging_days", "target_hires",
-                    answer.alias("answer"), F.col("entity"), action.alias("recommended_action"))
+                    answer.alias("answer"), F.col("entity"), action.alias("recommended_action"),
+                    F.coalesce(evidence, F.array().cast(EVIDENCE)).alias("evidence"),
+                    F.coalesce(metrics, F.create_map().cast(METRICS)).alias("metrics"),
+                    F.coalesce(F.col("entities"), F.array().cast("array<string>")).alias("entities"),
+                    F.lit("deterministic").alias("answer_source"))
+
+
+def evidence_rows(answered: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per question and piece of evidence; a question without evidence keeps one row of NULLs."""
+    return answered.select(*keys, "intent", F.posexplode_outer("evidence").alias("evidence_no", "_e")) \
+        .select(*keys, "intent", (F.col("evidence_no") + 1).alias("evidence_no"), "_e.*")
+
+
+def metric_rows(answered: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per question and metric of its answer; a question without metrics keeps one row."""
+    return answered.select(*keys, "entities", "answer_source", F.explode_outer("metrics").alias("metric", "value"))

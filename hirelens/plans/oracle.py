@@ -1213,6 +1213,63 @@ _FORMED_SRC = f"select conv_id, turn, {FX.FORMED_QUESTION} as question from conv
 for _name in ("intent_tags", "answers"):
     register(f"{_name}_formed", ORACLE[_name].replace(QS_SRC, _FORMED_SRC))
 
+# evidence and metrics of the answers: one row per intent, ranking and piece
+
+
+def _piece(intent: str, ranking: str | None, metric: str, tail: str, value="null", text="null", comparison="null", change="null",
+           entity="null", detail="null") -> str:
+    return (f"select {q(intent)} as intent, cast({q(ranking) if ranking else 'null'} as varchar) as ranking, {q(metric)} as metric, "
+            f"cast({value} as double) as value, cast({text} as varchar) as text, cast({comparison} as double) as comparison, "
+            f"cast({change} as double) as change, cast({entity} as varchar) as entity, cast({detail} as varchar) as detail {tail}")
+
+
+_CLIENT_SCORED = no_eff("client") + f", ch as (select *, {_CH} as client_health_score from cards)"
+_SOURCE_CARDS = grouped_metrics("source", False).replace(", efficiency_score from gme", " from gme")
+_SOURCE_SCORED = _SOURCE_CARDS + ", sq as (select *, " + rdec(
+    "joining_rate_pct * 0.5 + interview_selection_pct * 0.3 + offer_acceptance_pct * 0.2", 2) + " as quality_score from cards)"
+_JOINED_NOW = "(select * from cmp where metric = 'Joined')"
+_EVIDENCE = " union all ".join("select * from " + _sub(fragment, piece) for fragment, piece in [
+    (KPI_CTE + f", fc5 as ({_CONV_SQL})", _piece("bottleneck", None, "bottleneck", "from fc5 order by rate_pct, step limit 1", text="conversion",
+                                                 detail=fmt1("rate_pct") + " || '%'")),
+    (CMP_CTE, _piece("declining_hires", None, "Joined (current)", f"from {_JOINED_NOW}", value="current", comparison="previous",
+                     change="percent_change")),
+    *[(_RI, _piece("recruiter_ranking", rank, "recruiter", _pick_row("ri", "recruiter", "efficiency_score", rank == "worst"),
+                   text=_nan("recruiter"), detail="'score ' || " + fmt1("efficiency_score"))) for rank in ("worst", "best")],
+    *[(_CLIENT_SCORED, _piece("client_ranking", rank, "client_health", _pick_row("ch", "client", "client_health_score", rank == "worst"),
+                              value="client_health_score", entity=_nan("client"))) for rank in ("worst", "best")],
+    (_SOURCE_CARDS, _piece("source_ranking", "volume", "source", _pick_row("cards", "source", "applications", False), text=_nan("source"))),
+    (_SOURCE_SCORED, _piece("source_ranking", "best", "source", _pick_row("sq", "source", "quality_score", False), text=_nan("source"))),
+    (no_eff("role") + f", rd as (select *, cast(least(100, {_PTS}) as double) as hd, {_WHY} as _why from cards)",
+     _piece("role_ranking", "hard", "difficulty", _pick_row("rd", "role", "hd", False), value="hd", entity=_nan("role"))),
+])
+_THR = "(case when t.aging_days = 0 then 14 else t.aging_days end)"
+_STUCK = f"(select count(*) from aged where aging_days > {_THR})"
+_ANSWERED = (
+    ", qs as (" + _FORMED_SRC + ")" + tag_sql("select * from qs").replace("(select * from qs), tq", ", tq", 1)
+    + AGED + ", fcr as " + _sub(FC_CTE + JR_CTE, "select fc.*, jr.jr from fc, jr")
+    + ", asked as (select t.*, f.estimate_mid, f.estimate_low, coalesce(" + _OK + f", false) as ok, {_TGT} as tgt, {_THR} as thr, "
+      f"case when t.intent = 'aging_query' and {_THR} is not null then {_STUCK} end as stuck "
+      "from tagged t left join fcr f on t.intent = 'forecast_target')")
+register("answer_evidence", with_apps(
+    _ANSWERED + ", pieces as (select a.conv_id, a.turn, a.intent, 1 as evidence_no, e.metric, e.value, e.text, e.comparison, e.change, e.entity, "
+    "e.detail from asked a join (" + _EVIDENCE + ") e on a.intent = e.intent and a.ranking is not distinct from e.ranking union all "
+    "select conv_id, turn, intent, 1, 'stuck_candidates', cast(stuck as double), null, null, null, null, null from asked where stuck is not null "
+    "union all select conv_id, turn, intent, 1, 'expected_joins_mid', estimate_mid, null, null, null, null, null from asked where ok union all "
+    f"select conv_id, turn, intent, 2, 'gap_high', {rdec('greatest(0.0, tgt - estimate_low)', 1)}, null, null, null, null, null from asked where ok) "
+    "select conv_id, turn, a.intent, cast(evidence_no as integer) as evidence_no, metric, value, text, comparison, change, entity, detail "
+    "from asked a left join pieces using (conv_id, turn)"))
+register("answer_metrics", with_apps(
+    _ANSWERED + ", named as (select intent, ranking, entity from (" + _ANS_FACTS + ")), k as " + _sub(KPI_CTE, "select * from k")
+    + ", pieces as (select conv_id, turn, 'joined' as metric, cast((select joined from k) as double) as value from asked "
+    "where intent = 'declining_hires' union all "
+    "select conv_id, turn, 'threshold_days', cast(thr as double) from asked where stuck is not null union all "
+    "select conv_id, turn, 'stuck_count', cast(stuck as double) from asked where stuck is not null union all "
+    "select conv_id, turn, 'target', cast(tgt as double) from asked where ok union all "
+    "select conv_id, turn, 'expected_mid', estimate_mid from asked where ok) "
+    "select a.conv_id, a.turn, case when a.intent like '%ranking' then [coalesce(n.entity, 'nan')] else cast([] as varchar[]) end as entities, "
+    "'deterministic' as answer_source, p.metric, p.value from asked a left join pieces p using (conv_id, turn) "
+    "left join named n on n.intent = a.intent and n.ranking is not distinct from a.ranking"))
+
 # ---------------------------------------------------------------- history over several snapshots
 
 HISTORY_CTE = (

@@ -732,6 +732,20 @@ def answers_formed(spark, sf_dir):
     return QS.answers(FX.formed_questions(spark, sf_dir), apps(spark, sf_dir), "application_date", P.AS_OF, P.THRESHOLDS)
 
 
+def _full_answers(spark, sf_dir):
+    return QS.full_answers(FX.formed_questions(spark, sf_dir), apps(spark, sf_dir), "application_date", P.AS_OF, P.THRESHOLDS)
+
+
+@query("answer_evidence")
+def answer_evidence(spark, sf_dir):
+    return QS.evidence_rows(_full_answers(spark, sf_dir), ["conv_id", "turn"])
+
+
+@query("answer_metrics")
+def answer_metrics(spark, sf_dir):
+    return QS.metric_rows(_full_answers(spark, sf_dir), ["conv_id", "turn"])
+
+
 # ---------------------------------------------------------------- history over several snapshots
 
 @query("change_history")
