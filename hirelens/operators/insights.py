@@ -9,6 +9,8 @@ nothing is collected to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,10 +287,34 @@ def executive_package(df: DataFrame, date_col: str | None, as_of: str, th=None,
     cm = resolve(df, col)
     kp = checkpoint_small(compute_kpis(df, cm))
     aged = aging_summary(df, date_col, as_of, th or AgingThresholds()) if date_col else None
-    comps = period_comparison(df, date_col, cm)
+    # one row per metric: checkpointed, because the findings read it too
+    comps = checkpoint_small(period_comparison(df, date_col, cm))
     return {
         "health": health_score(kp, aging_risk(aged, NO_AGED_SCORE) if aged is not None else None, data_quality),
         "comparisons": comps,
         "findings": executive_findings(kp, comps),
         "funnel_rates": funnel_conversion(kp),
     }
+
+
+SECTION = ("section string, position int, item string, value double, comparison double, change double, category string, severity string, "
+           "detail string")
+
+
+def package_sections(package: dict[str, DataFrame]) -> DataFrame:
+    """R10 as one result: the sections of ``executive_package`` as tagged rows of one form."""
+    c = F.col
+    health = package["health"]
+    scores = [n for n in health.columns if n != "label"]
+    parts = {
+        "health": health.select(F.inline(F.array(*[F.struct(
+            F.lit(k + 1).alias("position"), F.lit(n).alias("item"), c(n).alias("value"), c("label").alias("detail")) for k, n in enumerate(scores)]))),
+        "comparisons": package["comparisons"].select(c("metric_order").alias("position"), c("metric").alias("item"), c("current").alias("value"),
+                                                     c("previous").alias("comparison"), c("percent_change").alias("change"), c("note").alias("detail")),
+        "findings": package["findings"].select(c("finding_no").alias("position"), c("title").alias("item"), "category", "severity", "detail"),
+        "funnel_rates": package["funnel_rates"].select(c("step").alias("position"), c("conversion").alias("item"), c("rate_pct").alias("value")),
+    }
+    names = [f.split() for f in SECTION.split(", ")]
+    rows = [frame.withColumn("section", F.lit(tag)) for tag, frame in parts.items()]
+    rows = [r.select(*[(c(n) if n in r.columns else F.lit(None)).cast(kind).alias(n) for n, kind in names]) for r in rows]
+    return reduce(DataFrame.unionByName, rows)

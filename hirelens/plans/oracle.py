@@ -734,8 +734,12 @@ _APP_COLS = ["candidate_id", "candidate_name", "application_date", "recruiter",
              "joining_status", "salary_lpa", "time_to_hire_days"]
 register("fingerprint_table", with_apps(
     " , h as (select sha256(concat_ws('|', " + ", ".join(f"coalesce(cast({c} as varchar), '')" for c in _APP_COLS)
-    + ")) as h from applications) select count(*) as row_count, "
-    "cast(sum(('0x' || substr(h, 1, 15))::hugeint) as decimal(38,0)) as content_sum from h"))
+    + ")) as h from applications), s as (select count(*) as row_count, "
+    + ", ".join(f"cast(sum(('0x' || substr(h, {1 + 16 * k}, 16))::hugeint) as decimal(38,0)) as sum_{k + 1}" for k in range(4))
+    + " from h) select *, sha256(concat_ws('|', row_count, sum_1, sum_2, sum_3, sum_4)) as fingerprint from s"))
+register("fingerprint_pages",
+         "select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as size_bytes, sha256(coalesce(html, '') || concat_ws('|', "
+         "coalesce(url, ''), octet_length(encode(coalesce(html, ''))), page_id)) as fingerprint from pages")
 
 # ---------------------------------------------------------------- change capture
 
@@ -1202,6 +1206,30 @@ register("data_profile", with_apps(
     "from (select health_score, row_count, column_count, duplicate_rows, issues from h) h, (select unmapped_columns, warnings from v) v, m, "
     "(select bad_date, bad_num from st) b", raw=True))
 
+# ---------------------------------------------------------------- executive package, SQL over a view, bundles, source fallback
+
+_SCORES = ["score", "funnel_efficiency", "hiring_velocity", "offer_acceptance", "joining", "aging", "data_quality"]
+_NO = "cast(null as double)"
+register("executive_package", " union all ".join([
+    *[f"select 'health' as section, {k + 1} as position, '{n}' as item, cast({n} as double) as value, {_NO} as comparison, {_NO} as change, "
+      f"cast(null as varchar) as category, cast(null as varchar) as severity, label as detail from ({ORACLE['health_score']})"
+      for k, n in enumerate(_SCORES)],
+    "select 'comparisons', cast(metric_order as integer), metric, current, previous, percent_change, null, null, note from (" + ORACLE["period_comparison"] + ")",
+    f"select 'findings', cast(finding_no as integer), title, {_NO}, {_NO}, {_NO}, category, severity, detail from (" + ORACLE["executive_findings"] + ")",
+    f"select 'funnel_rates', cast(step as integer), conversion, rate_pct, {_NO}, {_NO}, null, null, null from (" + ORACLE["funnel_conversion"] + ")"]))
+register("view_filtered", ORACLE["query_filtered"].replace(" order by candidate_id limit 250", ""))
+register("view_count", with_apps(f"select count(*) as row_count from applications where {_FILTER_WHERE} and "
+                                 f"{like_any(('candidate_name', 'location', 'source'), P.SEARCH_TEXT)}"))
+register("view_group_count", ORACLE["group_count"])
+register("view_distinct", ORACLE["distinct_values"])
+register("bundle_mappings", MAPPED_SQL + """, u as (select upload_id, concat('upload-', upload_id) as source_name,
+ coalesce(list(header order by position) filter (where field is null), []) as unmapped,
+ coalesce(list(header order by position) filter (where how = 'fuzzy'), []) as low_confidence from mapped where upload_id % 7 <> 0 group by upload_id)
+ select u.*, header, field from u left join (select upload_id, header, field from mapped where field is not null) m using (upload_id)""")
+register("bundle_broken", "select c_custkey as upload_id, true as has_text from customer where c_custkey % 7 = 0")
+register("bundle_profile", ORACLE["data_profile"])
+register("source_fallback", "select o_orderpriority, count(*) as orders, 'orders.parquet' as source from orders group by o_orderpriority")
+
 # ---------------------------------------------------------------- statuses of every kind, questions of every rule
 
 _MIXED_SQL = "select * exclude (k, r) replace (" + ", ".join(f"{e} as {c}" for c, e in FX.MIXED.items()) + (

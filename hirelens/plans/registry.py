@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import infer_layouts
 from ..operators import aging as AG
 from ..operators import audit as AU
+from ..operators import bundles as BU
 from ..operators import filters as FL
 from ..operators import ingest as IN
 from ..operators import insights as INS
@@ -21,6 +22,7 @@ from ..operators import kpis as K
 from ..operators import quality as QA
 from ..operators import questions as QS
 from ..operators import scorecards as SC
+from ..operators import sqlview as SV
 from ..operators import stages as ST
 from ..operators import trends as TR
 from ..session import scratch_path
@@ -474,6 +476,13 @@ def fingerprint_files(spark, sf_dir):
     return FS.file_fingerprints(spark, f"{sf_dir.rstrip('/')}/*.parquet")
 
 
+@query("fingerprint_pages")
+def fingerprint_pages(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size_bytes"), FS.content_fingerprint(
+        F.col("html").cast("binary"), F.coalesce("url", F.lit("")), F.col("page_id").cast("string")).alias("fingerprint"))
+
+
 @query("fingerprint_table")
 def fingerprint_table(spark, sf_dir):
     return FS.table_fingerprint(apps(spark, sf_dir))
@@ -657,13 +666,16 @@ def mapping_table(spark, sf_dir):
 @query("data_profile")
 def data_profile(spark, sf_dir):
     n = normalized(spark, sf_dir)
-    found = QA.profile(n.with_raw, n.mapping, n.unmapped, n.low_confidence)
+    return _listed(QA.profile(n.with_raw, n.mapping, n.unmapped, n.low_confidence))
+
 
+def _listed(profile):
+    """A profile with its maps as sorted lists of ``field=count``."""
     def listed(c):
         return F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))).alias(c)
 
     maps = ("missing_by_field", "invalid_dates", "invalid_numeric")
-    return found.select(*[listed(c) if c in maps else F.col(c) for c in found.columns])
+    return profile.select(*[listed(c) if c in maps else F.col(c) for c in profile.columns])
 
 
 # ---------------------------------------------------------------- statuses of every kind, questions of every rule
@@ -746,6 +758,74 @@ def answer_metrics(spark, sf_dir):
     return QS.metric_rows(_full_answers(spark, sf_dir), ["conv_id", "turn"])
 
 
+@query("executive_package")
+def executive_package(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    return INS.package_sections(INS.executive_package(a, "application_date", P.AS_OF, P.THRESHOLDS, QA.health_score(a)))
+
+
+# ---------------------------------------------------------------- SQL over a view, bundles, source fallback
+
+@query("view_filtered")
+def view_filtered(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    cm = K.resolve(a, None)
+    return SV.TableView(a).filtered(FL.resolve_filters(a, P.FILTERS), P.QUERY_SEARCH, [cm[k] for k in FL.SEARCH_KEYS if cm.get(k)], P.QUERY_COLUMNS)
+
+
+@query("view_count")
+def view_count(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    return SV.TableView(a).count({**FL.resolve_filters(a, P.FILTERS), "nope": ["x"]}, P.SEARCH_TEXT, ["candidate_name", "location", "source"])
+
+
+@query("view_group_count")
+def view_group_count(spark, sf_dir):
+    return SV.TableView(apps(spark, sf_dir)).group_count("recruiter", {"client": ["BUILDING", "AUTOMOBILE"]})
+
+
+@query("view_distinct")
+def view_distinct(spark, sf_dir):
+    return SV.TableView(apps(spark, sf_dir)).distinct_values("location")
+
+
+def _bundles(spark, sf_dir):
+    """The bundles of the upload catalogue, read back; those of every seventh upload are cut off in the middle."""
+    made = BU.catalogue_bundles(IN.map_catalogue(FX.upload_catalogue(spark, sf_dir)))
+    cut = F.expr("substr(bundle, 1, length(bundle) div 2)")
+    return BU.read_bundles(made.withColumn("bundle", F.when(F.col("upload_id") % 7 == 0, cut).otherwise(F.col("bundle"))), ["upload_id"])
+
+
+@query("bundle_mappings")
+def bundle_mappings(spark, sf_dir):
+    sound, _ = _bundles(spark, sf_dir)
+    return sound.select("upload_id", "source_name", "unmapped", "low_confidence", F.explode_outer("mapping").alias("header", "field"))
+
+
+@query("bundle_broken")
+def bundle_broken(spark, sf_dir):
+    _, broken = _bundles(spark, sf_dir)
+    return broken.select("upload_id", F.col("bundle").isNotNull().alias("has_text"))
+
+
+@query("bundle_profile")
+def bundle_profile(spark, sf_dir):
+    n = normalized(spark, sf_dir)
+    found = QA.profile(n.with_raw, n.mapping, n.unmapped, n.low_confidence)
+    text = found.select(F.lit(1).alias("no"), BU.to_bundle({"profile": F.struct(*found.columns)}).alias("bundle"))
+    profile = BU.read_bundles(text, ["no"])[0].select("profile.*")
+    return _listed(profile)
+
+
+@query("source_fallback")
+def source_fallback(spark, sf_dir):
+    folder, empty = sf_dir.rstrip("/"), scratch_path(spark, "no-rows")
+    read_table(spark, sf_dir, "orders").where("false").write.parquet(empty)
+    orders, path = FS.first_readable(spark, [f"{folder}/cleaned_orders.parquet", empty, f"{folder}/orders.parquet"])
+    return orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders")) \
+        .withColumn("source", F.lit(path.rsplit("/", 1)[-1]))
+
+
 # ---------------------------------------------------------------- history over several snapshots
 
 @query("change_history")

@@ -18,11 +18,13 @@ by the number of recruiters/clients/...), not per event time window.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest as IN
 from ..operators import kpis as K
+from ..sources.files import csv_options, present
 
 
 def upload_schema(headers: list[str]) -> T.StructType:
@@ -32,12 +34,14 @@ def upload_schema(headers: list[str]) -> T.StructType:
 
 def read_uploads(spark: SparkSession, landing_dir: str, headers: list[str], sep: str = ",",
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming CSV source over the landing folder (no inference: every field is text)."""
-    reader = (spark.readStream.schema(upload_schema(headers)).option("header", True).option("sep", sep)
-              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    """Streaming CSV source over the landing folder (no inference: every field is text).
+
+    Cells are read as ``read_csv_flexible`` reads them: quotes, line breaks in cells, NA words.
+    """
+    reader = spark.readStream.schema(upload_schema(headers)).options(**csv_options(sep, True), header=True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.csv(landing_dir)
+    return reader.csv(landing_dir).select(*[present(h).alias(h) for h in headers])
 
 
 def normalized_stream(raw: DataFrame, overrides: dict[str, str] | None = None) -> IN.Normalized:
@@ -54,15 +58,26 @@ def write_normalized(stream: DataFrame, out_path: str, checkpoint: str,
     return w.start()
 
 
-def kpis_by_stream(stream: DataFrame, key: str, table_name: str, checkpoint: str,
+def kpis_by_stream(stream: DataFrame, key: str, out_path: str, checkpoint: str,
                    available_now: bool = True) -> StreamingQuery:
-    """A3 maintained incrementally per dimension value, published as an in-memory table.
+    """A3 maintained incrementally per dimension value, published under ``out_path``.
 
-    ``complete`` mode re-emits the (small) per-group result each batch; the state
-    holds one aggregation buffer per group.
+    ``complete`` mode re-emits the (small) per-group result each batch; the state holds one
+    aggregation buffer per group.  Each batch is a partition of its own (``kpi_batch``), written
+    by the executors and visible once Spark commits it; a batch that is run again overwrites its own.
     """
     grouped = K.group_kpis_by_key(stream, key)
-    w = (grouped.writeStream.format("memory").queryName(table_name)
-         .option("checkpointLocation", checkpoint).outputMode("complete"))
+
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/kpi_batch={number}")
+
+    w = grouped.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).outputMode("complete")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def latest_kpis(spark: SparkSession, out_path: str) -> DataFrame:
+    """The result of the last batch that ``kpis_by_stream`` committed."""
+    batches = spark.read.parquet(out_path)
+    last = batches.agg(F.max("kpi_batch")).first()[0]
+    return batches.where(F.col("kpi_batch") == F.lit(last)).drop("kpi_batch")

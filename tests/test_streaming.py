@@ -27,7 +27,7 @@ def test_streaming_ingest_matches_batch(spark, small_dir):
     q1 = UP.write_normalized(norm.data, os.path.join(out, "normalized"),
                              os.path.join(out, "ckpt1"))
     q1.awaitTermination(120)
-    q2 = UP.kpis_by_stream(norm.data, "recruiter", "stream_kpis_recruiter", os.path.join(out, "ckpt2"))
+    q2 = UP.kpis_by_stream(norm.data, "recruiter", os.path.join(out, "kpis"), os.path.join(out, "ckpt2"))
     q2.awaitTermination(120)
 
     from hirelens.operators import ingest as IN
@@ -36,6 +36,18 @@ def test_streaming_ingest_matches_batch(spark, small_dir):
     assert got_rows.count() == expected_rows.count() == raw.count()
 
     exp = K.group_kpis_by_key(expected_rows, "recruiter")
-    got = spark.table("stream_kpis_recruiter")
+    got = UP.latest_kpis(spark, os.path.join(out, "kpis"))
     assert rows_key([tuple(r) for r in got.collect()], got.columns) == \
         rows_key([tuple(r) for r in exp.collect()], exp.columns)
+
+
+def test_stream_reads_cells_as_the_batch_reader(spark):
+    landing = tempfile.mkdtemp(prefix="hl-cells-")
+    with open(os.path.join(landing, "u.csv"), "w", encoding="utf-8") as fh:
+        fh.write('Candidate ID,Role,Notes\nC1,"Dev, ""Senior""","two\nlines"\nC2,N/A, padded \n')
+    out = tempfile.mkdtemp(prefix="hl-cells-out-")
+    stream = UP.read_uploads(spark, landing, ["Candidate ID", "Role", "Notes"])
+    UP.write_normalized(stream.withColumnRenamed("Candidate ID", "id"), os.path.join(out, "rows"), os.path.join(out, "ckpt")).awaitTermination(120)
+    want = [tuple(r) for r in FS.read_csv_flexible(spark, landing).collect()]
+    got = [tuple(r) for r in spark.read.parquet(os.path.join(out, "rows")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) == [("C1", 'Dev, "Senior"', "two\nlines"), ("C2", None, " padded ")]
