@@ -5,7 +5,7 @@ share it by weight, none above what its documents can give in ``max_epochs`` epo
 child cannot use goes to its siblings by their weights, and only what all of them cannot use
 stays with the parent's siblings, because a parent's own ceiling is the sum of its children's.
 A leaf spends its budget on whole epochs and a token prefix of the next one, each epoch an
-order of its documents by a seeded hash.
+order of its own: by a hash of the seed, the document's id and text, and the epoch's number.
 
 The prefix needs no global sort: tokens are summed per slice of the hash, the slice that the
 budget ends in is found from those sums, and only that slice's documents are put in order.
@@ -86,26 +86,32 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     """``docs`` with ``mix_copies``: in how many epochs of its leaf the row is taken (rows of 0 copies included).
 
     The budget is ``budget_percent`` of all tokens (words).  Null keys are leaves of their own;
-    null and empty texts have no tokens and go with the prefix they stand in; repeated rows are
-    ordered next to each other and counted each; added columns are ``mix_tokens`` and
+    null and empty texts have no tokens and go with the prefix they stand in; very long texts count whole;
+    rows that share only an id are apart in the order, repeated rows (ties) stand next to each other and count each; added columns are ``mix_tokens`` and
     ``mix_copies``; an empty table gives an empty result.
     """
-    # about as many slices as documents in a slice: either side of the cut stays small at any size
-    slices_of = 1 << max(1, docs.count().bit_length() // 2)
+    keys = ["k_domain", "k_lang", "k_source"]
 
     def marked(df, m=""):
-        place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
-                                   1, 12), 16, 10).cast("long")
-        return df.withColumns({f"{m}k_domain": domain, f"{m}k_lang": F.col(lang), f"{m}k_source": F.col(source),
-                               "mix_tokens": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
-                               f"{m}_place": place}).withColumn(f"{m}_slice", F.floor(F.col(f"{m}_place") / (2**48 // slices_of)).cast("long"))
+        own = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
+        return df.withColumns({f"{m}k_domain": domain, f"{m}k_lang": F.col(lang), f"{m}k_source": F.col(source), f"{m}own": own,
+                               "mix_tokens": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")})
 
-    keys = ["k_domain", "k_lang", "k_source"]
-    slices = written(marked(docs.select(id_col, text, lang, source)).groupBy(*keys, "_slice")
-                     .agg(F.sum("mix_tokens").alias("tokens")), "mix-slices")
-    leaves = slices.groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
-    total = slices.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    plan = written(budgets(leaves, total * budget_percent // 100, weights, max_epochs), "mix-budgets")
+    rows = written(marked(docs.select(id_col, text, lang, source)).select(*keys, "own", "mix_tokens"), "mix-rows")
+    # about as many slices as documents in a slice: either side of the cut stays small at any size
+    slices_of = 1 << max(1, rows.count().bit_length() // 2)
+
+    def placed(df, m=""):
+        """The place of each row in the order of its leaf's last epoch, and the slice of that place."""
+        place = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(f"{m}own"), F.col(f"{m}epochs").cast("string"))), 1, 12), 16, 10).cast("long")
+        return df.withColumn(f"{m}place", place).withColumn(f"{m}slice", F.floor(F.col(f"{m}place") / (2**48 // slices_of)).cast("long"))
+
+    leaves = written(rows.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")), "mix-leaves")
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    plan = budgets(leaves, total * budget_percent // 100, weights, max_epochs)
+    plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("leaf_budget div tokens")).otherwise(0).cast("long")) \
+        .withColumn("rest", (F.col("leaf_budget") - F.col("epochs") * F.col("tokens")).cast("long"))
+    plan = written(plan, "mix-budgets")
 
     def same(a, b):
         cond = F.lit(True)
@@ -113,14 +119,14 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
             cond = cond & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
         return cond
 
+    slices = written(placed(rows.alias("r").join(plan.select(*keys, "epochs").alias("p"), same("r", "p")).select("r.*", "p.epochs"))
+                     .groupBy(*keys, "slice").agg(F.sum("mix_tokens").alias("tokens")), "mix-slices")
     # the slice of each leaf in which the last, partial epoch ends
-    plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("leaf_budget div tokens")).otherwise(0).cast("long")) \
-        .withColumn("rest", (F.col("leaf_budget") - F.col("epochs") * F.col("tokens")).cast("long"))
-    running = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = slices.withColumn("prior", F.coalesce(F.sum("tokens").over(running), F.lit(0)))
     cut = (plan.alias("p").join(sums.alias("s"), same("p", "s"), "left")
            .where(F.col("s.prior") < F.col("p.rest"))
-           .groupBy(*[F.col(f"p.{k}") for k in keys]).agg(F.max("s._slice").alias("last"), F.max("s.prior").alias("prior")))
+           .groupBy(*[F.col(f"p.{k}") for k in keys]).agg(F.max("s.slice").alias("last"), F.max("s.prior").alias("prior")))
     plan = written(plan.alias("p").join(cut.alias("c"), same("p", "c"), "left")
                    .select(*[F.col(f"p.{k}").alias(f"p_{k}") for k in keys], "epochs", "rest",
                            F.coalesce("last", F.lit(-1)).alias("last"), F.coalesce("prior", F.lit(0)).alias("prior")), "mix-plan")
@@ -130,11 +136,11 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(m + k).eqNullSafe(F.col(f"{m}p_{k}"))
-    rows = marked(docs, m).join(plan, cond)
-    slice_, last, epochs = F.col(f"{m}_slice"), F.col(f"{m}last"), F.col(f"{m}epochs")
+    rows = placed(marked(docs, m).join(plan, cond), m)
+    slice_, last, epochs = F.col(f"{m}slice"), F.col(f"{m}last"), F.col(f"{m}epochs")
     inner = rows.where(slice_ == last)
     outer = rows.where((slice_ != last) | slice_.isNull()).withColumn("mix_copies", epochs + (slice_ < last).cast("long"))
-    order = Window.partitionBy(*[m + k for k in keys]).orderBy(f"{m}_place", id_col, text).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*[m + k for k in keys]).orderBy(f"{m}place", id_col, text).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col(f"{m}prior") + F.coalesce(F.sum("mix_tokens").over(order), F.lit(0))
     inner = inner.withColumn(f"{m}before", before) \
         .withColumn("mix_copies", epochs + (F.col(f"{m}before") < F.col(f"{m}rest")).cast("long")).drop(f"{m}before")

@@ -60,8 +60,9 @@ def brute_mix(rows, weights, percent, epochs, seed):
         whole, rest = divmod(given[leaf], tokens) if tokens else (0, 0)
 
         def place(k):
+            md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
             name = "" if rows[k][0] is None else str(rows[k][0])
-            return int(hashlib.md5(f"{seed}|{name}".encode()).hexdigest()[:12], 16)
+            return int(md5(md5(f"{seed}|{name}|{md5(rows[k][1] or '')}") + f"|{whole}")[:12], 16)
 
         before = 0
         for k in sorted(members, key=lambda k: (place(k), rows[k][1] or "")):
@@ -109,3 +110,22 @@ def test_edges(spark):
     rows = got.collect()
     assert len(rows) == docs.count() and all(r["mix_copies"] is not None and r["mix_copies"] >= 0 for r in rows)
     assert mixing.mix(docs.limit(0), domain("source"), MIX_WEIGHTS).count() == 0
+
+
+def test_epochs_have_orders_of_their_own(spark):
+    rows = [(i, "w " * 10, "en", "src0", 0) for i in range(400)]
+
+    def prefix(percent):
+        got = mixing.mix(doc_frame(spark, rows), domain("source"), {}, budget_percent=percent, max_epochs=3).collect()
+        most = max(r["mix_copies"] for r in got)
+        return {r["doc_id"] for r in got if r["mix_copies"] == most}
+
+    first, second = prefix(50), prefix(150)
+    assert len(first) == len(second) == 200 and len(first & second) < 140
+
+
+def test_rows_without_an_id_are_apart_in_the_order(spark):
+    rows = [(None, f"w{i} " * 10, "en", "src0", 0) for i in range(300)]
+    got = mixing.mix(doc_frame(spark, rows), domain("source"), {}, budget_percent=50, max_epochs=1).collect()
+    assert sum(r["mix_copies"] for r in got) == 150
+    assert [r["mix_copies"] for r in sorted(got, key=lambda r: int(r["text"].split()[0][1:]))] != [1] * 150 + [0] * 150
