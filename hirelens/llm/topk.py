@@ -85,18 +85,20 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id",
     or non-finite vectors take no part; of unequal lengths the shorter counts as ending in zeros;
     repeated rows count each.  Other columns are ignored; an empty table gives an empty result.
     """
+    spark = vectors.sparkSession
     left = written(_blocks(integer_vectors(queries, id_col, vector).repartition(
         max(1, -(-queries.count() // query_rows))), query_rows), "topk-queries")
     shards = _blocks(integer_vectors(vectors, id_col, vector).repartition(
         max(1, -(-vectors.count() // shard_rows))), shard_rows)
     shards = written(shards.withColumn("shard", F.col("block")), "topk-shards")
-    names = written(shards.select("shard").withColumn("one", F.lit(1)), "topk-names")
-    # each query block meets each shard: the blocks' names are crossed, then the matrices are joined to them
-    grid = names.groupBy("one").agg(F.sort_array(F.collect_list("shard")).alias("all"))
-    tiles = (left.withColumn("one", F.lit(1)).join(grid, "one")
-             .select("block", "ids", "dims", "matrix", F.posexplode("all").alias("at", "shard"))
-             .join(shards.select("shard", F.col("ids").alias("c_ids"), F.col("dims").alias("c_dims"),
-                                 F.col("matrix").alias("c_matrix")), "shard"))
+    # which block meets which shard is a plain table of names, made in tasks from their number; the matrices join to it
+    names = written(shards.select("shard").withColumn("at", F.row_number().over(Window.orderBy("shard")) - 1), "topk-names")
+    n_shards = names.count()
+    if not n_shards:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    grid = left.select("block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("at")).join(names, "at")
+    tiles = (grid.join(left, "block").join(shards.select("shard", F.col("ids").alias("c_ids"), F.col("dims").alias("c_dims"),
+                                                         F.col("matrix").alias("c_matrix")), "shard"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def load(ids, dims, blob):
@@ -110,7 +112,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id",
 
     merged = tiles.select("block", "at", "ids", "dims", "matrix", "c_ids", "c_dims", "c_matrix") \
         .mapInPandas(run, "no long, query_id long, vec_id long, score long, at long")
-    levels, shards_left = 0, max(1, names.count())
+    levels, shards_left = 0, n_shards
     while levels == 0 or shards_left > 1:
         merged = merged.withColumn("at", F.floor(F.col("at") / fan_in).cast("long"))
         order = Window.partitionBy("no", "at").orderBy(F.desc("score"), "vec_id")

@@ -40,6 +40,13 @@ def test_top_k_equals_brute_force(spark, shard_rows, query_rows, fan_in):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 5)
 
 
+def test_top_k_crosses_no_tables(spark):
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0], 0) for i in range(200)], VECTORS)
+    got = topk.exact_top_k(frame.where("vec_id % 50 = 0"), frame, shard_rows=20, query_rows=2)
+    assert not {"NestedLoop", "Cartesian"} & set(__import__("re").findall("NestedLoop|Cartesian", got._jdf.queryExecution().toString()))
+    assert got.count() == 20
+
+
 def test_top_k_edges(spark):
     frame = spark.createDataFrame([(0, [0.5, 0.5], 1), (1, [1.0], 1), (2, [], 1), (50, [1e9, 1e9], 1)], VECTORS) \
         .selectExpr("*", "1 as id", "2 as v", "3 as block", "4 as score", "5 as no")
