@@ -21,6 +21,7 @@ pair that could connect two groups is left out.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, key_runs, near_in_runs, shuffle_partitions, without_lines, written
+from ..session import scratch_path
+from .common import components, importable, key_runs, near_in_runs, shuffle_partitions, without_lines, written
 
 MIN_WORDS = 3  # shorter lines stay: headings, brackets and list marks repeat rightly
 CHARS_A_WORD = 5  # characters of scripts written without spaces count as so many to a word
@@ -43,7 +45,6 @@ SHORT_WORDS = 14
 LONG_WORDS = 20
 SHORT_LIST = 16  # all pairs of a list of at most so many lines are compared at once
 LENGTH_BITS = 24  # longer lines count as of one length before their comparison
-BROADCAST_ROWS = 200_000
 # a byte's normal form: letters and bytes of other scripts stay, digits are 0, punctuation and white space a space
 _PLAIN = bytes(c if c >= 128 or c == 10 or chr(c).isalpha() else ord("0") if chr(c).isdigit()
                else c if c < 32 and c not in b"\t\v\f\r" else 32 for c in range(256))
@@ -350,11 +351,24 @@ def _with_lines(docs: DataFrame, text: str, min_words: int, similarity: float) -
                  pa.array(keys, pa.binary())],
                 names=[*[batch.schema.names[k] for k in keep], "__hash", "__shape", "__keys"])
 
-    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__text": F.col(text)})
+    # one shuffle of the texts by row; the joins by row to come then find them in buckets and move only their other side
+    n = shuffle_partitions(docs.sparkSession)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).repartition(n, "__row").withColumn("__text", F.col(text))
     kept = [f for f in rows.schema.fields if f.name != "__text"]
     schema = T.StructType([*kept, T.StructField("__hash", T.ArrayType(T.BinaryType())), T.StructField("__shape", T.BinaryType()),
                            T.StructField("__keys", T.BinaryType())])
-    return written(rows.mapInArrow(run, schema), "lines-base")
+    return _bucketed(rows.mapInArrow(run, schema), "__row", n, "lines-base")
+
+
+def _bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """``df`` written into the shared checkpoint folder in ``n`` buckets of ``key`` and read again."""
+    spark = df.sparkSession
+    importable(spark)
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).option("compression", "zstd").option("path", scratch_path(spark, name)).format("parquet").saveAsTable(table)
+    read = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # only its name: the files stay, and ``read`` knows them and their buckets
+    return read
 
 
 def _posted(base: DataFrame) -> DataFrame:
@@ -482,9 +496,8 @@ def _texts(base: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs, pa.binary()), pa.array(norms, pa.string()),
                                               pa.array([_letters(x) for x in norms], pa.list_(pa.int32()))], names=["id", "h", "norm", "letters"])
 
-    few = wanted.count() <= BROADCAST_ROWS  # checked: then the texts need no shuffle; else Spark joins by sorting
     by_row = wanted.groupBy("__row").agg(F.collect_list("h").alias("want"))
-    rows = base.select("__row", F.col(text).alias("t"), "__hash").join(F.broadcast(by_row) if few else by_row, "__row")
+    rows = base.select("__row", F.col(text).alias("t"), "__hash").join(by_row.hint("shuffle_hash"), "__row")
     return written(rows.select("t", "__hash", "want").mapInArrow(pick, "id long, h binary, norm string, letters array<int>"), "lines-texts")
 
 
@@ -533,7 +546,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     gone = F.when(F.col("mine"), F.array_remove("all", F.col("first"))).otherwise(F.col("all"))
     removed = written(of_group.groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list(gone))).alias("__gone")), "lines-removed")
     own = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in (counts.lower(), places.lower())]
-    # texts are shuffled at any size: what would be broadcast here grows with the input
+    # joined to the buckets at any size: what would be broadcast here grows with the input
     counted = base.withColumn("__lines", F.size("__hash")).drop("__hash", "__shape", "__keys")
     joined = counted.join(removed.hint("shuffle_hash"), "__row", "left") \
         .withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
