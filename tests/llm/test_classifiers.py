@@ -80,3 +80,45 @@ def test_ranker_orders_pairs():
 def test_compression_lengths_tell_the_dictionaries_apart():
     distance = toxicity.Distance(b" vrakthul quelpid zworg ", b" ordinary words stand here ")
     assert distance("vrakthul")[2] > 0 > distance("ordinary")[2]
+
+
+def all_pairs_weights(model, x, y, l2=1e-3):
+    """Newton steps over every pair of a good and a bad row, one by one."""
+    z = model.design(x)
+    diff = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-diff @ w))
+        w = w - np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + l2 * np.eye(len(w)),
+                                diff.T @ (p - 1) / len(diff) + l2 * w)
+    return w
+
+
+def test_ranker_compares_all_pairs_of_all_labelled_documents(spark):
+    """Weights and threshold are those of every pair and every row, in memory and over partitions."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, len(ranking.FEATURES)))
+    y = (x[:, 2] + rng.normal(size=150) < 0.4).astype(int)
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "label int, x array<double>").repartition(3)
+    for model in (ranking.fit_ranker(x, y), ranking.fit_sums(ranking.sums_of_rows(rows))):
+        assert np.allclose(model.weights, all_pairs_weights(model, x, y), atol=2e-3)
+        assert model.threshold == pytest.approx(np.quantile(model.strengths(x), np.mean(y == 0)), abs=1e-9)
+
+
+def test_every_labelled_document_is_learnt_from(spark):
+    """More labelled documents than once were sampled: each of them is a training row."""
+    n = 30_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('word here ', id % 7, if(id % 3 = 0, ' ### $', ' plain')) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "int(id % 3 != 0) as quality", "0 as toxic")
+    seen = []
+
+    def watched(sums):
+        seen.append(int(ranking._total(sums, lambda x, y: np.ones((len(y), 1)), 1)[0]))
+        return ranking.Ranker(np.zeros(14), np.ones(14), np.zeros(28), 0.0, 0.3)
+
+    real, ranking.fit_sums = ranking.fit_sums, lambda sums, cut: watched(sums)
+    try:
+        ranking.score(docs, labels)
+    finally:
+        ranking.fit_sums = real
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(n))]
