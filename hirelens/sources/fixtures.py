@@ -219,8 +219,10 @@ def upload_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = [a for names in S.CANONICAL_ALIASES.values() for a in names]
     fields = list(S.CANONICAL_ALIASES)
     c, j = F.col("c_custkey"), F.col("position")
-    rows = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.explode(
-        F.sequence(F.lit(0), F.lit(CATALOGUE_HEADERS - 1))).alias("position"))
+    # a file may be one task: its narrow rows are dealt out before they become many
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey") \
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    rows = customers.select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(CATALOGUE_HEADERS - 1))).alias("position"))
     alias = F.element_at(F.array(*map(F.lit, aliases)), ((c * 31 + j * 17 + F.col("c_nationkey") * 7) % len(aliases) + 1).cast("int"))
     kind = (c + j * 3) % 6
     header = (F.when(kind == 1, F.upper(F.replace(alias, F.lit("_"), F.lit(" ")))).when(kind == 2, F.concat(alias, F.lit(" x2")))

@@ -111,3 +111,13 @@ def test_registered_queries_meet_every_rule(spark):
     assert E.queries()["candidate_queue_mixed"](spark, folder).count() > 0
     counters = E.queries()["ops_counters_mixed"](spark, folder).first()
     assert all(v > 0 for v in counters)
+
+
+def test_headers_are_spread_before_they_are_sorted(spark, small_dir):
+    """One shuffle by upload, nothing sorted in the tasks that read the files, and the customers dealt out before they become many."""
+    given = spark.createDataFrame([(1, 0, "Recruiter", None), (1, 1, "My Recruiter", None)],
+                                  "upload_id long, position long, header string, override string")
+    for headers in (given, FX.upload_catalogue(spark, small_dir)):
+        plan = IN.map_catalogue(headers)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        assert "Sort" not in plan[plan.index("Exchange"):] and "Generate" not in plan[plan.index("Exchange"):]
