@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 
+MANY_ROWS = 1000  # an id with more rows is reduced before the shuffle
+
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -103,14 +105,19 @@ def change_history(snapshots: DataFrame, key: str = "candidate_id", number: str
                    changed_by: str = "recruiter", fields: tuple[str, ...] = S.AUDITABLE_FIELDS) -> DataFrame:
     """X1 over any number of snapshots in one table: an event for every field that differs from the id's snapshot before.
 
-    An id that a later snapshot has first is created in it.  Each snapshot is read once: rows of
-    one id and snapshot are reduced to the first (``min_by``, a partial aggregate, so a repeated id
-    is never sorted whole), and an id's versions, one a snapshot, stand side by side by ``lag``.
+    An id that a later snapshot has first is created in it.  Rows of one id and snapshot are reduced
+    to the least, and an id's versions, one a snapshot, stand side by side by ``lag``.  Both need the
+    rows of an id together, which one shuffle by id does; a narrow count finds the ids that have very
+    many rows, and those are reduced in the tasks that read them, so none is sorted whole.
     """
     present = [f for f in fields if f in snapshots.columns]
     rows = snapshots.where(_q(key).isNotNull()).select(_q(key).alias("_k"), _q(number).alias("_no"), _q(taken_at).alias("_at"), F.struct(
         *[_text(_q(f)).alias(f) for f in present]).alias("_v"))
-    first = rows.groupBy("_k", "_no").agg(F.min("_at").alias("_at"), F.min("_v").alias("_v"))
+    least = (F.min("_at").alias("_at"), F.min("_v").alias("_v"))
+    hot = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_ROWS).select("_k")
+    if not hot.isEmpty():
+        rows = rows.join(hot, "_k", "left_anti").unionByName(rows.join(hot, "_k", "left_semi").groupBy("_k", "_no").agg(*least))
+    first = rows.repartition("_k").groupBy("_k", "_no").agg(*least)
     earliest = Window.partitionBy("_k").orderBy("_no")
     chain = first.withColumn("_old", F.lag("_v").over(earliest))
     opening = snapshots.agg(F.min(number)).first()[0]

@@ -836,7 +836,9 @@ def change_history(spark, sf_dir):
 @query("audit_timeline")
 def audit_timeline(spark, sf_dir):
     path = scratch_path(spark, "audit-log")
-    events = AU.change_history(FX.snapshots(spark, sf_dir))
+    found = scratch_path(spark, "audit-events")
+    AU.change_history(FX.snapshots(spark, sf_dir)).write.parquet(found)  # the changes only, found once for both appends
+    events = spark.read.parquet(found)
     AU.append_history(events, path)
     log = AU.append_history(events.where("snapshot_no = 3"), path)  # the last batch again
     return AU.newest_first(log, P.TIMELINE_IDS).withColumn("changed_at", F.col("changed_at").cast("date"))

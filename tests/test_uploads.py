@@ -121,3 +121,20 @@ def test_headers_are_spread_before_they_are_sorted(spark, small_dir):
         plan = IN.map_catalogue(headers)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1
         assert "Sort" not in plan[plan.index("Exchange"):] and "Generate" not in plan[plan.index("Exchange"):]
+
+
+def test_change_history_shuffles_values_once(spark):
+    """Versions of an id meet in one shuffle; an id with very many rows gives the same events, and is reduced before it."""
+    def snapshots(many):
+        ids = [("a", 1, "x"), ("a", 2, "y"), ("b", 2, "z"), (None, 2, "z"), ("c", 1, "p"), ("c", 3, None)]
+        rows = ids + [("a", 2, "z")] * many + [("h", 1 + k % 3, f"r{k % 3}{k % 7}") for k in range(many)]
+        return spark.createDataFrame(rows, "candidate_id string, snapshot_no int, recruiter string") \
+            .withColumn("taken_at", F.timestamp_seconds(F.col("snapshot_no") * 86400))
+
+    few, hot = (AU.change_history(snapshots(many)) for many in (42, AU.MANY_ROWS + 50))
+    got = [{tuple(r) for r in x.select("candidate_id", "snapshot_no", "field_order", "old_value", "new_value").collect()} for x in (few, hot)]
+    assert got[0] == got[1] == {("a", 2, 1, "x", "y"), ("b", 2, 0, None, "Candidate created"), ("c", 3, 1, "p", ""),
+                                ("h", 2, 1, "r00", "r10"), ("h", 3, 1, "r10", "r20")}
+    assert few.count() == len(got[0]) == hot.count()
+    plan = AU.change_history(snapshots(3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan[plan.index("Exchange"):]
