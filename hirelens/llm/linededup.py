@@ -44,6 +44,10 @@ SIMILARITY = 0.9
 SHORT_WORDS = 14
 LONG_WORDS = 20
 SHORT_LIST = 16  # all pairs of a list of at most so many lines are compared at once
+BLOCK_LINES, BLOCK_CHARS = 128, 1 << 20  # about so much of a long list meets another block of it in one task
+BAND = 511  # pairs that may have more edits are compared one by one
+FEW_PAIRS = 24  # also one by one, as single columns of few pairs cost more
+STRIDE = 64
 LENGTH_BITS = 24  # longer lines count as of one length before their comparison
 # a byte's normal form: letters and bytes of other scripts stay, digits are 0, punctuation and white space a space
 _PLAIN = bytes(c if c >= 128 or c == 10 or chr(c).isalpha() else ord("0") if chr(c).isdigit()
@@ -316,6 +320,111 @@ def similar(a: str, b: str, least: float) -> bool:
     return at_least(a, b, limit, piece) <= limit and edit_distance(a, b) <= limit
 
 
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all lines as numbers, none of them one of the two largest of their type; and where each line begins."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    top = int(points.max(initial=0)) + 2
+    starts = np.cumsum([0, *map(len, lines)])
+    return points.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32), starts
+
+
+def _cut(codes: np.ndarray, first: np.ndarray, size: np.ndarray, width: int, other: int, ahead: np.ndarray | int = 0) -> np.ndarray:
+    """Rows of ``width`` codes: ``size`` of them from ``first`` on, after ``ahead`` places; elsewhere the type's largest number less ``other``."""
+    at = np.arange(width) - np.broadcast_to(ahead, first.shape)[:, None]
+    inside = (at >= 0) & (at < size[:, None])
+    return np.where(inside, codes[np.where(inside, first[:, None] + at, 0)], np.iinfo(codes.dtype).max - other).astype(codes.dtype)
+
+
+def _common(codes: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
+    """How many codes from x and y on (backwards with step -1), up to ``size``, are equal."""
+    same, going = np.zeros(len(x), np.int64), np.arange(len(x))
+    while len(going):
+        at = same[going][:, None] + np.arange(STRIDE)
+        inside = at < size[going][:, None]
+        one, two = (codes[np.where(inside, start[going][:, None] + step * at, 0)] for start in (x, y))
+        equal = inside & (one == two)
+        run = np.where(equal.all(axis=1), STRIDE, equal.argmin(axis=1))
+        same[going] += run
+        going = going[run == STRIDE]
+    return same
+
+
+def _in_band(codes: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of codes [x, x + m) and [y, y + n), n <= m <= n + limit, is at most ``limit``, for many pairs at once.
+
+    Bit-parallel columns (Hyyro 2003) of the diagonals which a path of so few edits can reach; the
+    cost is followed along the diagonal of the last cell, on which it never falls.
+    """
+    delta = m - n
+    above = (limit - delta) // 2
+    words = int(limit.max(initial=0)) // 64 + 1
+    good = np.zeros(len(x), bool)
+    left, pattern, text = np.arange(len(x)), _cut(codes, x, m, int(n.max(initial=0)) + 64 * words, 0, above), _cut(codes, y, n, int(n.max(initial=0)), 1)
+    word = np.arange(words)[:, None]
+    # rows over 0 of the first column: bit r stands for row 1 - above + r
+    plus = np.where(above >= 64 * (word + 1), np.uint64(0), _LARGEST << np.clip(above - 64 * word, 0, 63).astype(np.uint64))
+    minus, cost = np.zeros_like(plus), delta.copy()
+    for c in range(text.shape[1] + 1):
+        if c % 16 == 0 or c == text.shape[1]:
+            ended = n[left] <= c
+            good[left[ended & (cost <= limit[left])]] = True
+            keep = ~ended & (cost <= limit[left])
+            if not keep.any():
+                break
+            if not keep.all():
+                left, pattern, text, plus, minus, cost = left[keep], pattern[keep], text[keep], plus[:, keep], minus[:, keep], cost[keep]
+            ends, bit_word, bit = n[left], (above + delta)[left] // 64, ((above + delta)[left] % 64).astype(np.uint64)
+            rows = np.arange(len(left))
+        match = np.packbits(pattern[:, c:c + 64 * words] == text[:, c:c + 1], axis=1, bitorder="little").view("<u8").T
+        diagonal, carry = np.empty_like(plus), np.zeros(len(left), np.uint64)
+        for w in range(words):
+            one = match[w] & plus[w]
+            total = one + plus[w]
+            over = total < one
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            diagonal[w] = (total ^ plus[w]) | match[w] | minus[w]
+        up, down = minus | ~(diagonal | plus), diagonal & plus
+        cost += ((diagonal[bit_word, rows] >> bit & np.uint64(1)) == 0) & (ends > c)
+        later = diagonal >> np.uint64(1)
+        later[:-1] |= diagonal[1:] << np.uint64(63)
+        plus, minus = down | ~(later | up), later & up
+    return good
+
+
+def similar_pairs(lines: list[str], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """``similar`` of lines a and b of many pairs."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    limit = _edits(np.maximum(lengths[a], lengths[b]), least)
+    good = np.zeros(len(a), bool)
+    possible = np.abs(lengths[a] - lengths[b]) <= limit
+    alone = np.flatnonzero(possible & (limit > BAND))
+    good[alone] = [similar(lines[p], lines[q], least) for p, q in zip(a[alone].tolist(), b[alone].tolist())]
+    todo = np.flatnonzero(possible & (limit <= BAND))
+    if len(todo) < FEW_PAIRS:
+        good[todo] = [similar(lines[p], lines[q], least) for p, q in zip(a[todo].tolist(), b[todo].tolist())]
+        return good
+    codes, starts = _codes(lines)
+    longer = lengths[a] >= lengths[b]
+    p, q = np.where(longer, a, b), np.where(longer, b, a)
+    for lo in range(0, len(todo), 1 << 14):
+        pick = todo[lo:lo + (1 << 14)]
+        x, y, m, n = starts[p[pick]], starts[q[pick]], lengths[p[pick]], lengths[q[pick]]
+        begin = _common(codes, x, y, n, 1)
+        end = _common(codes, x + m - 1, y + n - 1, n - begin, -1)
+        x, y, m, n = x + begin, y + begin, m - begin - end, n - begin - end
+        good[pick[n == 0]] = True
+        # pairs of about one size together, as many as some millions of places hold
+        order = np.flatnonzero(n > 0)
+        order = order[np.lexsort((n[order], limit[pick][order] // 64))]
+        while len(order):
+            width = n[order] + 64 * (limit[pick][order] // 64 + 1)
+            many = max(1, int(np.searchsorted(np.arange(1, len(order) + 1) * np.maximum.accumulate(width), 1 << 21, "right")))
+            now, order = order[:many], order[many:]
+            good[pick[now]] = _in_band(codes, x[now], m[now], y[now], n[now], limit[pick][now])
+    return good
+
+
 def _with_lines(docs: DataFrame, text: str, min_words: int, similarity: float) -> DataFrame:
     """``docs`` with __row, __hash (of each line; null: never removed), and of the lines with a hash: __shape (number of keys and
     length) and __keys, one after another."""
@@ -444,7 +553,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             x = x[_letters_allow(x["la"], x["lb"], _edits(x["longer"].to_numpy(np.int64), similarity))]
-            good = [similar(p, q, similarity) for p, q in zip(x["p"], x["q"])]
+            n = np.arange(len(x))
+            good = similar_pairs([*x["p"], *x["q"]], n, n + len(x), similarity)
             yield x.loc[good, ["ha", "hb"]].rename(columns={"ha": "a", "hb": "b"})
 
     left = texts.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("norm").alias("p"), F.col("letters").alias("la"))
@@ -454,30 +564,81 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         .mapInPandas(verify, "a binary, b binary")
 
 
-def _across(lists: DataFrame, texts: DataFrame, roots: DataFrame, done: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of long lists' members that stand in different groups and were not compared.
+def _across(lists: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between groups whose lines are similar and share a long list.
 
-    Every member outside the largest group of its list meets all members of other groups, and those
-    pairs go on whose lengths and characters would allow similarity.
+    Every member outside the largest group of its list meets all members of other groups: the list is
+    cut into blocks by a hash, and each pair of blocks that has such members is a small task of its
+    own.  Lines of several common lists are compared in that of the least key only.
     """
-    named = texts.select("id", "h", "letters").join(roots.select(F.col("node").alias("h"), "root"), "h", "left") \
-        .select("id", F.coalesce("root", "h").alias("grp"), "letters")
+    named = texts.select("id", "h").join(roots.select(F.col("node").alias("h"), "root"), "h", "left") \
+        .select("id", F.coalesce("root", "h").alias("grp"))
     members = written(lists.distinct().join(named, "id"), "lines-long-lists")
-    sizes = members.groupBy("key", "grp").agg(F.count("*").alias("n"))
-    several = written(sizes.groupBy("key").agg(F.max_by("grp", F.struct("n", "grp")).alias("main"), F.count("*").alias("groups")).where("groups > 1"),
-                      "lines-split-lists")
-    mixed = members.join(several, "key")
-    stray, other = ([F.col(c).alias(f"{c}_{side}") for c in ("id", "grp", "size", "letters")] for side in "xy")
-    limit = F.floor(F.greatest("size_x", "size_y") * F.lit(1 - similarity) + F.lit(1e-9))
+    sizes = members.groupBy("key", "grp").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("chars"))
+    most = F.struct("n", "grp")
+    several = sizes.groupBy("key").agg(F.max_by("grp", most).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"),
+                                       F.max_by("chars", most).alias("main_chars"), F.max("n").alias("main_n"), F.count("*").alias("groups"))
+
+    def blocks(n, chars):
+        return F.greatest(F.ceil(n / BLOCK_LINES), F.ceil(chars / BLOCK_CHARS)).cast("int")
+
+    several = written(several.where("groups > 1").select("key", "main", blocks(F.col("n") - F.col("main_n"), F.col("chars") - F.col("main_chars")).alias("stray"),
+                                                         blocks(F.col("main_n"), F.col("main_chars")).alias("rest")), "lines-split-lists")
+    mixed = written(members.join(several, "key"), "lines-split-members")
+    shared = mixed.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    own, all_blocks = F.col("grp") != F.col("main"), F.col("stray") + F.col("rest")
+    block = F.when(own, F.pmod(F.xxhash64("id"), F.col("stray"))).otherwise(F.col("stray") + F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
+    meets = F.explode(F.sequence(F.lit(0), F.when(own, all_blocks).otherwise(F.col("stray")) - 1))
+    tasks = mixed.select("key", "id", "grp", block.alias("block"), meets.alias("other")) \
+        .select("key", "id", "grp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")) \
+        .join(shared, "id").join(texts.select("id", "norm"), "id")
+
+    def pairs(frame: pd.DataFrame, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the pairs in each run of equal tasks that lengths and characters leave open."""
+        group, block, key = pd.factorize(frame["grp"])[0], frame["block"].to_numpy(), frame["key"].to_numpy()
+        sizes = frame["norm"].str.len().to_numpy(np.int64)
+        number, keys = frame["keys"].str.len().to_numpy(np.int64), np.concatenate(frame["keys"].to_list())
+        first = np.cumsum(number) - number
+        of_task = frame[["task", "key", "one", "two"]].to_numpy(np.int64)
+        starts = np.flatnonzero(np.r_[True, (of_task[1:] != of_task[:-1]).any(axis=1)])
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)]):
+            inside = block[at] == frame["one"].iat[at] == frame["two"].iat[at]
+            cut = at if inside else at + int(np.searchsorted(block[at:end], block[at], "right"))
+            a, b = (x.ravel() for x in np.meshgrid(np.arange(at, end if inside else cut), np.arange(cut, end), indexing="ij"))
+            limit = _edits(np.maximum(sizes[a], sizes[b]), similarity)
+            open_ = (group[a] != group[b]) & (np.abs(sizes[a] - sizes[b]) <= limit)
+            if inside:
+                open_ &= a < b
+            a, b, limit = a[open_], b[open_], limit[open_]
+            # the lines' lesser keys, one column each
+            row, lesser = np.repeat(np.arange(end - at), number[at:end]), keys[first[at]:first[end - 1] + number[end - 1]]
+            row, lesser = row[lesser < key[at]], lesser[lesser < key[at]]
+            if len(row):
+                found, column = np.unique(lesser, return_inverse=True)
+                has = np.zeros((end - at, len(found)), np.float32)
+                has[row, column] = 1
+                here = (has @ has.T)[a - at, b - at] == 0
+                a, b, limit = a[here], b[here], limit[here]
+            for lo in range(0, len(a), 1 << 14):
+                x, y = a[lo:lo + (1 << 14)], b[lo:lo + (1 << 14)]
+                more = classes[x] - classes[y]
+                fit = (np.maximum(more, 0).sum(axis=1) <= limit[lo:lo + (1 << 14)]) & (np.maximum(-more, 0).sum(axis=1) <= limit[lo:lo + (1 << 14)])
+                yield x[fit], y[fit]
 
-    def surplus(one, two):
-        return F.aggregate(F.zip_with(one, two, lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda t, d: t + d)
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, _ in key_runs(batches, "task", 1 << 62):
+            frame = frame.reset_index(drop=True)
+            lines = frame["norm"].to_list()
+            classes = np.stack([_letters(x) for x in lines])
+            found = list(pairs(frame, classes))
+            a, b = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in found]]) for k in range(2))
+            good = similar_pairs(lines, a, b, similarity)
+            grp = frame["grp"].to_numpy()
+            yield pd.DataFrame({"a": grp[a[good]], "b": grp[b[good]]}).drop_duplicates()
 
-    x, y = mixed.where("grp != main").select("key", *stray), mixed.select(F.col("key").alias("key_y"), *other)
-    met = x.join(y, (F.col("key") == F.col("key_y")) & (F.col("grp_x") != F.col("grp_y")) & (F.abs(F.col("size_x") - F.col("size_y")) <= limit)
-                 & (surplus("letters_x", "letters_y") <= limit) & (surplus("letters_y", "letters_x") <= limit))
-    pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    n = shuffle_partitions(texts.sparkSession)
+    return tasks.withColumn("task", F.xxhash64("key", "one", "two")).repartition(n, "task").sortWithinPartitions("task", "key", "one", "two", "block") \
+        .mapInPandas(meet, "a binary, b binary")
 
 
 def _texts(base: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -532,9 +693,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     links = written(_verified(pairs, texts, similarity), "lines-links")
     roots = components(links, "lines")
     if not lists.isEmpty():
-        across = written(_across(lists, texts, roots, pairs, similarity), "lines-across")
+        across = written(_across(lists, texts, roots, similarity), "lines-across")
         if not across.isEmpty():
-            roots = components(links.unionByName(_verified(across, texts, similarity)), "lines")
+            merged = components(across, "lines-groups").select(F.col("node").alias("grp"), F.col("root").alias("to"))
+            single = merged.join(roots.select(F.col("node").alias("grp")), "grp", "left_anti").select(F.col("grp").alias("node"), F.col("to").alias("root"))
+            roots = roots.withColumnRenamed("root", "grp").join(merged, "grp", "left").select("node", F.coalesce("to", "grp").alias("root")).unionByName(single)
     grouped = roots.select(F.col("node").alias("h"), "root").join(distinct.select("h", "place"), "h")
     owners = grouped.groupBy("root").agg(F.min("place").alias("owner"))
     several = grouped.select("h", "root").join(owners, "root").select("h", F.col("root").alias("grp"), "owner")

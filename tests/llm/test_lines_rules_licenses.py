@@ -211,6 +211,60 @@ def test_long_lists_connect_what_all_pairs_connect(spark, monkeypatch):
     assert 20 < sum(x != "" for x in got.values()) < 60
 
 
+def test_similar_pairs_equal_similar():
+    """Many pairs at once: characters of one to four bytes, one and several words a column, pairs with more edits than the band."""
+    rng = random.Random(1)
+    for alphabet in ("abcdefgh ", "ab\u00e9\u6f22 \x00\x01", "ab\U0001f600\u00ff\uffff \ufffe"):
+        lines = []
+        for size in (0, 3, 40, 100, 400, 1500):
+            for _ in range(4):
+                x = [rng.choice(alphabet) for _ in range(rng.randint(size // 2, size))]
+                lines.append("".join(x))
+                for _ in range(5):
+                    y = list(x)
+                    for _ in range(rng.choice([1, 2, 5, 20, 60, 100])):
+                        at = rng.randint(0, len(y))
+                        y[at:at + rng.randint(0, 2)] = [rng.choice(alphabet) for _ in range(rng.randint(0, 2))]
+                    lines.append("".join(y))
+        a = np.array([rng.randrange(len(lines)) for _ in range(400)])
+        b = np.array([x // 6 * 6 + rng.randrange(6) if rng.random() < 0.8 else rng.randrange(len(lines)) for x in a.tolist()])
+        for least in (1.0, 0.95, 0.9, 0.4):
+            want = [linededup.similar(lines[x], lines[y], least) for x, y in zip(a.tolist(), b.tolist())]
+            assert linededup.similar_pairs(lines, a, b, least).tolist() == want and 20 < sum(want) < 380
+            assert linededup.similar_pairs(lines, a[:5], b[:5], least).tolist() == want[:5]
+
+
+def test_groups_of_long_lists_meet_in_blocks(spark, monkeypatch):
+    """Every pair of lines of different groups in a common list is compared, in one of their lists, without a row for each pair."""
+    monkeypatch.setattr(linededup, "BLOCK_LINES", 4)
+    rng = random.Random(9)
+    compared, plain = spark.sparkContext.accumulator(0), linededup.similar_pairs
+
+    def counted(lines, a, b, least):
+        compared.add(len(a))
+        return plain(lines, a, b, least)
+
+    monkeypatch.setattr(linededup, "similar_pairs", counted)
+    passage = "one passage that stands in every line of these lists " * 3
+    words = ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(30)]
+    norms = sorted({passage + " ".join(rng.choice(words) for _ in range(rng.randint(4, 7))) for _ in range(90)})
+    lists = [(key, i) for key in (5, 6, 7, 8) for i in range(len(norms)) if key == 5 or rng.random() < 0.7]
+    hashes = [xxhash.xxh128_digest(x) for x in norms]
+    roots = [(hashes[i], hashes[0]) for i in range(0, 40)] + [(hashes[i], hashes[40]) for i in range(40, 50)]
+    grp = {i: hashes[0] if i < 40 else hashes[40] if i < 50 else hashes[i] for i in range(len(norms))}
+    texts = spark.createDataFrame([(i, bytearray(hashes[i]), x) for i, x in enumerate(norms)], "id long, h binary, norm string")
+    members = spark.createDataFrame([(k, i, len(norms[i])) for k, i in lists * 2], "key long, id long, size int")
+    links = linededup._across(members, texts, spark.createDataFrame([(bytearray(x), bytearray(y)) for x, y in roots], "node binary, root binary"), 0.9)
+    got = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in links.collect()}
+    pairs = [(i, j) for i in range(len(norms)) for j in range(i) if grp[i] != grp[j]]
+    limit = {(i, j): int(0.1 * max(len(norms[i]), len(norms[j])) + 1e-9) for i, j in pairs}
+    letters = [pd.Series([linededup._letters(x)]) for x in norms]
+    open_ = [p for p in pairs if abs(len(norms[p[0]]) - len(norms[p[1]])) <= limit[p]
+             and linededup._letters_allow(letters[p[0]], letters[p[1]], np.array([limit[p]]))[0]]
+    assert got == {frozenset((grp[i], grp[j])) for i, j in pairs if linededup.edit_distance(norms[i], norms[j]) <= limit[i, j]}
+    assert compared.value == len(open_) and 1000 < len(open_)
+
+
 def test_line_dedup_in_scripts_without_spaces(spark):
     rng = random.Random(12)
     text = lambda first, n: "".join(chr(first + rng.randrange(40)) for _ in range(n))
