@@ -47,6 +47,9 @@ SHORT_LIST = 16  # all pairs of a list of at most so many lines are compared at
 BLOCK_LINES, BLOCK_CHARS = 128, 1 << 20  # about so much of a long list meets another block of it in one task
 BAND = 511  # pairs that may have more edits are compared one by one
 FEW_PAIRS = 24  # also one by one, as single columns of few pairs cost more
+_POSTING = np.dtype([("key", "<i8"), ("id", "<i8"), ("size", "<i4"), ("n", "<i4")])  # a line under a key, n of it in a batch
+PACKED = 1024  # postings to a row of their shuffle
+MOST_PACKED = 1 << 26  # bytes of postings that one task sorts in memory; more go through Spark's sort as single rows
 STRIDE = 64
 LENGTH_BITS = 24  # longer lines count as of one length before their comparison
 # a byte's normal form: letters and bytes of other scripts stay, digits are 0, punctuation and white space a space
@@ -56,13 +59,22 @@ _PLAIN = bytes(c if c >= 128 or c == 10 or chr(c).isalpha() else ord("0") if chr
 _UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
                        "\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 _LEADS = np.isin(np.arange(256), [0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0])
-CHUNK = 1 << 18  # bytes hashed at a time
+CHUNK = 1 << 16  # bytes hashed at a time
 GROUP = 1 << 20  # characters of texts normalised together
 # 64 random bits for each of 256 bytes at each of 64 places of a word (places repeat in longer words)
 _PLACED = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes((p, c)), 7) for p in range(64) for c in range(256)), np.uint64)
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)).view(np.uint64)  # the bits of a byte, one to a byte
 
 
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``values`` that begin at ``starts``, modulo 2**64, as differences of running sums."""
+    total = np.cumsum(values)
+    ends = np.append(starts[1:], len(values)) - 1
+    out = total[ends]
+    out[1:] -= out[:-1].copy()
+    return out
+
+
 def _word_hashes(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Hash of each word: the sum of what its bytes stand for at their places; words begin at ``first``."""
     out = np.zeros(len(first), np.uint64)
@@ -71,7 +83,7 @@ def _word_hashes(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
         a, b = np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi, "left")
         at = np.maximum(first[a:b], lo)  # the first word may go on from the last chunk
         place = np.arange(lo, hi) - np.repeat(first[a:b], np.diff(at, append=hi))
-        out[a:b] += np.add.reduceat(_PLACED[(place & 63) << 8 | letters[lo:hi]], at - lo)
+        out[a:b] += _sums(_PLACED[(place & 63) << 8 | letters[lo:hi]], at - lo)
     return out
 
 
@@ -81,8 +93,10 @@ def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     first = np.cumsum(runs) - runs
     starts = np.repeat(np.cumsum(sizes) - sizes, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
     octets = hashes.view(np.uint8).reshape(-1, 8)
-    ones = np.stack([np.add.reduceat(_SPREAD[octets[:, k]], starts) for k in range(8)], axis=1)
-    ones = np.add.reduceat(ones.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int64)
+    ones = np.stack([_sums(_SPREAD[octets[:, k]], starts) for k in range(8)], axis=1).view(np.uint8).reshape(-1, 64)
+    if len(runs) == len(starts):  # no run was cut
+        return np.packbits(ones > (sizes // 2).astype(np.uint8)[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+    ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
     return np.packbits(2 * ones > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
 
 
@@ -198,7 +212,9 @@ def line_prints(text: str, similarity: float = SIMILARITY) -> tuple[list[bytes],
     data = np.frombuffer(text.lower().encode("utf-8", "replace").translate(_PLAIN), np.uint8)
     newline, kept = data == 10, data != 32
     inside = kept & ~newline
-    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    bounded = np.zeros(len(inside) + 2, bool)
+    bounded[1:-1] = inside
+    edges = np.flatnonzero(bounded[1:] != bounded[:-1])
     starts, ends = edges[::2], edges[1::2]
     bounds = np.concatenate([[0], np.searchsorted(starts, np.flatnonzero(newline)), [len(starts)]])
     sizes = np.diff(bounds)
@@ -208,9 +224,9 @@ def line_prints(text: str, similarity: float = SIMILARITY) -> tuple[list[bytes],
     kept[starts[later] - 1] = True  # one space before each word but a line's first
     plain = data[kept]
     lines = plain.tobytes().split(b"\n")
-    chars = np.concatenate([[0], np.cumsum((plain & 0xC0) != 0x80)])
     stops = np.append(np.flatnonzero(plain == 10), len(plain))
-    lengths = np.diff(chars[stops], prepend=0) - (np.arange(len(stops)) > 0)
+    lengths = np.diff(stops, prepend=-1) - 1
+    lengths -= np.diff(np.searchsorted(np.flatnonzero((plain & 0xC0) == 0x80), stops), prepend=0)  # less all but a character's first byte
     keys = [np.zeros(0, np.uint64)] * len(sizes)
     if len(starts):
         widths = ends - starts
@@ -357,12 +373,14 @@ def _in_band(codes: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, n:
     """
     delta = m - n
     above = (limit - delta) // 2
-    words = int(limit.max(initial=0)) // 64 + 1
+    kind = next((t for t in (np.uint16, np.uint32) if limit.max(initial=0) < 8 * t().itemsize), np.uint64)  # no wider than the band
+    bits, one_bit = 8 * kind().itemsize, kind(1)
+    words = int(limit.max(initial=0)) // bits + 1
     good = np.zeros(len(x), bool)
-    left, pattern, text = np.arange(len(x)), _cut(codes, x, m, int(n.max(initial=0)) + 64 * words, 0, above), _cut(codes, y, n, int(n.max(initial=0)), 1)
+    left, pattern, text = np.arange(len(x)), _cut(codes, x, m, int(n.max(initial=0)) + bits * words, 0, above), _cut(codes, y, n, int(n.max(initial=0)), 1)
     word = np.arange(words)[:, None]
     # rows over 0 of the first column: bit r stands for row 1 - above + r
-    plus = np.where(above >= 64 * (word + 1), np.uint64(0), _LARGEST << np.clip(above - 64 * word, 0, 63).astype(np.uint64))
+    plus = np.where(above >= bits * (word + 1), kind(0), ~kind(0) << np.clip(above - bits * word, 0, bits - 1).astype(kind))
     minus, cost = np.zeros_like(plus), delta.copy()
     for c in range(text.shape[1] + 1):
         if c % 16 == 0 or c == text.shape[1]:
@@ -373,21 +391,21 @@ def _in_band(codes: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, n:
                 break
             if not keep.all():
                 left, pattern, text, plus, minus, cost = left[keep], pattern[keep], text[keep], plus[:, keep], minus[:, keep], cost[keep]
-            ends, bit_word, bit = n[left], (above + delta)[left] // 64, ((above + delta)[left] % 64).astype(np.uint64)
+            ends, bit_word, bit = n[left], (above + delta)[left] // bits, ((above + delta)[left] % bits).astype(kind)
             rows = np.arange(len(left))
-        match = np.packbits(pattern[:, c:c + 64 * words] == text[:, c:c + 1], axis=1, bitorder="little").view("<u8").T
-        diagonal, carry = np.empty_like(plus), np.zeros(len(left), np.uint64)
+        match = np.packbits(pattern[:, c:c + bits * words] == text[:, c:c + 1], axis=1, bitorder="little").view(np.dtype(kind).newbyteorder("<")).T
+        diagonal, carry = np.empty_like(plus), np.zeros(len(left), kind)
         for w in range(words):
             one = match[w] & plus[w]
             total = one + plus[w]
             over = total < one
             total += carry
-            carry = (over | (total < carry)).astype(np.uint64)
+            carry = (over | (total < carry)).astype(kind)
             diagonal[w] = (total ^ plus[w]) | match[w] | minus[w]
         up, down = minus | ~(diagonal | plus), diagonal & plus
-        cost += ((diagonal[bit_word, rows] >> bit & np.uint64(1)) == 0) & (ends > c)
-        later = diagonal >> np.uint64(1)
-        later[:-1] |= diagonal[1:] << np.uint64(63)
+        cost += ((diagonal[bit_word, rows] >> bit & one_bit) == 0) & (ends > c)
+        later = diagonal >> one_bit
+        later[:-1] |= diagonal[1:] << kind(bits - 1)
         plus, minus = down | ~(later | up), later & up
     return good
 
@@ -413,15 +431,22 @@ def similar_pairs(lines: list[str], a: np.ndarray, b: np.ndarray, least: float)
         begin = _common(codes, x, y, n, 1)
         end = _common(codes, x + m - 1, y + n - 1, n - begin, -1)
         x, y, m, n = x + begin, y + begin, m - begin - end, n - begin - end
-        good[pick[n == 0]] = True
-        # pairs of about one size together, as many as some millions of places hold
-        order = np.flatnonzero(n > 0)
-        order = order[np.lexsort((n[order], limit[pick][order] // 64))]
-        while len(order):
-            width = n[order] + 64 * (limit[pick][order] // 64 + 1)
-            many = max(1, int(np.searchsorted(np.arange(1, len(order) + 1) * np.maximum.accumulate(width), 1 << 21, "right")))
-            now, order = order[:many], order[many:]
-            good[pick[now]] = _in_band(codes, x[now], m[now], y[now], n[now], limit[pick][now])
+        most = limit[pick]
+        good[pick[m <= most]] = True  # what differs could all be replaced
+        # pairs of about one size and band together, as many as some millions of places hold
+        bands = (most >= 32) + most // 64
+        for band in np.unique(bands[m > most]).tolist():
+            order = np.flatnonzero((m > most) & (bands == band))
+            if len(order) < FEW_PAIRS:
+                one, two = pick[order].tolist(), order.tolist()
+                good[one] = [edit_distance(lines[a[k]], lines[b[k]]) <= most[i] for k, i in zip(one, two)]
+                continue
+            order = order[np.argsort(n[order], kind="stable")]
+            while len(order):
+                width = n[order] + 64 * (most[order] // 64 + 1)
+                many = max(1, int(np.searchsorted(np.arange(1, len(order) + 1) * np.maximum.accumulate(width), 1 << 21, "right")))
+                now, order = order[:many], order[many:]
+                good[pick[now]] = _in_band(codes, x[now], m[now], y[now], n[now], most[now])
     return good
 
 
@@ -445,7 +470,7 @@ def _with_lines(docs: DataFrame, text: str, min_words: int, similarity: float) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, group, size = [], [], 0
-            for t in batch.column(batch.schema.get_field_index("__text")):
+            for t in batch.column(place):
                 t = t.as_py() or ""
                 if group and size + len(t) > GROUP:
                     found += of_texts(group)
@@ -454,17 +479,15 @@ def _with_lines(docs: DataFrame, text: str, min_words: int, similarity: float) -
                 size += len(t)
             found += of_texts(group) if group else []
             hashes, shapes, keys = ([x[k] for x in found] for k in range(3))
-            keep = [k for k, name in enumerate(batch.schema.names) if name != "__text"]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in keep], pa.array(hashes, pa.list_(pa.binary())), pa.array(shapes, pa.binary()),
-                 pa.array(keys, pa.binary())],
-                names=[*[batch.schema.names[k] for k in keep], "__hash", "__shape", "__keys"])
+                [*batch.columns, pa.array(hashes, pa.list_(pa.binary())), pa.array(shapes, pa.binary()), pa.array(keys, pa.binary())],
+                names=[*batch.schema.names, "__hash", "__shape", "__keys"])
 
     # one shuffle of the texts by row; the joins by row to come then find them in buckets and move only their other side
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).repartition(n, "__row").withColumn("__text", F.col(text))
-    kept = [f for f in rows.schema.fields if f.name != "__text"]
-    schema = T.StructType([*kept, T.StructField("__hash", T.ArrayType(T.BinaryType())), T.StructField("__shape", T.BinaryType()),
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).repartition(n, "__row")
+    place = docs.columns.index(docs.select(F.col(text)).columns[0])
+    schema = T.StructType([*rows.schema.fields, T.StructField("__hash", T.ArrayType(T.BinaryType())), T.StructField("__shape", T.BinaryType()),
                            T.StructField("__keys", T.BinaryType())])
     return _bucketed(rows.mapInArrow(run, schema), "__row", n, "lines-base")
 
@@ -481,7 +504,24 @@ def _bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
 
 
 def _posted(base: DataFrame) -> DataFrame:
-    """(key, frequent, id, size): each line under its keys, equal lines of a batch once; a line's id is the half of its hash."""
+    """(bucket, postings): each line under its keys, equal lines of a batch once; a line's id is the half of its hash.
+
+    The postings of a bucket of keys go through the shuffle as arrays, up to ``PACKED`` in a row.
+    """
+    buckets = 4 * shuffle_partitions(base.sparkSession)
+
+    def packed(rows: np.ndarray) -> pa.RecordBatch:
+        bucket = (_mixed(rows["key"].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        own = np.r_[True, bucket[1:] != bucket[:-1]]
+        inside = np.arange(len(rows)) - np.maximum.accumulate(np.where(own, np.arange(len(rows)), 0))
+        starts = np.flatnonzero(inside % PACKED == 0)
+        data = rows.tobytes()
+        offsets = pa.py_buffer((np.append(starts, len(rows)) * _POSTING.itemsize).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(data)])],
+                                          names=["bucket", "postings"])
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = batch.column(0).flatten().drop_null().to_pylist()
@@ -493,25 +533,82 @@ def _posted(base: DataFrame) -> DataFrame:
             starts = np.cumsum(number) - number
             n = number[first]
             at = np.repeat(starts[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at]), pa.array(np.repeat(-np.minimum(count, 1 << 30), n).astype(np.int32)), pa.array(np.repeat(ids[first], n)),
-                 pa.array(np.repeat(size[first], n))], names=["key", "frequent", "id", "size"])
+            rows = np.empty(len(at), _POSTING)
+            rows["key"], rows["id"], rows["size"] = keys[at], np.repeat(ids[first], n), np.repeat(size[first], n)
+            rows["n"] = np.repeat(np.minimum(count, 1 << 30), n)
+            for lo in range(0, len(rows), 1 << 20):
+                yield packed(rows[lo:lo + (1 << 20)])
 
-    return base.select("__hash", "__shape", "__keys").mapInArrow(post, "key long, frequent int, id long, size int")
+    return base.select("__hash", "__shape", "__keys").mapInArrow(post, "bucket int, postings binary")
 
 
 def _candidates(base: DataFrame, similarity: float) -> DataFrame:
-    """(key, a, size_a, b, size_b): pairs a < b of a short list, or of a long one's first member and any other.
+    """(key, a, b, size): pairs a < b of a short list, or of a long one's first member and any other.
 
-    Members of long lists also come as rows without b.
+    Members of long lists also come as rows without b.  A task sorts its postings in memory; what is
+    too much for that, as a list of very many lines, is dealt out again and sorted by Spark.
     """
     def close(size):
         return lambda i, j: np.abs(size[i] - size[j]) <= _edits(np.maximum(size[i], size[j]).astype(np.int64), similarity)
 
+    def output(key, a, b, size, frequent) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) if x is not None else pa.nulls(len(a), t) for x, t in (
+            (key, pa.int64()), (a, pa.int64()), (b, pa.int64()), (size, pa.int32()), (frequent, pa.int32()))],
+            names=["key", "a", "b", "size", "frequent"])
+
+    def met(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(rows["key"])
+        key = rows["key"][order]
+        again = key[1:] == key[:-1]
+        rows = rows[order[np.r_[False, again] | np.r_[again, False]]]  # the others are alone under their key
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows["id"], rows["key"]))]
+        key, ids = rows["key"], rows["id"]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        number = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))[first]
+        count, key, ids, size = np.add.reduceat(rows["n"].astype(np.int64), first), key[first], ids[first], rows["size"][first]
+        short, many = number <= SHORT_LIST, number > SHORT_LIST
+        some, some_size = ids[short], size[short]
+        i, j = near_in_runs(key[short], len(some), close(some_size))
+        a, b = some[i], some[j]
+        if many.any():
+            key, ids, size, count = key[many], ids[many], size[many], count[many]
+            order = np.lexsort((ids, -count, key))
+            key, ids, size = key[order], ids[order], size[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            hub = np.repeat(starts, np.diff(np.append(starts, len(key))))
+            yield output(key, ids, None, size, None)
+            j = np.flatnonzero((np.arange(len(key)) != hub) & close(size)(np.arange(len(key)), hub))
+            a, b = np.append(a, ids[j]), np.append(b, ids[hub[j]])
+        if len(a):
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield output(None, pairs[:, 0], pairs[:, 1], None, None)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, over = [], 0, False
+        for batch in batches:
+            for x in batch.column(1):
+                held.append(x.as_py())
+                size += len(held[-1])
+                if size > MOST_PACKED or over and size > PACKED * _POSTING.itemsize:
+                    rows = np.frombuffer(b"".join(held), _POSTING)
+                    held, size, over = [], 0, True
+                    for lo in range(0, len(rows), 1 << 16):
+                        x = rows[lo:lo + (1 << 16)]
+                        yield output(x["key"], x["id"], None, x["size"], -x["n"])
+        if held:
+            rows = np.frombuffer(b"".join(held), _POSTING)
+            if over:
+                yield output(rows["key"], rows["id"], None, rows["size"], -rows["n"])
+            else:
+                yield from met(rows)
+
     def ordered(key, a, b):
         return pd.DataFrame({"key": key, "a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), dtype="Int64"), "size": 0})
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hub_key, hub, hub_size = None, None, None
         for frame, whole in key_runs(batches, "key", SHORT_LIST):
             keys, ids, size = (frame[c].to_numpy() for c in ("key", "id", "size"))
@@ -530,9 +627,13 @@ def _candidates(base: DataFrame, similarity: float) -> DataFrame:
                 near = (own != hub) & (np.abs(own_size - hub_size) <= _edits(np.maximum(own_size, hub_size).astype(np.int64), similarity))
                 yield ordered(np.full(near.sum(), hub_key), own[near], np.full(near.sum(), hub))
 
-    posted = _posted(base)
-    return posted.repartition(shuffle_partitions(base.sparkSession), "key").sortWithinPartitions("key", "frequent", "id") \
-        .mapInPandas(meet, "key long, a long, b long, size int")
+    n, fields = shuffle_partitions(base.sparkSession), "key long, a long, b long, size int"
+    found = written(_posted(base).repartition(n, "bucket").mapInArrow(meet, fields + ", frequent int"), "lines-candidates")
+    done, rest = found.where("frequent is null").drop("frequent"), found.where("frequent is not null")
+    if rest.isEmpty():
+        return done
+    rest = rest.select("key", "frequent", F.col("a").alias("id"), "size").repartition(n, "key").sortWithinPartitions("key", "frequent", "id")
+    return done.unionByName(written(rest.mapInPandas(meet_sorted, fields), "lines-candidates"))
 
 
 def _letters(norm: str) -> np.ndarray:
@@ -541,6 +642,20 @@ def _letters(norm: str) -> np.ndarray:
     return np.minimum(np.bincount(points & 31, minlength=32), 65535).astype(np.int32)
 
 
+def _classes(lines: list[str]) -> np.ndarray:
+    """``_letters`` of many lines, short ones together."""
+    out, lo, size = np.zeros((len(lines), 32), np.int32), 0, 0
+    for k, x in enumerate(lines):
+        size += len(x)
+        if size < GROUP and k + 1 < len(lines):
+            continue
+        codes, starts = _codes(lines[lo:k + 1])
+        row = np.repeat(np.arange(k + 1 - lo) * 32, np.diff(starts))
+        out[lo:k + 1] = np.minimum(np.bincount(row + (codes & 31), minlength=32 * (k + 1 - lo)), 65535).reshape(-1, 32)
+        lo, size = k + 1, 0
+    return out
+
+
 def _letters_allow(a: pd.Series, b: pd.Series, limit: np.ndarray) -> np.ndarray:
     """Whether so few edits could make one line's characters the other's: an edit adds one to a class at most, and takes one."""
     x, y = (np.concatenate([np.zeros(0, np.int32), *s]).reshape(-1, 32) for s in (a, b))
@@ -552,16 +667,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     """Links (a, b) between lines, by their whole hashes, of the pairs (a, b) of ids whose texts are similar."""
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            x = x[_letters_allow(x["la"], x["lb"], _edits(x["longer"].to_numpy(np.int64), similarity))]
-            n = np.arange(len(x))
-            good = similar_pairs([*x["p"], *x["q"]], n, n + len(x), similarity)
-            yield x.loc[good, ["ha", "hb"]].rename(columns={"ha": "a", "hb": "b"})
-
-    left = texts.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("norm").alias("p"), F.col("letters").alias("la"))
-    right = texts.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("norm").alias("q"), F.col("letters").alias("lb"))
+            lines, n = [*x["p"], *x["q"]], np.arange(len(x))
+            classes, lengths = _classes(lines), np.fromiter(map(len, lines), np.int64, len(lines))
+            n = n[np.abs(lengths[n] - lengths[n + len(x)]) <= _edits(np.maximum(lengths[n], lengths[n + len(x)]), similarity)]
+            n = n[_letters_allow(classes[n], classes[n + len(x)], _edits(np.maximum(lengths[n], lengths[n + len(x)]), similarity))]
+            # most are similar, by an alignment that is cheaper than their distance
+            limit = _edits(np.maximum(lengths[n], lengths[n + len(x)]), similarity)
+            sure = np.array([at_most(lines[k], lines[k + len(x)], most) <= most for k, most in zip(n.tolist(), limit.tolist())], bool)
+            left = n[~sure]
+            good = np.append(n[sure], left[similar_pairs(lines, left, left + len(x), similarity)])
+            yield x.iloc[good][["ha", "hb"]].rename(columns={"ha": "a", "hb": "b"})
+
+    left = texts.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("norm").alias("p"))
+    right = texts.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("norm").alias("q"))
     return pairs.join(left, "a").join(right, "b") \
-        .select("ha", "hb", "p", "q", "la", "lb", F.greatest(F.length("p"), F.length("q")).cast("long").alias("longer")) \
-        .mapInPandas(verify, "a binary, b binary")
+        .select("ha", "hb", "p", "q").mapInPandas(verify, "a binary, b binary")
 
 
 def _across(lists: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -629,7 +749,7 @@ def _across(lists: DataFrame, texts: DataFrame, roots: DataFrame, similarity: fl
         for frame, _ in key_runs(batches, "task", 1 << 62):
             frame = frame.reset_index(drop=True)
             lines = frame["norm"].to_list()
-            classes = np.stack([_letters(x) for x in lines])
+            classes = _classes(lines)
             found = list(pairs(frame, classes))
             a, b = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in found]]) for k in range(2))
             good = similar_pairs(lines, a, b, similarity)
@@ -642,7 +762,7 @@ def _across(lists: DataFrame, texts: DataFrame, roots: DataFrame, similarity: fl
 
 
 def _texts(base: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(id, h, norm, letters): the normalised text of each wanted line (h, __row), each document split once."""
+    """(id, h, norm): the normalised text of each wanted line (h, __row), each document split once."""
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hs, norms = [], []
@@ -654,12 +774,11 @@ def _texts(base: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                         hs.append(h)
                         norms.append(normalise(line))
             ids = np.frombuffer(b"".join(hs), ">i8")[::2].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs, pa.binary()), pa.array(norms, pa.string()),
-                                              pa.array([_letters(x) for x in norms], pa.list_(pa.int32()))], names=["id", "h", "norm", "letters"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs, pa.binary()), pa.array(norms, pa.string())], names=["id", "h", "norm"])
 
     by_row = wanted.groupBy("__row").agg(F.collect_list("h").alias("want"))
     rows = base.select("__row", F.col(text).alias("t"), "__hash").join(by_row.hint("shuffle_hash"), "__row")
-    return written(rows.select("t", "__hash", "want").mapInArrow(pick, "id long, h binary, norm string, letters array<int>"), "lines-texts")
+    return written(rows.select("t", "__hash", "want").mapInArrow(pick, "id long, h binary, norm string"), "lines-texts")
 
 
 def _half(h: str):
@@ -682,14 +801,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     # documents in the order of their ids, then rows: one number, so that the first place is a plain minimum
     place = (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
              + F.pmod(F.col("__row"), F.lit(10**18))).cast(whole)
-    lines = base.select("__row", place.alias("place"), F.posexplode("__hash").alias("at", "h")).where("h is not null")
-    distinct = written(lines.groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min("__row").alias("row")), "lines-distinct")
-    met = written(_candidates(base, similarity), "lines-candidates")
+    lines = base.select("__row", place.alias("place"), "__hash").select("__row", "place", F.posexplode("__hash").alias("at", "h")).where("h is not null")
+    met = _candidates(base, similarity)
     pairs = written(met.where("b is not null").select("a", "b").distinct(), "lines-pairs")
     lists = met.where("b is null").select("key", F.col("a").alias("id"), "size")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(lists.select("id")).distinct()
-    wanted = written(distinct.withColumn("id", _half("h")).join(ids, "id", "left_semi").select("h", F.col("row").alias("__row")), "lines-wanted")
-    texts = _texts(base, text, wanted)
+    # of the distinct lines only those that repeat or are compared are written
+    every = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min("__row").alias("row")).withColumn("id", _half("h"))
+    distinct = written(every.join(ids.withColumn("met", F.lit(True)), "id", "left").where("n > 1 or met").drop("id"), "lines-distinct")
+    texts = _texts(base, text, distinct.where("met").select("h", F.col("row").alias("__row")))
     links = written(_verified(pairs, texts, similarity), "lines-links")
     roots = components(links, "lines")
     if not lists.isEmpty():

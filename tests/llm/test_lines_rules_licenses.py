@@ -191,6 +191,32 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, short_list):
     assert [got[r[0]] for r in rows] == brute_dedup(rows)
 
 
+@pytest.mark.parametrize("most", [linededup.MOST_PACKED, 3000, 0])
+def test_line_dedup_whatever_a_task_can_sort(spark, monkeypatch, most):
+    """Postings sorted in memory, by Spark, and some by each."""
+    monkeypatch.setattr(linededup, "MOST_PACKED", most)
+    monkeypatch.setattr(linededup, "PACKED", 8)
+    monkeypatch.setattr(linededup, "SHORT_LIST", 3)
+    rows = lines_corpus(13)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(doc_frame(spark, rows)).collect()}
+    assert [got[r[0]] for r in rows] == brute_dedup(rows)
+
+
+def test_postings_go_many_to_a_row(spark):
+    """All keys of all lines are posted with the line's id and length, in far fewer rows than keys."""
+    rows = lines_corpus(14)
+    found = linededup._posted(linededup._with_lines(doc_frame(spark, rows).coalesce(1), "text", 3, linededup.SIMILARITY)).collect()
+    want = set()
+    for _, text, *_ in rows:
+        for norm, words, size, keys in zip(*linededup.line_prints(text)):
+            if words >= 3:
+                want |= {(k, int.from_bytes(xxhash.xxh128_digest(norm)[:8], "big", signed=True), int(size)) for k in keys.view(np.int64).tolist()}
+    postings = np.concatenate([np.frombuffer(r["postings"], linededup._POSTING) for r in found])
+    assert set(zip(*(postings[c].tolist() for c in ("key", "id", "size")))) == want
+    assert len(found) * 3 < len(want)
+    assert all(len({r["bucket"] for r in found if k in np.frombuffer(r["postings"], linededup._POSTING)["key"]}) == 1 for k in postings["key"][::50])
+
+
 def test_long_lists_connect_what_all_pairs_connect(spark, monkeypatch):
     """Lists of many lines: similar to one line in the middle, in chains that the first member does not reach, and not similar at all."""
     monkeypatch.setattr(linededup, "SHORT_LIST", 3)
